@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir
@@ -28,6 +28,8 @@ from aiscope.llm.words import LOWER, Block, blocks, mix, powers, span_hashes, sp
 
 MIN_WORDS = 8
 SHINGLE = 5
+#: Removals: neighbouring repeated paragraphs, at most so many code points apart, need so many words together.
+MIN_PASSAGE_WORDS, MAX_GAP = 20, 160
 THRESHOLD = 0.8
 BITMAP_BITS = 26  # 8 MB, whatever the input
 
@@ -273,7 +275,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     Columns: ``doc_id, start, end, n_words, class_id, first_doc_id, removed``;
     offsets are code points, the end exclusive.  The first paragraph of a
-    class, by document id and place, is kept.  Null and empty texts have no
+    class, by document id and place, is kept, and so are short phrases: what
+    goes are runs of neighbouring repeats of ``MIN_PASSAGE_WORDS`` words or more.  Null and empty texts have no
     paragraphs.  Rows with a null id come last in that order.
     """
     spark = docs.sparkSession
@@ -293,7 +296,12 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     members = units.select("id", "start", "end", "n_words", "content").join(labels, "content")
     is_first = F.col("id").eqNullSafe(F.when(~F.col("first.no_id"), F.col("first.id"))) & (F.col("start") == F.col("first.start"))
     first_id = F.when(~F.col("first.no_id"), F.col("first.id"))
-    return members.select(F.col("id").alias("doc_id"), "start", "end", "n_words", "class_id", first_id.alias("first_doc_id"), (~is_first).alias("removed"))
+    found = members.select(F.col("id").alias("doc_id"), "start", "end", "n_words", "class_id", first_id.alias("first_doc_id"), (~is_first).alias("again"))
+    in_order = Window.partitionBy("doc_id", "again").orderBy("start")
+    apart = F.coalesce(F.col("start") - F.lag("end").over(in_order) > MAX_GAP, F.lit(True))
+    runs = found.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(in_order))
+    length = F.sum("n_words").over(Window.partitionBy("doc_id", "again", "run"))
+    return runs.withColumn("removed", F.col("again") & (length >= MIN_PASSAGE_WORDS)).drop("apart", "run", "again")
 
 
 def dedup_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
