@@ -7,15 +7,25 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aiscope.llm import bytebpe, secrets, simhash
+from aiscope.llm import bytebpe, decontaminate, secrets, simhash, toxicity
 from aiscope.llm.graph import ensure_checkpoint_dir
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     return simhash.keep_first(docs)
 
 
+def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; every document stays."""
     return secrets.redact_secrets(docs)
@@ -26,7 +36,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bytebpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("near_dedup", near_dedup), ("secrets", hide_secrets), ("byte_bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate_docs),
+    ("secrets", hide_secrets),
+    ("byte_bpe", encode),
+]
 
 #: The stages are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
