@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from aiscope.operators import components as K
 from aiscope.operators import detect, export, graph, policy
 from aiscope.plans.views import table, with_views
 from aiscope.sources import files
+from aiscope.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -441,3 +444,43 @@ def hash_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.changed_files(now, seen).select(F.col("path").alias("doc_id"), "sha256")
 
 
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(_DECIDED + "SELECT date_trunc('minute', ts) AS minute, CASE WHEN rule_id <= 2 THEN 'warned' ELSE 'allowed' END AS outcome, count(*) AS n, max(duration_ms) AS max_ms FROM d GROUP BY ALL")
+def stream_decisions_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch query of decisions per minute as a stream over what is there."""
+    kind = F.col("event_type")
+    method = F.when(kind.isin("view", "click"), "GET").when(kind == "purchase", "POST").when(kind == "signup", "PUT").otherwise("DELETE")
+    hosts = F.array(*map(F.lit, ["api.openai.com", "api.deepseek.com", "api.anthropic.com", "files.example.com", "localhost:11434"]))
+    url = F.concat(F.lit("https://"), F.get(hosts, (F.col("event_id") % 5).cast("int")), F.lit("/v1/"), kind)
+    requests = event_stream(spark, sf_dir).select(F.col("event_id").alias("request_id"), "ts", method.alias("method"), url.alias("url"), F.col("value").alias("duration_ms"))
+    denied = F.lower("url").contains("deepseek") | (F.col("method") == "DELETE")
+    decided = requests.withColumn("outcome", policy.outcome(F.when(denied, "deny").otherwise("allow"), "warn"))
+    folder = shared_folder(spark, "decisions")
+    streams.into_table(streams.decisions_per_window(decided), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_deduplicated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice and counts once."""
+    twice = event_stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = streams.deduplicated(twice, "event_id", "ts").select("event_id", "event_type")
+    folder = shared_folder(spark, "dedup")
+    streams.into_table(once, f"{folder}/table", f"{folder}/checkpoint", mode="append").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
