@@ -10,6 +10,7 @@ the verdict.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,10 @@ def rules() -> list[Rule]:
     ]
 
 
+def _lines() -> Column:
+    return F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
 def _kept_chars(text: str, keep: str) -> Column:
     """Code points of ``text`` in the class ``keep``."""
     return F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
@@ -56,35 +61,44 @@ def _text_features() -> dict[str, Column]:
     }
 
 
-def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Counts per document, one row per input row; a null text counts as empty.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it and wherever the optimizer puts it."""
+    return F.transform(F.array(value), body)[0]
 
-    ``n_repeat_words`` counts the words that lie in a 5-word window found twice
-    or more in the text.  Windows are compared by a 64-bit hash of five 64-bit
-    word hashes.  Texts without an equal pair, by far the most, are settled by
-    one distinct count; only the others sort their windows.
-    """
+
+def _repeated(words: Column) -> Column:
+    """Words in 5-word windows found twice or more, by 64-bit hashes of windows of 64-bit word hashes."""
+    return F.when(F.size(words) >= 6, let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(_windows(h), _covered))).otherwise(0)
+
+
+def _windows(h: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))
+
+
+def _covered(windows: Column) -> Column:
+    """Texts without an equal pair, by far the most, are settled by one distinct count; others sort their windows."""
+    pairs = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(pairs, lambda p: let(_equal_starts(p), _length_of))).otherwise(0)
+
+
+def _equal_starts(p: Column) -> Column:
+    """Sorted places of the windows that have an equal one, from pairs in order of hash."""
+    equal = F.filter(p, lambda a, i: ((i > 0) & (a["x"] == F.get(p, i - 1)["x"])) | F.coalesce(a["x"] == F.get(p, i + 1)["x"], F.lit(False)))
+    return F.sort_array(F.transform(equal, lambda a: a["i"]))
+
+
+def _length_of(starts: Column) -> Column:
+    """Places covered by stretches of five that begin at sorted starts."""
+    more = F.transform(starts, lambda s, i: F.when(i > 0, F.least(F.lit(5), s - F.get(starts, i - 1))).otherwise(5))
+    return F.aggregate(more, F.lit(0), lambda a, b: a + b)
+
+
+def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Counts per document, one row per input row; a null text counts as empty."""
     frame = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
-    frame = frame.withColumn("_w", F.array_remove(F.split("_t", SPACES), ""))
-    frame = frame.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    frame = frame.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    n = F.size("_h")
-    at = lambda i, k: F.get("_h", i + k)
-    windows = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2), at(i, 3), at(i, 4)))
-    frame = frame.withColumn("_x", F.when(n >= 6, windows))
-    pairs = F.sort_array(F.transform("_x", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    equal = F.col("_x").isNotNull() & (F.size(F.array_distinct("_x")) < F.size("_x"))
-    frame = frame.withColumn("_p", F.when(equal, pairs))
-    x = lambda p: p["x"]
-    again = F.filter("_p", lambda p, i: ((i > 0) & (x(p) == x(F.get("_p", i - 1)))) | (x(p) == x(F.get("_p", i + 1))))
-    frame = frame.withColumn("_s", F.sort_array(F.transform(again, lambda p: p["i"])))
-    covered = F.aggregate(
-        F.transform("_s", lambda s, i: F.when(i > 0, F.least(F.lit(5), s - F.get("_s", i - 1))).otherwise(5)), F.lit(0), lambda a, b: a + b
-    )
-    extra = {name: made for name, made in _text_features().items()}
-    return frame.select(
-        "doc_id", F.size("_w").cast("long").alias("n_words"), *[made.alias(name) for name, made in extra.items()], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")
-    )
+    words = let(F.array_remove(F.split("_t", SPACES), ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).cast("long").alias("r")))
+    frame = frame.select("doc_id", "_t", words.alias("_w"), _lines().alias("_lines"))
+    return frame.select("doc_id", F.col("_w.n").alias("n_words"), *[made.alias(name) for name, made in _text_features().items()], F.col("_w.r").alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
@@ -110,7 +124,7 @@ def estimate(docs: DataFrame, text_column: str = "text", sample_rows: int = 2000
         shares = counted.agg(*[F.sum(F.coalesce(r.rejects, F.lit(False)).cast("int")).alias(r.name) for r in rules()]).first()
         cost = {}
         text = sample.select(F.coalesce("text", F.lit("")).alias("_t"))
-        lined = text.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+        lined = text.withColumn("_lines", _lines())
         for name, made in _text_features().items():
             began = time.perf_counter()
             lined.agg(F.sum(made)).first()
