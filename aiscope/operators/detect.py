@@ -78,9 +78,9 @@ def endpoint_of(line: Column) -> Column:
 
 # Environment variables by exact name, and parts of names that end in _API_KEY.
 ENV_NAMES = {
-    "OPENAI_API_KEY": "OpenAI", "ANTHROPIC_API_KEY": "Anthropic", "GOOGLE_API_KEY": "Google", "GEMINI_API_KEY": "Google", "COHERE_API_KEY": "Cohere", "MISTRAL_API_KEY": "Mistral",
-    "HUGGINGFACE_API_KEY": "HuggingFace", "HF_TOKEN": "HuggingFace", "REPLICATE_API_TOKEN": "Replicate", "TOGETHER_API_KEY": "Together", "GROQ_API_KEY": "Groq",
-    "AZURE_OPENAI_API_KEY": "Azure OpenAI", "AZURE_OPENAI_ENDPOINT": "Azure OpenAI", "OLLAMA_HOST": "Ollama", "DEEPSEEK_API_KEY": "DeepSeek", "XAI_API_KEY": "xAI", "PINECONE_API_KEY": "Pinecone",
+    "OPENAI_API_KEY": "OpenAI", "ANTHROPIC_API_KEY": "Anthropic", "HF_TOKEN": "HuggingFace", "HUGGINGFACE_TOKEN": "HuggingFace", "COHERE_API_KEY": "Cohere", "MISTRAL_API_KEY": "Mistral",
+    "GOOGLE_AI_KEY": "Google", "GOOGLE_API_KEY": "Google", "AZURE_OPENAI_KEY": "Azure OpenAI", "AZURE_OPENAI_API_KEY": "Azure OpenAI", "TOGETHER_API_KEY": "Together", "REPLICATE_API_TOKEN": "Replicate",
+    "OLLAMA_HOST": "Ollama", "GROQ_API_KEY": "Groq", "AWS_BEDROCK": "AWS Bedrock", "VERTEX_AI": "Google Vertex AI", "XAI_API_KEY": "xAI",
 }
 ENV_PARTS = [("OPENAI", "OpenAI"), ("ANTHROPIC", "Anthropic"), ("GOOGLE", "Google"), ("GEMINI", "Google"), ("COHERE", "Cohere"), ("MISTRAL", "Mistral"), ("HUGGING", "HuggingFace"), ("REPLICATE", "Replicate"), ("TOGETHER", "Together"), ("GROQ", "Groq"), ("DEEPSEEK", "DeepSeek")]
 
@@ -203,7 +203,7 @@ def compose_services(documents: DataFrame) -> DataFrame:
 
 
 # Steps of CI workflows, in order.
-ACTIONS = ["openai", "anthropic", "huggingface", "langchain", "claude", "gpt", "llm", "ollama", "aws-actions/amazon-bedrock", "google-github-actions/vertex", "azure/openai", "copilot", "coderabbit", "replicate", "cohere", "mistral", "mlflow"]
+ACTIONS = ["github/copilot", "copilot", "openai", "anthropic", "ai-review", "ai-test", "ai-pr-reviewer", "code-review-gpt", "gpt-review", "claude-review", "llm-review", "semantic-release", "ai-commit", "ai-changelog", "huggingface", "langchain", "autogpt"]
 
 
 def ci_steps(documents: DataFrame) -> DataFrame:
