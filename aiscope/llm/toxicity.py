@@ -162,35 +162,59 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -40, 40)))
 
 
+def correlated_groups(votes: np.ndarray, counts: np.ndarray, excess: float = 1.5) -> np.ndarray:
+    """The group of each voter; voters that agree more than the hidden class explains are in one.
+
+    With one hidden class the covariance of two voters is a product of their
+    strengths.  A strength is the lower quartile over triplets of voters, which
+    correlated pairs can only raise; a pair whose covariance exceeds the product
+    is correlated.
+    """
+    n, m = max(counts.sum(), 1), votes.shape[1]
+    centred = votes - counts @ votes / n
+    cov = (centred * counts[:, None]).T @ centred / n
+    strength = np.zeros(m)
+    for i in range(m):
+        others = [j for j in range(m) if j != i]
+        triplets = [cov[i, j] * cov[i, k] / cov[j, k] for j in others for k in others if j < k and cov[j, k] > 1e-9]
+        strength[i] = np.sqrt(max(np.quantile(triplets, 0.25) if triplets else cov[i, i], 0))
+    group = np.arange(m)
+    for i in range(m):
+        for j in range(i):
+            if cov[i, j] > excess * strength[i] * strength[j] + 3 * np.sqrt(max(cov[i, i] * cov[j, j], 0) / n):
+                group[group == group[i]] = group[j]
+    return group
+
+
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60, correlated: float = 0.3) -> LabelModel:
     """Estimate the label model from distinct vote patterns (rows of booleans) and their counts.
 
-    Starts from voters that are right more often than not.  After the fit,
-    voters whose votes within a class still correlate by over ``correlated``
-    form groups; each member weighs one part of its group, and the fit runs
-    again with those weights.
+    Each member of a correlated group weighs one part of it.  Starts from
+    voters that are right more often than not.  After a first fit, voters whose
+    votes still correlate by over ``correlated`` within the toxic class join
+    groups too, and the fit runs again.
     """
     m = votes.shape[1]
+    group = correlated_groups(votes, counts)
     model = LabelModel(float(np.clip(prior, 0.01, 0.5)), np.full(m, 0.7), np.full(m, 0.02), np.ones(m))
     n = max(counts.sum(), 1)
-    for outer in range(2):
+    for fit in range(2):
+        model.weight = np.array([1 / np.sum(group == g) for g in group])
         for _ in range(rounds):
             p = model.posterior(votes) * counts
             q = counts - p
             model.toxic = np.clip((p @ votes + 1) / (p.sum() + 2), 1e-4, 1 - 1e-4)
             model.clean = np.clip((q @ votes + 0.01) / (q.sum() + 2), 1e-7, 0.5)
             model.prior = float(np.clip(p.sum() / n, 1e-3, 0.5))
-        if outer == 0:
+        if fit == 0:
             p = model.posterior(votes) * counts
-            group = np.arange(m)
             centred = votes - model.toxic
             spread = np.sqrt(np.maximum(p @ centred**2, 1e-9))
-            matrix = (centred * p[:, None]).T @ centred / np.outer(spread, spread)
+            left = (centred * p[:, None]).T @ centred / np.outer(spread, spread)
             for i in range(m):
                 for j in range(i):
-                    if abs(matrix[i, j]) > correlated:
+                    if abs(left[i, j]) > correlated:
                         group[group == group[i]] = group[j]
-            model.weight = np.array([1 / np.sum(group == g) for g in group])
     return model
 
 
@@ -230,6 +254,17 @@ def remainder(id_column: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(id_column.cast("string")), F.lit(divisor))
 
 
+def bounded_sample(frame: DataFrame, key: Column, rows: int, most: int) -> DataFrame:
+    """At most ``most`` of a frame's ``rows`` rows, by a hash of the key; all of them where they are no more.
+
+    The hash leaves about 95 % of the bound, so that neither a task nor the
+    driver is sent more than it keeps.
+    """
+    if rows <= most:
+        return frame
+    return frame.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * 0.95 * most / rows)).limit(most)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the voters' hits for every row.
 
@@ -240,8 +275,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("_id"), 3) != 1))
-    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id")).limit(FIT_ROWS)
-    known = cut(known)
+    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    known = cut(bounded_sample(known, F.col("_id"), known.count(), FIT_ROWS))
     prior = known.agg(F.avg("toxic")).first()[0]
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
     labelled = source.join(F.broadcast(known), F.col("id") == F.col("_id")).select("text", "toxic")  # at most FIT_ROWS rows
@@ -256,7 +291,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     bits = lambda c: ((c[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
     model = fit_label_model(bits(codes), counts, 0.1 if prior is None else prior)
 
-    rows = open_rows.orderBy(F.xxhash64("id")).limit(FIT_ROWS).toPandas()
+    rows = bounded_sample(open_rows, F.col("id"), int(counts.sum()), FIT_ROWS).toPandas()
     hit = rows[list(VOTERS)].to_numpy(dtype=float)
     words = rows["n_words"].to_numpy(dtype=float)
     weights = fit_classifier(hit, words, model.posterior(np.minimum(hit, 1)))
