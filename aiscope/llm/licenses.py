@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aiscope.llm.toxicity import bounded_sample
 from aiscope.llm.words import LOWER, Block, blocks, mix, span_hashes, split_words
 
 #: The most corpus paragraphs taken as negatives, and documents they come from.
@@ -263,7 +264,7 @@ def find_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Null and empty texts have none.  The negatives of the classifier come from
     at most ``NEGATIVE_DOCS`` rows; every row is scanned.
     """
-    sample = docs.where(F.col(text_column).isNotNull()).orderBy(F.xxhash64(F.col(id_column))).limit(NEGATIVE_DOCS).select(F.col(text_column).alias("t"))
+    sample = bounded_sample(docs, F.col(id_column), docs.count(), NEGATIVE_DOCS).where(F.col(text_column).isNotNull()).select(F.col(text_column).alias("t"))
     lines = sample.select(F.explode(F.split("t", "\n")).alias("line")).where(~F.col("line").rlike("(?i)licen[cs]|copyright|rights reserved"))
     lines = lines.select(F.substring("line", 1, 600).alias("line")).where("length(line) > 20").orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_PARAGRAPHS)
     model = docs.sparkSession.sparkContext.broadcast(train([r.line for r in lines.collect()]))
