@@ -406,3 +406,44 @@ def test_edge_tables(name, spark, edges, empty, tmp_path_factory):
         if name != "op9_token_counts":
             assert len(rows) == (len(EDGES) if kind == "edges" else 0)
             assert collections.Counter(r.doc_id for r in rows) == collections.Counter(i for i, _ in EDGES if kind == "edges")
+
+
+def test_language_model_has_a_restaurant_for_every_word(spark, docs, texts):
+    model = pitman_yor.fit(docs.where(~pitman_yor.held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("text")))
+    g, back = model.totals, model.totals.back_off()
+    training = [d for d in texts if zlib.crc32(str(d).encode()) % 10]
+    before = {w for d in training for w in re.findall(SPACES, low(texts[d]))}
+    rare = {r.before: r for r in model.rare.collect()}
+    assert len(rare) + len(model.contexts) == len(before)
+    pairs = {(r.before, r.word): r for r in model.pairs.collect()}
+    left = collections.defaultdict(float)
+    for (u, _), r in pairs.items():
+        left[u] += r.c - g.discount * r.t
+    assert all(math.isclose(left[u] + g.discount * r.tables, r.customers, rel_tol=1e-9) for u, r in rare.items())
+    # scores against the same sums taken pair by pair
+    rows = {r.word: (r.p0, {int(e["u"]): e for e in np.frombuffer(r.packed, dtype=pitman_yor.PACKED)}) for r in pitman_yor._sampled(model).collect()}
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
+    for batch in docs.select("doc_id", F.col("text").cast("binary").alias("text")).toArrow().to_batches():
+        for block in pitman_yor.blocks([batch], "text"):
+            found = pitman_yor.tokens(block)
+            numbers = pitman_yor.context_ids(found.before, model.contexts)
+            want = np.zeros(block.rows.num_rows)
+            for word, u, hashed, row in zip(found.word.view(np.int64).tolist(), numbers.tolist(), found.before.view(np.int64).tolist(), found.row.tolist()):
+                p0, entries = rows.get(word, (g.unseen, {}))
+                if u != pitman_yor.RARE:
+                    p = back[u] * p0 + (float(g.seen(u, entries[u]["c"], entries[u]["t"])) if u in entries else 0)
+                elif hashed in rare:
+                    t, pair = rare[hashed], pairs.get((hashed, word))
+                    p = ((g.strength + g.discount * t.tables) * p0 + (pair.c - g.discount * pair.t if pair else 0)) / (g.strength + t.customers)
+                else:
+                    p = p0
+                want[row] += math.log10(p)
+            assert np.allclose([got[i.as_py()] for i in block.column("doc_id")], want, rtol=1e-5)
+
+
+def test_language_model_knows_the_successor_of_a_rare_word(spark):
+    training = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(3000) if not zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, f"q{i % 700} s{i % 700}") for i in training] + [(held[0], "q5 s5"), (held[1], "q5 s6"), (held[2], "unseen s5")]
+    found = {r.doc_id: r.score for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[held[0]] > found[held[1]] + 1
