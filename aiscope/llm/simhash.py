@@ -21,6 +21,7 @@ rows are dealt again as pairs of blocks, so no task holds an unbounded group.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aiscope.llm.graph import connected_components, cut
+from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir
 from aiscope.llm.words import LOWER, blocks, split_words
 
 GOLAY_GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -126,7 +127,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Ite
                 ones[part] = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(shingles[part])[:-1])), axis=0, dtype=np.int64)
             set_bits = 2 * ones > shingles[:, None]
             prints = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
-        yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(prints.view(np.int64))], names=["id", "fp"])
+        names = [x for x in block.rows.schema.names if x != "text"]
+        yield pa.RecordBatch.from_arrays([*map(block.column, names), pa.array(prints.view(np.int64))], names=[*names, "fp"])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
@@ -268,17 +270,34 @@ def simhash_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     has no other id.  An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, id_column, text_column, shingle))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(near_links(prints, distance))
-    owned = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    owned = cut(owned)
+    owned = _roots(prints, distance)
     smallest = owned.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = cut(owned.join(smallest, "root").select("fp", "component_id"))
     return prints.join(labels, "fp").select(F.col("id").alias("doc_id"), _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _roots(prints: DataFrame, distance: int) -> DataFrame:
+    """``(fp, least, root)`` for each distinct fingerprint: its smallest id, and the name of its class."""
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = connected_components(near_links(prints, distance))
+    return cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each class does: that with the smallest id."""
-    classes = simhash_classes(docs, id_column, text_column)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay when one row of each class does: that with the smallest id.
+
+    Of rows that share the id one stays; a null id comes after all others.  Rows
+    are told apart by a number of their own, so one that shares its id with a
+    removed row of another class stays.  The numbered rows are written to the
+    shared folder, as a frame that is computed twice may come in another order.
+    """
+    spark = docs.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    numbered = spark.read.parquet(folder)
+    source = numbered.select(F.col(id_column).cast("long").alias("id"), F.col("_row").alias("row"), F.col(text_column).cast("binary").alias("text"))
+    prints = cut(source.mapInArrow(lambda batches: _fingerprint_batches(batches, 4), "id long, row long, fp long"))
+    classed = prints.join(_roots(prints, 4).select("fp", "root"), "fp")
+    first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    gone = classed.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(docs.columns)

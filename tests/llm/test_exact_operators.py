@@ -408,6 +408,16 @@ def test_edge_tables(name, spark, edges, empty, tmp_path_factory):
             assert collections.Counter(r.doc_id for r in rows) == collections.Counter(i for i, _ in EDGES if kind == "edges")
 
 
+def test_keep_first_leaves_one_row_of_each_class(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(50)) for x in "abc")
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (9, c, 4), (9, c, 5), (None, c, 6), (None, "nobody else has this text", 7), (None, "nobody else has this text", 8), (None, "nor this one at all, as it is about something else", 9)]
+    left = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3))
+    assert left.columns == ["doc_id", "text", "n"]
+    kept = sorted(r.n for r in left.collect())
+    assert kept[:2] == [1, 3] and len(kept) == 5
+    assert kept[2] in (4, 5) and kept[3] in (7, 8) and kept[4] == 9
+
+
 def test_language_model_has_a_restaurant_for_every_word(spark, docs, texts):
     model = pitman_yor.fit(docs.where(~pitman_yor.held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("text")))
     g, back = model.totals, model.totals.back_off()
