@@ -53,8 +53,16 @@ def near(starts: np.ndarray, ends: np.ndarray, start: int, end: int, scope: int)
     return after > 0 and start - ends[after - 1] <= scope
 
 
+def in_points(text: bytes, *groups: list[tuple]) -> list[list[tuple]]:
+    """Spans (start, end, ...) of bytes as spans of code points."""
+    if text.isascii() or not any(groups):
+        return list(groups)
+    point = np.concatenate(([0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)))
+    return [[(int(point[s]), int(point[e]), *rest) for s, e, *rest in spans] for spans in groups]
+
+
 def linked_spans(text: bytes, base: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
-    """Weak candidates with their complementary parts within ``scope`` bytes, and those parts."""
+    """Weak candidates with their complementary parts within ``scope`` code points, and those parts; in code points."""
     short = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if 4 <= len(m[2]) < ASSIGN_LENGTH]
     taken = sorted((s, e) for s, e, _ in base)
     tokens = [(m.start(), m.end()) for m in KEY_LIKE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
@@ -63,6 +71,7 @@ def linked_spans(text: bytes, base: list[tuple[int, int, str]], scope: int) -> l
     endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     access = [(s, e) for s, e, kind in base if kind == "access"]
     users = [(m.start(), m.end()) for m in USER.finditer(text)]
+    short, tokens, endpoints, access, users = in_points(text, short, tokens, endpoints, access, users)
 
     def sides(parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         table = np.array(sorted(parts), dtype=np.int64).reshape(-1, 2)
@@ -93,12 +102,9 @@ def scan(text: bytes, scope: int = 400) -> tuple[list[tuple[int, int, str]], lis
     if not HINT.search(text):
         return [], []
     base = base_spans(text)
-    spans = base + linked_spans(text, base, scope)
-    if spans and not text.isascii():
-        data = np.frombuffer(text, dtype=np.uint8)
-        point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        base = [(int(point[s]), int(point[e]), k) for s, e, k in base]
-        spans = [(int(point[s]), int(point[e]), k) for s, e, k in spans]
+    linked = linked_spans(text, base, scope)
+    [base] = in_points(text, base)
+    spans = base + linked
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     return sorted(base, key=order), sorted(spans, key=order)
 
