@@ -380,21 +380,76 @@ def test_language_model(docs, texts):
     assert totals[True, "score"] > totals[True, "base"] and totals[False, "score"] > totals[False, "base"]
 
 
-def test_language_model_is_deterministic_and_normalised(spark, docs):
-    source = docs.select(F.col("text").cast("binary").alias("text"))
-    model = pitman_yor.fit(source)
-    g = model.totals
-    rows = pitman_yor._sampled(model).collect()
-    assert rows == pitman_yor._sampled(model).collect()
-    back = g.back_off()
-    sums = np.zeros(len(g.tables))
-    parent = g.unseen
-    for r in rows:
-        e = np.frombuffer(r.packed, dtype=pitman_yor.PACKED)
-        np.add.at(sums, e["u"].astype(int), g.seen(e["u"].astype(int), e["c"], e["t"]))
-        parent += r.p0
-    assert abs(parent - 1) < 1e-6
-    assert np.abs(sums + back * parent - 1)[g.customers > 0].max() < 1e-4
+def language_model(model):
+    """P(word | context) of a fitted model by plain lookups: averages over the samples, with the parent's probabilities."""
+    layout, steps = model.layout, model.steps
+    found = pitman_yor.restaurants([tuple(r) for r in model.restaurants.collect()])
+    per_step = pitman_yor.seatings(found, layout, steps)[-pitman_yor.SAMPLES :]
+    customers, _ = found.totals(layout)
+    context = {u: i for i, u in enumerate(found.us.tolist())}
+    pair = {(u, w): i for i, (u, w) in enumerate(zip(found.us[found.of].tolist(), found.ws.tolist()))}
+    dishes = [tuple(r) for r in model.dishes.collect()]
+    words, t = (pitman_yor.joined(dishes, i, kind) for i, kind in ((1, np.uint64), (3, np.int64)))
+    roots = pitman_yor.root_tables(words, t, model.root_mass, steps[0].parent.discount)
+    parents = []
+    for step, more in zip(model.samples, model.more):
+        rows = [tuple(r) for r in more.collect()]
+        extra = dict(zip(pitman_yor.joined(rows, 2, np.uint64).tolist(), pitman_yor.joined(rows, 3, np.int64).tolist()))
+        p0 = {w: float(step.after.probability(n + extra.get(w, 0), s)) for w, n, s in zip(words.tolist(), t.tolist(), roots.tolist())}
+        p0.update(zip(layout.words.tolist(), step.after.seen.astype(float).tolist()))
+        parents.append(p0)
+
+    def probability(u, w):
+        total = 0.0
+        for step, (tables, whole), p0 in zip(model.samples, per_step, parents):
+            back = p0.get(w, step.after.unseen)
+            if u in context:
+                i, j = context[u], pair.get((u, w))
+                seen = 0.0 if j is None else found.cs[j] - step.discount * tables[j]
+                back = (seen + (step.strength + step.discount * whole[i]) * back) / (step.strength + customers[i])
+            total += back / pitman_yor.SAMPLES
+        return total
+
+    return probability, context, words.tolist()
+
+
+@pytest.mark.parametrize("part", [1 << 16, 40])
+def test_language_model_scores(docs, texts, monkeypatch, part):
+    monkeypatch.setattr(pitman_yor, "PART", part)  # also with restaurants that are dealt out in parts
+    model = pitman_yor.fit(docs.where(~pitman_yor.held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("text")))
+    assert len(model.layout.split) > 3 or part > 40
+    probability, context, words = language_model(model)
+    training = [d for d in texts if zlib.crc32(str(d).encode()) % 10]
+    assert len(context) == len({w for d in training for w in re.findall(SPACES, low(texts[d]))} | {""})
+    for u in [*list(context)[:5], int(pitman_yor.BEGIN), 12345]:
+        unseen = probability(u, 99)
+        assert abs(sum(probability(u, w) for w in words) + unseen - 1) < 1e-5
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
+    for batch in docs.select("doc_id", F.col("text").cast("binary").alias("text")).toArrow().to_batches():
+        for block in pitman_yor.blocks([batch], "text"):
+            found = pitman_yor.tokens(block)
+            want = np.zeros(block.rows.num_rows)
+            for u, w, row in zip(found.before.tolist(), found.word.tolist(), found.row.tolist()):
+                want[row] += math.log10(probability(u, w))
+            assert np.allclose([got[i.as_py()] for i in block.column("doc_id")], want, rtol=1e-5)
+
+
+def test_language_model_is_deterministic(docs):
+    one, two = ({r.doc_id: r.score for r in pitman_yor.score_documents(docs.repartition(n)).collect()} for n in (1, 3))
+    assert all(math.isclose(one[i], two[i], rel_tol=1e-6) for i in one)
+
+
+def test_language_model_takes_a_very_long_text(spark):
+    rows = [(i, "a b c " * 50) for i in range(20)] + [(30, "b c a d " * 600_000)]
+    found = {r.doc_id: r for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[30].n_tokens == 2_400_001 and found[30].score < 0 and len(found) == 21
+
+
+def test_log_gamma_and_grids():
+    x = np.array([0.01, 0.5, 1.0, 3.7, 48.0, 1e6, 3e11])
+    assert np.allclose(pitman_yor.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11)
+    assert np.isclose(pitman_yor.log_opened(1.5, 0.4, np.array(3.0)), math.log(1.5 * 1.9 * 2.3))
+    assert np.isclose(pitman_yor.log_entered(1.5, np.array(3.0)), math.log(1.5 * 2.5 * 3.5))
 
 
 def test_seating_follows_the_exact_conditional():
@@ -434,39 +489,6 @@ def test_keep_first_leaves_one_row_of_each_class(spark):
     assert kept[2] in (4, 5) and kept[3] in (7, 8) and kept[4] == 9
 
 
-def test_language_model_has_a_restaurant_for_every_word(spark, docs, texts):
-    model = pitman_yor.fit(docs.where(~pitman_yor.held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("text")))
-    g, back = model.totals, model.totals.back_off()
-    training = [d for d in texts if zlib.crc32(str(d).encode()) % 10]
-    before = {w for d in training for w in re.findall(SPACES, low(texts[d]))}
-    rare = {r.before: r for r in model.rare.collect()}
-    assert len(rare) + len(model.contexts) == len(before)
-    pairs = {(r.before, r.word): r for r in model.pairs.collect()}
-    left = collections.defaultdict(float)
-    for (u, _), r in pairs.items():
-        left[u] += r.c - g.discount * r.t
-    assert all(math.isclose(left[u] + g.discount * r.tables, r.customers, rel_tol=1e-9) for u, r in rare.items())
-    # scores against the same sums taken pair by pair
-    rows = {r.word: (r.p0, {int(e["u"]): e for e in np.frombuffer(r.packed, dtype=pitman_yor.PACKED)}) for r in pitman_yor._sampled(model).collect()}
-    got = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
-    for batch in docs.select("doc_id", F.col("text").cast("binary").alias("text")).toArrow().to_batches():
-        for block in pitman_yor.blocks([batch], "text"):
-            found = pitman_yor.tokens(block)
-            numbers = pitman_yor.context_ids(found.before, model.contexts)
-            want = np.zeros(block.rows.num_rows)
-            for word, u, hashed, row in zip(found.word.view(np.int64).tolist(), numbers.tolist(), found.before.view(np.int64).tolist(), found.row.tolist()):
-                p0, entries = rows.get(word, (g.unseen, {}))
-                if u != pitman_yor.RARE:
-                    p = back[u] * p0 + (float(g.seen(u, entries[u]["c"], entries[u]["t"])) if u in entries else 0)
-                elif hashed in rare:
-                    t, pair = rare[hashed], pairs.get((hashed, word))
-                    p = ((g.strength + g.discount * t.tables) * p0 + (pair.c - g.discount * pair.t if pair else 0)) / (g.strength + t.customers)
-                else:
-                    p = p0
-                want[row] += math.log10(p)
-            assert np.allclose([got[i.as_py()] for i in block.column("doc_id")], want, rtol=1e-5)
-
-
 def test_language_model_knows_the_successor_of_a_rare_word(spark):
     training = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10]
     held = [i for i in range(3000) if not zlib.crc32(str(i).encode()) % 10]
