@@ -19,8 +19,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.quality(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return quality.quality(table(spark, sf_dir, "documents")).drop("rejected_by")  # which of several rules is named depends on the order
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +68,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: Quality rules by counts of patterns; windows of five words are found by joining them.
+_OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+ g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, unnest([array_to_string(ws[k : k + 4], ' ') for k in range(1, len(ws) - 3)]) AS x FROM w WHERE len(ws) >= 5),
+ again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM g) WHERE n > 1),
+ covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) AS o(k) GROUP BY r),
+ b AS (SELECT d.doc_id, d.t, w.ls, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(w.ls) - len(list_distinct(w.ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+   length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^!]+', '', 'g')) AS calls
+   FROM d JOIN w ON d.r = w.r LEFT JOIN covered c ON c.r = d.r),
+ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 20 > word_chars OR word_chars < n_words * 2 OR word_chars > n_words * 25
+  OR (n_dup_lines > 0 AND len(ls) >= 3 AND n_dup_lines * 10 > len(ls) * 3) OR letters * 2 < word_chars OR (letters >= 40 AND upper * 2 > letters) OR calls * 5 > n_words
+  OR (len(ls) >= 3 AND len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) * 2 > len(ls))
+  OR (len(ls) >= 5 AND len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) * 10 > len(ls) * 9)) AS kept FROM f"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": _OP2}

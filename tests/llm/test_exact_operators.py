@@ -75,6 +75,19 @@ def test_quality_order_changes_no_verdict(docs):
     assert gains == sorted(gains, reverse=True)
 
 
+def test_quality_cascade_spares_rejected_rows(docs):
+    """A later rule that fails when it is evaluated does no harm to rows that an earlier one has rejected, and its features are in no other place of the plan."""
+    bad = F.raise_error(F.lit("evaluated")).cast("boolean")
+    every, never = quality.Rule("every", F.length("_t") >= 0), quality.Rule("bad", bad)
+    found = quality.quality(docs, order=["every", "bad"], tried=[every, never])
+    assert {r.rejected_by for r in found.collect()} == {"base", "every"}
+    with pytest.raises(Exception, match="evaluated"):
+        quality.quality(docs, order=["bad", "every"], tried=[every, never]).collect()
+    plan = quality.quality(docs, order=[r.name for r in quality.rules()])._jdf.queryExecution().optimizedPlan().toString()
+    upper = r"\p{Lu}"
+    assert plan.count(upper) == 1 and plan.index("CASE WHEN base_failed") < plan.index(upper) < plan.index("AS rejected_by")
+
+
 def test_quality_keeps_labelled_good_documents(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = quality.quality(docs).join(labels, "doc_id").where("quality = 1 and not base_failed")
