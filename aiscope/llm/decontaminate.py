@@ -1,31 +1,44 @@
 """Benchmark decontamination by canonical templates.
 
-Text becomes a sequence of template tokens: numbers, names (a capitalised word
-inside a sentence) and units after a number turn into typed placeholders, other
-words stay, in lower case.  Windows of template tokens are hashed and joined
-with those of the benchmark.  A document is contaminated by an item when along
-one alignment it has at least ``share`` of the item's windows and its slots
-are consistent: equal fillers in the item stand for equal fillers in the
-document and different ones for different ones, so re-parameterised copies of
-a question are found and chance meetings of placeholders are not.
+Text becomes a sequence of template tokens: numbers, names (capitalised words,
+also those that begin a sentence) and units after a number turn into typed
+placeholders, other words stay, in lower case.  Windows of template tokens are
+hashed and joined with those of the benchmark.  Windows of one item that lie
+along shifts of a narrow band are taken together, so that words may be put in or
+left out between them.  A document is contaminated by an item when they cover
+at least ``share`` of the item's tokens and either that much is covered by
+windows that are equal word for word, or the slots are consistent: most repeats
+of a filler in the item stand for one filler in the document, and most repeats
+of a name in the document for one in the item.  So re-parameterised copies of a
+question are found and chance meetings of placeholders are not.
+
+Items without any window of enough plain words (short ones, rows of numbers)
+are looked for by all their raw words in a row; if they have one or two words,
+as whole documents only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
+from aiscope.llm.graph import cut
 from aiscope.llm.words import LOWER, Block, blocks, mix, span_hashes, split_words, window_hashes
 
-WINDOW = 8
-SHARE = 0.5
-#: Items with fewer template tokens are not looked for: too short to tell a copy from chance.
-MIN_TOKENS = 5
+WINDOW = 5
+SHARE = 0.6
+#: Shifts of one band; bands overlap by half, so windows at most half a band apart meet in one.
+BAND = 16
+#: Raw items of at most so many words are matched with whole documents.
+TINY = 2
 #: The most benchmark windows (16 bytes each) that are broadcast as a filter; beyond, the join shuffles every window.
 BROADCAST_WINDOWS = 2_000_000
 
@@ -63,6 +76,8 @@ class Template:
     kind: np.ndarray
     filler: np.ndarray  # hash of what stands in a slot
     row: np.ndarray
+    raw: np.ndarray  # hash of each word
+    raw_row: np.ndarray
 
 
 def template(block: Block) -> Template:
@@ -71,7 +86,7 @@ def template(block: Block) -> Template:
     n = len(words.start)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
-        return Template(empty.astype(np.uint64), empty, empty.astype(np.uint64), empty)
+        return Template(empty.astype(np.uint64), empty, empty.astype(np.uint64), empty, empty.astype(np.uint64), empty)
     data = block.data
     hashes = span_hashes(LOWER[data], words.start, words.end)
     first = data[words.start]
@@ -80,142 +95,209 @@ def template(block: Block) -> Template:
     same_row = np.zeros(n, dtype=bool)
     same_row[1:] = words.row[1:] == words.row[:-1]
     stop = np.concatenate(([0], np.cumsum(SENTENCE[data])))
-    inside = np.zeros(n, dtype=bool)  # not the first word of a sentence
+    inside = np.zeros(n, dtype=bool)  # in one sentence with the word before
     inside[1:] = same_row[1:] & (stop[words.start[1:]] == stop[words.end[:-1]])
     kind = np.zeros(n, dtype=np.int64)
-    kind[(first >= 65) & (first <= 90) & inside] = NAME
+    kind[(first >= 65) & (first <= 90)] = NAME
     kind[number] = NUMBER
     after_number = np.zeros(n, dtype=bool)
     after_number[1:] = number[:-1] & same_row[1:]
     kind[(kind == LITERAL) & after_number & _member(hashes, _UNITS)] = UNIT
     begins = np.ones(n, dtype=bool)
-    begins[1:] = ~(same_row[1:] & (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)))
+    begins[1:] = ~(inside[1:] & (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)))
     at = np.flatnonzero(begins)
     with np.errstate(over="ignore"):
         filler = mix(np.add.reduceat(hashes * (np.arange(n) - np.repeat(at, np.diff(np.append(at, n))) + 1).astype(np.uint64), at))
     kind = kind[at]
-    return Template(np.where(kind == LITERAL, hashes[at], kind.astype(np.uint64)), kind, filler, words.row[at])
+    return Template(np.where(kind == LITERAL, hashes[at], kind.astype(np.uint64)), kind, filler, words.row[at], hashes, words.row)
 
 
-@dataclass
-class Windows:
-    at: np.ndarray  # first template token
-    size: np.ndarray
-    hash: np.ndarray
-    row: np.ndarray
-
-
-def windows(found: Template, sizes: list[int]) -> Windows:
-    """Windows within one text that have at least half literal tokens."""
-    out = []
+def template_windows(found: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of windows within one text that have at least half literal tokens."""
+    n = len(found.value) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     literal = np.concatenate(([0], np.cumsum(found.kind == LITERAL)))
-    for size in sizes:
-        n = len(found.value) - size + 1
-        if n <= 0:
-            continue
-        fits = (found.row[:n] == found.row[size - 1 :]) & (2 * (literal[size:] - literal[:-size]) >= size)
-        at = np.flatnonzero(fits)
-        out.append((at, np.full(len(at), size), mix(window_hashes(found.value, size)[at] + np.uint64(size)), found.row[at]))
-    if not out:
-        empty = np.zeros(0, dtype=np.int64)
-        return Windows(empty, empty, empty.astype(np.uint64), empty)
-    return Windows(*(np.concatenate(x) for x in zip(*out)))
-
-
-SCHEMA = "id long, pos int, total int, size int, hash long, kinds array<int>, fillers array<long>"
-
-
-def _rows(block: Block, found: Template, got: Windows, total: np.ndarray) -> pa.RecordBatch:
-    """Windows as rows with their slots: kinds and fillers of every template token."""
-    first = np.searchsorted(found.row, np.arange(block.rows.num_rows))
-    lengths = got.size
-    edges = np.concatenate(([0], np.cumsum(lengths)))
-    index = np.repeat(got.at - edges[:-1], lengths) + np.arange(edges[-1])
-    offsets = pa.array(edges, pa.int32())
+    at = np.flatnonzero((found.row[:n] == found.row[size - 1 :]) & (2 * (literal[size:] - literal[:-size]) >= size))
+    return at, window_hashes(found.value, size)[at]
+
+
+def raw_windows(found: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of so many words in a row; of few, only whole texts."""
+    n = len(found.raw) - size + 1
+    if n <= 0 or size < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    fits = found.raw_row[:n] == found.raw_row[size - 1 :]
+    if size <= TINY:
+        whole = np.bincount(found.raw_row)
+        fits &= whole[found.raw_row[:n]] == size
+    at = np.flatnonzero(fits)
+    return at, mix(window_hashes(found.raw, size)[at] + np.uint64(size))
+
+
+#: ``raw`` is the number of words of a raw window, 0 for windows of template tokens.
+SCHEMA = "k1 long, k2 long, id {id}, pos int, total int, raw int, hash long, kinds array<int>, fillers array<long>"
+
+
+def _rows(block: Block, found: Template, at: np.ndarray, hashes: np.ndarray, total: np.ndarray, size: int, raw: int) -> pa.RecordBatch:
+    """Windows as rows; those of template tokens with the kind and filler of every token."""
+    of = (found.raw_row if raw else found.row)[at]
+    first = np.searchsorted(found.raw_row if raw else found.row, np.arange(block.rows.num_rows))
+    held = 0 if raw else size
+    index = (at[:, None] + np.arange(held)).reshape(-1)
+    offsets = pa.array(np.arange(len(at) + 1) * held, pa.int32())
     kinds = pa.ListArray.from_arrays(offsets, pa.array(found.kind[index], pa.int32()))
-    fillers = pa.ListArray.from_arrays(offsets, pa.array(found.filler[index].view(np.int64)))
-    ids = block.column("id").take(pa.array(got.row))
-    columns = [ids, pa.array(got.at - first[got.row], pa.int32()), pa.array(total[got.row], pa.int32()), pa.array(got.size, pa.int32()), pa.array(got.hash.view(np.int64)), kinds, fillers]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "pos", "total", "size", "hash", "kinds", "fillers"])
+    fillers = pa.ListArray.from_arrays(offsets, pa.array(np.where(found.kind[index] == LITERAL, 0, found.filler[index].view(np.int64))))
+    keys = [block.column(x).take(pa.array(of)) for x in ("k1", "k2", "id")]
+    columns = [*keys, pa.array(at - first[of], pa.int32()), pa.array(total[of], pa.int32()), pa.array(np.full(len(at), raw), pa.int32()), pa.array(hashes.view(np.int64)), kinds, fillers]
+    return pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "id", "pos", "total", "raw", "hash", "kinds", "fillers"])
 
 
 def _item_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Windows of benchmark items; an item shorter than a window is one window as long as itself."""
+    """Windows of benchmark items, and one raw window for each item whose windows cannot cover enough of it."""
     for block in blocks(batches, "text"):
         found = template(block)
-        tokens = np.bincount(found.row, minlength=block.rows.num_rows)
-        got = windows(found, sorted({size} | {int(t) for t in tokens if MIN_TOKENS <= t < size}))
-        right = got.size == np.minimum(tokens[got.row], size)
-        got = Windows(got.at[right], got.size[right], got.hash[right], got.row[right])
-        yield _rows(block, found, got, np.bincount(got.row, minlength=block.rows.num_rows))
-
-
-def _document_batches(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        n = block.rows.num_rows
+        tokens = np.bincount(found.row, minlength=n)
+        at, hashes = template_windows(found, size)
+        mark = np.zeros(len(found.row) + size + 1, dtype=np.int64)
+        np.add.at(mark, at, 1)
+        np.add.at(mark, at + size, -1)
+        covered = np.bincount(found.row, np.cumsum(mark)[: len(found.row)] > 0, minlength=n)
+        usable = (covered >= SHARE * tokens) & (tokens > 0)
+        keep = usable[found.row[at]] if len(at) else np.zeros(0, dtype=bool)
+        yield _rows(block, found, at[keep], hashes[keep], tokens, size, 0)
+        words = np.bincount(found.raw_row, minlength=n)
+        first = np.searchsorted(found.raw_row, np.arange(n))
+        for length in np.unique(words[~usable & (words > 0)]).tolist():
+            rows = np.flatnonzero(~usable & (words == length))
+            place, hashes = raw_windows(found, length)
+            pick = np.searchsorted(place, first[rows])
+            yield _rows(block, found, first[rows], hashes[pick], words, size, length)
+
+
+def _document_batches(batches: Iterator[pa.RecordBatch], size: int, raw_sizes: list[int], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     marks = None
     if wanted is not None:
         marks = np.zeros(1 << 24, dtype=bool)
         marks[(wanted >> np.uint64(40)).astype(np.int64)] = True
     for block in blocks(batches, "text"):
         found = template(block)
-        got = windows(found, sizes)
-        if wanted is not None:
-            maybe = np.flatnonzero(marks[(got.hash >> np.uint64(40)).astype(np.int64)])
-            hit = maybe[_member(got.hash[maybe], wanted)] if len(wanted) else maybe[:0]
-            got = Windows(got.at[hit], got.size[hit], got.hash[hit], got.row[hit])
-        if len(got.at):
-            yield _rows(block, found, got, np.zeros(block.rows.num_rows, dtype=np.int64))
+        nothing = np.zeros(block.rows.num_rows, dtype=np.int64)
+        for raw in (0, *raw_sizes):
+            at, hashes = raw_windows(found, raw) if raw else template_windows(found, size)
+            if wanted is not None and len(at):
+                maybe = np.flatnonzero(marks[(hashes >> np.uint64(40)).astype(np.int64)])
+                hit = maybe[_member(hashes[maybe], wanted)] if len(wanted) else maybe[:0]
+                at, hashes = at[hit], hashes[hit]
+            if len(at):
+                yield _rows(block, found, at, hashes, nothing, size, raw)
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame does not have yet."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def keys(id_column: str, text_column: str) -> list[Column]:
+    """128 bits of a row's id and text; rows that share them share a verdict, whatever their number."""
+    ident, text = F.col(id_column).cast("string"), F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return [F.xxhash64(ident, text), F.xxhash64(F.lit(1), text, ident)]
 
 
 def _prepared(frame: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return frame.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
+    k1, k2 = keys(id_column, text_column)
+    return frame.select(k1.alias("k1"), k2.alias("k2"), F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"))
+
+
+def _covered(positions: Column, size: Column) -> Column:
+    """Tokens under windows that begin at these distinct places."""
+    at = F.array_sort(positions)
+    return F.aggregate(at, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, p: F.struct((p + size).alias("end"), (a["n"] + p + size - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
+
+
+@F.pandas_udf(BooleanType())
+def consistent(slots: pd.Series) -> pd.Series:
+    """Do slots (place in the item, kind, filler in the document, filler in the item) mostly agree?"""
+
+    def agree(found: list[dict]) -> bool:
+        torn = evidence = 0
+        for one, other, kinds in (("m", "d", (NUMBER, NAME, UNIT)), ("d", "m", (NAME,))):
+            groups: dict[tuple[int, int], Counter] = {}
+            for s in found:
+                if s["kind"] in kinds:
+                    groups.setdefault((s["kind"], s[one]), Counter())[s[other]] += 1
+            for counts in groups.values():
+                n = counts.total()
+                if n >= 2:
+                    evidence += n
+                    torn += n - max(counts.values())
+        return torn == 0 or 2 * torn < evidence
+
+    return slots.map(lambda found: agree([] if found is None else list(found)))
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_column: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """``doc_id, item_id, matched, total``: items found in documents, with consistent slots.
+    """``k1, k2, item_id, matched, total``: items found in documents, by the documents' keys; ``matched`` of ``total`` tokens are covered.
 
     The benchmark's distinct window hashes are broadcast to filter windows
     where they are made, if there are at most ``BROADCAST_WINDOWS``; otherwise
-    all windows are shuffled to the hash join.
+    all windows are shuffled to the hash join.  Only hits go on: those of one
+    document and item along one band of shifts are bounded by the item's size.
     """
-    marks = _prepared(items, item_id, text_column).mapInArrow(lambda batches: _item_batches(batches, window), SCHEMA)
-    marks = marks.where("id is not null").select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "total", "size", "hash", F.col("kinds"), F.col("fillers").alias("item_fillers"))
-    known = marks.select("hash", "size").distinct().limit(BROADCAST_WINDOWS + 1).toArrow()
-    sizes = sorted(set(known.column("size").to_pylist()) or {window})
+    item_schema = SCHEMA.format(id=items.schema[item_id].dataType.simpleString())
+    doc_schema = SCHEMA.format(id=docs.schema[doc_id].dataType.simpleString())
+    made = _prepared(items, item_id, text_column).where("id is not null").mapInArrow(lambda batches: _item_batches(batches, window), item_schema)
+    marks = cut(made.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "total", "raw", "hash", "kinds", F.col("fillers").alias("item_fillers")))
+    raw_sizes = sorted(r.raw for r in marks.where("raw > 0").select("raw").distinct().collect())  # distinct numbers of words of raw items
+    known = marks.select("hash").distinct().limit(BROADCAST_WINDOWS + 1).toArrow()
     wanted = None
     if known.num_rows <= BROADCAST_WINDOWS:
         wanted = np.sort(known.column("hash").to_numpy().astype(np.int64).view(np.uint64))
         shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    else:
-        sizes = list(range(MIN_TOKENS, window + 1))
-    made = _prepared(docs, doc_id, text_column).mapInArrow(lambda batches: _document_batches(batches, sizes, None if wanted is None else shared.value), SCHEMA)
-    made = made.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("fillers").alias("doc_fillers"))
-    joined = made.join(marks, "hash").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
-    by = ["doc_id", "item_id", "shift"]
-    counted = joined.groupBy(*by).agg(F.countDistinct("item_pos").alias("matched"), F.max("total").alias("total"))
-    counted = counted.where(F.col("matched") >= F.ceil(F.col("total") * F.lit(share)))
-    slots = F.filter(F.arrays_zip("kinds", "doc_fillers", "item_fillers"), lambda s: s["kinds"] > LITERAL)
-    pairs = joined.select(*by, F.explode(slots).alias("s")).select(*by, "s.kinds", "s.doc_fillers", "s.item_fillers").distinct()
-    one = pairs.groupBy(*by, "kinds").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_fillers").alias("d"), F.countDistinct("item_fillers").alias("i"))
-    torn = one.where("n <> d or n <> i").select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("item_id") == F.col("_item_id")) & (F.col("shift") == F.col("_shift"))
-    whole = counted.join(torn, same, "left_anti")
-    return whole.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("total").alias("total"))
+    found = _prepared(docs, doc_id, text_column).mapInArrow(lambda batches: _document_batches(batches, window, raw_sizes, None if wanted is None else shared.value), doc_schema)
+    joined = found.select("k1", "k2", F.col("pos").alias("doc_pos"), "hash", "raw", F.col("fillers").alias("doc_fillers")).join(marks, ["hash", "raw"])
+    size = F.when(F.col("raw") > 0, F.col("raw")).otherwise(window)
+    slot = lambda s, i: F.struct((F.col("item_pos") + i).alias("at"), s["kinds"].alias("kind"), s["doc_fillers"].alias("d"), s["item_fillers"].alias("m"))
+    slots = F.filter(F.transform(F.arrays_zip("kinds", "doc_fillers", "item_fillers"), slot), lambda s: s["kind"] > LITERAL)
+    shift = F.col("doc_pos") - F.col("item_pos")
+    bands = F.array(F.floor(shift / BAND) * 2, F.floor((shift + BAND // 2) / BAND) * 2 + 1)
+    hits = joined.select("k1", "k2", "item_id", "item_pos", "total", size.alias("size"), slots.alias("slots"), (F.col("doc_fillers") == F.col("item_fillers")).alias("equal"), F.explode(bands).alias("band"))
+    grouped = hits.groupBy("k1", "k2", "item_id", "band").agg(
+        F.max("total").alias("total"), F.max("size").alias("size"), F.collect_set("item_pos").alias("places"), F.collect_set(F.when(F.col("equal"), F.col("item_pos"))).alias("equals"), F.collect_set("slots").alias("slots")
+    )
+    enough = F.ceil(F.col("total") * F.lit(share))
+    near = grouped.withColumn("matched", _covered(F.col("places"), F.col("size"))).where(F.col("matched") >= enough)
+    near = near.where((_covered(F.col("equals"), F.col("size")) >= enough) | consistent(F.array_distinct(F.flatten("slots"))))
+    return near.groupBy("k1", "k2", "item_id").agg(F.max("matched").alias("matched"), F.max("total").alias("total"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, contaminated, item_ids, matched_windows``.
+    """One row per input row: ``doc_id, contaminated, item_ids, matched_tokens``.
 
-    Null and empty texts are clean; rows with the same id share a verdict; an
-    empty benchmark leaves all clean.
+    Null and empty texts are clean, and match no item; an item that is null,
+    empty or without an id is not looked for; an empty benchmark leaves all
+    clean.  Rows are judged by their text, so rows with the same id or none
+    never share a verdict unless their texts are equal; ids may have any type.
+    Only the id and the text are read, so other columns may have any name.
     """
-    found = matches(docs, items, doc_id, item_id, text_column).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("matched").alias("matched_windows"))
-    found = found.withColumnRenamed("doc_id", "_doc_id")
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
-    joined = ids.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    return joined.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("matched_windows", F.lit(0)).cast("long").alias("matched_windows"))
+    found = matches(docs, items, doc_id, item_id, text_column).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("matched").alias("matched_tokens"))
+    k1, k2 = keys(doc_id, text_column)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left")
+    none = F.array().cast(f"array<{items.schema[item_id].dataType.simpleString()}>")
+    return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("matched_tokens", F.lit(0)).cast("long").alias("matched_tokens"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
-    found = matches(docs, items, doc_id, item_id, text_column).select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; their columns may have any name."""
+    names = fresh(docs, "k1", "k2")
+    found = matches(docs, items, doc_id, item_id, text_column).select(*[F.col(k).alias(n) for k, n in zip(("k1", "k2"), names)]).distinct()
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(keys(doc_id, text_column), names)])
+    return keyed.join(found, names, "left_anti").select(*docs.columns)
