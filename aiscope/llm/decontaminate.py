@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from aiscope.llm.graph import cut
+from aiscope.llm.graph import cut, fresh
 from aiscope.llm.words import LOWER, Block, blocks, mix, span_hashes, split_words, window_hashes
 
 WINDOW = 5
@@ -194,18 +194,6 @@ def _document_batches(batches: Iterator[pa.RecordBatch], size: int, raw_sizes: l
                 yield _rows(block, found, at, hashes, nothing, size, raw)
 
 
-def fresh(frame: DataFrame, *names: str) -> list[str]:
-    """Column names that the frame does not have yet."""
-    taken = {c.lower() for c in frame.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-        taken.add(name.lower())
-    return out
-
-
 def keys(id_column: str, text_column: str) -> list[Column]:
     """128 bits of a row's id and text; rows that share them share a verdict, whatever their number."""
     ident, text = F.col(id_column).cast("string"), F.coalesce(F.col(text_column).cast("string"), F.lit(""))

@@ -25,6 +25,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame does not have yet."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round: each keeps components and lowers the links' ends."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -1,10 +1,13 @@
 """Removal of passages that repeat, within and across documents, by paragraph MinHash.
 
-A text is cut into paragraphs by its content: at line ends, at some sentence
-ends and, for text without any, at some words, always as decided by a hash of
-the words beside the cut.  So a passage that lies inside longer text is cut as
-elsewhere.  Paragraphs of at least ``MIN_WORDS`` words get MinHash bands over
-their word shingles; paragraphs that share a band are compared by the exact
+A text is cut into paragraphs by its content: at line ends and at some sentence
+ends, and in stretches without either at some words.  Where such places lie
+closer than ``MIN_WORDS``, the one with the smallest hash of the words beside it
+is taken, line ends before sentence ends, so that short lines (lists, verse,
+code) make up paragraphs together.  Cuts depend on few words around them: a
+passage that lies inside longer text is cut as elsewhere, and every word of a
+text of ``MIN_WORDS`` or more is in a paragraph.  Paragraphs get MinHash bands
+over their word shingles; paragraphs that share a band are compared by the exact
 Jaccard similarity of their shingles; classes are connected components; the
 first paragraph of a class stays, the others are removals.
 
@@ -23,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir
+from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir, fresh
 from aiscope.llm.words import LOWER, Block, blocks, mix, powers, span_hashes, split_words, window_hashes
 
-MIN_WORDS = 8
+MIN_WORDS = 7
+#: Words without a cut on both sides from which a word may be one.
+STRETCH = 10
 SHINGLE = 5
-#: Removals: neighbouring repeated paragraphs, at most so many code points apart, need so many words together.
-MIN_PASSAGE_WORDS, MAX_GAP = 20, 160
+#: Removals: repeated paragraphs that follow one another need so many words together.
+MIN_PASSAGE_WORDS = 20
+MAX_SPACE = 16  # code points of white space between paragraphs that follow one another
 THRESHOLD = 0.8
 BITMAP_BITS = 26  # 8 MB, whatever the input
 
@@ -42,6 +48,15 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = 0.98, rows: int = 3
     return bands, rows
 
 
+def smallest(rank: np.ndarray, reach: int) -> np.ndarray:
+    """Places smaller than all within ``reach`` before them and no larger than those after; of ties the first."""
+    out = np.ones(len(rank), dtype=bool)
+    for k in range(1, min(reach, len(rank) - 1) + 1):
+        out[k:] &= (rank[k:] < rank[:-k]) | (rank[k:] == 0)
+        out[:-k] &= rank[:-k] <= rank[k:]
+    return out
+
+
 class Paragraphs:
     """The paragraphs of all texts of a block, as ranges of words."""
 
@@ -54,16 +69,26 @@ class Paragraphs:
             self.first = self.last = np.zeros(0, dtype=np.int64)
             return
         lines = np.concatenate(([0], np.cumsum(block.data == 10)))
-        breaks = np.ones(n, dtype=bool)  # a paragraph begins at this word
-        breaks[1:] = (words.row[1:] != words.row[:-1]) | (lines[words.start[1:]] != lines[words.end[:-1]])
+        begins = np.ones(n, dtype=bool)  # a text begins at this word
+        begins[1:] = words.row[1:] != words.row[:-1]
+        line, sentence = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        line[1:] = lines[words.start[1:]] != lines[words.end[:-1]]
         final = block.data[words.end - 1]
-        sentence = (final == 46) | (final == 63) | (final == 33)
-        spot = mix(self.hashes)
-        by_content = (sentence & (spot & np.uint64(1) == 0)) | (spot >> np.uint64(59) == 0)
-        breaks[1:] |= by_content[:-1]
+        spot = np.zeros(n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            spot[1:] = mix(self.hashes[:-1] * np.uint64(3) + self.hashes[1:]) >> np.uint64(3)
+        sentence[1:] = ((final == 46) | (final == 63) | (final == 33))[:-1] & (spot[1:] & np.uint64(1) == 0)
+        none = np.uint64((1 << 64) - 1)
+        rank = np.where(begins, np.uint64(0), np.where(line, spot + np.uint64(1), np.where(sentence, spot | np.uint64(1 << 62), none)))
+        cuts = smallest(rank, MIN_WORDS - 1) & (rank != none)
+        near = np.cumsum(np.append(cuts, np.zeros(STRETCH + 1, dtype=bool)))
+        alone = near[np.arange(n) + STRETCH] == np.where(np.arange(n) > STRETCH, near[np.maximum(np.arange(n) - STRETCH - 1, 0)], 0)
+        alone &= np.arange(n) <= n - STRETCH
+        rank = np.where(alone, spot | np.uint64(1 << 62), none)
+        breaks = cuts | (smallest(rank, MIN_WORDS - 1) & alone)
         first = np.flatnonzero(breaks)
         last = np.append(first[1:], n)
-        fits = last - first >= MIN_WORDS
+        fits = last - first >= MIN_WORDS  # only texts of fewer words
         self.first, self.last = first[fits], last[fits]
 
     def content(self) -> np.ndarray:
@@ -101,20 +126,38 @@ def _points(block: Block) -> np.ndarray | None:
     return None
 
 
+UNITS = "id {id}, row long, start int, end int, n_words int, content long, bands array<long>"
+#: Contents that a task remembers, so that it sends the bands of an often repeated one once.
+REMEMBERED = 500_000
+
+
 def _paragraph_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """A row for each paragraph, with bands where its content is new to the task, and one without words for each text."""
+    seen = np.zeros(0, dtype=np.uint64)
     for block in blocks(batches, "text"):
         found = Paragraphs(block)
-        row = found.words.row[found.first] if len(found.first) else found.first
-        content = found.content() if len(found.first) else np.zeros(0, np.uint64)
-        begin, end = (found.words.start[found.first], found.words.end[found.last - 1]) if len(found.first) else (found.first, found.first)
+        n = block.rows.num_rows
+        some = len(found.first) > 0
+        row = found.words.row[found.first] if some else found.first
+        content = found.content() if some else np.zeros(0, np.uint64)
+        begin, end = (found.words.start[found.first], found.words.end[found.last - 1]) if some else (found.first, found.first)
         points = _points(block)
-        base = block.offsets[row] if len(row) else row
+        base = block.offsets[row]
         if points is not None:
             begin, end, base = points[begin], points[end], points[base]
-        keys = found.bands(bands, rows)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        columns = [block.column("id").take(pa.array(row)), pa.array(begin - base, pa.int32()), pa.array(end - base, pa.int32()), pa.array(found.last - found.first, pa.int32()), pa.array(content.view(np.int64)), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "end", "n_words", "content", "bands"])
+        _, once = np.unique(content, return_index=True)
+        new = np.zeros(len(content), dtype=bool)
+        new[once] = ~np.isin(content[once], seen)
+        keys = found.bands(bands, rows)[new]
+        seen = np.union1d(seen, content[new]) if len(seen) < REMEMBERED else np.unique(content[new])
+        edges = np.concatenate(([0], np.cumsum(new) * bands, np.full(n, int(new.sum()) * bands)))
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+        every = pa.array(np.concatenate((row, np.arange(n))))
+        zero = np.zeros(n, dtype=np.int64)
+        columns = [block.column("id").take(every), block.column("row").take(every)]
+        columns += [pa.array(np.concatenate(x), pa.int32()) for x in ((begin - base, zero - 1), (end - base, zero - 1), (found.last - found.first, zero))]
+        columns += [pa.array(np.concatenate((content.view(np.int64), zero))), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "start", "end", "n_words", "content", "bands"])
 
 
 def _collision_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,37 +313,43 @@ def similar_contents(docs: DataFrame, units: DataFrame, threshold: float, block:
     return links.unionAll(_verified(again, shingles, threshold, 1 << 62).select("a", "b"))
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every paragraph that belongs to a class of two or more.
+def _numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).cast("binary").alias("text"))
+
 
-    Columns: ``doc_id, start, end, n_words, class_id, first_doc_id, removed``;
+def repeated_passages(numbered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every paragraph of ``numbered(id, row, text binary)`` that belongs to a class of two or more, and a row without class for each text.
+
+    Columns: ``id, row, start, end, n_words, class_id, first_doc_id, removed``;
     offsets are code points, the end exclusive.  The first paragraph of a
-    class, by document id and place, is kept, and so are short phrases: what
-    goes are runs of neighbouring repeats of ``MIN_PASSAGE_WORDS`` words or more.  Null and empty texts have no
-    paragraphs.  Rows with a null id come last in that order.
+    class, by document id, row and place, is kept, and so are short phrases:
+    what goes are runs of repeats that follow one another with ``MIN_PASSAGE_WORDS`` words or
+    more.  Null and empty texts have no paragraphs.  Rows with a null id come
+    last in that order; rows with the same id are documents of their own.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
+    spark = numbered.sparkSession
     bands, rows = tune_bands(threshold)
     folder = f"{ensure_checkpoint_dir(spark)}/paragraphs-{uuid.uuid4().hex}"
-    schema = "id long, start int, end int, n_words int, content long, bands array<long>"
-    source.mapInArrow(lambda batches: _paragraph_batches(batches, bands, rows), schema).write.parquet(folder)
+    schema = UNITS.format(id=numbered.schema["id"].dataType.simpleString())
+    numbered.mapInArrow(lambda batches: _paragraph_batches(batches, bands, rows), schema).write.parquet(folder)
     units = spark.read.parquet(folder)
-    roots = connected_components(similar_contents(source, units, threshold))
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "start")
-    counted = units.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    real = units.where("n_words > 0")
+    roots = connected_components(similar_contents(numbered, real, threshold))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "start")
+    counted = real.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
     owned = counted.join(roots, F.col("content") == F.col("node"), "left").where("n > 1 or root is not null")
     owned = cut(owned.select("content", "n", "place", F.coalesce("root", "content").alias("class_id")))
     first = owned.groupBy("class_id").agg(F.sum("n").alias("size"), F.min("place").alias("first")).where("size > 1")
     labels = cut(owned.join(first, "class_id").select("content", "class_id", "first"))
-    members = units.select("id", "start", "end", "n_words", "content").join(labels, "content")
-    is_first = F.col("id").eqNullSafe(F.when(~F.col("first.no_id"), F.col("first.id"))) & (F.col("start") == F.col("first.start"))
-    first_id = F.when(~F.col("first.no_id"), F.col("first.id"))
-    found = members.select(F.col("id").alias("doc_id"), "start", "end", "n_words", "class_id", first_id.alias("first_doc_id"), (~is_first).alias("again"))
-    in_order = Window.partitionBy("doc_id", "again").orderBy("start")
-    apart = F.coalesce(F.col("start") - F.lag("end").over(in_order) > MAX_GAP, F.lit(True))
-    runs = found.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(in_order))
-    length = F.sum("n_words").over(Window.partitionBy("doc_id", "again", "run"))
+    slim = real.select("id", "row", "start", "end", "n_words", "content")
+    members = slim.join(labels, "content")
+    is_first = (F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))
+    found = members.select("id", "row", "start", "end", "n_words", "class_id", F.col("first.id").alias("first_doc_id"), (~is_first).alias("again"))
+    whole = units.where("n_words = 0").select("id", "row", "start", "end", "n_words", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast(found.schema["first_doc_id"].dataType).alias("first_doc_id"), F.lit(False).alias("again"))
+    in_order = Window.partitionBy("row", "again").orderBy("start")
+    apart = F.coalesce(F.col("start") > F.lag("end").over(in_order) + MAX_SPACE, F.lit(True))
+    runs = found.unionByName(whole).withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(in_order))
+    length = F.sum("n_words").over(Window.partitionBy("row", "again", "run"))
     return runs.withColumn("removed", F.col("again") & (length >= MIN_PASSAGE_WORDS)).drop("apart", "run", "again")
 
 
@@ -308,31 +357,27 @@ def dedup_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: what is removed from it and where that was seen first.
 
     ``n_repeated`` paragraphs belong to a class, ``n_removed`` of them with
-    ``removed_words`` words go, as ``removed`` spans; ``first_doc_ids`` are the
-    documents that keep them.  Rows with the same id share the report.
+    ``removed_words`` words go, as ``removed_spans``; ``first_doc_ids`` are the
+    documents that keep them.  Null and empty texts have none of these.  Ids may
+    have any type that can be ordered; rows with the same id or none are told
+    apart.  Only the id and the text are read, so other columns may have any
+    name.  Paragraphs, words and shingles are told apart by 64-bit hashes.
     """
-    found = repeated_passages(docs, id_column, text_column)
+    found = repeated_passages(_numbered(docs, id_column, text_column))
     gone = F.col("removed")
-    span = F.when(gone, F.struct("start", "end"))
-    report = found.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count(F.lit(1)).alias("n_repeated"), F.sum(gone.cast("long")).alias("n_removed"), F.sum(F.when(gone, F.col("n_words"))).alias("removed_words"),
-        F.array_sort(F.collect_set(span)).alias("removed"), F.array_sort(F.collect_set(F.when(gone, F.col("first_doc_id")))).alias("first_doc_ids"),
-    )
-    ids = docs.select(F.col(id_column).cast("long").alias("doc_id"))
-    joined = ids.join(report, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
-    return joined.select(
-        "doc_id", zero("n_repeated"), zero("n_removed"), zero("removed_words"),
-        F.coalesce(F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ","), F.lit("")).alias("removed_spans"),
-        F.coalesce("first_doc_ids", F.array().cast("array<long>")).alias("first_doc_ids"),
+    report = found.groupBy("row", F.col("id").alias("doc_id")).agg(
+        F.count("class_id").alias("n_repeated"), F.sum(gone.cast("long")).alias("n_removed"), F.coalesce(F.sum(F.when(gone, F.col("n_words"))), F.lit(0)).cast("long").alias("removed_words"),
+        F.array_sort(F.collect_list(F.when(gone, F.struct("start", "end")))).alias("removed"), F.array_sort(F.collect_set(F.when(gone, F.col("first_doc_id")))).alias("first_doc_ids"),
     )
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return report.select("doc_id", "n_repeated", "n_removed", "removed_words", spans.alias("removed_spans"), "first_doc_ids")
 
 
-def _strip_batches(batches: Iterator[pa.RecordBatch], text_column: str) -> Iterator[pa.RecordBatch]:
+def _strip_batches(batches: Iterator[pa.RecordBatch], text_column: str, spans_column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index(text_column)
         out = []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist()):
+        for text, spans in zip(batch.column(at).to_pylist(), batch.column(spans_column).to_pylist()):
             if text and spans:
                 parts, done = [], 0
                 for span in spans:
@@ -341,12 +386,22 @@ def _strip_batches(batches: Iterator[pa.RecordBatch], text_column: str) -> Itera
                 text = "".join(parts) + text[done:]
             out.append(text)
         rest = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-        yield rest.select([n for n in rest.schema.names if n != "_spans"])
+        yield rest.select([n for n in rest.schema.names if n != spans_column])
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with the removals cut out of the text; a text may become empty but no row goes."""
-    found = repeated_passages(docs, id_column, text_column).where("removed").groupBy(F.col("doc_id").alias("_id"))
-    spans = found.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans, F.col(id_column).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return joined.mapInArrow(lambda batches: _strip_batches(batches, text_column), docs.schema)
+    """``docs`` with the removals cut out of the text; a text may become empty but no row goes.
+
+    Rows are told apart by a number of their own, and the numbered rows are
+    written to the shared folder, as a frame that is computed twice may come in
+    another order.  Columns may have any name.
+    """
+    spark = docs.sparkSession
+    number, of, spans = fresh(docs, "row", "of", "spans")
+    folder = f"{ensure_checkpoint_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(folder)
+    numbered = spark.read.parquet(folder)
+    found = repeated_passages(numbered.select(F.col(id_column).alias("id"), F.col(number).alias("row"), F.col(text_column).cast("binary").alias("text")))
+    gone = found.where("removed").groupBy(F.col("row").alias(of)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
+    joined = numbered.join(gone, F.col(number) == F.col(of), "left").select(*docs.columns, spans)
+    return joined.mapInArrow(lambda batches: _strip_batches(batches, text_column, spans), docs.schema)
