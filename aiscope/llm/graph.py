@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs that begin within delete their shuffle files when they end, which else stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(frame.sparkSession)

@@ -7,6 +7,10 @@ sample of the corpus as negatives.  Its probabilities are calibrated by a
 temperature on variations that were held out.  A family is reported only when
 the paragraph also contains enough of one of the family's templates; otherwise
 a confident licence paragraph is reported as unknown.
+
+A text is read twice: by lines, and by blocks of lines up to a blank one, so
+that a wrapped notice is judged as a whole; both are cut at sentence ends.  Of
+findings that overlap the one that covers more of its template counts.
 """
 
 from __future__ import annotations
@@ -29,20 +33,31 @@ FEATURE_BITS = 16
 REPORT, CONFIRM = 0.6, 0.6
 NONE, UNKNOWN = "none", "unknown"
 
-# Fixed notices by family.
+# Fixed notices by family: sentences of licence texts, usual notices and identifiers.
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "distributed under the terms of the apache license 2.0", "spdx license identifier apache 2.0"],
-    "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "spdx license identifier mit", "this project is distributed under the terms of the mit license"],
-    "BSD": ["redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd license", "licensed under the 3 clause bsd license", "use of this source code is governed by a bsd style license", "spdx license identifier bsd 3 clause"],
-    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "licensed under the gnu general public license version 2", "released under the gpl version 3", "spdx license identifier gpl 3.0 only"],
-    "LGPL": ["licensed under the gnu lesser general public license", "under the terms of the gnu lesser general public license version 2.1", "spdx license identifier lgpl 2.1"],
-    "AGPL": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license", "spdx license identifier agpl 3.0"],
-    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
+    "Apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "distributed under the terms of the apache license 2.0", "spdx license identifier apache 2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "you may obtain a copy of the license at http www.apache.org licenses license 2.0"],
+    "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "spdx license identifier mit", "this project is distributed under the terms of the mit license", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "licensed under the isc license", "released under the terms of the isc license", "spdx license identifier isc"],
+    "BSD": ["redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd license", "licensed under the 3 clause bsd license", "licensed under the 2 clause bsd license", "use of this source code is governed by a bsd style license", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 2 clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "Zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "licensed under the zlib license", "spdx license identifier zlib"],
+    "BSL-1.0": ["distributed under the boost software license version 1.0", "licensed under the boost software license", "spdx license identifier bsl 1.0"],
+    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "licensed under the gnu general public license version 2", "released under the gpl version 3", "spdx license identifier gpl 3.0 only", "spdx license identifier gpl 2.0 or later", "you should have received a copy of the gnu general public license along with this program", "licensed under the gpl v2 or later"],
+    "LGPL": ["licensed under the gnu lesser general public license", "under the terms of the gnu lesser general public license version 2.1", "spdx license identifier lgpl 2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "released under the lgpl version 3"],
+    "AGPL": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license", "spdx license identifier agpl 3.0", "released under the agpl version 3"],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0"],
+    "EPL-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0", "licensed under the eclipse public license version 2.0", "licensed under the eclipse public license v1.0", "spdx license identifier epl 2.0"],
+    "CDDL": ["the contents of this file are subject to the terms of the common development and distribution license", "licensed under the common development and distribution license", "spdx license identifier cddl 1.0"],
+    "Artistic-2.0": ["licensed under the artistic license 2.0", "you can redistribute it and or modify it under the terms of the artistic license", "spdx license identifier artistic 2.0"],
+    "OFL-1.1": ["this font software is licensed under the sil open font license version 1.1", "licensed under the sil open font license", "spdx license identifier ofl 1.1"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software", "released under the unlicense", "spdx license identifier unlicense"],
     "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "licensed under a creative commons attribution license"],
-    "CC-BY-SA": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
+    "CC-BY-SA": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "text is available under the creative commons attribution sharealike license"],
     "CC-BY-NC": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
-    "CC0": ["dedicated to the public domain under cc0 1.0", "to the extent possible under law the author has waived all copyright and related rights", "released into the public domain"],
-    "proprietary": ["all rights reserved no part of this publication may be reproduced", "confidential and proprietary do not distribute", "unauthorized copying of this file is strictly prohibited"],
+    "CC-BY-ND": ["licensed under cc by nd 4.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"],
+    "CC-BY-NC-SA": ["licensed under cc by nc sa 4.0", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license"],
+    "CC-BY-NC-ND": ["licensed under cc by nc nd 4.0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license"],
+    "CC0": ["dedicated to the public domain under cc0 1.0", "to the extent possible under law the author has waived all copyright and related rights", "released into the public domain", "licensed under cc0 1.0 universal"],
+    "proprietary": ["all rights reserved no part of this publication may be reproduced", "confidential and proprietary do not distribute", "unauthorized copying of this file is strictly prohibited", "this document contains proprietary information and may not be disclosed without written permission"],
 }
 #: Wording of licences that name no known family.
 UNKNOWN_TEMPLATES = ["licensed under the terms of the custom license", "this software is licensed under its own license agreement", "use of this work is subject to the license terms", "released under a source available license version 1", "see the license file for the terms", "distributed under the community license agreement", "licensed to you under the following terms"]
@@ -65,8 +80,8 @@ class Grams:
     end: np.ndarray
 
 
-def grams(block: Block) -> Grams:
-    """Paragraphs are lines; lines are cut at sentence ends too, so that a notice inside prose stands alone."""
+def grams(block: Block, wrapped: bool = False) -> Grams:
+    """Paragraphs are lines, or ``wrapped`` blocks of lines up to a blank one; both are cut at sentence ends, so that a notice inside prose stands alone."""
     words = split_words(block, STOPS)
     end = words.end.copy()
     if not len(end):
@@ -83,7 +98,8 @@ def grams(block: Block) -> Grams:
     hashes = span_hashes(data, start, end)
     lines = np.concatenate(([0], np.cumsum(block.data == 10)))
     new = np.ones(len(start), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (lines[start[1:]] != lines[end[:-1]]) | dotted[:-1]
+    apart = lines[start[1:]] - lines[end[:-1]]  # a blank line is two line ends with only comment marks between
+    new[1:] = (row[1:] != row[:-1]) | (apart > (1 if wrapped else 0)) | dotted[:-1]
     paragraph = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
@@ -142,17 +158,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(negatives: list[str], seed: int = 11, rounds: int = 150) -> LicenceModel:
+def train(negatives: list[str], seed: int = 11, rounds: int = 80) -> LicenceModel:
     """Fit on variations of the fixed notices and on ``negatives``, a bounded sample of corpus paragraphs."""
     rng = np.random.default_rng(seed)
-    filler = sorted({w for line in negatives[:400] for w in line.lower().split()}) or ["text"]
+    filler = sorted({w for line in negatives for w in line.lower().split()}) or ["text"]
     texts, labels = [], []
     for name, several in [*TEMPLATES.items(), (UNKNOWN, UNKNOWN_TEMPLATES)]:
         for text in several:
-            more = _variations(rng, text, filler, 24)
+            more = _variations(rng, text, filler, 10)
             texts += more
             labels += [CLASSES.index(name)] * len(more)
-    texts += [" ".join(line.split()[:60]).replace(".", " ") for line in negatives] + ["the version of the file", "public work under the terms", "all rights"]
+    texts += [line.replace(".", " ") for line in negatives] + ["the version of the file", "public work under the terms", "all rights"]
     labels += [0] * (len(texts) - len(labels))
     found = grams(_block_of([t.replace("\n", " ") for t in texts]))
     text_of = found.row[found.paragraph]
@@ -199,9 +215,21 @@ def train(negatives: list[str], seed: int = 11, rounds: int = 150) -> LicenceMod
     return LicenceModel(table, bias, temperature, pairs, pair_of, pair_of.sum(0), np.array([c for c, _ in names]))
 
 
-def _scan(block: Block, model: LicenceModel) -> list[tuple[int, int, int, str, float]]:
-    """(row, start, end, family, probability) of paragraphs that read like a licence."""
-    found = grams(block)
+def _scan(block: Block, model: LicenceModel) -> list[tuple[int, int, int, str, float, float]]:
+    """(row, start, end, family, probability, share of the template) of what reads like a licence, in order of place; of overlapping ones the best."""
+    every = sorted(_scan_paragraphs(block, model, False) + _scan_paragraphs(block, model, True), key=lambda x: (x[3] == UNKNOWN, -x[5], x[2] - x[1]))
+    kept: list[tuple[int, int, int, str, float, float]] = []
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for x in every:
+        spans = taken.setdefault(x[0], [])
+        if all(x[2] <= start or end <= x[1] for start, end in spans):
+            spans.append((x[1], x[2]))
+            kept.append(x)
+    return sorted(kept)
+
+
+def _scan_paragraphs(block: Block, model: LicenceModel, wrapped: bool) -> list[tuple[int, int, int, str, float, float]]:
+    found = grams(block, wrapped)
     n = len(found.row)
     if not n:
         return []
@@ -233,12 +261,14 @@ def _scan(block: Block, model: LicenceModel) -> list[tuple[int, int, int, str, f
         cover = model.pair_of[own].sum(0) / model.sizes if len(own) else np.zeros(len(model.sizes))
         family = np.zeros(len(CLASSES))
         np.maximum.at(family, model.family, cover)
-        best = int((p[i, 2:] * (family[2:] >= CONFIRM)).argmax()) + 2
-        name = CLASSES[best] if family[best] >= CONFIRM and family[best] >= family.max() - 1e-9 else UNKNOWN
-        if name == UNKNOWN and family.max() >= CONFIRM:  # one template is there in full although another family scored higher
-            name = CLASSES[int(family.argmax())]
+        # of families whose template is there as far as any, those with the most of it in pairs, then the likeliest
+        pairs = np.zeros(len(CLASSES))
+        np.maximum.at(pairs, model.family, np.where(cover >= max(CONFIRM, cover.max() - 1e-9), cover * model.sizes, 0))
+        best = max(range(2, len(CLASSES)), key=lambda c: (pairs[c], p[i, c]))
+        name = CLASSES[best] if pairs[best] > 0 else UNKNOWN
         j = picked[i]
-        out.append((int(found.row[j]), int(found.start[j]), int(found.end[j]), name, float(1 - p[i, 0])))
+        share = float(family[CLASSES.index(name)]) if name != UNKNOWN else 0.0
+        out.append((int(found.row[j]), int(found.start[j]), int(found.end[j]), name, float(1 - p[i, 0]), share))
     return out
 
 
@@ -249,7 +279,7 @@ def _licence_batches(batches: Iterator[pa.RecordBatch], model: LicenceModel) ->
         if len(block.data) and int(block.data.max()) >= 128:
             points = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
         rows: list[list[dict]] = [[] for _ in range(n)]
-        for row, start, end, family, score in _scan(block, model):
+        for row, start, end, family, score, _ in _scan(block, model):
             base = int(block.offsets[row])
             if points is not None:
                 start, end, base = int(points[start]), int(points[end]), int(points[base])
@@ -261,12 +291,15 @@ def _licence_batches(batches: Iterator[pa.RecordBatch], model: LicenceModel) ->
 def find_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, found`` for every row: an array of (family, start, end, score), offsets in code points.
 
-    Null and empty texts have none.  The negatives of the classifier come from
-    at most ``NEGATIVE_DOCS`` rows; every row is scanned.
+    Null and empty texts have none; an id may be null, repeated or of any type.
+    Only the id and the text are read, so other columns may have any name.  The
+    negatives of the classifier are at most ``NEGATIVE_PARAGRAPHS`` lines of 21
+    to 600 code points from at most ``NEGATIVE_DOCS`` rows; every row is scanned
+    whole.
     """
     sample = bounded_sample(docs, F.col(id_column), docs.count(), NEGATIVE_DOCS).where(F.col(text_column).isNotNull()).select(F.col(text_column).alias("t"))
     lines = sample.select(F.explode(F.split("t", "\n")).alias("line")).where(~F.col("line").rlike("(?i)licen[cs]|copyright|rights reserved"))
-    lines = lines.select(F.substring("line", 1, 600).alias("line")).where("length(line) > 20").orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_PARAGRAPHS)
+    lines = lines.where("length(line) between 21 and 600").orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_PARAGRAPHS)
     model = docs.sparkSession.sparkContext.broadcast(train([r.line for r in lines.collect()]))
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()

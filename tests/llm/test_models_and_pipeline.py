@@ -59,6 +59,36 @@ def test_licence_spans_and_unknown_class(spark, sf):
     assert found[2] == [] and found[3] == []
 
 
+#: Notices in other words than the templates', some wrapped, and text that is no licence.
+HELD_OUT = [
+    ("Apache-2.0", "Copyright 2021 Some Authors. Licensed under the Apache License,\nVersion 2.0 (the License); you may not use this\nfile except in compliance with the License."), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("Apache-2.0", "This code is licensed under Apache License, Version 2.0 as found in the LICENSE file"),
+    ("MIT", "MIT License\n\nCopyright (c) 2020 A. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal in the Software without restriction"), ("MIT", "# SPDX-License-Identifier: MIT"), ("MIT", "The code in this folder is licensed under the MIT license, see the file next to it"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."), ("BSD", "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."), ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file)"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License"), ("GPL", "You should have received a copy of the GNU General Public License\nalong with this program. If not, see the web page"), ("LGPL", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation"),
+    ("AGPL", "it under the terms of the GNU Affero General Public License as published"), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."), ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0"), ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-NC", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License"), ("CC-BY-SA", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License"), ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0\nInternational License"), ("CC0", "To the extent possible under law, the author has\nwaived all copyright and related rights to this work"), ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("proprietary", "CONFIDENTIAL AND PROPRIETARY - DO NOT DISTRIBUTE"), ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited"),
+]
+NO_LICENCE = [
+    "The driver showed her license to the officer and drove on", "We are free to redistribute the chairs in the hall", "Permission to land was granted at noon", "The public domain of the old kings lay to the north", "Terms of the treaty were not met by either side", "The software is slow on my machine", "All copies of the book were sold in a week", "A general in the public square gave a speech",
+    "Version 2.0 of the game is out now", "The MIT campus lies by the river", "He was licensed as a pilot in the spring", "The author has written three novels", "Apache helicopters flew over the field", "Attribution of the painting is not settled", "The foundation of the house is made of stone", "Under these conditions the plant will not grow",
+]
+
+
+def test_licences_on_notices_that_were_not_trained_on(spark):
+    extra = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300)
+    rows = [(-i - 1, f"Some words before it.\n\n{t}\n\nand after") for i, (_, t) in enumerate(HELD_OUT)] + [(-i - 1001, t) for i, t in enumerate(NO_LICENCE)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").unionAll(extra)
+    found = {r.doc_id: set(r.families) for r in licenses.licences(frame).where("doc_id < 0").collect()}
+    right = [f in found[-i - 1] for i, (f, _) in enumerate(HELD_OUT)]
+    wrong = [(f, found[-i - 1]) for i, (f, _) in enumerate(HELD_OUT) if found[-i - 1] - {f, "unknown"} or f not in found[-i - 1]]
+    alarms = [t for i, t in enumerate(NO_LICENCE) if found[-i - 1001]]
+    named = sum(len(found[-i - 1] - {"unknown"}) for i in range(len(HELD_OUT))) + sum(len(found[-i - 1001] - {"unknown"}) for i in range(len(NO_LICENCE)))
+    print("recall", sum(right), len(right), "named", named, "wrong", wrong, "alarms", alarms)
+    assert sum(right) / len(right) >= 0.9 and sum(right) / named >= 0.9 and len(alarms) <= 2
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
