@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from aiscope.llm.graph import cut, fresh
+from aiscope.llm.graph import cut, fresh, keys
 from aiscope.llm.words import LOWER, Block, blocks, mix, span_hashes, split_words, window_hashes
 
 WINDOW = 5
@@ -194,12 +194,6 @@ def _document_batches(batches: Iterator[pa.RecordBatch], size: int, raw_sizes: l
                 yield _rows(block, found, at, hashes, nothing, size, raw)
 
 
-def keys(id_column: str, text_column: str) -> list[Column]:
-    """128 bits of a row's id and text; rows that share them share a verdict, whatever their number."""
-    ident, text = F.col(id_column).cast("string"), F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return [F.xxhash64(ident, text), F.xxhash64(F.lit(1), text, ident)]
-
-
 def _prepared(frame: DataFrame, id_column: str, text_column: str) -> DataFrame:
     k1, k2 = keys(id_column, text_column)
     return frame.select(k1.alias("k1"), k2.alias("k2"), F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"))

@@ -61,5 +61,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_lengths(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The length table of all documents, one row per encoded length; an empty table gives no rows."""
+    """The length table of all documents, one row per encoded length; an empty table gives no rows.  Only the id and the text are read, so other columns may have any name."""
     return suffix_sums(cut(histogram(count_tokens(docs, ranks_path, id_column, text_column))))

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 # Parts of multipart credentials.
 ENDPOINT = re.compile(rb"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>\\]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b")
 USER = re.compile(rb"\b(?:user(?:name)?|login|account|client_?id|access_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.+-]{3,})", re.IGNORECASE)
-KEY_LIKE = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])")
+KEY_LIKE = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
 
 #: A document without any of these bytes has neither a base span nor a weak part; hex runs are looked for apart.
 HINT = re.compile(rb"passw|secret|token|api_?key|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/]{32}", re.IGNORECASE)
@@ -64,8 +66,10 @@ def in_points(text: bytes, *groups: list[tuple]) -> list[list[tuple]]:
 def linked_spans(text: bytes, base: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
     """Weak candidates with their complementary parts within ``scope`` code points, and those parts; in code points."""
     short = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if 4 <= len(m[2]) < ASSIGN_LENGTH]
-    taken = sorted((s, e) for s, e, _ in base)
-    tokens = [(m.start(), m.end()) for m in KEY_LIKE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
+    spans = sorted((s, e) for s, e, _ in base)
+    starts, furthest = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    free = lambda m: not (k := bisect_left(starts, m.end())) or furthest[k - 1] <= m.start()  # noqa: E731  no base span overlaps it
+    tokens = [(m.start(), m.end()) for m in KEY_LIKE.finditer(text) if free(m)]
     if not short and not tokens:
         return []
     endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
@@ -140,7 +144,8 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per document: the id as ``doc_id``, span arrays (kinds, starts, ends) and their digest columns.
 
     Offsets are code points, the end exclusive.  A null or empty text has no
-    spans; a null id and repeated rows are kept as they are.
+    spans; a null id and repeated rows are kept as they are, ids of any type.
+    Only the id and the text are read, so other columns may have any name.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -168,5 +173,5 @@ def _redact_batches(batches: Iterator[pa.RecordBatch], text_column: str, scope:
 
 
 def redact_secrets(docs: DataFrame, text_column: str = "text", scope: int = 400) -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become one; nulls stay null."""
+    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become one; nulls stay null; other columns may have any name."""
     return docs.mapInArrow(lambda batches: _redact_batches(batches, text_column, scope), docs.schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir
+from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir, fresh
 from aiscope.llm.words import LOWER, blocks, split_words
 
 GOLAY_GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -133,8 +133,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Ite
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
     """``(id, fp)`` for every row; fp is the signed form of the 64-bit fingerprint, 0 for a text without words or a null."""
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    return source.mapInArrow(lambda batches: _fingerprint_batches(batches, shingle), "id long, fp long")
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"))
+    return source.mapInArrow(lambda batches: _fingerprint_batches(batches, shingle), f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,26 +261,35 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: Ways over which the members of one class are dealt when they meet the class's smallest id.
+SALTS = 32
+
+
 def simhash_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
     ``component_id`` is the smallest id in the class.  A null or wordless text
     has fingerprint zero and is linked like any other; repeated rows stay
     repeated; a null id keeps its row and never names a class unless the class
-    has no other id.  An empty table gives an empty result.
+    has no other id.  Ids may have any type that can be ordered.  An empty table
+    gives an empty result.  Only the id and the text are read, so other columns
+    may have any name.
     """
     prints = cut(fingerprints(docs, id_column, text_column, shingle))
     owned = _roots(prints, distance)
-    smallest = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = cut(owned.join(smallest, "root").select("fp", "component_id"))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS))
+    linked = owned.where("linked")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_class = linked.withColumn("salt", salt.cast("int")).join(smallest, ["root", "salt"]).select("fp", "component_id")
+    labels = cut(owned.where("not linked").select("fp", F.col("least").alias("component_id")).unionAll(of_class))
     return prints.join(labels, "fp").select(F.col("id").alias("doc_id"), _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def _roots(prints: DataFrame, distance: int) -> DataFrame:
-    """``(fp, least, root)`` for each distinct fingerprint: its smallest id, and the name of its class."""
+    """``(fp, least, root, linked)`` for each distinct fingerprint: its smallest id, the name of its class, and whether that has others."""
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(near_links(prints, distance))
-    return cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    return cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")))
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -290,14 +299,16 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     are told apart by a number of their own, so one that shares its id with a
     removed row of another class stays.  The numbered rows are written to the
     shared folder, as a frame that is computed twice may come in another order.
+    Ids may have any type that can be ordered, and columns any name.
     """
     spark = docs.sparkSession
+    [number] = fresh(docs, "row")
     folder = f"{ensure_checkpoint_dir(spark)}/numbered-{uuid.uuid4().hex}"
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(folder)
     numbered = spark.read.parquet(folder)
-    source = numbered.select(F.col(id_column).cast("long").alias("id"), F.col("_row").alias("row"), F.col(text_column).cast("binary").alias("text"))
-    prints = cut(source.mapInArrow(lambda batches: _fingerprint_batches(batches, 4), "id long, row long, fp long"))
+    source = numbered.select(F.col(id_column).alias("id"), F.col(number).alias("row"), F.col(text_column).cast("binary").alias("text"))
+    prints = cut(source.mapInArrow(lambda batches: _fingerprint_batches(batches, 4), f"id {source.schema['id'].dataType.simpleString()}, row long, fp long"))
     classed = prints.join(_roots(prints, 4).select("fp", "root"), "fp")
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    gone = classed.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(docs.columns)
+    stay = first.select(F.col("first.row").alias(number))
+    return numbered.join(stay, number, "left_semi").select(docs.columns)

@@ -24,8 +24,6 @@ from aiscope.llm.words import LOWER, Block, blocks, span_hashes, split_words
 
 #: The most labelled rows that lexicons, and the most rows that the classifier, are fitted on.
 FIT_ROWS = 20_000
-#: The most entries of one induced lexicon.
-LEXICON_SIZE = 4_000
 #: An induced entry occurs in at least so many distinct toxic texts, and toxic texts are at least this share of its texts.
 MIN_TOXIC_TEXTS, MIN_TOXIC_SHARE = 6, 0.75
 PREFIXES = (4, 5, 6, 7)  # bytes
@@ -82,12 +80,9 @@ def induce_lexicons(labelled: DataFrame) -> dict[str, np.ndarray]:
     entries = labelled.dropDuplicates(["text"]).mapInArrow(_entry_batches, "kind int, entry long, toxic int")
     share = F.col("t") / F.col("n")
     counted = entries.groupBy("kind", "entry").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    counted = counted.where((F.col("t") >= MIN_TOXIC_TEXTS) & (share >= MIN_TOXIC_SHARE))
-    found = {}
-    for kind, name in enumerate(KINDS):
-        best = counted.where(F.col("kind") == kind).orderBy(F.desc("t"), "entry").limit(LEXICON_SIZE).select("entry").toArrow()
-        found[name] = np.sort(best.column("entry").to_numpy().astype(np.int64).view(np.uint64))
-    return found
+    counted = counted.where((F.col("t") >= MIN_TOXIC_TEXTS) & (share >= MIN_TOXIC_SHARE)).select("kind", "entry").toArrow()  # bounded by the words of FIT_ROWS texts
+    kinds, entry = counted.column("kind").to_numpy(), counted.column("entry").to_numpy().astype(np.int64).view(np.uint64)
+    return {name: np.sort(entry[kinds == kind]) for kind, name in enumerate(KINDS)}
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -103,7 +98,8 @@ def _marks(table: np.ndarray) -> np.ndarray:
     return marks
 
 
-def _hit_batches(batches: Iterator[pa.RecordBatch], lexicons: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _hits(blocks_of: Iterator[Block], lexicons: dict[str, np.ndarray]) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+    """Of each block the words of its texts and the hits of each voter."""
     marks = {name: _marks(table) for name, table in lexicons.items()}
 
     def member(name: str, values: np.ndarray) -> np.ndarray:
@@ -112,7 +108,7 @@ def _hit_batches(batches: Iterator[pa.RecordBatch], lexicons: dict[str, np.ndarr
         hit[at] = _member(values[at], lexicons[name])
         return hit
 
-    for block in blocks(batches, "text"):
+    for block in blocks_of:
         n = block.rows.num_rows
         every, units = _units(block)
         hits = {}
@@ -133,14 +129,19 @@ def _hit_batches(batches: Iterator[pa.RecordBatch], lexicons: dict[str, np.ndarr
         strongest = np.max([hits[k] for k in ("seed", *KINDS)], axis=0)
         hits["repeated"] = np.where(strongest >= 3, strongest, 0)
         hits["dense"] = np.where(strongest * 50 > n_words, strongest, 0)
-        yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(n_words, pa.int64()), *[pa.array(hits[v], pa.int64()) for v in VOTERS]], names=["id", "n_words", *VOTERS])
+        yield block, n_words, np.column_stack([hits[v] for v in VOTERS])
+
+
+def _hit_batches(batches: Iterator[pa.RecordBatch], lexicons: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for block, n_words, hits in _hits(blocks(batches, "text"), lexicons):
+        yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(n_words, pa.int64()), *[pa.array(h, pa.int64()) for h in hits.T]], names=["id", "n_words", *VOTERS])
 
 
 def voter_hits(docs: DataFrame, lexicons: dict[str, np.ndarray], id_column: str, text_column: str) -> DataFrame:
     """``id, n_words`` and the hits of each voter for every row."""
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicons | {"seed": SEED, "address": ADDRESS})
-    schema = "id long, n_words long, " + ", ".join(f"{v} long" for v in VOTERS)
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+    schema = f"id {source.schema['id'].dataType.simpleString()}, n_words long, " + ", ".join(f"{v} long" for v in VOTERS)
     return source.mapInArrow(lambda batches: _hit_batches(batches, shared.value), schema)
 
 
@@ -195,11 +196,12 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds:
     groups too, and the fit runs again.
     """
     m = votes.shape[1]
+    active = counts @ votes > 0 if len(counts) else np.zeros(m, dtype=bool)  # a voter that never votes says nothing
     group = correlated_groups(votes, counts)
     model = LabelModel(float(np.clip(prior, 0.01, 0.5)), np.full(m, 0.7), np.full(m, 0.02), np.ones(m))
     n = max(counts.sum(), 1)
     for fit in range(2):
-        model.weight = np.array([1 / np.sum(group == g) for g in group])
+        model.weight = np.where(active, [1 / max(np.sum(active & (group == g)), 1) for g in group], 0.0)
         for _ in range(rounds):
             p = model.posterior(votes) * counts
             q = counts - p
@@ -213,7 +215,7 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds:
             left = (centred * p[:, None]).T @ centred / np.outer(spread, spread)
             for i in range(m):
                 for j in range(i):
-                    if abs(left[i, j]) > correlated:
+                    if active[i] and active[j] and abs(left[i, j]) > correlated:
                         group[group == group[i]] = group[j]
     return model
 
@@ -265,22 +267,16 @@ def bounded_sample(frame: DataFrame, key: Column, rows: int, most: int) -> DataF
     return frame.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * 0.95 * most / rows)).limit(most)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and the voters' hits for every row.
-
-    Only labels of rows whose crc32(id) mod 3 is not 1 are used.  Null and
-    empty texts get the score of a text without hits; rows without an id are
-    scored and not held out.  Without any labelled toxic text the induced
-    lexicons are empty and the seed words carry the model.
-    """
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[dict[str, np.ndarray], np.ndarray, DataFrame]:
+    """Lexicons, the classifier's weights, and the voters' hits on every row, which are kept in the shared folder."""
+    known = labels.select(F.col("doc_id").cast("string").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("_id"), 3) != 1))
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     known = cut(bounded_sample(known, F.col("_id"), known.count(), FIT_ROWS))
     prior = known.agg(F.avg("toxic")).first()[0]
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    labelled = source.join(F.broadcast(known), F.col("id") == F.col("_id")).select("text", "toxic")  # at most FIT_ROWS rows
-    lexicons = induce_lexicons(labelled)
+    source = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("binary").alias("text"))
+    labelled = source.join(F.broadcast(known), F.col("id") == F.col("_id")).select("text", "toxic")  # at most FIT_ROWS labels
+    lexicons = induce_lexicons(labelled) | {"seed": SEED, "address": ADDRESS}
     hits = cut(voter_hits(docs, lexicons, id_column, text_column))
 
     pattern = sum((F.least(v, F.lit(1)) * (1 << i) for i, v in enumerate(map(F.col, VOTERS))), F.lit(0))
@@ -294,15 +290,37 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     rows = bounded_sample(open_rows, F.col("id"), int(counts.sum()), FIT_ROWS).toPandas()
     hit = rows[list(VOTERS)].to_numpy(dtype=float)
     words = rows["n_words"].to_numpy(dtype=float)
-    weights = fit_classifier(hit, words, model.posterior(np.minimum(hit, 1)))
+    return lexicons, fit_classifier(hit, words, model.posterior(np.minimum(hit, 1))), hits
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` and the voters' hits for every row.
+
+    Only labels of rows whose crc32(id) mod 3 is not 1 are used.  Null and
+    empty texts get the score of a text without hits; rows without an id are
+    scored and not held out; ids may have any type.  Without any labelled toxic
+    text the induced lexicons are empty and the seed words carry the model.
+    Only the id and the text are read, so other columns may have any name.
+    """
+    _, weights, hits = fit(docs, labels, id_column, text_column)
     score = 1 / (1 + F.exp(-_linear(weights)))
     held = F.coalesce(remainder(F.col("id"), 3) == 1, F.lit(False))
     scored = hits.withColumn("score", score)
     return scored.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *VOTERS)
 
 
+def _clean_batches(batches: Iterator[pa.RecordBatch], text_column: str, lexicons: dict[str, np.ndarray], weights: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    for block, n_words, hits in _hits(blocks(batches, text_column), lexicons):
+        score = 1 / (1 + np.exp(-np.clip(_design(hits.astype(float), n_words) @ weights, -700, 700)))
+        yield block.rows.filter(pa.array(score < threshold))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the rows predicted toxic; rows with the same id go if one of them is toxic."""
-    found = toxicity(docs, labels, id_column, text_column, threshold)
-    gone = found.where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the rows predicted toxic.
+
+    Every row is judged by its own text where it is read, so nothing is
+    shuffled or joined, ids may be null or repeated and columns have any name.
+    """
+    lexicons, weights, _ = fit(docs, labels, id_column, text_column)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicons, weights))
+    return docs.mapInArrow(lambda batches: _clean_batches(batches, text_column, *shared.value, threshold), docs.schema)

@@ -76,7 +76,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             continue
         column = batch.column(text)
         if not pa.types.is_large_binary(column.type):
-            column = column.cast(pa.large_binary())
+            column = column.cast(pa.binary()).cast(pa.large_binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
         column = column.fill_null(b"")
         _, offset_buffer, data_buffer = column.buffers()
         offsets = np.frombuffer(offset_buffer, dtype=np.int64)[column.offset : column.offset + len(column) + 1]

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from aiscope.llm import bytebpe, decontaminate, graph, lengths, paragraphs, pitman_yor, quality, queries, secrets, simhash
+from aiscope.llm import bytebpe, decontaminate, graph, lengths, paragraphs, pitman_yor, quality, queries, secrets, simhash, toxicity
 
 SPACES = "[^\x20\x09-\x0d]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -605,3 +605,31 @@ def test_language_model_knows_the_successor_of_a_rare_word(spark):
     rows = [(i, f"q{i % 700} s{i % 700}") for i in training] + [(held[0], "q5 s5"), (held[1], "q5 s6"), (held[2], "unseen s5")]
     found = {r.doc_id: r.score for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[held[0]] > found[held[1]] + 1
+
+
+def test_pipeline_stages_on_clashing_columns_and_string_ids(spark):
+    """Columns of any name, ids of other types, missing and repeated ones: each stage returns the columns and loses no clean row."""
+    text = lambda x: "".join(f"{x}{i} " for i in range(50))
+    rows = [("d1", text("a"), 1, 1, 1, 1, "x"), ("d2", text("a"), 1, 1, 1, 1, "x"), ("d3", "you idiot " * 9, 1, 1, 1, 1, "x"), (None, text("b"), 1, 1, 1, 1, "x"), (None, "you stupid idiot " * 9, 1, 1, 1, 1, "x"), ("d1", text("c"), 1, 1, 1, 1, "x"), ("d5", None, 1, 1, 1, 1, "x")]
+    rows += [(f"t{i}", f"you stupid idiot word{i} and what a pathetic loser {i} you are " * 3, 1, 1, 1, 1, "x") for i in range(30)] + [(f"z{i}", text(f"z{i}"), 1, 1, 1, 1, "x") for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, _gone int, row int, k1 int, _doc_id int, fp string")
+    labels = spark.createDataFrame([("d3", 1), ("d1", 0)], "doc_id string, toxic int")
+    items = spark.createDataFrame([(1, text("c"))], "item_id int, text string")
+    count = lambda found: collections.Counter((r.doc_id, r.text) for r in found.collect())
+    left = toxicity.drop_toxic(frame, labels)
+    assert left.columns == frame.columns and count(left) == collections.Counter((i, t) for i, t, *_ in rows if not t or "idiot" not in t)
+    left = simhash.keep_first(frame)
+    assert left.columns == frame.columns and count(left)["d1", text("a")] == 1 and count(left)["d2", text("a")] == 0 and count(left)["d1", text("c")] == 1 and count(left)[None, text("b")] == 1
+    left = decontaminate.drop_contaminated(frame, items)
+    assert left.columns == frame.columns and count(left) == collections.Counter((i, t) for i, t, *_ in rows if t != text("c"))
+    assert secrets.redact_secrets(frame).columns == frame.columns and paragraphs.remove_repeats(frame).columns == frame.columns
+    assert {r.doc_id: r.component_id for r in simhash.simhash_classes(frame).where("doc_id = 'd2'").collect()} == {"d2": "d1"}
+    assert toxicity.toxicity(frame, labels).where("predicted = 1").count() == 32
+
+
+def test_secrets_in_a_long_document_of_keys():
+    """Key-like tokens of any length are looked at, in time that grows with the text."""
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYaa"
+    text = " ".join(f"AKIAABCDEFGHIJKLMN{i:04d} {key * 2}" for i in range(3000))
+    _, spans = secrets.scan(text.encode())
+    assert sum(k == "key" for _, _, k in spans) == 3000 and sum(k == "access" for _, _, k in spans) == 3000
