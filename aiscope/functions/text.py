@@ -17,8 +17,11 @@ def _scanned(text: Column, max_scan: int | None) -> Column:
 
 def redact(text: Column, extra: dict[str, str] | None = None) -> Column:
     """Replace personal data by ``[REDACTED_TYPE]``, pattern after pattern; ``extra`` maps labels to more patterns."""
-    patterns = dims.REDACTIONS + list((extra or {}).items())
-    return reduce(lambda t, x: F.regexp_replace(t, F.lit(x[1]), F.lit(f"[REDACTED_{x[0]}]")), patterns, text)
+    replace = lambda t, x: F.regexp_replace(t, F.lit(x[1]), F.lit(f"[REDACTED_{x[0]}]"))
+    first, rest = dims.REDACTIONS[0], dims.REDACTIONS[1:]  # an address has an at sign, all others have digits
+    done = F.when(text.contains("@"), replace(text, first)).otherwise(text)
+    done = F.when(text.rlike("[0-9]{3}|[0-9]\\."), reduce(replace, rest, done)).otherwise(done)
+    return reduce(replace, (extra or {}).items(), done)
 
 
 def redact_values(values: Column, extra: dict[str, str] | None = None) -> Column:
@@ -53,20 +56,25 @@ def _typed(kind: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(kind).alias("type"), x["value"].alias("value"), x["position"].alias("position")))
 
 
-def detect_pii(text: Column, max_scan: int | None = None) -> Column:
-    """All matches as structs ``type, value, position``, type after type.
+def detect_pii(text: Column, max_scan: int | None = None, kinds: list[str] | None = None) -> Column:
+    """All matches as structs ``type, value, position``, type after type; ``kinds`` names the types to look for, by default all.
 
     ``max_scan`` caps the code points looked at, by default none.
     """
     scanned = _scanned(text, max_scan)
+    wanted = lambda kind: kinds is None or kind in kinds
+    none = F.array().cast("array<string>")
     parts = []
     for kind, pattern in dims.DETECTIONS:
-        values = F.regexp_extract_all(scanned, F.lit(pattern), F.lit(0))
+        if not wanted(kind):
+            continue
+        mark = scanned.contains("@") if kind == "email" else scanned.rlike("[0-9]")
+        values = F.when(mark, F.regexp_extract_all(scanned, F.lit(pattern), F.lit(0))).otherwise(none)
         found = _positions(scanned, values)
         if kind == "credit_card":
             found = F.filter(found, lambda x: luhn(x["value"]))
         parts.append(_typed(kind, found))
-    for pattern, _, _ in dims.KEY_PATTERNS:
+    for pattern, _, _ in dims.KEY_PATTERNS if wanted("api_key") else []:
         values = F.regexp_extract_all(scanned, F.lit(pattern if pattern.startswith("(?i)") else f"(?i){pattern}"), F.lit(0))
         parts.append(_typed("api_key", _positions(scanned, values)))
     return F.concat(*parts)
@@ -96,18 +104,18 @@ def _pattern_hits(text: Column, table: list[tuple[str, str, str]], max_scan: int
     return F.array_compact(F.array(*hits))
 
 
-def injections(text: Column) -> Column:
+def injections(text: Column, max_scan: int | None = None) -> Column:
     """Structs ``name, severity, matched``, one for each prompt-injection pattern found."""
-    return _pattern_hits(text, dims.INJECTIONS)
+    return _pattern_hits(text, dims.INJECTIONS, max_scan)
 
 
-def dangers(text: Column) -> Column:
+def dangers(text: Column, max_scan: int | None = None) -> Column:
     """The same for dangerous content."""
-    return _pattern_hits(text, dims.DANGERS)
+    return _pattern_hits(text, dims.DANGERS, max_scan)
 
 
-def content_filter(text: Column) -> Column:
-    return F.concat(injections(text), dangers(text))
+def content_filter(text: Column, max_scan: int | None = None) -> Column:
+    return F.concat(injections(text, max_scan), dangers(text, max_scan))
 
 
 def mask_key(key: Column) -> Column:

@@ -7,6 +7,10 @@ User-supplied tables join as broadcasts.
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +35,31 @@ def any_sdk_pattern() -> str:
     return "|".join(p for s in dims.SDK_SIGNATURES.values() for p in s[3] + s[4])
 
 
+def literals(pattern: str) -> list[str]:
+    """Plain text that a pattern cannot match without, as it stands between its operators."""
+    text = re.sub(r"\\[sbwd][*+?]?|\[[^\]]*\][*+?]?|\((?:\?:)?[^()]*\)[*?]|[()^$]|.[*?]", "\0", re.sub(r"\\([(.@/-])", lambda m: {"(": "\1", ".": "\2"}.get(m[1], m[1]), pattern))
+    return [x.replace("\1", "(").replace("\2", ".") for x in re.split("\0|\\+", text) if x]
+
+
+def required_literals(patterns: list[str]) -> list[str]:
+    """A few substrings one of which is in every text that any of the patterns matches."""
+    common = ["(", "import", "from", "require"]
+    out = []
+    for pattern in patterns:
+        have = literals(pattern)
+        short = [c for c in common if any(c in x for x in have)]
+        out.append(short[0] if short else max(have, key=len))
+    return sorted({x for x in out if not any(y in x and y != x for y in out)})
+
+
 def sdk_lines(lines: DataFrame) -> DataFrame:
-    """``path, line_no, line, sdk, provider, type, usage_type, used, model_name`` for every SDK on a line."""
-    hit = lines.where(F.col("line").rlike(any_sdk_pattern()))
+    """``path, line_no, line, sdk, provider, type, usage_type, used, model_name`` for every SDK on a line.
+
+    Plain substrings rule out most lines before any pattern is tried.
+    """
+    marks = required_literals([p for s in dims.SDK_SIGNATURES.values() for p in s[3] + s[4]])
+    maybe = reduce(operator.or_, [F.col("line").contains(x) for x in marks])
+    hit = lines.where(maybe).where(F.col("line").rlike(any_sdk_pattern()))
     return hit.select("path", "line_no", "line", F.explode(_hits()).alias("h")).select("path", "line_no", "line", "h.*")
 
 
@@ -117,6 +143,7 @@ def hardcoded_value(value: Column) -> Column:
     return (F.trim(value) != "") & ~value.rlike(r"^\$\{") & ~value.rlike(placeholders) & value.rlike(key)
 
 
+# Model names inside text.
 MODEL_MENTION = r"(gpt-4\.5(?:-\w+)*|gpt-4o?(?:-\w+)*|gpt-3\.5(?:-\w+)*|text-(?:davinci|curie|babbage|ada)-\d+|code-(?:davinci|cushman)-\d+|text-embedding-\w+-\d+|dall-e-\d+|whisper-\d+|claude-3-\w+(?:-\w+)*|claude-2(?:\.\d+)?|claude-instant-\d+(?:\.\d+)?|claude-(?:sonnet|opus|haiku)-4(?:-\w+)*|gemini-[\w.]+(?:-\w+)*|mistral-\w+(?:-\w+)*|mixtral-\w+(?:-\w+)*|llama-\d+(?:-\w+)*|codellama-\w+(?:-\w+)*|phi-\d+(?:-\w+)*|deepseek-\w+(?:-\w+)*|grok-\d+(?:\.\d+)?(?:-\w+)*)"
 
 

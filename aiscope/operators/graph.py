@@ -77,6 +77,7 @@ def multi_agent_without_trust(flags: DataFrame) -> DataFrame:
 
 # Keys of parameters that hold credentials.
 CREDENTIAL_KEYS = ["apiKey", "api_key", "accessToken", "access_token", "token", "secret", "password", "authorization", "bearer", "credential", "privateKey"]
+# Code that a workflow should not run.
 DANGEROUS_CODE = r"\beval\(|\bexec\(|child_process|execSync|spawn\(|os\.system|subprocess\.|__import__\(|Function\(|require\(['\"]fs['\"]\)|require\(['\"]http|process\.env|fetch\(|axios|XMLHttpRequest|globalThis|vm\.run|importlib|pickle\.loads|shutil\.rmtree"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +30,45 @@ def component_fields(components: DataFrame) -> Column:
     return F.create_map(*pairs)
 
 
+#: A rule set larger than this is refused: it travels as one literal.
+MAX_RULES = 10_000
+RULE_FIELDS = "rule_id", "effect", "action", "field", "op", "value"
+
+
+def rule_array(rules: DataFrame) -> Column:
+    """A small rule table as an array literal of structs, in the order of ``rule_id``; its size is checked."""
+    have = [c if c in rules.columns else F.lit(None).cast("string").alias(c) for c in RULE_FIELDS]
+    rows = rules.select(*have).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    kind = rules.schema["rule_id"].dataType.simpleString()
+    text = json.dumps([r.asDict() for r in sorted(rows, key=lambda r: r.rule_id)], default=str)
+    return F.from_json(F.lit(text), f"array<struct<rule_id:{kind},effect:string,action:string,field:string,op:string,value:string>>")
+
+
 def gate(components: DataFrame, rules: DataFrame, entities: DataFrame | None = None, key: str = "component_id") -> DataFrame:
     """Components that a forbid rule matches: ``key, rule_id, field, op, value``.
 
-    ``rules(rule_id, effect, field, op, value)`` is a small table and is
-    broadcast.  Severities compare by rank, numbers as numbers, else text in
-    any case.  ``entities(name, attributes)`` adds fields that are missing.
+    Every component is held against all rules where it is read.  Severities
+    compare by rank, numbers as numbers, else text in any case.
+    ``entities(name, attributes)`` adds fields that are missing.
     """
     fields = components.select(key, F.col("name").alias("_name"), component_fields(components).alias("f"))
     if entities is not None:
         more = entities.select(F.col("name").alias("_e"), "attributes")
-        fields = fields.join(F.broadcast(more), F.col("_name") == F.col("_e"), "left")
+        fields = fields.join(more, F.col("_name") == F.col("_e"), "left")
         known = F.coalesce(F.map_filter("attributes", lambda k, _: ~F.map_contains_key("f", k)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
         fields = fields.select(key, F.map_concat("f", known).alias("f"))
-    met = fields.crossJoin(F.broadcast(rules.where("effect = 'forbid'").select("rule_id", "field", "op", "value")))
-    have = F.try_element_at("f", F.col("field"))
-    op, want = F.col("op"), F.col("value")
-    number, number_wanted = have.try_cast("double"), want.try_cast("double")
-    is_rank = (F.col("field") == "severity") & (C.severity_rank(want) > 0)
-    hit = F.when(is_rank, ordered_match(op, C.severity_rank(have), C.severity_rank(want))).when(number.isNotNull() & number_wanted.isNotNull(), ordered_match(op, number, number_wanted)).otherwise(string_match(op, have, want))
-    return met.where(have.isNotNull() & hit).select(key, "rule_id", "field", "op", "value")
+
+    def hit(rule: Column) -> Column:
+        have, op, want = F.try_element_at("f", rule["field"]), rule["op"], rule["value"]
+        number, number_wanted = have.try_cast("double"), want.try_cast("double")
+        is_rank = (rule["field"] == "severity") & (C.severity_rank(want) > 0)
+        found = F.when(is_rank, ordered_match(op, C.severity_rank(have), C.severity_rank(want))).when(number.isNotNull() & number_wanted.isNotNull(), ordered_match(op, number, number_wanted)).otherwise(string_match(op, have, want))
+        return (rule["effect"] == "forbid") & have.isNotNull() & found
+
+    met = fields.select(key, F.explode(F.filter(rule_array(rules), hit)).alias("r"))
+    return met.select(key, "r.rule_id", "r.field", "r.op", "r.value")
 
 
 def request_fields(requests: DataFrame) -> Column:
@@ -66,31 +87,31 @@ def action_matches(method: Column, pattern: Column) -> Column:
     return (low == "*") | (low == "http") | (low == name) | (low.endswith("*") & name.startswith(F.regexp_replace(low, r"\*$", "")))
 
 
-def decide(requests: DataFrame, rules: DataFrame, key: str = "request_id", numeric_ops: bool = False, action_match: bool = False) -> DataFrame:
+def decide(requests: DataFrame, rules: DataFrame, numeric_ops: bool = False, action_match: bool = False) -> DataFrame:
     """Each request with ``decision``, ``reason`` and the ``rule_id`` that decided.
 
     Forbid beats permit beats the default, allow; the first matching rule by
     ``rule_id`` counts.  ``rules(rule_id, effect, action, field, op, value)`` is
-    small and broadcast.  The join keeps every request.
+    small.  Requests are decided row by row, so rows without a key or with the
+    same one have verdicts of their own, and nothing is shuffled.
     """
-    table = F.broadcast(rules.select("rule_id", "effect", "action", "field", "op", "value"))
     fields = requests.withColumn("_f", request_fields(requests))
-    have = F.try_element_at("_f", F.col("field"))
-    hit = string_match(F.col("op"), have, F.col("value"))
-    if numeric_ops:
-        number, wanted = have.try_cast("double"), F.col("value").try_cast("double")
-        plain = ordered_match(F.col("op"), F.lower(have), F.lower("value")) & F.col("op").isin(">", ">=", "<", "<=")
-        hit = F.when(number.isNotNull() & wanted.isNotNull(), ordered_match(F.col("op"), number, wanted)).otherwise(hit | plain)
-    if action_match:
-        hit = hit & action_matches(F.col("method"), F.col("action"))
-    met = fields.select(key, "method", "_f").crossJoin(table).where(hit)
-    rank = F.struct(F.when(F.col("effect") == "forbid", 0).otherwise(1), F.col("rule_id"))
-    first = met.groupBy(key).agg(F.min_by(F.struct("rule_id", "effect", "field", "op", "value"), rank).alias("m"))
-    joined = requests.join(first, key, "left")
-    says = F.concat(F.lit("request."), F.col("m.field"), F.lit(" "), F.col("m.op"), F.lit(' "'), F.col("m.value"), F.lit('"'))
-    forbidden = F.col("m.effect") == "forbid"
-    reason = F.when(F.col("m").isNull(), "No matching policy rules (default allow)").when(forbidden, F.concat(F.lit("Forbidden by policy: "), says)).otherwise(F.concat(F.lit("Explicitly permitted by policy: "), says))
-    return joined.select(*requests.columns, F.when(F.coalesce(forbidden, F.lit(False)), "deny").otherwise("allow").alias("decision"), reason.alias("reason"), F.col("m.rule_id").alias("rule_id"))
+
+    def hit(rule: Column) -> Column:
+        have, op, want = F.try_element_at("_f", rule["field"]), rule["op"], rule["value"]
+        found = string_match(op, have, want)
+        if numeric_ops:
+            number, wanted = have.try_cast("double"), want.try_cast("double")
+            plain = ordered_match(op, F.lower(have), F.lower(want)) & op.isin(">", ">=", "<", "<=")
+            found = F.when(number.isNotNull() & wanted.isNotNull(), ordered_match(op, number, wanted)).otherwise(found | plain)
+        return found & action_matches(F.col("method"), rule["action"]) if action_match else found
+
+    ranked = F.transform(F.filter(rule_array(rules), hit), lambda r: F.struct(F.when(r["effect"] == "forbid", 0).otherwise(1).alias("rank"), *[r[c].alias(c) for c in ("rule_id", "effect", "field", "op", "value")]))
+    met = fields.withColumn("_m", F.array_min(ranked))
+    says = F.concat(F.lit("request."), F.col("_m.field"), F.lit(" "), F.col("_m.op"), F.lit(' "'), F.col("_m.value"), F.lit('"'))
+    forbidden = F.coalesce(F.col("_m.effect") == "forbid", F.lit(False))
+    reason = F.when(F.col("_m").isNull(), "No matching policy rules (default allow)").when(forbidden, F.concat(F.lit("Forbidden by policy: "), says)).otherwise(F.concat(F.lit("Explicitly permitted by policy: "), says))
+    return met.select(*requests.columns, F.when(forbidden, "deny").otherwise("allow").alias("decision"), reason.alias("reason"), F.col("_m.rule_id").alias("rule_id"))
 
 
 def outcome(decision: Column, mode: Column | str, failed: Column | None = None) -> Column:

@@ -68,8 +68,8 @@ _PII = " UNION ALL ".join(f"SELECT lang, doc_id, {quoted(kind)} AS kind, len(reg
 
 @query(f"SELECT lang, kind, CAST(sum(n) AS BIGINT) AS n_matches, count(*) AS n_docs FROM ({_PII}) WHERE n > 0 GROUP BY lang, kind")
 def pii_types_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.explode(text.detect_pii(F.col("text"))).alias("m"))
-    per_doc = docs.where(~F.col("m.type").isin("credit_card", "api_key")).groupBy("lang", "doc_id", F.col("m.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.explode(text.detect_pii(F.col("text"), kinds=["ssn", "email", "phone_us", "ip_address"])).alias("m"))
+    per_doc = docs.groupBy("lang", "doc_id", F.col("m.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("lang", "kind").agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -80,8 +80,8 @@ WHERE length(d) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN CAST(su
   ELSE 2 * CAST(substr(d, length(d) - CAST(i AS INT), 1) AS INT) - CASE WHEN CAST(substr(d, length(d) - CAST(i AS INT), 1) AS INT) > 4 THEN 9 ELSE 0 END END for i in range(0, length(d))]) % 10 = 0
 GROUP BY doc_id""")
 def pii_cards_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.detect_pii(F.col("text"))).alias("m"))
-    return docs.where("m.type = 'credit_card'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cards"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.detect_pii(F.col("text"), kinds=["credit_card"])).alias("m"))
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cards"))
 
 
 def _names(table_: list[tuple[str, str, str]], column: str) -> str:
@@ -175,7 +175,7 @@ def junit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A baseline and a current scan with renamed, dropped and newly flagged components."""
-    rows = K.with_flags(table(spark, sf_dir, "components"), table(spark, sf_dir, "component_flags")).where("scan_id % 2 = 0")
+    rows = K.with_flags(table(spark, sf_dir, "components"), table(spark, sf_dir, "component_flags"))
     renamed = F.when(F.col("h") % 17 == 0, F.concat("name", F.lit("-v2"))).otherwise(F.col("name"))
     flags = F.when(F.col("h") % 23 == 0, F.array_append("flags", F.lit("no_rate_limit"))).otherwise(F.col("flags"))
     now = rows.where("h % 19 <> 0").withColumn("name", renamed).withColumn("flags", flags)
@@ -184,7 +184,7 @@ def two_scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _SEVERITY = "CASE WHEN {0} >= 76 THEN 'critical' WHEN {0} >= 51 THEN 'high' WHEN {0} >= 26 THEN 'medium' ELSE 'low' END"
 _TWO = with_views("components", "component_flags") + f""", f AS (SELECT component_id, sum(weight) AS w FROM component_flags GROUP BY component_id),
- base AS (SELECT c.*, coalesce(f.w, 0) + CASE WHEN model_name IN {listed(dims.DEPRECATED_MODELS)} THEN 10 ELSE 0 END AS raw FROM components c LEFT JOIN f ON c.component_id = f.component_id WHERE scan_id % 2 = 0),
+ base AS (SELECT c.*, coalesce(f.w, 0) + CASE WHEN model_name IN {listed(dims.DEPRECATED_MODELS)} THEN 10 ELSE 0 END AS raw FROM components c LEFT JOIN f ON c.component_id = f.component_id),
  one AS (SELECT component_id, name, type, provider, CAST(least(100, raw) AS INT) AS score FROM base),
  two AS (SELECT component_id, CASE WHEN h % 17 = 0 THEN name || '-v2' ELSE name END AS name, type, provider,
    CAST(least(100, raw + CASE WHEN h % 23 = 0 THEN 10 ELSE 0 END) AS INT) AS score FROM base WHERE h % 19 <> 0),
@@ -287,11 +287,9 @@ def cyclonedx_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("component_id", "bom_type", "purl", flat.alias("properties"))
 
 
-@query(_SCORED + "SELECT component_id, name, type, provider, '' AS version, model_name, file_path, CAST(line_number AS VARCHAR) AS line_number, usage_type, score AS risk_score, severity, replace(flags, ',', ', ') AS flags FROM scored")
+@query(_SCORED + "SELECT name, type, provider, '' AS version, model_name, file_path, CAST(line_number AS VARCHAR) AS line_number, usage_type, score AS risk_score, severity, replace(flags, ',', ', ') AS flags FROM scored")
 def flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    line = F.coalesce(F.col("line_number").cast("string"), F.lit(""))
-    return rows.select("component_id", "name", "type", "provider", F.lit("").alias("version"), "model_name", "file_path", line.alias("line_number"), "usage_type", F.col("score").alias("risk_score"), "severity", F.concat_ws(", ", "flags").alias("flags"))
+    return export.flat_table(scored(spark, sf_dir))
 
 
 _REGISTRY = ", ".join(f"({quoted(n)}, {quoted(p)}, {str(n in dims.DEPRECATED_NAMES).lower()})" for p, names in dims.MODEL_NAMES.items() for n in names)
@@ -332,10 +330,12 @@ def decision_counts_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("duration_ms").alias("max_ms"))
 
 
-@query("""SELECT day, batch, count(*) AS n_events, substr(sha256(string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR))), 1, 32) AS idempotency_key FROM (
-  SELECT CAST(ts AS DATE) AS day, event_id, CAST(ceil(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) / 100.0) AS BIGINT) AS batch FROM events) GROUP BY day, batch""")
+@query("""SELECT day, part, batch, count(*) AS n_events, substr(sha256(string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR))), 1, 32) AS idempotency_key FROM (
+  SELECT CAST(ts AS DATE) AS day, event_id % 16 AS part, event_id, CAST(ceil(row_number() OVER (PARTITION BY CAST(ts AS DATE), event_id % 16 ORDER BY event_id) / 100.0) AS BIGINT) AS batch FROM events) GROUP BY day, part, batch""")
 def event_batches_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.batches(table(spark, sf_dir, "events"))
+    """Each day's events are dealt to sixteen senders, which number their own."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("part", F.col("event_id") % 16)
+    return export.batches(events, by=["day", "part"])
 
 
 @query("SELECT user_id AS agent_id, max(ts) AS last_seen, arg_max(event_type, ts) AS last_event, max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS alive FROM events GROUP BY user_id")
@@ -415,11 +415,12 @@ def workflow_agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_GRAPH + """, c AS (SELECT DISTINCT e.workflow_id FROM workflow_edges e JOIN workflow_nodes a ON a.workflow_id = e.workflow_id AND a.node = e.src AND a.type = 'x.agent'
   JOIN workflow_nodes h ON h.workflow_id = e.workflow_id AND h.node = e.dst AND h.type = 'base.executeWorkflow' JOIN workflow_edges f ON f.workflow_id = e.workflow_id AND f.src = h.node
   JOIN workflow_nodes b ON b.workflow_id = e.workflow_id AND b.node = f.dst AND b.type = 'x.agent')
-SELECT n.workflow_id, count(*) AS n_nodes, count(*) FILTER (WHERE type = 'x.agent') AS n_agents, bool_or(type = 'base.webhook') AS internet_facing, max(c.workflow_id) IS NOT NULL AS chained
+SELECT n.workflow_id, count(*) AS n_nodes, count(*) FILTER (WHERE type = 'x.agent') AS n_agents, bool_or(type = 'base.webhook') AS internet_facing, max(c.workflow_id) IS NOT NULL AS chained,
+  CASE WHEN bool_or(type = 'base.webhook') THEN 'webhook' END AS trigger, false AS handles_errors
 FROM workflow_nodes n LEFT JOIN c ON n.workflow_id = c.workflow_id GROUP BY n.workflow_id""")
 def workflow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = graph.workflow_flags(table(spark, sf_dir, "workflow_nodes"), table(spark, sf_dir, "workflow_edges"))
-    return flags.select("workflow_id", "n_nodes", "n_agents", "internet_facing", "chained")
+    return flags.select("workflow_id", "n_nodes", "n_agents", "internet_facing", "chained", "trigger", "handles_errors")
 
 
 @query(_GRAPH + """, s AS (SELECT e.workflow_id, e.src, arg_min(e.dst, e.edge_pos) AS next FROM workflow_edges e
@@ -451,7 +452,11 @@ def hash_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-streams-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -469,8 +474,8 @@ def stream_decisions_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = F.array(*map(F.lit, ["api.openai.com", "api.deepseek.com", "api.anthropic.com", "files.example.com", "localhost:11434"]))
     url = F.concat(F.lit("https://"), F.get(hosts, (F.col("event_id") % 5).cast("int")), F.lit("/v1/"), kind)
     requests = event_stream(spark, sf_dir).select(F.col("event_id").alias("request_id"), "ts", method.alias("method"), url.alias("url"), F.col("value").alias("duration_ms"))
-    denied = F.lower("url").contains("deepseek") | (F.col("method") == "DELETE")
-    decided = requests.withColumn("outcome", policy.outcome(F.when(denied, "deny").otherwise("allow"), "warn"))
+    rules = spark.createDataFrame(REQUEST_RULES, RULES_SCHEMA)
+    decided = policy.decide(requests, rules).withColumn("outcome", policy.outcome(F.col("decision"), "warn"))
     folder = shared_folder(spark, "decisions")
     streams.into_table(streams.decisions_per_window(decided), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/table").withColumn("minute", F.col("minute").cast("timestamp_ntz"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from aiscope.functions import dims
 
 MAX_FILE_SIZE = 10 * 1024 * 1024
+MAX_RULES = 10_000
 
 
 def corpus(spark: SparkSession, root: str, max_size: int = MAX_FILE_SIZE, include_tests: bool = False, with_content: bool = True) -> DataFrame:
@@ -43,9 +44,13 @@ def kept_path(path: Column, include_tests: bool = False) -> Column:
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Leave out ignored files.  ``rules(priority, pattern, negated)``: of all that match, the last decides."""
-    met = files.join(F.broadcast(rules), F.expr("path rlike pattern"), "left")
-    verdict = met.groupBy("path").agg(F.max_by("negated", "priority").alias("negated"))
-    return files.join(verdict.where("negated is null or negated"), "path", "left_semi")
+    rows = rules.select("priority", "pattern", "negated").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} ignore rules")
+    kept = F.when(F.lit(False), F.lit(True))
+    for row in sorted(rows, key=lambda r: -r.priority):
+        kept = kept.when(F.col("path").rlike(row.pattern), F.lit(bool(row.negated)))
+    return files.where(kept.otherwise(F.lit(True)))
 
 
 def with_family(files: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def _py_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif isinstance(node, ast.Call):
                     rows.append((path, "call", dotted(node.func), [], node.lineno))
                 elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-                    rows.append((path, "string", node.value[:200], [], node.lineno))
+                    rows.append((path, "string", node.value, [], node.lineno))
                 if isinstance(node, ast.ClassDef):
                     rows.append((path, "class", node.name, [dotted(b) for b in node.bases], node.lineno))
                 if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):

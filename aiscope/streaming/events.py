@@ -82,6 +82,7 @@ def evaluate_stream(requests: DataFrame, load_rules: Callable[[], DataFrame], al
 
     ``load_rules`` returns rules with ``loaded_at``; when the newest is older
     than ``STALE_SECONDS``, or there are none, all is allowed and the reason says so.
+    Each batch has a folder of its own in both sinks, so that a replay replaces it.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -90,9 +91,9 @@ def evaluate_stream(requests: DataFrame, load_rules: Callable[[], DataFrame], al
         decided = policy.decide(batch, fresh)
         if fresh.isEmpty():
             decided = decided.withColumn("reason", F.lit("Policy rules stale or missing (default allow)"))
-        decided = decided.withColumn("outcome", policy.outcome(F.col("decision"), enforcement)).withColumn("batch_id", F.lit(batch_id)).persist()
-        decided.where("outcome <> 'blocked'").write.mode("append").json(allowed_path)
-        decided.where("outcome = 'blocked'").write.mode("append").json(blocked_path)
+        decided = decided.withColumn("outcome", policy.outcome(F.col("decision"), enforcement)).persist()
+        decided.where("outcome <> 'blocked'").write.mode("overwrite").json(f"{allowed_path}/batch_id={batch_id}")
+        decided.where("outcome = 'blocked'").write.mode("overwrite").json(f"{blocked_path}/batch_id={batch_id}")
         decided.unpersist()
 
     return _run(requests, each, checkpoint, "append", every)
@@ -109,9 +110,9 @@ def deliver(rows: DataFrame, send: Callable[[DataFrame, int], None], checkpoint:
 
 
 def into_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run a stream over what is there; in complete mode each batch replaces the table."""
-    how = "overwrite" if mode == "complete" else "append"
-    return _run(rows, lambda batch, _: batch.write.mode(how).parquet(path), checkpoint, mode, None)
+    """Run a stream over what is there; in complete mode each batch replaces the table, else a replayed batch replaces itself."""
+    place = lambda n: path if mode == "complete" else f"{path}/batch_id={n}"
+    return _run(rows, lambda batch, n: batch.write.mode("overwrite").parquet(place(n)), checkpoint, mode, None)
 
 
 def watch(spark: SparkSession, root: str, on_change: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "2 seconds") -> StreamingQuery:
