@@ -127,13 +127,13 @@ def _points(block: Block) -> np.ndarray | None:
 
 
 UNITS = "id {id}, row long, start int, end int, n_words int, content long, bands array<long>"
-#: Contents that a task remembers, so that it sends the bands of an often repeated one once.
-REMEMBERED = 500_000
+#: Places for contents that a task remembers, so that it sends the bands of an often repeated one once.
+REMEMBERED = 1 << 20
 
 
 def _paragraph_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """A row for each paragraph, with bands where its content is new to the task, and one without words for each text."""
-    seen = np.zeros(0, dtype=np.uint64)
+    seen = np.zeros(REMEMBERED, dtype=np.uint64)
     for block in blocks(batches, "text"):
         found = Paragraphs(block)
         n = block.rows.num_rows
@@ -147,9 +147,10 @@ def _paragraph_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int)
             begin, end, base = points[begin], points[end], points[base]
         _, once = np.unique(content, return_index=True)
         new = np.zeros(len(content), dtype=bool)
-        new[once] = ~np.isin(content[once], seen)
+        place = (content[once] % np.uint64(REMEMBERED)).astype(np.int64)
+        new[once] = seen[place] != content[once]
+        seen[place] = content[once]
         keys = found.bands(bands, rows)[new]
-        seen = np.union1d(seen, content[new]) if len(seen) < REMEMBERED else np.unique(content[new])
         edges = np.concatenate(([0], np.cumsum(new) * bands, np.full(n, int(new.sum()) * bands)))
         lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
         every = pa.array(np.concatenate((row, np.arange(n))))
