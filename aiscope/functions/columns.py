@@ -158,3 +158,55 @@ def component_id(scan: Column, source: Column, path: Column, line: Column, name:
     """The same finding of a scan always gets the same id."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (scan, source, path, line, name, kind, model)]
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def first_part(text: Column, parts: list[tuple[str, str]], default: str) -> Column:
+    """The value of the first part that a text contains."""
+    found = F.when(F.lit(False), F.lit(""))
+    for part, value in parts:
+        found = found.when(text.contains(part), value)
+    return found.otherwise(default)
+
+
+def ci_env_provider(name: Column) -> Column:
+    return first_part(F.upper(name), dims.CI_ENV_PARTS, "Unknown")
+
+
+def type_of_usage(usage: Column) -> Column:
+    return F.when(usage.isin("orchestration", "agent"), "agent_framework").when(usage == "tool_use", "tool").otherwise("llm_provider")
+
+
+def string_leaves(document: Column) -> Column:
+    """All string values of a JSON text, at any depth, joined by spaces; names of members are left out."""
+    quoted = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\\\]|\\\\.)*"(?!\s*:)'), F.lit(0))
+    return F.array_join(F.transform(quoted, lambda q: F.get_json_object(F.concat(F.lit('{"v":'), q, F.lit("}")), "$.v")), " ")
+
+
+def message_texts(messages: Column) -> Column:
+    """Texts of a JSON list of chat messages, whose content is text or a list of typed parts."""
+    listed = F.coalesce(F.try_variant_get(F.try_parse_json(messages), "$", "array<variant>"), F.array().cast("array<variant>"))
+
+    def texts(message: Column) -> Column:
+        plain = F.try_variant_get(message, "$.content", "string")
+        parts = F.coalesce(F.try_variant_get(message, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+        typed = F.transform(F.filter(parts, lambda p: F.try_variant_get(p, "$.type", "string") == "text"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+        is_list = F.schema_of_variant(F.try_variant_get(message, "$.content", "variant")).startswith("ARRAY")
+        return F.when(F.coalesce(is_list, F.lit(False)), typed).otherwise(F.array(F.coalesce(plain, F.lit(""))))
+
+    return F.flatten(F.transform(listed, texts))
+
+
+def tool_call_names(response: Column) -> Column:
+    """Names of the tools that a model's JSON response calls, in either of two shapes."""
+    v = F.try_parse_json(response)
+    empty = F.array().cast("array<variant>")
+    many = lambda value, path: F.coalesce(F.try_variant_get(value, path, "array<variant>"), empty)
+    name = lambda value, path: F.coalesce(F.try_variant_get(value, path, "string"), F.lit("unknown"))
+    one = F.flatten(F.transform(many(v, "$.choices"), lambda c: F.transform(many(c, "$.message.tool_calls"), lambda t: name(t, "$.function.name"))))
+    two = F.transform(F.filter(many(v, "$.content"), lambda b: F.try_variant_get(b, "$.type", "string") == "tool_use"), lambda b: name(b, "$.name"))
+    return F.concat(one, two)
+
+
+def shortened(text: Column, size: int) -> Column:
+    """At most ``size`` code points, with dots where some are left out."""
+    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)

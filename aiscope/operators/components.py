@@ -180,3 +180,71 @@ def apply_enrichment(components: DataFrame, results: DataFrame) -> DataFrame:
     more = F.array_compact(F.array(F.when(F.col("_d"), "deprecated_model"), F.when(~C.is_pinned(F.col("_m")), "unpinned_model")))
     flags = F.when(fill, F.array_union("flags", more)).otherwise(F.col("flags"))
     return joined.select(*[c for c in components.columns if c not in ("model_name", "provider", "flags")], F.when(fill, F.col("_m")).otherwise(F.col("model_name")).alias("model_name"), F.when(fill & (F.col("provider") == ""), F.col("_p")).otherwise(F.col("provider")).alias("provider"), flags.alias("flags"))
+
+
+# --- reports -------------------------------------------------------------------
+
+
+def callable_models(components: DataFrame) -> DataFrame:
+    """Providers and models that a client exists for, with the name to call them by."""
+    rows = components.where(F.col("type").isin("llm_provider", "model") & F.lower("provider").isin(dims.CALLABLE_PROVIDERS))
+    return rows.withColumn("call_name", F.coalesce(F.nullif("model_name", F.lit("")), "name"))
+
+
+def to_enrich(components: DataFrame) -> DataFrame:
+    """Providers and models whose model is not known."""
+    return components.where(F.col("type").isin("llm_provider", "model") & (F.coalesce("model_name", F.lit("")) == ""))
+
+
+def report_order(components: DataFrame, order: str = "component_id") -> DataFrame:
+    """Components as a report lists them: scan by scan, the gravest severity first, then by score."""
+    return components.orderBy("scan_id", F.desc(C.severity_rank(F.col("severity"))), F.desc("score"), order)
+
+
+def shown_flags(components: DataFrame, n: int = 3) -> DataFrame:
+    """Add the first flags, as text."""
+    return components.withColumn("shown", F.array_join(F.slice("flags", 1, n), ", "))
+
+
+def newest_scans(scans: DataFrame) -> DataFrame:
+    return scans.orderBy(F.desc("scan_timestamp"), "scan_id")
+
+
+def type_counts(components: DataFrame) -> DataFrame:
+    """Types with their counts, by name."""
+    return components.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy("type")
+
+
+def sorted_by(components: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Sorted by any column: ranks and scores as numbers, others as text in lower case."""
+    key = F.col(column).cast("double") if column in ("rank", "score", "risk_score") else F.lower(F.col(column).cast("string"))
+    return components.orderBy(key.desc() if descending else key.asc())
+
+
+def policy_summaries(policies: DataFrame, n: int = 8, size: int = 200) -> DataFrame:
+    """The first enabled policies ``policy_id, name, description``, descriptions shortened."""
+    return policies.where("enabled").orderBy("policy_id").limit(n).select("policy_id", "name", C.shortened(F.col("description"), size).alias("description"))
+
+
+def breaches(components: DataFrame, level: str, order: str = "component_id") -> DataFrame:
+    """The first component of each scan at a severity or above; an unknown level breaches nothing."""
+    if level.lower() not in dims.SEVERITY_RANK:
+        return components.limit(0)
+    every = [c for c in components.columns if c != "scan_id"]
+    first = at_least(components, level).groupBy("scan_id").agg(F.min_by(F.struct(*every), order).alias("x"))
+    return first.select("scan_id", "x.*")
+
+
+def recommendations(components: DataFrame) -> DataFrame:
+    """``scan_id, position, flag, advice`` for the flags of each scan that reports advise on, in their order."""
+    found = components.select("scan_id", F.explode("flags").alias("flag")).distinct()
+    place = C.lookup(F.col("flag"), {f: i for i, f in enumerate(dims.RECOMMENDED)})
+    advice = C.lookup(F.col("flag"), {f: r for f, (r, _) in dims.REMEDIES.items()})
+    return found.withColumn("position", place).where("position is not null").select("scan_id", "position", "flag", F.coalesce(advice, F.lit("Restrict who can reach it")).alias("advice"))
+
+
+def remedies(components: DataFrame, key: str = "component_id") -> DataFrame:
+    """``key, flag, remedy, guardrail, category, severity`` for each flag of each component."""
+    rows = components.select(key, F.explode("flags").alias("flag"))
+    part = lambda table, i: C.lookup(F.col("flag"), {f: x[i] for f, x in table.items()})
+    return rows.select(key, "flag", part(dims.REMEDIES, 0).alias("remedy"), part(dims.REMEDIES, 1).alias("guardrail"), part(dims.FLAG_OWASP, 0).alias("category"), part(dims.FLAG_OWASP, 2).alias("severity"))

@@ -7,6 +7,7 @@ User-supplied tables join as broadcasts.
 
 from __future__ import annotations
 
+import functools
 import operator
 import re
 from functools import reduce
@@ -249,14 +250,12 @@ def ci_steps(documents: DataFrame) -> DataFrame:
 
 
 def terraform_resources(lines: DataFrame) -> DataFrame:
-    """``path, line_no, resource_type, resource_name, context`` of Terraform resources of AI services, context being the block.
+    """``path, line_no, resource_type, resource_name, context, provider, type`` of Terraform resources of AI services, context being the block.
 
     The block runs to the line where the braces opened since the resource's
     line are closed, by a running sum.
     """
     head = r'^\s*resource\s+"([^"]+)"\s+"([^"]+)"'
-    # Prefixes of resource types.
-    wanted = r"^(aws_bedrock|aws_sagemaker|aws_comprehend|aws_rekognition|aws_lex|aws_kendra|google_vertex_ai|google_ml_engine|google_notebooks|google_dialogflow|google_document_ai|azurerm_cognitive|azurerm_machine_learning|azurerm_search_service|azurerm_openai)"
     order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     starts = F.when(F.col("line").rlike(head), F.col("line_no"))
     delta = F.length(F.regexp_replace("line", r"[^{]", "")) - F.length(F.regexp_replace("line", r"[^}]", ""))
@@ -266,7 +265,8 @@ def terraform_resources(lines: DataFrame) -> DataFrame:
     block = rows.where("_closed = 0").groupBy("path", "_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("b"))
     first = F.col("b")[0]["line"]
     found = block.select("path", F.col("_start").alias("line_no"), F.regexp_extract(first, head, 1).alias("resource_type"), F.regexp_extract(first, head, 2).alias("resource_name"), F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("context"))
-    return found.where(F.col("resource_type").rlike(wanted))
+    table = {name: kind for kind, names in dims.TERRAFORM.items() for name in names}
+    return found.withColumn("provider", C.lookup(F.col("resource_type"), {k: v[0] for k, v in table.items()})).where("provider is not null").withColumn("type", C.lookup(F.col("resource_type"), {k: v[1] for k, v in table.items()}))
 
 
 def terraform_attributes(resources: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def terraform_attributes(resources: DataFrame) -> DataFrame:
 
 
 def cloudformation_resources(documents: DataFrame) -> DataFrame:
-    """``path, resource_name, resource_type, model_name`` of AI resources in templates ``path, v VARIANT``."""
+    """``path, resource_name, resource_type, model_name, provider, type`` of AI resources in templates ``path, v VARIANT``."""
     found = documents.sparkSession.sql(
         """select d.path, r.key as resource_name, try_variant_get(r.value, '$.Type', 'string') as resource_type, r.value as r
            from {documents} d, lateral variant_explode(try_variant_get(d.v, '$.Resources', 'variant')) r""",
@@ -287,8 +287,9 @@ def cloudformation_resources(documents: DataFrame) -> DataFrame:
     # Keys that may name the model, in order.
     keys = ["FoundationModel", "ModelId", "ModelName", "ModelPackageName", "ModelDataUrl", "BaseModelIdentifier", "EndpointName"]
     model = F.coalesce(*[F.nullif(F.try_variant_get("r", f"$.Properties.{k}", "string"), F.lit("")) for k in keys], F.lit(""))
-    kinds = r"^AWS::(Bedrock|SageMaker|Comprehend|Lex|Kendra|Rekognition|QBusiness|Personalize|Forecast)::"
-    return found.where(F.col("resource_type").rlike(kinds)).select("path", "resource_name", "resource_type", model.alias("model_name"))
+    table = {f"AWS::{name}": kind for kind, names in dims.CLOUDFORMATION.items() for name in names}
+    rows = found.withColumn("provider", C.lookup(F.col("resource_type"), {k: v[0] for k, v in table.items()})).where("provider is not null")
+    return rows.select("path", "resource_name", "resource_type", model.alias("model_name"), "provider", C.lookup(F.col("resource_type"), {k: v[1] for k, v in table.items()}).alias("type"))
 
 
 # Model files by extension.
@@ -361,3 +362,97 @@ def context_lines(findings: DataFrame, lines: DataFrame, radius: int = 10) -> Da
     near = at.join(lines, "path").where(F.col("line_no").between(F.col("at") - radius, F.col("at") + radius))
     joined = near.groupBy("path", "at").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return joined.select("path", F.col("at").alias("line_no"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
+
+
+# --- calls, names and loading of models ---------------------------------------
+
+
+def api_calls(facts: DataFrame) -> DataFrame:
+    """``path, provider, call, line``: the first call of each kind in a file, from syntax-tree facts; a call counts as the first kind that it matches."""
+    kind = F.when(F.lit(False), F.lit(0))
+    for i, (pattern, _, _) in enumerate(dims.API_CALLS):
+        kind = kind.when(F.col("name").rlike(pattern), i)
+    found = facts.where("kind = 'call'").withColumn("k", kind).where("k is not null").groupBy("path", "k").agg(F.min("line").alias("line"))
+    pick = lambda j: F.element_at(F.array(*[F.lit(x[j]) for x in dims.API_CALLS]), F.col("k") + 1)
+    return found.select("path", pick(1).alias("provider"), F.concat(pick(1), F.lit(" API call: "), pick(2)).alias("call"), "line")
+
+
+def model_literals(facts: DataFrame) -> DataFrame:
+    """``path, provider, model_name, line``: string literals that are a model's name as a whole, each once per file."""
+    provider = F.when(F.lit(False), F.lit(""))
+    for pattern, name in dims.MODEL_LITERALS:
+        provider = provider.when(F.col("name").rlike(f"^(?:{pattern})$"), name)
+    found = facts.where("kind = 'string'").withColumn("provider", provider).where("provider is not null")
+    return found.groupBy("path", "provider", F.col("name").alias("model_name")).agg(F.min("line").alias("line"))
+
+
+def notebook_models(cells: DataFrame) -> DataFrame:
+    """``path, cell, provider, type, model_name`` of model loading in code cells, each once per cell."""
+
+    def loaded(pattern: str, provider: str, kind: str) -> Column:
+        named = "([^" in pattern
+        values = F.regexp_extract_all("source", F.lit(pattern), F.lit(int(named)))
+        return F.transform(values, lambda v: F.struct(F.lit(provider).alias("provider"), F.lit(kind).alias("type"), (v if named else F.lit("")).alias("model_name")))
+
+    parts = [loaded(*row) for row in dims.MODEL_LOADING]
+    return cells.select("path", "cell", F.explode(F.array_distinct(F.concat(*parts))).alias("m")).select("path", "cell", "m.*")
+
+
+def ci_env(documents: DataFrame) -> DataFrame:
+    """``path, scope, name, provider, hardcoded`` of key variables in CI workflows, of the workflow (global) and of its jobs."""
+    found = documents.sparkSession.sql(
+        """select d.path, 'global' as scope, e.key as name, cast(e.value as string) as value from {documents} d,
+             lateral variant_explode(try_variant_get(d.v, '$.env', 'variant')) e
+           union all
+           select d.path, j.key, e.key, cast(e.value as string) from {documents} d,
+             lateral variant_explode(try_variant_get(d.v, '$.jobs', 'variant')) j,
+             lateral variant_explode(try_variant_get(j.value, '$.env', 'variant')) e""",
+        documents=documents,
+    )
+    key = functools.reduce(operator.or_, [F.upper("name").contains(n) for n in dims.CI_ENV_NAMES])
+    value = F.coalesce("value", F.lit(""))
+    referenced = F.trim(value).startswith("${{") | value.contains("secrets.")
+    return found.where(key).select("path", "scope", "name", C.ci_env_provider(F.col("name")).alias("provider"), ((value != "") & ~referenced).alias("hardcoded"))
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path without ``.`` parts and doubled slashes."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"(^|/)(?:\./)+", "$1"), "^/", "")
+
+
+def compose_builds(services: DataFrame, images: DataFrame) -> DataFrame:
+    """Findings of the Dockerfiles that compose services are built from: ``path, service, dockerfile, image, name``.
+
+    ``services`` are :func:`compose_services`, ``images`` :func:`dockerfile_images`; they meet by the computed path.
+    """
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    file = F.coalesce(F.col("dockerfile"), F.lit("Dockerfile")) if "dockerfile" in services.columns else F.lit("Dockerfile")
+    wanted = services.where(F.coalesce(F.col("build"), F.lit("")) != "").select("path", "service", normal_path(F.concat(folder, "build", F.lit("/"), file)).alias("dockerfile"))
+    met = wanted.join(images.select(normal_path(F.col("path")).alias("dockerfile"), "image"), "dockerfile")
+    return met.select("path", "service", "dockerfile", "image", F.concat("service", F.lit(" ("), "image", F.lit(")")).alias("name"))
+
+
+def env_values(lines: DataFrame) -> DataFrame:
+    """``path, line_no, name, provider, hardcoded, masked`` of key variables in env files."""
+    pattern = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*[\"']?(.*?)[\"']?\s*$"
+    rows = lines.where(is_env_file(F.col("path")) & ~F.ltrim("line").startswith("#")).select("path", "line_no", F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).alias("value"))
+    rows = rows.withColumn("provider", env_provider(F.col("name"))).where("provider is not null")
+    return rows.select("path", "line_no", "name", "provider", hardcoded_value(F.col("value")).alias("hardcoded"), F.when(F.col("value") != "", text.mask_key(F.col("value"))).otherwise("").alias("masked"))
+
+
+def config_keys(lines: DataFrame) -> DataFrame:
+    """Keys in configuration files, apart from those of build tools: ``path, line_no, provider, masked``."""
+    name = F.element_at(F.split("path", "/"), -1)
+    config = name.rlike(r"\.(json|ya?ml|toml|ini|cfg)$") & ~name.isin(*dims.SKIPPED_CONFIG)
+    return key_findings(lines.where(config))
+
+
+def dependency_components(declared: DataFrame) -> DataFrame:
+    """Declared AI packages as components: ``path, name, provider, usage_type, type``."""
+    return known_packages(declared).select("path", F.col("dep").alias("name"), "provider", "usage_type", C.type_of_usage(F.col("usage_type")).alias("type"))
+
+
+def all_package_names(spark) -> DataFrame:  # noqa: ANN001
+    """The distinct package names of SDK signatures and of the package table."""
+    rows = spark.createDataFrame([(d,) for s in dims.SDK_SIGNATURES.values() for d in s[6]], "package string")
+    return rows.union(dims.packages(spark).select("package")).distinct()

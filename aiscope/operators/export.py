@@ -116,3 +116,40 @@ def save_scan(components: DataFrame, path: str) -> None:
 def scan_history(spark, path: str, scan_id=None) -> DataFrame:  # noqa: ANN001
     rows = spark.read.parquet(path)
     return rows if scan_id is None else rows.where(F.col("scan_id") == scan_id)
+
+
+def delete_scan(spark, path: str, scan_id) -> bool:  # noqa: ANN001
+    """Remove a scan from a table partitioned by ``scan_id``; tells whether there was one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/scan_id={scan_id}")
+    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+
+
+def _scan_summary(components: DataFrame) -> DataFrame:
+    """Per scan a struct of totals, counts by type and by severity, and the highest score."""
+    count = lambda by: components.groupBy("scan_id", by).agg(F.count(F.lit(1)).alias("n")).groupBy("scan_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "n")))).alias(f"by_{by}"))
+    whole = components.groupBy("scan_id").agg(F.count(F.lit(1)).alias("total_components"), F.max("score").alias("highest_risk_score"))
+    met = whole.join(count("type"), "scan_id").join(count("severity"), "scan_id")
+    return met.select("scan_id", F.struct("total_components", "by_type", "by_severity", "highest_risk_score").alias("summary"))
+
+
+def vendor_documents(components: DataFrame, key: str = "component_id") -> DataFrame:
+    """One vendor bill of materials per scan: metadata, components, relationships and summary; a scan's components are one document by design."""
+    entry = F.struct(F.col(key).cast("string").alias("id"), "name", "type", "provider", "model_name", "file_path", "line_number", "usage_type", "score", "severity", "flags")
+    grouped = components.groupBy("scan_id").agg(F.array_sort(F.collect_list(entry)).alias("components"))
+    met = grouped.join(_scan_summary(components), "scan_id")
+    metadata = F.struct(F.sha2(F.col("scan_id").cast("string"), 256).alias("run_id"))
+    sources = F.struct("components", F.array().cast("array<string>").alias("relationships"))
+    return met.select("scan_id", F.to_json(F.struct(F.struct(metadata.alias("metadata"), sources.alias("sources"), "summary").alias("aibom_analysis"))).alias("document"))
+
+
+def findings_summary(components: DataFrame, key: str = "component_id") -> DataFrame:
+    """One JSON summary per scan: totals, the number of findings, and slim rows of them."""
+    slim = F.struct(F.col(key).alias("id"), "name", "type", "provider", F.col("model_name").alias("modelName"), "severity", "score", "flags", "factors")
+    grouped = components.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findingsCount"), F.array_sort(F.collect_list(slim)).alias("findings"))
+    met = grouped.join(_scan_summary(components), "scan_id")
+    return met.select("scan_id", "findingsCount", F.to_json(F.struct("summary", "findingsCount", "findings")).alias("document"))
+
+
+def compliance_summary(findings: DataFrame) -> DataFrame:
+    """How many findings there are by category and status."""
+    return findings.groupBy("category", "status").agg(F.count(F.lit(1)).alias("n"))

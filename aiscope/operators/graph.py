@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aiscope.functions import columns as C
+from aiscope.functions import dims
+
 AGENT, CODE, HTTP, HUB, WEBHOOK = "agent$", "toolCode$", "toolHttpRequest$", "executeWorkflow$", "webhook$"
 
 
@@ -88,3 +94,52 @@ def node_findings(nodes: DataFrame) -> DataFrame:
     inline = (value != "") & ~value.rlike(r"(?i)your|placeholder|changeme|example|xxx")
     flags = F.array_compact(F.array(F.when(F.col("type").rlike("(?i)code") & F.col("parameters").rlike(DANGEROUS_CODE), "code_http_tools"), F.when(F.coalesce(inline, F.lit(False)), "hardcoded_credentials")))
     return nodes.withColumn("flags", flags).where(F.size("flags") > 0)
+
+
+def node_kind(kind: Column) -> Column:
+    """Struct ``type, usage_type, provider`` of an AI node's type, else null."""
+    row = lambda *x: F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(("type", "usage_type", "provider"), x)])
+    found = F.when(~kind.isin([dims.NODE_PACKAGE + n for n in dims.NODE_NAMES]), F.lit(None))
+    for part, *what in dims.NODE_KINDS:
+        found = found.when(kind.contains(part), row(*what))
+    low = F.lower(kind)
+    found = found.when(low.contains("embedding"), row("model", "embedding", C.first_part(kind, dims.EMBEDDING_PARTS, "unknown")))
+    found = found.when(kind.contains("vectorStore"), row("tool", "embedding", C.first_part(kind, dims.STORE_PARTS, "unknown")))
+    # the package's own name contains "chain", so all other nodes of it are orchestration
+    return found.when(low.contains("chain"), row("agent_framework", "orchestration", "n8n")).when(low.contains("memory"), row("tool", "tool_use", "n8n"))
+
+
+def _string(parameters: Column, *path: str) -> Column:
+    return F.try_variant_get(parameters, "$." + ".".join(path), "string")
+
+
+def node_components(nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """AI nodes of workflow exports as components, from ``node, type, parameters`` (JSON text) and the columns to keep.
+
+    Columns: the kept ones, ``node, type, usage_type, provider, model_name, flags``.
+    Flags: inline credentials, a client of a server that is not local, a model without a version.
+    """
+    rows = nodes.withColumn("_k", node_kind(F.col("type"))).where("_k is not null").withColumn("_p", F.try_parse_json("parameters"))
+    model_keys = ["model", "modelId", "modelName", "modelVersion"]
+    model = F.coalesce(*[_string(F.col("_p"), k) for k in model_keys], *[_string(F.col("_p"), "resource", k) for k in model_keys], F.lit(""))
+    rows = rows.select(*keep, F.coalesce(F.nullif("node", F.lit("")), "type").alias("node"), "_p", "parameters", "_k.*", model.alias("model_name"))
+    value = lambda key: F.coalesce(_string(F.col("_p"), key), F.lit(""))
+    own = functools.reduce(operator.or_, [(F.length(value(k)) > 5) & ~F.lower(value(k)).isin("your_api_key", "your-api-key", "placeholder", "example") for k in NODE_CREDENTIALS])
+    key = F.col("parameters").rlike("|".join(f"(?:{p})" for p, _, _ in dims.KEY_PATTERNS))
+    urls = F.array(*[value(k) for k in ("sseEndpoint", "sseUrl", "serverUrl", "url", "endpoint")])
+    remote = F.exists(urls, lambda u: (u != "") & ~F.lower(u).rlike(r"localhost|127\.0\.0\.1|::1"))
+    unpinned = F.col("model_name").isin(dims.UNPINNED_MODELS) | ((F.col("model_name") == "") & (F.col("type") == "llm_provider"))
+    flags = F.array_compact(F.array(F.when(own | key, "hardcoded_credentials"), F.when((F.col("type") == "mcp_client") & remote, "mcp_unknown_server"), F.when(unpinned, "unpinned_model")))
+    return rows.withColumn("flags", flags).drop("_p", "parameters")
+
+
+# Names of parameters that hold a node's credentials.
+NODE_CREDENTIALS = ["apiKey", "api_key", "token", "accessToken", "access_token", "secret", "secretKey", "secret_key", "password", "authToken", "auth_token"]
+
+
+def http_keys(nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """HTTP-request nodes with a key in their parameters: the kept columns, ``node, provider`` of the first pattern found."""
+    provider = F.when(F.lit(False), F.lit(""))
+    for pattern, name, _ in dims.KEY_PATTERNS:
+        provider = provider.when(F.col("parameters").rlike(pattern), name)
+    return nodes.where(F.col("type").endswith(".httpRequest")).withColumn("provider", provider).where("provider is not null").select(*keep, "node", "provider")

@@ -141,6 +141,19 @@ def evaluate_records(records: DataFrame, column: str = "text", mode: str = "bloc
     return rows.withColumn("checks", checks).withColumn("violations", violations).withColumn("allowed", (F.size("violations") == 0) | F.lit(mode != "block")).drop("_p", "_i", "_d")
 
 
+def evaluate_payloads(records: DataFrame, payload: str = "payload", mode: str = "block") -> DataFrame:
+    """The same for JSON payloads: the strings in them are checked together, and a payload without fields passes unevaluated."""
+    empty = F.coalesce(F.json_array_length(payload) == 0, F.size(F.json_object_keys(payload)) == 0, F.lit(True))
+    checked = evaluate_records(records.withColumn("_t", F.when(~empty, C.string_leaves(F.col(payload))).otherwise("")), "_t", mode)
+    return checked.withColumn("evaluated", ~empty).drop("_t")
+
+
+def rule_context(checked: DataFrame) -> DataFrame:
+    """Add what rules may ask of a checked record: ``pii_detected, pii_types, injection_detected, content_blocked, n_violations``."""
+    found = lambda name: F.filter("checks", lambda c: c["name"] == name)[0]["findings"]
+    return checked.select("*", (F.size(found("pii")) > 0).alias("pii_detected"), F.array_sort(found("pii")).alias("pii_types"), (F.size(found("prompt_injection")) > 0).alias("injection_detected"), (F.size(found("content_filter")) > 0).alias("content_blocked"), F.size("violations").alias("n_violations"))
+
+
 def owasp_categories(components: DataFrame) -> DataFrame:
     """Add ``categories``: the codes A01 to A10 whose rules hold, sorted.
 

@@ -1,0 +1,3 @@
+"""Queries of reports, payloads, policies and streams, and their SQL."""
+
+from __future__ import annotations

@@ -263,6 +263,9 @@ LISTING_KINDS = [
     ("sagemaker_models", "ModelName", "ModelArn", "model", "AWS SageMaker", "aws://sagemaker/models/"), ("vertex_endpoints", "displayName", "name", "endpoint", "Google Vertex AI", "gcp://vertex/endpoints/"),
     ("vertex_models", "displayName", "name", "model", "Google Vertex AI", "gcp://vertex/models/"), ("azure_openai", "name", "id", "llm_provider", "Azure OpenAI", "azure://openai/"),
     ("azure_ml_endpoints", "name", "id", "endpoint", "Azure ML", "azure://ml/endpoints/"),
+    ("bedrock_custom_models", "modelName", "modelArn", "model", "AWS Bedrock", "aws://bedrock/custom-models/"), ("comprehend_endpoints", "EndpointName", "EndpointArn", "endpoint", "AWS Comprehend", "aws://comprehend/endpoints/"),
+    ("kendra_indices", "Name", "Id", "tool", "AWS Kendra", "aws://kendra/indices/"), ("vertex_custom_jobs", "displayName", "name", "workflow", "Google Vertex AI", "gcp://vertex/custom-jobs/"),
+    ("azure_openai_deployments", "name", "id", "model", "Azure OpenAI", "azure://openai/deployments/"), ("azure_cognitive_services", "name", "id", "llm_provider", "Azure AI", "azure://cognitive/"),
 ]
 
 
