@@ -178,7 +178,7 @@ def type_of_usage(usage: Column) -> Column:
 
 def string_leaves(document: Column) -> Column:
     """All string values of a JSON text, at any depth, joined by spaces; names of members are left out."""
-    quoted = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\\\]|\\\\.)*"(?!\s*:)'), F.lit(0))
+    quoted = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*"(?!\s*:)'), F.lit(0))
     return F.array_join(F.transform(quoted, lambda q: F.get_json_object(F.concat(F.lit('{"v":'), q, F.lit("}")), "$.v")), " ")
 
 

@@ -1,3 +1,388 @@
 """Queries of reports, payloads, policies and streams, and their SQL."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aiscope.functions import columns as C
+from aiscope.functions import dims, text
+from aiscope.operators import components as K
+from aiscope.operators import export, plugins, policy
+from aiscope.plans.catalog import _DECIDED, _SCORED, _TWO, REQUEST_RULES, RULES_SCHEMA, event_stream, listed, query, quoted, scored, shared_folder, two_scans
+from aiscope.plans.views import table, with_views
+from aiscope.sources import files
+from aiscope.streaming import events as streams
+
+# --- components -------------------------------------------------------------------
+
+
+@query(_SCORED + f"SELECT component_id, coalesce(nullif(model_name, ''), name) AS call_name FROM scored WHERE type IN ('llm_provider', 'model') AND lower(provider) IN {listed(dims.CALLABLE_PROVIDERS + ['germany', 'japan'])}")
+def callable_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations stand for providers: two of them are renamed to ones that have a client."""
+    rows = scored(spark, sf_dir).withColumn("provider", F.when(F.lower("provider").isin("germany", "japan"), "OpenAI").otherwise(F.col("provider")))
+    return K.callable_models(rows).select("component_id", "call_name")
+
+
+@query(_SCORED + "SELECT component_id FROM scored WHERE type IN ('llm_provider', 'model') AND model_name = ''")
+def components_to_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.to_enrich(scored(spark, sf_dir)).select("component_id")
+
+
+@query(_SCORED + """SELECT component_id, CASE WHEN fill THEN 'gpt-4o' ELSE model_name END AS model_name, CASE WHEN fill AND provider = '' THEN 'OpenAI' ELSE provider END AS provider,
+  CASE WHEN fill AND contains(flags, 'unpinned_model') OR NOT fill THEN flags WHEN flags = '' THEN 'unpinned_model' ELSE flags || ',unpinned_model' END AS flags
+  FROM (SELECT *, model_name = '' AND component_id % 3 = 0 AS fill FROM scored)""")
+def enriched_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
+    results = rows.where("component_id % 3 = 0").select("component_id", F.lit("gpt-4o").alias("model"), F.lit("").alias("provider"))
+    return K.apply_enrichment(rows, results).select("component_id", "model_name", "provider", F.array_join("flags", ",").alias("flags"))
+
+
+@query(_SCORED + """SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, score DESC, component_id) AS place, component_id, severity, score,
+  array_to_string(string_split(flags, ',')[1:3], ', ') AS shown FROM scored""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports list the gravest first; the place of each row in its scan's report."""
+    rows = K.shown_flags(K.report_order(scored(spark, sf_dir)))
+    place = F.row_number().over(K.Window.partitionBy("scan_id").orderBy(F.desc(C.severity_rank(F.col("severity"))), F.desc("score"), "component_id"))
+    return rows.select("scan_id", place.cast("long").alias("place"), "component_id", "severity", "score", "shown")
+
+
+@query(_SCORED + "SELECT type, count(*) AS n FROM scored GROUP BY type")
+def report_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.type_counts(scored(spark, sf_dir))
+
+
+@query(_SCORED + "SELECT component_id, score, name FROM scored")
+def report_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.sorted_by(scored(spark, sf_dir), "score", descending=True).select("component_id", "score", "name")
+
+
+@query(_SCORED + "SELECT scan_id, min(component_id) AS component_id FROM scored WHERE severity IN ('high', 'critical') GROUP BY scan_id")
+def first_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.breaches(scored(spark, sf_dir), "high").select("scan_id", "component_id")
+
+
+_ADVICE = ", ".join(f"({i}, {quoted(f)}, {quoted(dims.REMEDIES.get(f, ('Restrict who can reach it',))[0])})" for i, f in enumerate(dims.RECOMMENDED))
+
+
+@query(with_views("components", "component_flags") + f" SELECT DISTINCT c.scan_id, r.position, r.flag, r.advice FROM component_flags f JOIN components c ON f.component_id = c.component_id JOIN (VALUES {_ADVICE}) AS r(position, flag, advice) ON f.flag = r.flag")
+def scan_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.recommendations(scored(spark, sf_dir))
+
+
+_REMEDY = ", ".join(f"({quoted(f)}, {quoted(r)}, {quoted(g)}, {quoted(dims.FLAG_OWASP[f][0])}, {quoted(dims.FLAG_OWASP[f][2])})" for f, (r, g) in dims.REMEDIES.items())
+
+
+@query(with_views("component_flags") + f" SELECT f.component_id, r.* FROM component_flags f JOIN (VALUES {_REMEDY}) AS r(flag, remedy, guardrail, category, severity) ON f.flag = r.flag")
+def component_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.remedies(scored(spark, sf_dir))
+
+
+@query(_SCORED + "SELECT 'wf' || (component_id % 100) AS workflow, count(*) AS n_components, max(score) AS max_score FROM scored GROUP BY component_id % 100")
+def workflow_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir).withColumn("workflow", F.concat(F.lit("wf"), F.col("component_id") % 100))
+    return K.workflow_rollup(rows).drop("severity")
+
+
+@query(_SCORED + ", s AS (SELECT scan_id, count(*) AS n, max(score) AS m FROM scored GROUP BY scan_id) SELECT count(*) AS n_scans, CAST(sum(n) AS BIGINT) AS n_components, max(m) AS max_score, count(DISTINCT scan_id % 7) AS n_targets FROM s")
+def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = K.scan_totals(scored(spark, sf_dir)).withColumn("target_path", F.concat(F.lit("t"), F.col("scan_id") % 7))
+    return K.history(totals)
+
+
+@query(_SCORED + f"""SELECT scan_id, count(*) FILTER (WHERE severity IN ('critical', 'high')) AS n_violations, count(*) FILTER (WHERE severity IN ('critical', 'high')) = 0 AS passed FROM (SELECT scan_id, severity FROM scored) GROUP BY scan_id""")
+def policy_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
+    return K.policy_passed(rows, K.at_least(rows, "high"))
+
+
+@query(_SCORED + "SELECT component_id, 'name' AS why FROM scored WHERE component_id % 5 = 0")
+def invalid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth component loses its name."""
+    rows = scored(spark, sf_dir).withColumn("name", F.when(F.col("component_id") % 5 != 0, F.col("name")))
+    return export.invalid_components(rows).select("component_id", F.array_join("why", ",").alias("why"))
+
+
+@query(_SCORED + "SELECT component_id, CASE WHEN type IN ('llm_provider', 'model', 'agent_framework') THEN 'ai_AIPackage' ELSE 'software_Package' END AS spdx_type, CASE WHEN type IN ('llm_provider', 'model', 'agent_framework') THEN CASE severity WHEN 'critical' THEN 'serious' ELSE severity END END AS safety_risk FROM scored")
+def spdx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.spdx_packages(scored(spark, sf_dir)).select("component_id", "spdx_type", "safety_risk")
+
+
+@query(_SCORED + "SELECT scan_id, count(*) AS total, max(score) AS highest, count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) AS n_listed FROM scored GROUP BY scan_id")
+def vendor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    get = lambda path, kind: F.get_json_object("document", f"$.aibom_analysis.{path}").cast(kind)
+    found = plugins.render("vendor", scored(spark, sf_dir))
+    listed_ = F.json_array_length(F.get_json_object("document", "$.aibom_analysis.sources.components")).cast("long")
+    return found.select("scan_id", get("summary.total_components", "long").alias("total"), get("summary.highest_risk_score", "int").alias("highest"), F.coalesce(get("summary.by_severity.high", "long"), F.lit(0)).alias("n_high"), listed_.alias("n_listed"))
+
+
+@query(_SCORED + "SELECT scan_id, count(*) AS n, min(component_id) AS first_id FROM scored GROUP BY scan_id")
+def findings_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = plugins.render("summary", scored(spark, sf_dir))
+    return found.select("scan_id", F.col("findingsCount").alias("n"), F.get_json_object("document", "$.findings[0].id").cast("long").alias("first_id"))
+
+
+@query(_SCORED + "SELECT scan_id, '1.6' AS version, count(*) AS n FROM scored GROUP BY scan_id")
+def bom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = plugins.render("cyclonedx", scored(spark, sf_dir))
+    return found.select("scan_id", F.get_json_object("document", "$.specVersion").alias("version"), F.json_array_length(F.get_json_object("document", "$.components")).cast("long").alias("n"))
+
+
+plugins.reporter("vendor")(export.vendor_documents)
+plugins.reporter("summary")(export.findings_summary)
+plugins.reporter("cyclonedx")(export.bom_documents)
+
+
+@query(_TWO + "SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'removed') AS removed, count(*) FILTER (WHERE change = 'modified') AS modified FROM d")
+def diff_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = export.diff_documents(K.diff(*two_scans(spark, sf_dir)))
+    count = lambda kind: F.json_array_length(F.get_json_object("document", f"$.{kind}")).cast("long").alias(kind)
+    return found.select(count("added"), count("removed"), count("modified"))
+
+
+@query(_SCORED + """, t AS (SELECT component_id, usage_type, regexp_matches(lower(name || ' ' || replace(flags, ',', ' ') || ' ' || usage_type), '"""
+       + "|".join(w for words in dims.HIGH_RISK.values() for w in words) + """') AS risky FROM scored), found AS (SELECT 'high_risk' AS category, 'Flag' AS status FROM t WHERE risky
+ UNION ALL SELECT 'transparency', 'Fail' FROM t WHERE usage_type IN ('completion', 'agent', 'image_gen') UNION ALL SELECT 'transparency', 'Fail' FROM t WHERE usage_type = 'image_gen')
+SELECT category, status, count(*) AS n FROM found GROUP BY category, status""")
+def compliance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.compliance_summary(policy.eu_act_findings(scored(spark, sf_dir)))
+
+
+@query(_SCORED + """SELECT component_id, category, status FROM (SELECT component_id, 'prohibited' AS category, 'Critical' AS status FROM scored WHERE component_id % 4 = 0
+ UNION ALL SELECT component_id, 'transparency', 'Fail' FROM scored WHERE usage_type IN ('completion', 'agent', 'image_gen') AND component_id % 4 <> 1 UNION ALL SELECT component_id, 'transparency', 'Fail' FROM scored WHERE usage_type = 'image_gen' AND component_id % 4 <> 2)""")
+def eu_act_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata that names a prohibited practice, a disclosure, or a mark on made content."""
+    k = F.col("component_id") % 4
+    rows = scored(spark, sf_dir).withColumn("metadata", F.when(k == 0, "social_scoring").when(k == 1, "disclosure to all").when(k == 2, "watermark").otherwise(""))
+    return policy.eu_act_findings(rows).where("category <> 'high_risk'").select("component_id", "category", "status")
+
+
+@query(_SCORED + "SELECT component_id, CASE component_id % 3 WHEN 0 THEN 'GPL' WHEN 1 THEN 'MIT' ELSE CASE WHEN contains(model_name, 'llama-3') THEN 'LLAMAV2' WHEN contains(model_name, 'mistral') THEN 'Apache-2.0' ELSE 'Unknown' END END AS licence FROM scored WHERE type IN ('model', 'llm_provider')")
+def licences_of_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("component_id") % 3
+    rows = scored(spark, sf_dir).withColumn("metadata", F.when(k == 0, "licensed as gpl v3").when(k == 1, "MIT").otherwise(""))
+    return policy.licence_findings(rows).select("component_id", "licence")
+
+
+@query(_SCORED + "SELECT component_id, 1 AS rule_id FROM scored WHERE name = 'Brand#11' OR (name = 'Brand#12' AND FALSE) UNION ALL SELECT component_id, 2 FROM scored WHERE name = 'Brand#12'")
+def gate_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of named entities are fields of their components, where those lack them."""
+    entities = spark.createDataFrame([("Brand#11", {"team": "red", "name": "other"}), ("Brand#12", {"tier": "3"})], "name string, attributes map<string,string>")
+    rules = spark.createDataFrame([(1, "forbid", "team", "==", "RED"), (2, "forbid", "tier", ">=", "2"), (3, "forbid", "name", "==", "other")], "rule_id int, effect string, field string, op string, value string")
+    return policy.gate(scored(spark, sf_dir), rules, entities).select("component_id", "rule_id")
+
+
+@query(with_views("components") + f", t AS (SELECT component_id, concat('a/', CAST(h % 5 AS INT), '/b') AS target FROM components) SELECT component_id, 'action://tool/' || target AS url, CASE WHEN contains(target, '/3/') THEN 'deny' ELSE 'allow' END AS decision FROM t")
+def tool_call_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "components").select(F.col("component_id").alias("call_id"), F.lit("tool").alias("kind"), F.concat(F.lit("a/"), (F.col("h") % 5).cast("int"), F.lit("/b")).alias("target"))
+    rules = spark.createDataFrame([(1, "forbid", "*", "url", "contains", "/3/")], RULES_SCHEMA)
+    return policy.decide(streams.tool_calls_as_requests(calls), rules).select(F.col("request_id").alias("component_id"), "url", "decision")
+
+
+# --- requests ---------------------------------------------------------------------
+
+ACTION_RULES = [(1, "forbid", "http.get", "url", "contains", "deepseek"), (2, "forbid", "http.p*", "hostname", "==", "localhost"), (3, "forbid", "http", "path", "endswith", "/signup"), (4, "permit", "*", "scheme", "==", "https")]
+
+
+@query(with_views("requests") + """ SELECT request_id, CASE WHEN method = 'GET' AND contains(url, 'deepseek') THEN 1 WHEN method IN ('POST', 'PUT') AND contains(url, 'localhost') THEN 2 WHEN ends_with(url, '/signup') THEN 3 ELSE 4 END AS rule_id FROM requests""")
+def request_decisions_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(ACTION_RULES, RULES_SCHEMA)
+    return policy.decide(table(spark, sf_dir, "requests"), rules, action_match=True).select("request_id", "rule_id")
+
+
+@query(with_views("requests") + """ SELECT request_id, CASE WHEN request_id % 4 = 0 THEN NULL WHEN request_id % 1000 >= 500 THEN 1 WHEN method > 'M' THEN 2 END AS rule_id FROM requests WHERE request_id % 4 <> 0
+ UNION ALL SELECT NULL, CASE WHEN request_id % 1000 >= 500 THEN 1 WHEN method > 'M' THEN 2 END FROM requests WHERE request_id % 4 = 0""")
+def request_decisions_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers compare as numbers and text by its order; requests without an id have verdicts of their own."""
+    rules = spark.createDataFrame([(1, "forbid", "*", "header_x_cost", ">=", "500"), (2, "forbid", "*", "method", ">", "m")], RULES_SCHEMA)
+    rows = table(spark, sf_dir, "requests").withColumn("headers", F.create_map(F.lit("X-Cost"), (F.col("request_id") % 1000).cast("string")))
+    rows = rows.withColumn("request_id", F.when(F.col("request_id") % 4 != 0, F.col("request_id")))
+    return policy.decide(rows, rules, numeric_ops=True).select("request_id", "rule_id")
+
+
+@query(with_views("requests") + " SELECT request_id, 'Bearer x' AS kept, '[REDACTED]' AS hidden FROM requests WHERE NOT contains(url, 'localhost') AND NOT ends_with(url, '/view')")
+def requests_for_the_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = policy.excluded(table(spark, sf_dir, "requests"), ["localhost", "/view$"])
+    headers = C.hide_headers(F.create_map(F.lit("X-Note"), F.lit("Bearer x"), F.lit("Authorization"), F.lit("Bearer y")))
+    return rows.withColumn("h", headers).select("request_id", F.col("h")["X-Note"].alias("kept"), F.col("h")["Authorization"].alias("hidden"))
+
+
+@query(_DECIDED + "SELECT CASE WHEN rule_id <= 2 THEN 'blocked' ELSE 'allowed' END AS outcome, count(*) AS n, count(DISTINCT request_id) AS n_requests FROM d GROUP BY ALL")
+def stream_evaluated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged requests as a stream, decided into two sinks."""
+    kind = F.col("event_type")
+    method = F.when(kind.isin("view", "click"), "GET").when(kind == "purchase", "POST").when(kind == "signup", "PUT").otherwise("DELETE")
+    hosts = F.array(*map(F.lit, ["api.openai.com", "api.deepseek.com", "api.anthropic.com", "files.example.com", "localhost:11434"]))
+    url = F.concat(F.lit("https://"), F.get(hosts, (F.col("event_id") % 5).cast("int")), F.lit("/v1/"), kind)
+    requests = event_stream(spark, sf_dir).select(F.col("event_id").alias("request_id"), "ts", method.alias("method"), url.alias("url"), F.col("value").alias("duration_ms"))
+    folder = shared_folder(spark, "evaluated")
+    rules = lambda: spark.createDataFrame(REQUEST_RULES, RULES_SCHEMA).withColumn("loaded_at", F.current_timestamp())
+    streams.evaluate_stream(requests, rules, f"{folder}/allowed", f"{folder}/blocked", f"{folder}/checkpoint").awaitTermination()
+    schema = "request_id long, outcome string"
+    both = spark.read.schema(schema).json(f"{folder}/allowed").unionByName(spark.read.schema(schema).json(f"{folder}/blocked"))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("request_id").alias("n_requests"))
+
+
+@query("SELECT count(*) AS n FROM events")
+def stream_delivered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, delivered in batches of at most a hundred; what was sent."""
+    folder = shared_folder(spark, "delivered")
+
+    def send(batches: DataFrame, batch_id: int) -> None:
+        batches.write.mode("overwrite").json(f"{folder}/sent/batch_id={batch_id}")
+
+    rows = event_stream(spark, sf_dir).select(F.col("event_id").alias("id"))
+    streams.deliver(rows, send, f"{folder}/checkpoint", every=None).awaitTermination()
+    sent = spark.read.schema("part long, batch long, n_events long, idempotency_key string").json(f"{folder}/sent")
+    return sent.where("n_events <= 100 and length(idempotency_key) = 32").agg(F.sum("n_events").alias("n"))
+
+
+# --- events and records -----------------------------------------------------------
+
+
+@query("SELECT event_type AS name, count(*) AS n, avg(CASE WHEN event_id % 7 = 0 THEN 1.0 ELSE 0.0 END) AS error_rate, round(avg(value), 6) AS mean_ms FROM events GROUP BY event_type")
+def call_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("event_id") % 7 != 0).alias("success"), F.col("value").alias("duration_ms"))
+    return streams.call_statistics(calls).select("name", "n", "error_rate", F.round("mean_ms", 6).alias("mean_ms"))
+
+
+@query("SELECT CASE event_id % 3 WHEN 0 THEN 'tool_call' ELSE 'llm_invoke' END AS type, count(*) AS n FROM events WHERE event_id % 3 <> 2 AND event_id % 10 <> 0 GROUP BY ALL")
+def valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of an unknown kind or without an id go, then a middleware drops none and renames none."""
+    kind = F.when(F.col("event_id") % 3 == 0, "tool_call").when(F.col("event_id") % 3 == 1, "llm_invoke").otherwise("other")
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 != 0, F.col("event_id").cast("string")).alias("id"), kind.alias("type"), F.col("event_type").alias("name"), F.col("ts").alias("timestamp"))
+    kept = streams.middleware(rows, [lambda f: f.where(streams.valid_event()), lambda f: f.dropDuplicates(["id"])])
+    return kept.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id AS agent_id, max(ts) >= TIMESTAMP '2000-01-01' AS alive FROM events GROUP BY user_id")
+def agents_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.liveness(streams.last_seen(beats), F.lit("2000-01-01 00:03:00").cast("timestamp")).select("agent_id", "alive")
+
+
+@query(with_views("chat") + " SELECT conv_id, turn, text || '|' || text AS texts FROM chat")
+def chat_message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of messages in both shapes: as text, and as typed parts."""
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    one = F.to_json(F.struct("role", F.col("text").alias("content")))
+    two = F.to_json(F.struct("role", F.array(part("text", F.col("text")), part("image", F.lit("x"))).alias("content")))
+    rows = table(spark, sf_dir, "chat").withColumn("messages", F.concat(F.lit("["), one, F.lit(","), two, F.lit("]")))
+    return rows.select("conv_id", "turn", F.array_join(C.message_texts(F.col("messages")), "|").alias("texts"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'f1,f' || turn WHEN 1 THEN 'g' || turn ELSE '' END AS names FROM conversations")
+def response_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn").cast("string")
+    one = F.concat(F.lit('{"choices":[{"message":{"tool_calls":[{"function":{"name":"f1"}},{"function":{"name":"f'), turn, F.lit('"}}]}}]}'))
+    two = F.concat(F.lit('{"content":[{"type":"text","text":"x"},{"type":"tool_use","name":"g'), turn, F.lit('"}]}'))
+    rows = table(spark, sf_dir, "conversations").withColumn("r", F.when(F.col("turn") % 3 == 0, one).when(F.col("turn") % 3 == 1, two).otherwise("no json"))
+    return rows.select("conv_id", "turn", F.array_join(C.tool_call_names(F.col("r")), ",").alias("names"))
+
+
+@query("SELECT doc_id, md5(text || ' ' || lang || ' ' || source) AS digest FROM documents")
+def payload_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.to_json(F.struct("text", F.struct("lang", F.array("source").alias("s"), F.lit(3).alias("n")).alias("more")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.string_leaves(payload)).alias("digest"))
+
+
+_BAD = " OR ".join([f"regexp_matches(text, {quoted(rx)})" for _, rx, _ in dims.INJECTIONS + dims.DANGERS] + [f"regexp_matches(text, {quoted(rx)})" for kind, rx in dims.DETECTIONS if kind != "credit_card"])
+
+
+@query(with_views("chat") + f" SELECT (conv_id + turn) % 2 = 0 AS evaluated, allowed, count(*) AS n FROM (SELECT conv_id, turn, (conv_id + turn) % 2 <> 0 OR NOT ({_BAD}) AS allowed FROM chat) GROUP BY ALL")
+def evaluated_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads without fields pass; of the others the texts are checked."""
+    rows = table(spark, sf_dir, "chat").withColumn("payload", F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, F.to_json(F.struct("text"))).otherwise("{}"))
+    return policy.evaluate_payloads(rows).groupBy("evaluated", "allowed").agg(F.count(F.lit(1)).alias("n"))
+
+
+_INJ = " OR ".join(f"regexp_matches(text, {quoted(rx)})" for _, rx, _ in dims.INJECTIONS)
+_DAN = " OR ".join(f"regexp_matches(text, {quoted(rx)})" for _, rx, _ in dims.DANGERS)
+
+
+@query(with_views("chat") + f" SELECT injection_detected, content_blocked, count(*) AS n FROM (SELECT {_INJ} AS injection_detected, {_DAN} AS content_blocked FROM chat) GROUP BY ALL")
+def rule_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = policy.rule_context(policy.evaluate_records(table(spark, sf_dir, "chat")))
+    return found.groupBy("injection_detected", "content_blocked").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("chat") + f" SELECT CASE WHEN {_BAD} THEN 'tool_call_denied' ELSE 'tool_call_approved' END AS event_type, count(*) AS n FROM chat GROUP BY ALL")
+def sidecar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streams.sidecar_events(policy.evaluate_records(table(spark, sf_dir, "chat")))
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EMAIL = dict(dims.DETECTIONS)["email"]
+
+
+@query(f"SELECT doc_id, length(regexp_replace(text, {quoted(_EMAIL)}, '[REDACTED_EMAIL]', 'g')) AS n, CAST(strpos(text, regexp_extract(text, {quoted(_EMAIL)})) - 1 AS INT) AS first FROM documents WHERE regexp_matches(text, {quoted(_EMAIL)})")
+def redacted_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses replaced by their places, and the first place."""
+    rows = table(spark, sf_dir, "documents").withColumn("m", text.detect_pii(F.col("text"), kinds=["email"])).where(F.size("m") > 0)
+    return rows.select("doc_id", F.length(text.redact_matches(F.col("text"), F.col("m"))).cast("long").alias("n"), F.col("m")[0]["position"].alias("first"))
+
+
+@query("SELECT doc_id, '[REDACTED_EMAIL]' AS a, '[REDACTED_STAFF] ' || lang AS b FROM documents")
+def redacted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.create_map(F.lit("a"), F.concat(F.lit("u"), "doc_id", F.lit("@example.org")), F.lit("b"), F.concat(F.lit("EMP-12345 "), "lang"))
+    done = table(spark, sf_dir, "documents").withColumn("v", text.redact_values(values, {"STAFF": r"EMP-\d+"}))
+    return done.select("doc_id", F.col("v")["a"].alias("a"), F.col("v")["b"].alias("b"))
+
+
+@query("SELECT doc_id, 'image' || doc_id AS name, 't' || (doc_id % 3) AS tag, CASE WHEN doc_id % 2 = 0 THEN 'vLLM' ELSE 'Unknown' END AS provider FROM documents")
+def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = F.concat(F.lit("image"), "doc_id", F.lit(":t"), F.col("doc_id") % 3, F.lit("@sha256:00 AS base"))
+    owner = F.when(F.col("doc_id") % 2 == 0, "x/vLLM-openai").otherwise("x/other")
+    return table(spark, sf_dir, "documents").select("doc_id", C.image_name(ref).alias("name"), C.image_tag(ref).alias("tag"), C.image_provider(owner).alias("provider"))
+
+
+@query("SELECT doc_id, length(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END) AS n FROM documents")
+def shortened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(C.shortened(F.col("text"), 200)).cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey AS policy_id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0 ORDER BY n_nationkey LIMIT 8")
+def policy_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight enabled policies: a report of that many."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("policy_id"), F.col("n_name").alias("name"), F.lit("d").alias("description"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
+    return K.policy_summaries(rows).select("policy_id", "name")
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents")
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes decoded with wrong ones dropped: one that is never valid is put in front of each text."""
+    content = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(files.text_of(content)).cast("long").alias("n"))
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT unnest([{', '.join(f'CASE WHEN len(regexp_extract_all(text, {quoted(rx)})) > 0 THEN {quoted(kind)} END' for kind, rx in dims.DETECTIONS if kind in ('ssn', 'email', 'phone_us', 'ip_address'))}]) AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY kind")
+def documents_with_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array_distinct(F.transform(text.detect_pii(F.col("text"), kinds=["ssn", "email", "phone_us", "ip_address"]), lambda m: m["type"]))
+    return table(spark, sf_dir, "documents").select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END) AS sha256 FROM documents")
+def updated_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    seen = docs.select("path", F.sha2("content", 256).alias("sha256"))
+    changed = docs.where("path % 3 = 0").withColumn("content", F.concat("content", F.lit("x")))
+    return files.updated_hashes(seen, changed)
+
+
+@query("SELECT doc_id AS path FROM documents WHERE doc_id % 4 = 0")
+def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
+    return streams.deleted_files(docs, docs.where("path % 4 <> 0"))
+
+
+@query(with_views("components") + f" SELECT component_id, CASE WHEN usage_type = 'agent' THEN 'agent_framework' WHEN usage_type = 'tool_use' THEN 'tool' ELSE 'llm_provider' END AS type FROM components")
+def types_of_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "components").select("component_id", C.type_of_usage(F.col("usage_type")).alias("type"))
+
+
+@query(with_views("source_files") + " SELECT path, len(string_split(content, chr(10))) AS n FROM source_files")
+def source_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lined = files.lines(table(spark, sf_dir, "source_files"))
+    return lined.groupBy("path").agg(F.max("line_no").cast("long").alias("n"))
+
+
