@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from aiscope.functions import dims
 
@@ -176,10 +181,28 @@ def type_of_usage(usage: Column) -> Column:
     return F.when(usage.isin("orchestration", "agent"), "agent_framework").when(usage == "tool_use", "tool").otherwise("llm_provider")
 
 
-def string_leaves(document: Column) -> Column:
-    """All string values of a JSON text, at any depth, joined by spaces; names of members are left out."""
-    quoted = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*"(?!\s*:)'), F.lit(0))
-    return F.array_join(F.transform(quoted, lambda q: F.get_json_object(F.concat(F.lit('{"v":'), q, F.lit("}")), "$.v")), " ")
+def _leaves(value: object) -> Iterator[str]:
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, (dict, list)):
+        for part in value.values() if isinstance(value, dict) else value:
+            yield from _leaves(part)
+
+
+def _leaves_of(text: str | None) -> str:
+    try:
+        return " ".join(_leaves(json.loads(text))) if text else ""
+    except (ValueError, RecursionError):
+        return ""
+
+
+@F.pandas_udf(StringType())
+def string_leaves(document: pd.Series) -> pd.Series:
+    """All string values of a JSON text, at any depth and in their order, joined by spaces; names of members are left out, and text that is no JSON has none.
+
+    Columns can neither recurse nor match long quoted strings safely, so this runs on Arrow batches.
+    """
+    return document.map(_leaves_of)
 
 
 def message_texts(messages: Column) -> Column:

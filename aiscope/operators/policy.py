@@ -143,7 +143,7 @@ def evaluate_records(records: DataFrame, column: str = "text", mode: str = "bloc
 
 def evaluate_payloads(records: DataFrame, payload: str = "payload", mode: str = "block") -> DataFrame:
     """The same for JSON payloads: the strings in them are checked together, and a payload without fields passes unevaluated."""
-    empty = F.coalesce(F.json_array_length(payload) == 0, F.size(F.json_object_keys(payload)) == 0, F.lit(True))
+    empty = F.coalesce(F.json_array_length(payload) == 0, F.size(F.json_object_keys(payload)) <= 0, F.lit(True))
     checked = evaluate_records(records.withColumn("_t", F.when(~empty, C.string_leaves(F.col(payload))).otherwise("")), "_t", mode)
     return checked.withColumn("evaluated", ~empty).drop("_t")
 

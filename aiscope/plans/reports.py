@@ -283,7 +283,8 @@ def response_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, md5(text || ' ' || lang || ' ' || source) AS digest FROM documents")
 def payload_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.to_json(F.struct("text", F.struct("lang", F.array("source").alias("s"), F.lit(3).alias("n")).alias("more")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.string_leaves(payload)).alias("digest"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", payload.alias("payload")).withColumn("leaves", C.string_leaves("payload"))
+    return rows.select("doc_id", F.md5("leaves").alias("digest"))
 
 
 _BAD = " OR ".join([f"regexp_matches(text, {quoted(rx)})" for _, rx, _ in dims.INJECTIONS + dims.DANGERS] + [f"regexp_matches(text, {quoted(rx)})" for kind, rx in dims.DETECTIONS if kind != "credit_card"])

@@ -102,3 +102,23 @@ def test_saved_scans_are_replaced_by_id(spark, tmp_path):
     export.save_scan(make(spark, [dict(scan_id=1), dict(scan_id=2, name="old")]), path)
     export.save_scan(make(spark, [dict(scan_id=2, name="new")]), path)
     assert {(r.scan_id, r.name) for r in export.scan_history(spark, path).collect()} == {(1, "n"), (2, "new")}
+
+
+def test_requests_without_or_with_the_same_id_have_verdicts_of_their_own(spark):
+    """A missing id never turns a denial into leave to pass, and equal ids do not share a verdict."""
+    rules = spark.createDataFrame([(1, "forbid", "*", "url", "contains", "bad")], "rule_id int, effect string, action string, field string, op string, value string")
+    rows = spark.createDataFrame([(None, "GET", "https://bad.example"), (1, "GET", "https://bad.example"), (1, "GET", "https://good.example"), (None, "GET", None)], "request_id long, method string, url string")
+    found = policy.decide(rows, rules)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.request_id or 0, r.url or "", r.decision) for r in found.collect()) == [(0, "", "allow"), (0, "https://bad.example", "deny"), (1, "https://bad.example", "deny"), (1, "https://good.example", "allow")]
+    none = spark.createDataFrame([], rules.schema)
+    assert {r.decision for r in policy.decide(rows, none).collect()} == {"allow"}
+
+
+def test_delete_scan_tells_whether_there_was_one(spark, tmp_path):
+    from aiscope.operators import export
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "scan_id int, name string")
+    export.save_scan(rows, f"{tmp_path}/scans")
+    assert export.delete_scan(spark, f"{tmp_path}/scans", 1) and not export.delete_scan(spark, f"{tmp_path}/scans", 1)
+    assert [r.name for r in export.scan_history(spark, f"{tmp_path}/scans").collect()] == ["b"]

@@ -69,3 +69,20 @@ def test_call_statistics(spark):
     rows = spark.createDataFrame([("f", 1.0, True), ("f", 3.0, False)], "name string, duration_ms double, success boolean")
     row = S.call_statistics(rows).first()
     assert (row.n, row.error_rate, row.mean_ms) == (2, 0.5, 2.0)
+
+
+def test_a_replayed_batch_replaces_what_it_wrote(spark, tmp_path):
+    """The sinks of a stream hold each batch once, also when it runs again because its commit was lost."""
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from aiscope.streaming import events
+
+    spark.range(20).select(F.col("id").alias("request_id"), F.lit("GET").alias("method"), F.concat(F.lit("https://h/"), "id").alias("url")).write.parquet(f"{tmp_path}/in")
+    rules = lambda: spark.createDataFrame([(1, "forbid", "*", "url", "endswith", "7")], "rule_id int, effect string, action string, field string, op string, value string").withColumn("loaded_at", F.current_timestamp())
+    for _ in range(2):
+        stream = spark.readStream.schema("request_id long, method string, url string").parquet(f"{tmp_path}/in")
+        events.evaluate_stream(stream, rules, f"{tmp_path}/allowed", f"{tmp_path}/blocked", f"{tmp_path}/checkpoint").awaitTermination()
+        shutil.rmtree(f"{tmp_path}/checkpoint/commits")
+    assert spark.read.json(f"{tmp_path}/allowed").count() == 18 and spark.read.json(f"{tmp_path}/blocked").count() == 2

@@ -166,3 +166,22 @@ def test_context_and_model_files(spark):
     assert detect.context_lines(at, rows, 1).first().context == "13\n14\n15"
     listing = spark.createDataFrame([("a.gguf", 2 << 30), ("b.bin", 10), ("c.bin", 2 << 20), ("d.txt", 5)], "path string, length long")
     assert {r.path: r.flags for r in detect.model_files(listing).collect()} == {"a.gguf": ["large_model_file"], "c.bin": []}
+
+
+def test_literals_that_patterns_need(spark):
+    """Every line that an SDK pattern matches holds one of the substrings that lines are sifted by."""
+    import re as regex
+
+    from aiscope.functions import dims
+
+    marks = detect.required_literals([p for s in dims.SDK_SIGNATURES.values() for p in s[3] + s[4]])
+    lines = ["from openai import OpenAI", "import  anthropic", "x = OpenAiChatModel", "const a = require('@anthropic-ai/sdk')", "use async_openai;", "BedrockRuntime", "client.chat.completions.create", "azure_endpoint =", "dspy.Module", "github.com/sashabaranov/go-openai", "@crew", "kernel.add_plugin", "together.chat.completions", "CompiledGraph", "StorageContext.from", "bedrock-runtime", "from 'openai'", "Anthropic = require", "RetrievalQA.x", "ChatLanguageModel m"]
+    for line in lines:
+        assert regex.search(detect.any_sdk_pattern(), line) and any(m in line for m in marks), line
+    for pattern in [p for s in dims.SDK_SIGNATURES.values() for p in s[3] + s[4]]:
+        assert detect.literals(pattern), pattern
+
+
+def test_string_leaves_of_payloads(spark):
+    found = spark.createDataFrame([('{"a":"x \\"y\\"","b":[{"c":"z"},3,null]}',), ("no json",), (None,), ('"one"',)], "t string").select(C.string_leaves("t").alias("s"))
+    assert [r.s for r in found.collect()] == ['x "y" z', "", "", "one"]
