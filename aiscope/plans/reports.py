@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aiscope.functions import columns as C
@@ -43,7 +43,7 @@ def enriched_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports list the gravest first; the place of each row in its scan's report."""
     rows = K.shown_flags(K.report_order(scored(spark, sf_dir)))
-    place = F.row_number().over(K.Window.partitionBy("scan_id").orderBy(F.desc(C.severity_rank(F.col("severity"))), F.desc("score"), "component_id"))
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc(C.severity_rank(F.col("severity"))), F.desc("score"), "component_id"))
     return rows.select("scan_id", place.cast("long").alias("place"), "component_id", "severity", "score", "shown")
 
 
