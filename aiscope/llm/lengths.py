@@ -46,11 +46,15 @@ def suffix_sums(hist: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def truncated_total(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """``context_limit, docs_cut, tokens_kept`` for any limits, also those between two lengths."""
-    one = F.array(*[F.lit(int(limit)).cast("long") for limit in limits])
-    met = sums.select("n_tokens", "n_docs", F.explode(one).alias("context_limit"))
-    cut_docs = F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0))
-    return met.groupBy("context_limit").agg(cut_docs.alias("docs_cut"), F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("tokens_kept"))
+    """``context_limit, docs_cut, tokens_kept`` for any limits, also those between two lengths.
+
+    The row of the largest length within a limit has the suffix sums beyond it.
+    """
+    below = lambda x: F.max_by(F.struct("docs_longer", "tokens_longer"), F.when(F.col("n_tokens") <= x, F.col("n_tokens")))
+    whole = F.struct(F.max(F.col("docs_within") + F.col("docs_longer")).alias("docs_longer"), F.max("tokens_total").alias("tokens_longer"))
+    found = sums.agg(F.max("tokens_total").alias("t"), *[F.coalesce(below(limit), whole).alias(f"l{i}") for i, limit in enumerate(limits)])
+    cut_at = lambda i, limit: F.struct(F.lit(int(limit)).cast("long").alias("context_limit"), F.col(f"l{i}.docs_longer").alias("docs_cut"), (F.col("t") - F.col(f"l{i}.tokens_longer") + F.col(f"l{i}.docs_longer") * int(limit)).alias("tokens_kept"))
+    return found.where("t is not null").select(F.explode(F.array(*[cut_at(i, limit) for i, limit in enumerate(limits)])).alias("x")).select("x.*")
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
