@@ -218,6 +218,10 @@ def dockerfile_images(lines: DataFrame) -> DataFrame:
     return found.select("path", "line_no", C.image_name(F.col("_r")).alias("image"), C.image_tag(F.col("_r")).alias("tag"), C.image_provider(F.col("_r")).alias("provider"))
 
 
+# Parts of variables that compose services pass to AI software.
+COMPOSE_ENV = ["OPENAI", "ANTHROPIC", "HUGGING", "HF_TOKEN", "COHERE", "MISTRAL", "OLLAMA", "BEDROCK", "AZURE_OPENAI", "GOOGLE_AI", "VERTEX", "REPLICATE", "TOGETHER", "MODEL_NAME", "MODEL_ID", "LLM_", "AI_API", "EMBEDDING"]
+
+
 def compose_services(documents: DataFrame) -> DataFrame:
     """``path, service, image, gpu, ai_env, model_mount`` of compose files, from ``path, v VARIANT``."""
     services = documents.sparkSession.sql(
@@ -227,7 +231,7 @@ def compose_services(documents: DataFrame) -> DataFrame:
     )
     as_text = F.lower(F.to_json("v"))
     image = F.try_variant_get("v", "$.image", "string")
-    return services.select("path", "service", F.coalesce(image, F.lit("")).alias("image"), F.coalesce(F.try_variant_get("v", "$.build.context", "string"), F.try_variant_get("v", "$.build", "string")).alias("build"), as_text.rlike(r'"driver":"nvidia"|"capabilities":\[[^\]]*"gpu"|"runtime":"nvidia"').alias("gpu"), as_text.rlike(r"(openai|anthropic|huggingface|cohere|mistral|hf_token|ollama|model)_?[a-z_]*(key|token|host|name|path|url)").alias("ai_env"), as_text.rlike(r'"volumes":\[[^\]]*(model|weights|checkpoint|\.cache/huggingface)').alias("model_mount"))
+    return services.select("path", "service", F.coalesce(image, F.lit("")).alias("image"), F.coalesce(F.try_variant_get("v", "$.build.context", "string"), F.try_variant_get("v", "$.build", "string")).alias("build"), as_text.rlike(r'"driver":"nvidia"|"capabilities":\[[^\]]*"gpu"|"runtime":"nvidia"').alias("gpu"), F.coalesce(F.to_json(F.try_variant_get("v", "$.environment", "variant")).rlike("(?i)" + "|".join(COMPOSE_ENV)), F.lit(False)).alias("ai_env"), as_text.rlike(r'"volumes":\[[^\]]*(model|weights|checkpoint|\.cache/huggingface)').alias("model_mount"))
 
 
 # Steps of CI workflows, in order.
@@ -270,11 +274,11 @@ def terraform_resources(lines: DataFrame) -> DataFrame:
 
 
 def terraform_attributes(resources: DataFrame) -> DataFrame:
-    """Add the attributes ``model_id, instance_type, region, gpu`` found in the block."""
+    """Add the attributes of the block: ``model_id`` by any of its names, ``instance_type, region, gpu, endpoint_name, kind, display_name, description``."""
     attr = lambda name: F.nullif(F.regexp_extract("context", rf'{name}\s*=\s*"([^"]+)"', 1), F.lit(""))
     instance = F.coalesce(attr("instance_type"), attr("machine_type"), attr("vm_size"))
     gpu = F.coalesce(instance.rlike(r"(?i)(^|\.)(ml\.)?(p[2-5]|g[4-6])[a-z]*\.|a2-|nvidia|standard_n[cdv]"), F.lit(False))
-    return resources.withColumn("model_id", F.coalesce(attr("model_id"), attr("foundation_model"), attr("model_name"))).withColumn("instance_type", instance).withColumn("region", F.coalesce(attr("region"), attr("location"))).withColumn("gpu", gpu)
+    return resources.withColumn("model_id", F.coalesce(attr("model_id"), attr("foundation_model"), attr("model_name"))).withColumn("instance_type", instance).withColumn("region", F.coalesce(attr("region"), attr("location"))).withColumn("gpu", gpu).select("*", *[attr(rf"\b{n}").alias(n) for n in ("endpoint_name", "kind", "display_name", "description")])
 
 
 def cloudformation_resources(documents: DataFrame) -> DataFrame:

@@ -143,3 +143,20 @@ def http_keys(nodes: DataFrame, keep: list[str]) -> DataFrame:
     for pattern, name, _ in dims.KEY_PATTERNS:
         provider = provider.when(F.col("parameters").rlike(pattern), name)
     return nodes.where(F.col("type").endswith(".httpRequest")).withColumn("provider", provider).where("provider is not null").select(*keep, "node", "provider")
+
+
+def workflow_risks(nodes: DataFrame, settings: DataFrame | None = None, key: str = "workflow_id") -> DataFrame:
+    """Per workflow ``internet_facing, webhook_no_auth, handles_errors`` from ``type, parameters`` (JSON text) and, where it is, ``on_error``.
+
+    Errors are handled by a workflow named in ``settings(key, error_workflow)``,
+    by a node for errors, or by a node that goes on after one.
+    """
+    low = F.lower("type")
+    hook = low.contains("webhook")
+    auth = F.get_json_object("parameters", "$.authentication")
+    goes_on = (F.coalesce("on_error", F.lit("")) != "") & (F.col("on_error") != "stopWorkflow") if "on_error" in nodes.columns else F.lit(False)
+    per = nodes.groupBy(key).agg(F.bool_or(hook).alias("internet_facing"), F.bool_or(hook & (F.coalesce(auth, F.lit("none")) == "none")).alias("webhook_no_auth"), F.bool_or(low.contains("error") | F.coalesce(goes_on, F.lit(False))).alias("handles_errors"))
+    if settings is None:
+        return per
+    named = settings.where(F.coalesce("error_workflow", F.lit("")) != "").select(key, F.lit(True).alias("_named")).distinct()
+    return per.join(named, key, "left").select(key, "internet_facing", "webhook_no_auth", (F.col("handles_errors") | F.coalesce("_named", F.lit(False))).alias("handles_errors"))

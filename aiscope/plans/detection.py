@@ -87,7 +87,7 @@ def compose_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.compose_builds(services, detect.dockerfile_images(lines_of(spark, sf_dir, "dockerfile")))
 
 
-@query(expected("terraform", ["line_no", "resource_type", "resource_name", "provider", "type", "model_id", "instance_type", "region", "gpu"], [(0, 1, "aws_bedrockagent_agent", "a", "AWS Bedrock", "agent_framework", "m-1", None, None, False), (2, 2, "aws_sagemaker_endpoint_configuration", "c", "AWS SageMaker", "endpoint", None, "ml.g5.xlarge", "eu-west-1", True)]))
+@query(expected("terraform", ["line_no", "resource_type", "resource_name", "provider", "type", "model_id", "instance_type", "region", "gpu", "endpoint_name", "kind", "display_name", "description"], [(0, 1, "aws_bedrockagent_agent", "a", "AWS Bedrock", "agent_framework", "m-1", None, None, False, None, None, "e", "d"), (2, 2, "aws_sagemaker_endpoint_configuration", "c", "AWS SageMaker", "endpoint", None, "ml.g5.xlarge", "eu-west-1", True, None, None, None, None)]))
 def terraform_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.terraform_attributes(detect.terraform_resources(lines_of(spark, sf_dir, "terraform"))).drop("context")
 
@@ -224,6 +224,18 @@ def multi_agent_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.multi_agent_without_trust(graph.workflow_flags(table(spark, sf_dir, "workflow_nodes"), table(spark, sf_dir, "workflow_edges")))
 
 
+@query("""WITH g AS (SELECT l_orderkey AS workflow_id, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT workflow_id, bool_or(pk % 6 = 0) AS internet_facing, bool_or(pk % 6 = 0 AND sk % 3 <> 1) AS webhook_no_auth, bool_or(pk % 7 = 1) OR workflow_id % 5 = 0 AS handles_errors FROM g GROUP BY workflow_id""")
+def workflow_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhooks without authentication, and errors handled by nodes or by the workflow's settings."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("workflow_id"), "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
+    auth = F.when(F.col("sk") % 3 == 0, '{"authentication":"none"}').when(F.col("sk") % 3 == 1, '{"authentication":"basicAuth"}').otherwise("{}")
+    goes_on = F.when(F.col("pk") % 7 == 1, "continueRegularOutput").when(F.col("pk") % 7 == 2, "stopWorkflow")
+    nodes = rows.select("workflow_id", F.when(F.col("pk") % 6 == 0, "n8n-nodes-base.webhook").otherwise("n8n-nodes-base.set").alias("type"), auth.alias("parameters"), goes_on.alias("on_error"))
+    settings = rows.select("workflow_id", F.when(F.col("workflow_id") % 5 == 0, "w").otherwise("").alias("error_workflow")).distinct()
+    return graph.workflow_risks(nodes, settings)
+
+
 # --- files ------------------------------------------------------------------------
 
 IGNORE = [(1, r"/f\d*7\.py$", False), (2, r"^repo3/", False), (3, r"^repo3/f13\.py$", True)]

@@ -35,7 +35,7 @@ SAMPLES: dict[str, tuple[str, list[str]]] = {
     "compose": ("/docker-compose.yml", ["services:\n  web:\n    build:\n      context: ./app\n  db:\n    image: qdrant/qdrant:v1\nx-note: @TEXT@\n", "services:\n  web:\n    build: app\nx-note: @TEXT@\n"]),
     "dockerfile": ("/app/Dockerfile", ["# @TEXT@\nFROM --platform=linux/amd64 ollama/ollama:0.3 AS base\n", "FROM python:3.12\n# @TEXT@\n"]),
     "terraform": ("/main.tf", [
-        'resource "aws_bedrockagent_agent" "a" {\n  foundation_model = "m-1"\n  tags = {\n    x = "y"\n  }\n}\n# @TEXT@\n',
+        'resource "aws_bedrockagent_agent" "a" {\n  foundation_model = "m-1"\n  description = "d"\n  display_name = "e"\n  tags = {\n    x = "y"\n  }\n}\n# @TEXT@\n',
         'resource "aws_s3_bucket" "b" {\n}\n# @TEXT@\n',
         '# @TEXT@\nresource "aws_sagemaker_endpoint_configuration" "c" {\n  instance_type = "ml.g5.xlarge"\n  region = "eu-west-1"\n}\n',
     ]),

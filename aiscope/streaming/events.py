@@ -21,6 +21,8 @@ EVENT_SCHEMA = "id string, type string, name string, payload string, metadata st
 # Kinds of agent events.
 EVENT_TYPES = ["tool_call", "llm_invoke", "data_access", "api_call", "file_write", "decision", "policy_violation", "error"]
 LATENESS = "10 minutes"
+# Files that are watched, by extension.
+WATCHED = [".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".go", ".rs", ".yml", ".yaml", ".json", ".toml", ".tf", ".ipynb"]
 #: Rules older than this are stale, and everything is allowed.
 STALE_SECONDS = 300
 
@@ -116,9 +118,9 @@ def into_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "complet
 
 
 def watch(spark: SparkSession, root: str, on_change: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "2 seconds") -> StreamingQuery:
-    """Call ``on_change`` with the new and changed files of each trigger, excluded folders left out."""
+    """Call ``on_change`` with the new and changed files of each trigger; excluded folders and other extensions are left out, and triggers are ``every`` so far apart."""
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
-    kept = found.where(files.kept_path(files.relative(F.col("path"), root)))
+    kept = found.where(files.kept_path(files.relative(F.col("path"), root)) & F.regexp_extract("path", r"(\.[^./]+)$", 1).isin(WATCHED))
     return _run(kept, lambda batch, n: on_change(batch.dropDuplicates(["path"]), n), checkpoint, "append", every)
 
 
