@@ -6,7 +6,8 @@ closer than ``MIN_WORDS``, the one with the smallest hash of the words beside it
 is taken, line ends before sentence ends, so that short lines (lists, verse,
 code) make up paragraphs together.  Cuts depend on few words around them: a
 passage that lies inside longer text is cut as elsewhere, and every word of a
-text of ``MIN_WORDS`` or more is in a paragraph.  Paragraphs get MinHash bands
+text of ``MIN_WORDS`` or more is in a paragraph.  A word said that often in a row
+is a paragraph of its own.  Paragraphs get MinHash bands
 over their word shingles; paragraphs that share a band are compared by the exact
 Jaccard similarity of their shingles; classes are connected components; the
 first paragraph of a class stays, the others are removals.
@@ -78,8 +79,17 @@ class Paragraphs:
         with np.errstate(over="ignore"):
             spot[1:] = mix(self.hashes[:-1] * np.uint64(3) + self.hashes[1:]) >> np.uint64(3)
         sentence[1:] = ((final == 46) | (final == 63) | (final == 33))[:-1] & (spot[1:] & np.uint64(1) == 0)
+        # a word said over and over is a paragraph of its own
+        same = np.concatenate(([0], np.flatnonzero(begins | np.append(True, self.hashes[1:] != self.hashes[:-1]))[1:], [n]))
+        long = np.diff(same) >= MIN_WORDS
+        spoken = np.zeros(n + 1, dtype=bool)
+        spoken[same[:-1][long]] = spoken[same[1:][long]] = True
+        texts = np.cumsum(np.append(begins, np.ones(MIN_WORDS, dtype=bool)))
+        at = np.flatnonzero(spoken[:n])
+        at = at[(texts[at + MIN_WORDS - 1] == texts[at]) & (texts[at] == texts[np.maximum(at - MIN_WORDS + 1, 0)]) & (at >= MIN_WORDS)]
         none = np.uint64((1 << 64) - 1)
         rank = np.where(begins, np.uint64(0), np.where(line, spot + np.uint64(1), np.where(sentence, spot | np.uint64(1 << 62), none)))
+        rank[at] = 0
         cuts = smallest(rank, MIN_WORDS - 1) & (rank != none)
         near = np.cumsum(np.append(cuts, np.zeros(STRETCH + 1, dtype=bool)))
         alone = near[np.arange(n) + STRETCH] == np.where(np.arange(n) > STRETCH, near[np.maximum(np.arange(n) - STRETCH - 1, 0)], 0)
