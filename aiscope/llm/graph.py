@@ -43,7 +43,8 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
 def cut(frame: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    with tidy_shuffles(frame.sparkSession):
+        return frame.checkpoint(eager=True)
 
 
 def fresh(frame: DataFrame, *names: str) -> list[str]:
