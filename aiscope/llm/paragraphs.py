@@ -86,16 +86,18 @@ class Paragraphs:
         spoken[same[:-1][long]] = spoken[same[1:][long]] = True
         texts = np.cumsum(np.append(begins, np.ones(MIN_WORDS, dtype=bool)))
         at = np.flatnonzero(spoken[:n])
-        at = at[(texts[at + MIN_WORDS - 1] == texts[at]) & (texts[at] == texts[np.maximum(at - MIN_WORDS + 1, 0)]) & (at >= MIN_WORDS)]
+        at = at[(texts[at + MIN_WORDS - 1] == texts[at]) & (texts[at] == texts[np.maximum(at - MIN_WORDS, 0)]) & (at >= MIN_WORDS)]
+        at = at[np.diff(at, prepend=-MIN_WORDS) >= MIN_WORDS]  # few words between two such runs go with the second
         none = np.uint64((1 << 64) - 1)
         rank = np.where(begins, np.uint64(0), np.where(line, spot + np.uint64(1), np.where(sentence, spot | np.uint64(1 << 62), none)))
         rank[at] = 0
-        cuts = smallest(rank, MIN_WORDS - 1) & (rank != none)
+        end = np.zeros(1, dtype=np.uint64)  # like the beginning of a text
+        cuts = smallest(np.append(rank, end), MIN_WORDS - 1)[:-1] & (rank != none)
         near = np.cumsum(np.append(cuts, np.zeros(STRETCH + 1, dtype=bool)))
         alone = near[np.arange(n) + STRETCH] == np.where(np.arange(n) > STRETCH, near[np.maximum(np.arange(n) - STRETCH - 1, 0)], 0)
         alone &= np.arange(n) <= n - STRETCH
         rank = np.where(alone, spot | np.uint64(1 << 62), none)
-        breaks = cuts | (smallest(rank, MIN_WORDS - 1) & alone)
+        breaks = cuts | (smallest(np.append(rank, end), MIN_WORDS - 1)[:-1] & alone)
         first = np.flatnonzero(breaks)
         last = np.append(first[1:], n)
         fits = last - first >= MIN_WORDS  # only texts of fewer words

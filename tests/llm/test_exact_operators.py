@@ -340,6 +340,11 @@ def test_paragraphs(docs, texts):
 def test_every_word_of_a_text_is_in_a_paragraph(texts):
     import pyarrow as pa
 
+    rng = np.random.default_rng(0)
+    texts = dict(texts)
+    for i in range(3000):  # also texts of words said over and over
+        words = [w for _ in range(rng.integers(1, 6)) for w in ([f"x{rng.integers(0, 40)}"] * int(rng.integers(1, 20)) if rng.random() < 0.6 else [f"y{rng.integers(0, 999)}" + "." * int(rng.integers(0, 2)) for _ in range(rng.integers(1, 20))])]
+        texts[-i - 1] = (" " if i % 2 else "\n").join(words)
     batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts.values()], pa.binary())], names=["text"])
     for block in paragraphs.blocks(iter([batch]), "text"):
         found = paragraphs.Paragraphs(block)
