@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aiscope.llm import bytebpe, decontaminate, lengths, licenses, paragraphs, pitman_yor, quality, secrets, simhash, toxicity
+from aiscope.llm import bytebpe, decontaminate, flatbpe, lengths, licenses, negatives, paragraphs, pitman_yor, quality, repair, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,19 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(*repair.damage(table(spark, sf_dir, "conversations"))).drop("shape")
+
+
+def op12_flat_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatbpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.mislabelled(table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -66,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_flat_bpe": op12_flat_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Quality rules by counts of patterns; windows of five words are found by joining them.
