@@ -62,7 +62,8 @@ def by_length(vectors: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
 
 def directions(sample: list[np.ndarray], size: int, count: int = REFERENCES) -> np.ndarray:
     """Unit vectors far from each other among the sample's of this length, farthest first; random ones if there are too few."""
-    own = np.array([v / n for v in sample if len(v) == size and (n := np.linalg.norm(v))]).reshape(-1, size)
+    own = [v / n for v in sample if len(v) == size and 0 < (n := np.linalg.norm(v)) < np.inf]
+    own = np.array(own).reshape(len(own), size)
     chosen = []
     if len(own):
         nearest = np.full(len(own), -2.0)
@@ -80,12 +81,15 @@ def directions(sample: list[np.ndarray], size: int, count: int = REFERENCES) ->
 
 
 def angles(matrix: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Norms of the rows, and their angles to the references; a right angle for a row of zeros, whose scores are zero anyway."""
+    """Norms of the rows, and their angles to the references; a right angle for a row of zeros, whose scores are zero anyway.
+
+    Norms are cut off where products would overflow; their scores are beyond 64 bits long before.
+    """
     scale = np.abs(matrix).max(axis=1, initial=0)  # else squares of great components overflow
     unit = matrix / np.where(scale, scale, 1)[:, None]
     length = np.linalg.norm(unit, axis=1)
     cosine = np.where(length[:, None] > 0, unit @ references.T / np.where(length, length, 1)[:, None], 0)
-    return scale * length, np.arccos(np.clip(cosine, -1, 1))
+    return np.minimum(scale * length, 1e150), np.arccos(np.clip(cosine, -1, 1))
 
 
 def score_bounds(anchor_angles, anchor_norms, low, high, least_norm, most_norm) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +105,8 @@ def score_bounds(anchor_angles, anchor_norms, low, high, least_norm, most_norm)
     top, bottom = np.cos(nearest), np.cos(np.maximum(farthest, nearest))
     most = np.where(top > 0, size, small) * top
     least = np.where(bottom > 0, small, size) * bottom
-    return np.floor(least - SLACK * size - 1), np.ceil(most + SLACK * size + 1)
+    ends = -(2.0**63), 2.0**63  # where scores end
+    return np.clip(np.floor(least - SLACK * size - 1), *ends), np.clip(np.ceil(most + SLACK * size + 1), *ends)
 
 
 def scores(anchors: np.ndarray, rows: np.ndarray, bound: float) -> np.ndarray:
@@ -289,7 +294,7 @@ class VectorIndex:
         rows = vectors.select(F.col(id_column).alias("_id"), F.col(label_column).cast("long").alias("_label"), F.coalesce(anchor, F.lit(False)).alias("_anchor"), vector.alias("_vector"), usable.alias("_usable")).where("_usable").drop("_usable")
         if not rows.schema["_vector"].dataType.simpleString() == "array<float>":
             rows = rows.withColumn("_vector", F.col("_vector").cast("array<double>"))
-        sample = rows.select("_vector", F.xxhash64("_vector").alias("_hash")).distinct().orderBy("_hash").limit(REFERENCE_SAMPLE).select("_vector").collect()
+        sample = rows.select("_vector", F.xxhash64("_vector", "_id").alias("_hash")).orderBy("_hash").limit(REFERENCE_SAMPLE).collect()
         known = spark.sparkContext.broadcast([np.floor(np.array(r._vector, dtype=np.float64) * 256) for r in sample])
         n, widest = rows.agg(F.count(F.lit(1)), F.max(F.size("_vector"))).first()
         self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * max(widest or 1, REFERENCES) // BUCKET_COMPONENTS))
@@ -299,22 +304,21 @@ class VectorIndex:
         self.rows = cut(stored.select("*", F.spark_partition_id().alias("_bucket"), F.monotonically_increasing_id().alias("_key")))
         # the plan may have been given more partitions than asked for
         self.buckets = max(self.buckets, self.rows.rdd.getNumPartitions())
+        self.shared = spark.sparkContext.broadcast(self._summaries())
 
-    def summaries(self) -> dict[str, np.ndarray] | None:
+    def _summaries(self) -> dict[str, np.ndarray] | None:
         """Intervals of each bucket's labels, norms and angles, if there are few enough buckets to broadcast them."""
         if self.buckets > SUMMARIES:
             return None
         each = [f(F.col("_angles")[r]).alias(f"{name}{r}") for r in range(REFERENCES) for f, name in ((F.min, "low"), (F.max, "high"))]
-        found = self.rows.groupBy("_bucket").agg(F.min("_label").alias("first"), F.max("_label").alias("last"), F.min("_norm").alias("least"), F.max("_norm").alias("most"), *each).toPandas()
-        out = {n: found[n].to_numpy() for n in ("first", "last", "least", "most")} | {"bucket": found["_bucket"].to_numpy()}
-        return out | {side: np.array([found[f"{side}{r}"] for r in range(REFERENCES)], dtype=np.float64).reshape(REFERENCES, len(found)).T for side in ("low", "high")}
+        found = self.rows.groupBy("_bucket").agg(F.min("_label").alias("first"), F.max("_label").alias("last"), F.min("_norm").alias("least"), F.max("_norm").alias("most"), *each).collect()
+        out = {n: np.array([row[n] for row in found]) for n in ("first", "last", "least", "most")} | {"bucket": np.array([row._bucket for row in found], dtype=np.int64)}
+        return out | {side: np.array([[row[f"{side}{r}"] for r in range(REFERENCES)] for row in found], dtype=np.float64).reshape(len(found), REFERENCES) for side in ("low", "high")}
 
     def ask(self, anchors: DataFrame, negative: bool, count: int) -> DataFrame:
         """``_key, _window, _found, _score``: each bucket's first rows for the anchors that it is asked by."""
-        spark = self.rows.sparkSession
-        shared = spark.sparkContext.broadcast(self.summaries())
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in anchors.schema)
-        buckets = self.buckets
+        buckets, shared = self.buckets, self.shared
         routed = anchors.mapInArrow(lambda batches: _routed(batches, buckets, shared.value, negative), f"{fields}, _to array<int>")
         asked = routed.withColumn("_bucket", F.explode("_to")).drop("_to").withColumn("_kind", F.lit(1))
         rows = self.rows.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "_windows" else F.col(f.name) for f in anchors.schema], "_bucket", F.lit(0).alias("_kind"))
