@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from aiscope.functions import columns as C
 from aiscope.functions import dims, text
+from aiscope.sources import files
 
 SNIPPET = 200
 
@@ -159,35 +160,54 @@ def model_mentions(texts: DataFrame, *keep: str) -> DataFrame:
 # --- dependency manifests ----------------------------------------------------
 
 
-def manifest_dependencies(lines: DataFrame) -> DataFrame:
-    """``path, dep`` declared in manifests, told apart by file name.
+# Sections of manifests that declare dependencies.
+JSON_SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+CARGO_SECTIONS = ["dependencies", "dev-dependencies", "build-dependencies"]
+#: A requirement's name, where a version, extras, a marker, an address or nothing follows.
+REQUIREMENT = r"(?m)^[ \t]*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)(?=[ \t]*(?:$|[\[<>=!~;@#\\\\]))"
+GRADLE = r"(?m)^[ \t]*(?:\w*[iI]mplementation|\w*[aA]pi|compile|\w*[cC]ompileOnly|\w*[rR]untimeOnly)\b[ \t(]*(?:(?:platform|enforcedPlatform)[ \t]*\([ \t]*)?"
 
-    Sections of TOML files and groups of POM files are carried down the lines.
+
+def manifest_dependencies(documents: DataFrame) -> DataFrame:
+    """Distinct ``path, dep`` declared in manifests ``path, content``, told apart by file name.
+
+    JSON and TOML files are read by their structure, POM files by their
+    dependency elements, the others by their statements.  A file that is broken
+    declares nothing; versions, scripts and addresses are no dependencies.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    rows = lines.withColumn("_file", name).withColumn("_l", F.trim("line"))
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(F.col("_l").rlike(r"^\[[^\]]+\]"), F.regexp_extract("_l", r"^\[+([^\]]+)\]", 1)), ignorenulls=True).over(order)
-    opened = F.last(F.when(F.col("_l").rlike(r"^(dependencies|[\w-]+)\s*=\s*\["), F.lit("list")).when(F.col("_l").rlike(r"^\]"), F.lit("")), ignorenulls=True).over(order)
-    group = F.last(F.when(F.col("_l").rlike("<groupId>"), F.regexp_extract("_l", r"<groupId>([^<]+)</groupId>", 1)), ignorenulls=True).over(order)
-    rows = rows.withColumn("_s", F.coalesce(section, F.lit(""))).withColumn("_o", F.coalesce(opened, F.lit(""))).withColumn("_g", group)
-    pick = lambda rx: F.nullif(F.regexp_extract("_l", rx, 1), F.lit(""))
-    is_file = lambda *names: F.col("_file").isin(*names)
-    plain = ~F.col("_l").rlike(r"^(#|-|\[|$)")
-    toml_deps = F.col("_s").rlike(r"dependencies$")
-    dep = (
-        F.when(F.col("_file").rlike(r"^requirements.*\.txt$") & plain, pick(r"^([A-Za-z0-9_.-]+)"))
-        .when(is_file("Pipfile") & F.col("_s").isin("packages", "dev-packages"), pick(r"^\"?([A-Za-z0-9_.-]+)\"?\s*="))
-        .when(is_file("pyproject.toml") & (F.col("_s") == "project") & (F.col("_o") == "list"), pick(r"^(?:dependencies\s*=\s*\[\s*)?[\"']([A-Za-z0-9_.-]+)"))
-        .when(is_file("pyproject.toml", "Cargo.toml") & toml_deps, pick(r"^\"?([A-Za-z0-9_.-]+)\"?\s*="))
-        .when(is_file("package.json"), pick(r"^\"(@?[A-Za-z0-9_./-]+)\"\s*:\s*\"[\^~><=*\d]"))
-        .when(is_file("go.mod"), pick(r"^(?:require\s+)?([a-z0-9.-]+\.[a-z]+/[^\s]+)\s+v\d"))
-        .when(is_file("Gemfile"), pick(r"^gem\s+[\"']([^\"']+)[\"']"))
-        .when(is_file("pom.xml") & F.col("_l").rlike("<artifactId>"), F.concat_ws(":", "_g", pick(r"<artifactId>([^<]+)</artifactId>")))
-        .when(is_file("build.gradle", "build.gradle.kts"), pick(r"(?:implementation|api|compile)\s*\(?[\"']([^:\"']+:[^:\"']+)"))
-        .when(F.col("_file").endswith(".csproj"), pick(r"<PackageReference\s+Include=\"([^\"]+)\""))
+    is_file = lambda *names: name.isin(*names)
+    toml_files = is_file("Pipfile", "pyproject.toml", "Cargo.toml", "poetry.lock")
+    text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
+    rows = documents.select("path", name.alias("_file"), text.alias("_t"))
+    rows = rows.withColumn("_v", F.when(is_file("package.json"), F.try_parse_json("_t")).when(toml_files, F.try_parse_json(files.toml_json(F.when(toml_files, F.col("_t"))))))
+    none = F.array().cast("array<string>")
+    entry = lambda *path: "$" + "".join(f'["{p}"]' for p in path)
+    keys = lambda *path: F.coalesce(F.map_keys(F.try_variant_get("_v", entry(*path), "map<string,variant>")), none)
+    strings = lambda *path: F.coalesce(F.try_variant_get("_v", entry(*path), "array<string>"), none)
+    listed = lambda *path: F.coalesce(F.flatten(F.transform(F.map_values(F.try_variant_get("_v", entry(*path), "map<string,variant>")), lambda x: F.coalesce(F.try_variant_get(x, "$", "array<string>"), none))), none)
+    below = lambda path, *sections: F.coalesce(F.flatten(F.transform(F.map_values(F.try_variant_get("_v", entry(*path), "map<string,variant>")), lambda x: F.flatten(F.array(*[F.coalesce(F.map_keys(F.try_variant_get(x, entry(s), "map<string,variant>")), none) for s in sections])))), none)
+    named = lambda values: F.transform(values, lambda x: F.regexp_extract(x, r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)", 1))
+    all_of = lambda pattern, group=1: F.regexp_extract_all("_t", F.lit(pattern), F.lit(group))
+    poetry = F.filter(F.concat(keys("tool", "poetry", "dependencies"), keys("tool", "poetry", "dev-dependencies"), below(("tool", "poetry", "group"), "dependencies")), lambda x: x != "python")
+    locked = F.coalesce(F.transform(F.try_variant_get("_v", "$.package", "array<variant>"), lambda x: F.try_variant_get(x, "$.name", "string")), none)
+    pom = F.regexp_replace(F.regexp_replace("_t", r"(?s)<!--.*?-->", ""), r"(?s)<exclusions>.*?</exclusions>", "")
+    blocks = F.regexp_extract_all(pom, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
+    element = lambda block, tag: F.trim(F.regexp_extract(block, rf"<{tag}>\s*([^<]+?)\s*</{tag}>", 1))
+    found = (
+        F.when(F.col("_file").rlike(r"^requirements.*\.txt$"), all_of(REQUIREMENT))
+        .when(F.col("_file") == "Pipfile", F.concat(keys("packages"), keys("dev-packages")))
+        .when(F.col("_file") == "pyproject.toml", F.concat(named(F.concat(strings("project", "dependencies"), listed("project", "optional-dependencies"), listed("dependency-groups"))), poetry))
+        .when(F.col("_file") == "poetry.lock", locked)
+        .when(F.col("_file") == "Cargo.toml", F.concat(*[keys(s) for s in CARGO_SECTIONS], keys("workspace", "dependencies"), below(("target",), *CARGO_SECTIONS)))
+        .when(F.col("_file") == "package.json", F.concat(*[keys(s) for s in JSON_SECTIONS]))
+        .when(F.col("_file") == "go.mod", F.filter(F.transform(F.filter(all_of(r"(?m)^[ \t]*(?:require[ \t]+)?[a-z0-9.-]+\.[a-z]+(?:/\S+)?[ \t]+v\d[^\n]*", 0), lambda x: ~x.contains("=>")), lambda x: F.regexp_extract(x, r"([a-z0-9.-]+\.[a-z]+(?:/\S+)?)[ \t]+v\d", 1)), lambda x: x != ""))
+        .when(F.col("_file") == "Gemfile", all_of(r"(?m)^[ \t]*gem[ \t(]+[\"']([^\"']+)[\"']"))
+        .when(F.col("_file") == "pom.xml", F.transform(F.filter(blocks, lambda b: element(b, "artifactId") != ""), lambda b: F.concat_ws(":", element(b, "groupId"), element(b, "artifactId"))))
+        .when(F.col("_file").isin("build.gradle", "build.gradle.kts"), F.concat(all_of(GRADLE + r"[\"']([^:\"']+:[^:\"']+)"), F.transform(all_of(GRADLE + r"group\s*[:=]\s*[\"'][^\"']+[\"']\s*,\s*name\s*[:=]\s*[\"'][^\"']+[\"']", 0), lambda x: F.concat_ws(":", F.regexp_extract(x, r"group\s*[:=]\s*[\"']([^\"']+)", 1), F.regexp_extract(x, r"name\s*[:=]\s*[\"']([^\"']+)", 1)))))
+        .when(F.col("_file").endswith(".csproj"), F.regexp_extract_all(F.regexp_replace("_t", r"(?s)<!--.*?-->", ""), F.lit(r"<PackageReference\s[^>]*?Include=\"([^\"]+)\""), F.lit(1)))
     )
-    return rows.select("path", dep.alias("dep")).where("dep is not null").distinct()
+    return rows.select("path", F.explode(F.array_distinct(found)).alias("dep")).where("dep <> ''").distinct()
 
 
 def known_packages(declared: DataFrame) -> DataFrame:
@@ -253,29 +273,23 @@ def ci_steps(documents: DataFrame) -> DataFrame:
     return found.select("path", "job", "step", C.action_name(F.col("uses")).alias("action"), C.action_version(F.col("uses")).alias("version"), "token")
 
 
-def terraform_resources(lines: DataFrame) -> DataFrame:
-    """``path, line_no, resource_type, resource_name, context, provider, type`` of Terraform resources of AI services, context being the block.
+def terraform_resources(documents: DataFrame) -> DataFrame:
+    """``path, line_no, resource_type, resource_name, context, block, provider, type`` of the AI resources in Terraform files ``path, content``.
 
-    The block runs to the line where the braces opened since the resource's
-    line are closed, by a running sum.
+    The context is the resource's line and the next five, up to 200 characters;
+    the block runs to the brace that closes it.
     """
-    head = r'^\s*resource\s+"([^"]+)"\s+"([^"]+)"'
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.when(F.col("line").rlike(head), F.col("line_no"))
-    delta = F.length(F.regexp_replace("line", r"[^{]", "")) - F.length(F.regexp_replace("line", r"[^}]", ""))
-    rows = lines.withColumn("_start", F.last(starts, ignorenulls=True).over(order)).withColumn("_d", delta).where("_start is not null")
-    in_block = Window.partitionBy("path", "_start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_balance", F.sum("_d").over(in_block)).withColumn("_closed", F.coalesce(F.sum(F.when((F.col("_balance") <= 0), 1)).over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    block = rows.where("_closed = 0").groupBy("path", "_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("b"))
-    first = F.col("b")[0]["line"]
-    found = block.select("path", F.col("_start").alias("line_no"), F.regexp_extract(first, head, 1).alias("resource_type"), F.regexp_extract(first, head, 2).alias("resource_name"), F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("context"))
+    text = F.col("content").cast("string")
+    found = documents.where(text.contains("resource")).select("path", text.alias("_t"), F.explode(files.terraform_blocks(text)).alias("r"))
+    lined = F.slice(F.split("_t", "\r\n|\n"), F.col("r.line_no"), F.lit(6))
+    rows = found.select("path", "r.*", F.substring(F.trim(F.array_join(lined, "\n")), 1, SNIPPET).alias("context"))
     table = {name: kind for kind, names in dims.TERRAFORM.items() for name in names}
-    return found.withColumn("provider", C.lookup(F.col("resource_type"), {k: v[0] for k, v in table.items()})).where("provider is not null").withColumn("type", C.lookup(F.col("resource_type"), {k: v[1] for k, v in table.items()}))
+    return rows.withColumn("provider", C.lookup(F.col("resource_type"), {k: v[0] for k, v in table.items()})).where("provider is not null").withColumn("type", C.lookup(F.col("resource_type"), {k: v[1] for k, v in table.items()}))
 
 
 def terraform_attributes(resources: DataFrame) -> DataFrame:
     """Add the attributes of the block: ``model_id`` by any of its names, ``instance_type, region, gpu, endpoint_name, kind, display_name, description``."""
-    attr = lambda name: F.nullif(F.regexp_extract("context", rf'{name}\s*=\s*"([^"]+)"', 1), F.lit(""))
+    attr = lambda name: F.nullif(F.regexp_extract("block", rf'{name}\s*=\s*"([^"]+)"', 1), F.lit(""))
     instance = F.coalesce(attr("instance_type"), attr("machine_type"), attr("vm_size"))
     gpu = F.coalesce(instance.rlike(r"(?i)(^|\.)(ml\.)?(p[2-5]|g[4-6])[a-z]*\.|a2-|nvidia|standard_n[cdv]"), F.lit(False))
     return resources.withColumn("model_id", F.coalesce(attr("model_id"), attr("foundation_model"), attr("model_name"))).withColumn("instance_type", instance).withColumn("region", F.coalesce(attr("region"), attr("location"))).withColumn("gpu", gpu).select("*", *[attr(rf"\b{n}").alias(n) for n in ("endpoint_name", "kind", "display_name", "description")])
@@ -307,21 +321,46 @@ def model_files(files: DataFrame) -> DataFrame:
     return found.select("path", "format", F.round(F.col("length") / (1 << 20), 2).alias("size_mb"), F.when(F.col("length") > 1 << 30, F.array(F.lit("large_model_file"))).otherwise(F.array().cast("array<string>")).alias("flags"))
 
 
+# Parts of commands that are trusted, and providers by part of "name command", in order.
+TRUSTED_COMMANDS = ["npx", "node", "python", "python3", "uvx", "mcp-server-", "@modelcontextprotocol/", "@anthropic/"]
+MCP_PROVIDERS = [
+    ("anthropic", "Anthropic"), ("claude", "Anthropic"), ("openai", "OpenAI"), ("google", "Google"), ("gemini", "Google"), ("filesystem", "MCP Filesystem"), ("fs", "MCP Filesystem"), ("github", "GitHub"), ("git", "MCP Git"),
+    ("sqlite", "MCP Database"), ("postgres", "MCP Database"), ("database", "MCP Database"), ("fetch", "MCP Fetch"), ("http", "MCP Fetch"), ("brave", "Brave Search"), ("puppeteer", "MCP Browser"), ("browser", "MCP Browser"),
+    ("slack", "Slack"), ("memory", "MCP Memory"), ("time", "MCP Time"),
+]
+
+
 def mcp_servers(documents: DataFrame) -> DataFrame:
-    """Servers of tool configurations in their three shapes: ``path, server, command, args, url, trusted, flags``."""
+    """Servers of tool configurations ``path, v VARIANT`` in their three shapes: ``path, server, command, transport, provider, args, env_names, url, flags``.
+
+    The second and third shape count where those before are missing or empty.  A
+    server needs a command; one that is not trusted, or an address that is not
+    local, is an unknown server.
+    """
     found = documents.sparkSession.sql(
-        """select d.path, s.key as server, s.value as s from {documents} d, lateral variant_explode(
-             coalesce(try_variant_get(d.v, '$.mcpServers', 'variant'), try_variant_get(d.v, '$.mcp.servers', 'variant'), try_variant_get(d.v, '$.servers', 'variant'))) s""",
+        """select d.path, s.key as server, s.value as s from (
+             select path, coalesce(if(size(a) > 0, try_variant_get(v, '$.mcpServers', 'variant'), null), if(size(b) > 0, try_variant_get(v, '$.mcp.servers', 'variant'), null),
+                                   if(size(c) > 0, try_variant_get(v, '$.servers', 'variant'), null)) as shape
+             from (select path, v, try_variant_get(v, '$.mcpServers', 'map<string,variant>') as a, try_variant_get(v, '$.mcp.servers', 'map<string,variant>') as b,
+                          try_variant_get(v, '$.servers', 'map<string,variant>') as c from {documents})) d,
+             lateral variant_explode(d.shape) s""",
         documents=documents,
     )
     get = lambda key, kind: F.try_variant_get("s", f"$.{key}", kind)
-    args = F.coalesce(get("args", "array<string>"), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    args = F.coalesce(get("args", "array<string>"), F.when(F.coalesce(get("args", "string"), F.lit("")) != "", F.array(get("args", "string"))), none)
     url = F.coalesce(get("url", "string"), F.get(F.filter(args, lambda a: a.rlike("https?://")), F.lit(0)))
-    rows = found.select("path", "server", get("command", "string").alias("command"), args.alias("args"), url.alias("url"))
+    transport = F.coalesce(get("transport", "string"), F.when(get("url", "variant").isNotNull(), "sse"), F.lit("stdio"))
+    env = F.coalesce(F.map_keys(get("env", "map<string,variant>")), none)
+    rows = found.select("path", "server", get("command", "string").alias("command"), transport.alias("transport"), args.alias("args"), env.alias("env_names"), url.alias("url")).where("command <> ''")
+    both, name = F.lower(F.concat_ws(" ", "server", "command")), F.lower("server")
+    provider = F.when(F.lit(False), F.lit(""))
+    for part, owner in MCP_PROVIDERS:
+        provider = provider.when((name if part == "fs" else both).contains(part), owner)
+    trusted = functools.reduce(operator.or_, [F.lower("command").contains(c) for c in TRUSTED_COMMANDS])
     remote = F.col("url").isNotNull() & ~C.is_local(F.col("url"))
-    # Commands that are expected.
-    trusted = F.element_at(F.split("command", "/"), -1).isin("npx", "node", "python", "python3", "uvx", "uv", "docker", "deno")
-    return rows.where("command is not null or url is not null").withColumn("trusted", F.coalesce(trusted, F.lit(False))).withColumn("flags", F.when(remote, F.array(F.lit("mcp_unknown_server"))).otherwise(F.array().cast("array<string>")))
+    flags = F.array_compact(F.array(F.when(~trusted | remote, "mcp_unknown_server"), F.when(name.contains("http") | name.contains("fetch"), "internet_facing")))
+    return rows.withColumn("provider", provider.otherwise("MCP")).withColumn("flags", flags)
 
 
 def notebook_imports(cells: DataFrame) -> DataFrame:
@@ -360,10 +399,21 @@ def flow_classes(facts: DataFrame) -> DataFrame:
     return bases.join(alias, (F.col("path") == F.col("p")) & (F.col("base") == F.col("alias"))).select("path", "name", "line").distinct()
 
 
-def context_lines(findings: DataFrame, lines: DataFrame, radius: int = 10) -> DataFrame:
-    """Each finding ``path, line_no`` with the lines around it, joined in order."""
-    at = findings.select("path", F.col("line_no").alias("at")).distinct()
-    near = at.join(lines, "path").where(F.col("line_no").between(F.col("at") - radius, F.col("at") + radius))
+#: Lines of a block by which findings meet lines.
+CONTEXT_BLOCK = 64
+
+
+def context_lines(findings: DataFrame, lines: DataFrame, radius: int = 10, head: int = 20) -> DataFrame:
+    """Each distinct finding ``path, line_no`` with the lines around it as ``context``, joined in order; a finding without a line has the first ``head``.
+
+    A range join by blocks: a finding asks for the few blocks that its range
+    touches, so it meets some lines of its file and never all of them.
+    """
+    at = findings.select("path", F.col("line_no").cast("int").alias("at")).distinct()
+    at = at.withColumn("_low", F.when(F.col("at") > 0, F.greatest(F.col("at") - radius, F.lit(1))).otherwise(1)).withColumn("_high", F.when(F.col("at") > 0, F.col("at") + radius).otherwise(head))
+    block = lambda n: F.floor(n / CONTEXT_BLOCK).cast("int")
+    asking = at.withColumn("_block", F.explode(F.sequence(block(F.col("_low")), block(F.col("_high")))))
+    near = asking.join(lines.select("path", "line_no", "line", block(F.col("line_no")).alias("_block")), ["path", "_block"]).where("line_no between _low and _high")
     joined = near.groupBy("path", "at").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return joined.select("path", F.col("at").alias("line_no"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
 
@@ -404,15 +454,10 @@ def notebook_models(cells: DataFrame) -> DataFrame:
 
 def ci_env(documents: DataFrame) -> DataFrame:
     """``path, scope, name, provider, hardcoded`` of key variables in CI workflows, of the workflow (global) and of its jobs."""
-    found = documents.sparkSession.sql(
-        """select d.path, 'global' as scope, e.key as name, cast(e.value as string) as value from {documents} d,
-             lateral variant_explode(try_variant_get(d.v, '$.env', 'variant')) e
-           union all
-           select d.path, j.key, e.key, cast(e.value as string) from {documents} d,
-             lateral variant_explode(try_variant_get(d.v, '$.jobs', 'variant')) j,
-             lateral variant_explode(try_variant_get(j.value, '$.env', 'variant')) e""",
-        documents=documents,
-    )
+    values = lambda v, path: F.coalesce(F.map_entries(F.try_variant_get(v, path, "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    keyed = lambda scope, v: F.transform(values(v, "$.env"), lambda e: F.struct(scope.alias("scope"), e["key"].alias("name"), F.try_variant_get(e["value"], "$", "string").alias("value")))
+    jobs = F.flatten(F.transform(values(F.col("v"), "$.jobs"), lambda j: keyed(j["key"], j["value"])))
+    found = documents.select("path", F.explode(F.concat(keyed(F.lit("global"), F.col("v")), jobs)).alias("e")).select("path", "e.*")
     key = functools.reduce(operator.or_, [F.upper("name").contains(n) for n in dims.CI_ENV_NAMES])
     value = F.coalesce("value", F.lit(""))
     referenced = F.trim(value).startswith("${{") | value.contains("secrets.")

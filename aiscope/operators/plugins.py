@@ -1,25 +1,54 @@
-"""Detectors and reporters by name: functions from frames to frames, put together as one plan."""
+"""Detectors and reporters by name, and one pass over a corpus for all detectors.
+
+A detector says which paths it supports and in which form it wants them.  The
+corpus is read once: every file is routed by its path, parsed at most once for
+each format, and cut down to the rows that some detector may want.  These
+candidates are written, dealt by detector; each detector then reads its own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aiscope.sources import files
+from aiscope.sources.shared import shared_folder
+
 #: What every detector returns, besides columns of its own that are dropped.
 FINDING = ("path", "name", "type", "provider", "line")
+#: Forms of files, and the columns of each beside ``path``.
+FORMS = {"text": ["content"], "lines": ["line_no", "line"], "json": ["v"], "yaml": ["v"], "python": ["kind", "name", "args", "line"], "file": ["length"]}
+
 
-DETECTORS: dict[str, tuple[Callable[[Column], Column], Callable[[DataFrame], DataFrame]]] = {}
+@dataclass(frozen=True)
+class Detector:
+    name: str
+    supports: Callable[[Column], Column]
+    find: Callable[[DataFrame], DataFrame]
+    form: str = "text"
+    maybe: Callable[[Column], Column] | None = None
+
+
+DETECTORS: dict[str, Detector] = {}
 REPORTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
-def detector(name: str, supports: Callable[[Column], Column]) -> Callable:
-    """Register a function from ``path, content`` rows to findings; ``supports`` is the condition on ``path`` for rows that it is given."""
+def detector(name: str, supports: Callable[[Column], Column], form: str = "text", maybe: Callable[[Column], Column] | None = None) -> Callable:
+    """Register a function from rows of a form to findings.
+
+    ``supports`` is the condition on ``path`` for files that it is given, and
+    ``maybe``, for lines, one that every line it can use fulfils.
+    """
+    if form not in FORMS:
+        raise ValueError(f"no form {form!r}; there are {', '.join(FORMS)}")
 
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable:
-        DETECTORS[name] = (supports, f)
+        DETECTORS[name] = Detector(name, supports, f, form, maybe)
         return f
 
     return add
@@ -35,13 +64,75 @@ def reporter(name: str) -> Callable:
     return add
 
 
-def run_detectors(corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """The findings of all detectors, or those named, one after another: ``detector`` and the columns of ``FINDING``; nothing is merged across detectors."""
+CANDIDATE = "path string, length long, line_no int, kind string, text string, args array<string>, detector string"
+
+
+def candidates(corpus: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """The rows of ``path, content`` that detectors may want, in the columns of ``CANDIDATE``: one scan, one projection."""
+    to = {d.name: F.col(f"_to{i}") for i, d in enumerate(detectors)}
+    length = F.col("length").cast("long") if "length" in corpus.columns else F.octet_length("content").cast("long")
+    rows = corpus.select("path", length.alias("length"), F.col("content").cast("string").alias("_t"), *[F.coalesce(d.supports(F.col("path")), F.lit(False)).alias(f"_to{i}") for i, d in enumerate(detectors)])
+    rows = rows.where(reduce(or_, to.values()))
+    of = lambda form: [d for d in detectors if d.form == form]
+    wanted = lambda form: reduce(or_, [to[d.name] for d in of(form)], F.lit(False))
+    if of("yaml"):
+        rows = rows.withColumn("_yaml", files.yaml_json(F.when(wanted("yaml"), F.col("_t"))))
+    if of("python"):
+        rows = rows.withColumn("_facts", files.python_facts_of(F.when(wanted("python"), F.col("_t"))))
+
+    def item(ds: list[Detector], line_no: Column | None, kind: Column, text: Column | None, args: Column | None = None, line: Column | None = None) -> Column:
+        none = F.lit(None)
+        meant = [F.when(to[d.name] & (d.maybe(line) if line is not None and d.maybe else F.lit(True)), F.lit(d.name)) for d in ds]
+        return F.struct(F.array_compact(F.array(*meant)).alias("to"), (none if line_no is None else line_no).cast("int").alias("line_no"), kind.alias("kind"), (none if text is None else text).cast("string").alias("text"), (none if args is None else args).cast("array<string>").alias("args"))
+
+    parts = []
+    if of("lines"):
+        split = F.split(F.when(wanted("lines"), F.col("_t")), "\r\n|\n|\r")
+        parts.append(F.transform(split, lambda line, n: item(of("lines"), n + 1, F.lit("line"), line, line=line)))
+    for form in ("text", "json"):
+        if of(form):
+            parts.append(F.array(item(of(form), None, F.lit(form), F.col("_t"))))
+    if of("yaml"):
+        parts.append(F.when(F.col("_yaml").isNotNull(), F.array(item(of("yaml"), None, F.lit("yaml"), F.col("_yaml")))))
+    if of("python"):
+        parts.append(F.transform("_facts", lambda f: item(of("python"), f["line"], f["kind"], f["name"], f["args"])))
+    if of("file"):
+        parts.append(F.array(item(of("file"), None, F.lit("file"), None)))
+    empty = F.array().cast("array<struct<to:array<string>,line_no:int,kind:string,text:string,args:array<string>>>")
+    items = F.concat(*[F.coalesce(F.filter(p, lambda x: F.size(x["to"]) > 0), empty) for p in parts])
+    found = rows.select("path", "length", F.explode(items).alias("x"))
+    return found.select("path", "length", "x.line_no", "x.kind", "x.text", "x.args", F.explode("x.to").alias("detector"))
+
+
+def _shaped(rows: DataFrame, form: str) -> DataFrame:
+    """Candidates of one detector in its form."""
+    text = F.col("text")
+    columns = {
+        "text": [text.alias("content")], "lines": ["line_no", text.alias("line")], "json": [F.try_parse_json("text").alias("v")], "yaml": [F.try_parse_json("text").alias("v")],
+        "python": ["kind", text.alias("name"), "args", F.col("line_no").alias("line")], "file": ["length"],
+    }
+    return rows.select("path", *columns[form])
+
+
+def run_detectors(corpus: DataFrame, names: list[str] | None = None, folder: str | None = None) -> DataFrame:
+    """The findings of all detectors, or those named: ``detector`` and the columns of ``FINDING``, as strings; nothing is merged across detectors.
+
+    ``corpus`` has ``path, content`` and may have ``length``.  The candidates
+    are written to ``folder``, by default a new one in the shared folder, which
+    must stay as long as the result is read.
+    """
+    unknown = set(names or ()) - set(DETECTORS)
+    if unknown:
+        raise ValueError(f"no detectors {sorted(unknown)}; there are {', '.join(sorted(DETECTORS))}")
+    chosen = [DETECTORS[n] for n in names or sorted(DETECTORS)]
+    spark = corpus.sparkSession
+    folder = folder or shared_folder(spark, "candidates")
+    candidates(corpus, chosen).write.mode("overwrite").partitionBy("detector").parquet(folder)
+    kept = spark.read.schema(CANDIDATE).parquet(folder)
     parts = []
-    for name in names or sorted(DETECTORS):
-        supports, find = DETECTORS[name]
-        found = find(corpus.where(supports(F.col("path"))))
-        parts.append(found.select(F.lit(name).alias("detector"), *[F.col(c).cast("string").alias(c) if c in found.columns else F.lit("").alias(c) for c in FINDING]))
+    for d in chosen:
+        found = d.find(_shaped(kept.where(F.col("detector") == d.name), d.form))
+        parts.append(found.select(F.lit(d.name).alias("detector"), *[F.col(c).cast("string").alias(c) if c in found.columns else F.lit("").alias(c) for c in FINDING]))
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -36,13 +36,13 @@ RULE_FIELDS = "rule_id", "effect", "action", "field", "op", "value"
 
 
 def rule_array(rules: DataFrame) -> Column:
-    """A small rule table as an array literal of structs, in the order of ``rule_id``; its size is checked."""
+    """A small rule table as an array literal of structs, in the order of ``rule_id``, nulls last; its size is checked."""
     have = [c if c in rules.columns else F.lit(None).cast("string").alias(c) for c in RULE_FIELDS]
     rows = rules.select(*have).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     kind = rules.schema["rule_id"].dataType.simpleString()
-    text = json.dumps([r.asDict() for r in sorted(rows, key=lambda r: r.rule_id)], default=str)
+    text = json.dumps([r.asDict() for r in sorted(rows, key=lambda r: (r.rule_id is None, 0 if r.rule_id is None else r.rule_id))], default=str)
     return F.from_json(F.lit(text), f"array<struct<rule_id:{kind},effect:string,action:string,field:string,op:string,value:string>>")
 
 
@@ -51,11 +51,13 @@ def gate(components: DataFrame, rules: DataFrame, entities: DataFrame | None = N
 
     Every component is held against all rules where it is read.  Severities
     compare by rank, numbers as numbers, else text in any case.
-    ``entities(name, attributes)`` adds fields that are missing.
+    ``entities(name, attributes)`` adds fields that are missing; several of one
+    name count as one, of which each attribute has its least value.
     """
     fields = components.select(key, F.col("name").alias("_name"), component_fields(components).alias("f"))
     if entities is not None:
-        more = entities.select(F.col("name").alias("_e"), "attributes")
+        each = entities.select(F.col("name").alias("_e"), F.explode("attributes").alias("_k", "_v")).groupBy("_e", "_k").agg(F.min("_v").alias("_v"))
+        more = each.groupBy("_e").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("attributes"))
         fields = fields.join(more, F.col("_name") == F.col("_e"), "left")
         known = F.coalesce(F.map_filter("attributes", lambda k, _: ~F.map_contains_key("f", k)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
         fields = fields.select(key, F.map_concat("f", known).alias("f"))
@@ -87,15 +89,8 @@ def action_matches(method: Column, pattern: Column) -> Column:
     return (low == "*") | (low == "http") | (low == name) | (low.endswith("*") & name.startswith(F.regexp_replace(low, r"\*$", "")))
 
 
-def decide(requests: DataFrame, rules: DataFrame, numeric_ops: bool = False, action_match: bool = False) -> DataFrame:
-    """Each request with ``decision``, ``reason`` and the ``rule_id`` that decided.
-
-    Forbid beats permit beats the default, allow; the first matching rule by
-    ``rule_id`` counts.  ``rules(rule_id, effect, action, field, op, value)`` is
-    small.  Requests are decided row by row, so rows without a key or with the
-    same one have verdicts of their own, and nothing is shuffled.
-    """
-    fields = requests.withColumn("_f", request_fields(requests))
+def _matching(rules: DataFrame, numeric_ops: bool, action: str | None) -> Column:
+    """All rules that match the fields ``_f``, as structs that sort by effect (forbid first) and then ``rule_id``."""
 
     def hit(rule: Column) -> Column:
         have, op, want = F.try_element_at("_f", rule["field"]), rule["op"], rule["value"]
@@ -104,16 +99,60 @@ def decide(requests: DataFrame, rules: DataFrame, numeric_ops: bool = False, act
             number, wanted = have.try_cast("double"), want.try_cast("double")
             plain = ordered_match(op, F.lower(have), F.lower(want)) & op.isin(">", ">=", "<", "<=")
             found = F.when(number.isNotNull() & wanted.isNotNull(), ordered_match(op, number, wanted)).otherwise(found | plain)
-        return found & action_matches(F.col("method"), rule["action"]) if action_match else found
+        if action == "method":
+            found = found & action_matches(F.col("method"), rule["action"])
+        elif action is not None:
+            found = found & (F.coalesce(rule["action"], F.lit("*")).isin("*", "") | (F.lower(rule["action"]) == F.lower(F.col(action))))
+        return F.coalesce(found, F.lit(False))
+
+    return F.transform(F.filter(rule_array(rules), hit), lambda r: F.struct(F.when(r["effect"] == "forbid", 0).otherwise(1).alias("rank"), *[r[c].alias(c) for c in ("rule_id", "effect", "field", "op", "value")]))
+
+
+def _says(rule: Column) -> Column:
+    return F.concat(F.lit("request."), rule["field"], F.lit(" "), rule["op"], F.lit(' "'), rule["value"], F.lit('"'))
+
 
-    ranked = F.transform(F.filter(rule_array(rules), hit), lambda r: F.struct(F.when(r["effect"] == "forbid", 0).otherwise(1).alias("rank"), *[r[c].alias(c) for c in ("rule_id", "effect", "field", "op", "value")]))
-    met = fields.withColumn("_m", F.array_min(ranked))
-    says = F.concat(F.lit("request."), F.col("_m.field"), F.lit(" "), F.col("_m.op"), F.lit(' "'), F.col("_m.value"), F.lit('"'))
+def decide(requests: DataFrame, rules: DataFrame, numeric_ops: bool = False, action_match: bool = False) -> DataFrame:
+    """Each request with ``decision``, ``reason`` and the ``rule_id`` that decided.
+
+    Forbid beats permit beats the default, allow; the first matching rule by
+    ``rule_id`` counts.  ``rules(rule_id, effect, action, field, op, value)`` is
+    small.  Requests are decided row by row, so rows without a key or with the
+    same one have verdicts of their own, and nothing is shuffled.
+    """
+    fields = requests.withColumn("_f", request_fields(requests))
+    met = fields.withColumn("_m", F.array_min(_matching(rules, numeric_ops, "method" if action_match else None)))
     forbidden = F.coalesce(F.col("_m.effect") == "forbid", F.lit(False))
-    reason = F.when(F.col("_m").isNull(), "No matching policy rules (default allow)").when(forbidden, F.concat(F.lit("Forbidden by policy: "), says)).otherwise(F.concat(F.lit("Explicitly permitted by policy: "), says))
+    reason = F.when(F.col("_m").isNull(), "No matching policy rules (default allow)").when(forbidden, F.concat(F.lit("Forbidden by policy: "), _says(F.col("_m")))).otherwise(F.concat(F.lit("Explicitly permitted by policy: "), _says(F.col("_m"))))
     return met.select(*requests.columns, F.when(forbidden, "deny").otherwise("allow").alias("decision"), reason.alias("reason"), F.col("_m.rule_id").alias("rule_id"))
 
 
+def explain(requests: DataFrame, rules: DataFrame, numeric_ops: bool = False, action: str | None = "method") -> DataFrame:
+    """Each request with ``decision``, all ``reasons`` for it, and ``triggered``: the distinct ids of the rules behind them.
+
+    If any forbid rule matches, all that do are named and permits are not; else
+    all permits that match; else the default.  A rule's action is held against
+    the method, or against the column that ``action`` names (a tool's name, in
+    any case; ``*``, "" or null for all tools), or against nothing.
+    """
+    fields = requests.withColumn("_f", request_fields(requests)).withColumn("_all", F.array_sort(_matching(rules, numeric_ops, action)))
+    fields = fields.withColumn("_m", F.filter("_all", lambda r: r["rank"] == F.element_at("_all", 1)["rank"]))
+    forbidden = F.exists("_m", lambda r: r["effect"] == "forbid")
+    says = F.transform("_m", lambda r: F.concat(F.when(r["effect"] == "forbid", "Forbidden by policy: ").otherwise("Explicitly permitted by policy: "), _says(r)))
+    reasons = F.when(F.size("_m") == 0, F.array(F.lit("No matching policy rules (default allow)"))).otherwise(says)
+    triggered = F.array_distinct(F.transform("_m", lambda r: r["rule_id"]))
+    return fields.select(*requests.columns, F.when(forbidden, "deny").otherwise("allow").alias("decision"), reasons.alias("reasons"), triggered.alias("triggered"))
+
+
+def violation_report(violations: DataFrame, rules: DataFrame, key: str = "component_id") -> DataFrame:
+    """Each rule that :func:`gate` found broken, once: ``rule_id, condition, n_violations, n_components``, and its text where ``rules`` has ``raw``."""
+    per = violations.groupBy("rule_id", F.concat(F.lit("resource."), "field", F.lit(" "), "op", F.lit(" "), "value").alias("condition")).agg(F.count(F.lit(1)).alias("n_violations"), F.countDistinct(key).alias("n_components"))
+    if "raw" not in rules.columns:
+        return per
+    texts = rules.groupBy("rule_id").agg(F.min("raw").alias("raw"))
+    return per.join(F.broadcast(texts.limit(MAX_RULES)), "rule_id", "left")
+
+
 def outcome(decision: Column, mode: Column | str, failed: Column | None = None) -> Column:
     """``allowed``, ``blocked``, ``warned`` or ``error``."""
     mode = F.lit(mode) if isinstance(mode, str) else mode

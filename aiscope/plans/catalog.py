@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from aiscope.operators import components as K
 from aiscope.operators import detect, export, graph, policy
 from aiscope.plans.views import table, with_views
 from aiscope.sources import files
+from aiscope.sources.shared import shared_folder
 from aiscope.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -450,16 +449,6 @@ def hash_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = table(spark, sf_dir, "events").schema

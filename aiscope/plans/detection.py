@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aiscope.functions import columns as C
 from aiscope.functions import dims
-from aiscope.operators import detect, graph, plugins
+from aiscope.operators import detect, detectors, graph, plugins  # noqa: F401  detectors registers those of the library
 from aiscope.plans.catalog import listed, query, quoted
 from aiscope.plans.samples import expected, sample
 from aiscope.plans.views import table, with_views
@@ -71,7 +73,7 @@ def ci_ai_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.ci_steps(yaml_of(spark, sf_dir, "ci"))
 
 
-@query(expected("compose", ["service", "image", "build", "gpu", "ai_env", "model_mount"], [(0, "web", "", "./app", False, False, False), (0, "db", "qdrant/qdrant:v1", None, False, False, False), (1, "web", "", "app", False, False, False)]))
+@query(expected("compose", ["service", "image", "build", "gpu", "ai_env", "model_mount"], [(0, "llm", "vllm/vllm-openai:v@ID@", None, True, False, True), (0, "app", "nginx", None, False, True, False), (1, "web", "", "./app", False, False, False), (1, "db", "qdrant/qdrant:v1", None, False, False, False), (2, "web", "", "app", False, False, False)]))
 def compose_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.compose_services(yaml_of(spark, sf_dir, "compose"))
 
@@ -81,15 +83,20 @@ def dockerfile_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.dockerfile_images(lines_of(spark, sf_dir, "dockerfile"))
 
 
-@query("SELECT path, service, replace(path, 'docker-compose.yml', 'app/Dockerfile') AS dockerfile, image, name FROM (" + expected("compose", ["service", "image", "name"], [(0, "web", "ollama/ollama", "web (ollama/ollama)")]) + ")")
+@query("SELECT path, service, replace(path, 'docker-compose.yml', 'app/Dockerfile') AS dockerfile, image, name FROM (" + expected("compose", ["service", "image", "name"], [(1, "web", "ollama/ollama", "web (ollama/ollama)"), (2, "web", "ollama/ollama", "web (ollama/ollama)")]) + ") WHERE CAST(regexp_extract(path, 'f(\\d+)/', 1) AS BIGINT) % 2 = 0")
 def compose_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     services = detect.compose_services(yaml_of(spark, sf_dir, "compose"))
     return detect.compose_builds(services, detect.dockerfile_images(lines_of(spark, sf_dir, "dockerfile")))
 
 
-@query(expected("terraform", ["line_no", "resource_type", "resource_name", "provider", "type", "model_id", "instance_type", "region", "gpu", "endpoint_name", "kind", "display_name", "description"], [(0, 1, "aws_bedrockagent_agent", "a", "AWS Bedrock", "agent_framework", "m-1", None, None, False, None, None, "e", "d"), (2, 2, "aws_sagemaker_endpoint_configuration", "c", "AWS SageMaker", "endpoint", None, "ml.g5.xlarge", "eu-west-1", True, None, None, None, None)]))
+@query(expected("terraform", ["line_no", "resource_type", "resource_name", "provider", "type", "model_id", "instance_type", "region", "gpu", "endpoint_name", "kind", "display_name", "description", "block_lines"], [
+    (0, 1, "aws_bedrockagent_agent", "a", "AWS Bedrock", "agent_framework", "m-@ID@", None, None, False, None, None, "e", "d", 8), (2, 2, "aws_sagemaker_endpoint_configuration", "c", "AWS SageMaker", "endpoint", None, "ml.g5.xlarge", "eu-west-1", True, None, None, None, None, 4),
+    (3, 2, "google_discovery_engine_search_engine", "s", "Google Discovery Engine", "endpoint", None, None, None, False, None, "k-@LANG@", "a } ${join(", None, 8), (4, 1, "azurerm_cognitive_account", "p", "Azure AI", "llm_provider", None, None, None, False, None, "OpenAI", None, None, 1),
+    (4, 2, "aws_kendra_index", "q", "AWS Kendra", "tool", None, None, "@LANG@-1", False, None, None, None, "esc \\", 2),
+]))
 def terraform_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.terraform_attributes(detect.terraform_resources(lines_of(spark, sf_dir, "terraform"))).drop("context")
+    found = detect.terraform_attributes(detect.terraform_resources(sample(spark, sf_dir, "terraform")))
+    return found.withColumn("block_lines", F.size(F.split("block", "\n"))).drop("context", "block")
 
 
 @query(expected("template", ["resource_name", "resource_type", "model_name", "provider", "type"], [(0, "Bot", "AWS::Lex::Bot", "", "AWS Lex", "agent_framework"), (0, "Agent", "AWS::Bedrock::Agent", "m-2", "AWS Bedrock", "agent_framework")]))
@@ -97,20 +104,33 @@ def cloudformation_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.cloudformation_resources(yaml_of(spark, sf_dir, "template"))
 
 
-@query(expected("servers", ["server", "command", "url", "trusted", "flags"], [(0, "fs", "npx", None, True, ""), (1, "web", None, "https://m.example.com/sse", False, "mcp_unknown_server"), (2, "loc", "/x/evil", "http://localhost:9/sse", False, "")]))
+@query(expected("servers", ["server", "command", "transport", "provider", "url", "env_names", "flags"], [
+    (0, "fs", "npx", "stdio", "MCP Filesystem", None, "LANG_@LANG@", ""), (1, "fetcher", "uvx", "stdio", "MCP Fetch", "https://m.example.com/@ID@", "", "mcp_unknown_server,internet_facing"),
+    (2, "loc", "/x/evil", "stdio", "MCP", "http://localhost:9/sse", "", "mcp_unknown_server"), (3, "github-@LANG@", "node", "http", "GitHub", "http://127.0.0.1:1", "", ""),
+]))
 def mcp_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.mcp_servers(sample(spark, sf_dir, "servers").select("path", F.try_parse_json("content").alias("v")))
-    return found.drop("args").withColumn("flags", F.array_join("flags", ","))
+    return found.drop("args").withColumns({"flags": F.array_join("flags", ","), "env_names": F.array_join("env_names", ",")})
 
 
 @query(expected("requirements", ["dep"], [(0, "openai"), (0, "numpy"), (0, "langchain_openai"), (1, "flask")]))
 def manifest_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.manifest_dependencies(lines_of(spark, sf_dir, "requirements"))
+    return detect.manifest_dependencies(sample(spark, sf_dir, "requirements"))
+
+
+@query(expected("manifests", ["dep"], [
+    (0, "openai"), (0, "@scope/p-@ID@"), (0, "cohere-ai"), (1, "openai"), (1, "anthropic"), (1, "cohere"), (1, "lang-@LANG@"), (1, "pytest"), (2, "openai"), (2, "p-@ID@"), (2, "black"), (3, "async-openai"), (3, "libc"), (3, "p-@LANG@"),
+    (4, "github.com/sashabaranov/go-openai"), (4, "github.com/x/p-@ID@"), (5, "ruby-openai"), (5, "p-@LANG@"), (6, "dev.langchain4j:langchain4j-@LANG@"), (7, "dev.langchain4j:langchain4j"), (7, "x.y:p-@ID@"), (7, "a.b:c"), (8, "OpenAI"), (8, "P.@LANG@"),
+    (9, "openai"), (9, "anthropic"), (9, "p-@ID@"), (9, "x"), (10, "openai"), (10, "p-@LANG@"),
+]))
+def declared_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of all kinds by their structure."""
+    return detect.manifest_dependencies(sample(spark, sf_dir, "manifests"))
 
 
 @query(expected("requirements", ["name", "provider", "usage_type", "type"], [(0, "openai", "OpenAI", "completion", "llm_provider"), (0, "langchain_openai", "LangChain", "orchestration", "agent_framework")]))
 def dependency_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.dependency_components(detect.manifest_dependencies(lines_of(spark, sf_dir, "requirements")))
+    return detect.dependency_components(detect.manifest_dependencies(sample(spark, sf_dir, "requirements")))
 
 
 @query(expected("env", ["line_no", "name", "provider", "hardcoded", "masked"], [(0, 1, "OPENAI_API_KEY", "OpenAI", True, "sk-abcde...stuv"), (0, 3, "HF_TOKEN", "HuggingFace", False, "${HF...F}"), (1, 3, "OLLAMA_HOST", "Ollama", False, "http://l...1434")]))
@@ -266,21 +286,42 @@ def finding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- plug-ins ---------------------------------------------------------------------
 
 
-@plugins.detector("python", lambda path: path.endswith(".py"))
-def _python(corpus: DataFrame) -> DataFrame:
-    return detect.fact_imports(files.python_facts(corpus)).withColumnRenamed("package", "name").withColumn("type", C.type_of_usage(F.col("usage_type")))
-
-
-@plugins.detector("dependencies", lambda path: path.rlike("requirements.*[.]txt$"))
-def _dependencies(corpus: DataFrame) -> DataFrame:
-    return detect.dependency_components(detect.manifest_dependencies(files.lines(corpus.select("path", "content"))))
-
-
-@query("SELECT 'python' AS detector, path, package AS name, CASE usage_type WHEN 'completion' THEN 'llm_provider' ELSE 'agent_framework' END AS type, provider, CAST(line AS VARCHAR) AS line FROM (" + expected("python", ["package", "provider", "usage_type", "line"], [(0, "openai", "OpenAI", "completion", 1), (1, "anthropic", "Anthropic", "completion", 1), (2, "crewai", "CrewAI", "agent", 1), (3, "langchain_openai", "LangChain", "orchestration", 1), (3, "ollama", "Ollama", "completion", 2)])
-       + ") UNION ALL SELECT 'dependencies', path, name, type, provider, '' FROM (" + expected("requirements", ["name", "type", "provider"], [(0, "openai", "llm_provider", "OpenAI"), (0, "langchain_openai", "agent_framework", "LangChain")]) + ")")
+_FOUND = [
+    ("ci_env", "ci", [(0, "HF_TOKEN", "llm_provider", "HuggingFace", ""), (0, "OPENAI_API_KEY", "llm_provider", "OpenAI", ""), (2, "XAI_API_KEY", "llm_provider", "xAI", "")]),
+    ("ci_steps", "ci", [(0, "acme/openai-review", "tool", "openai", ""), (1, "x/claude-review", "tool", "claude-review", "")]),
+    ("cloudformation", "template", [(0, "AWS::Bedrock::Agent.Agent", "agent_framework", "AWS Bedrock", ""), (0, "AWS::Lex::Bot.Bot", "agent_framework", "AWS Lex", "")]),
+    ("compose_services", "compose", [(0, "app", "container", "Unknown", ""), (0, "llm", "container", "vLLM", ""), (1, "db", "container", "Unknown", "")]),
+    ("config_keys", "settings", [(0, "Groq API Key", "llm_provider", "Groq", "1")]),
+    ("dependencies", "requirements", [(0, "openai", "llm_provider", "OpenAI", ""), (0, "langchain_openai", "agent_framework", "LangChain", "")]),
+    ("dependencies", "manifests", [(0, "openai", "llm_provider", "OpenAI", ""), (1, "anthropic", "llm_provider", "Anthropic", ""), (1, "cohere", "llm_provider", "Cohere", ""), (1, "openai", "llm_provider", "OpenAI", ""), (2, "openai", "llm_provider", "OpenAI", ""),
+        (3, "async-openai", "llm_provider", "OpenAI", ""), (4, "github.com/sashabaranov/go-openai", "llm_provider", "OpenAI", ""), (8, "OpenAI", "llm_provider", "OpenAI", ""), (9, "anthropic", "llm_provider", "Anthropic", ""), (9, "openai", "llm_provider", "OpenAI", ""), (10, "openai", "llm_provider", "OpenAI", "")]),
+    ("dockerfiles", "dockerfile", [(0, "ollama/ollama", "container", "Ollama", "2")]),
+    ("endpoints", "env", [(0, "OpenAI env_var", "endpoint", "OpenAI", "1"), (0, "HuggingFace env_var", "endpoint", "HuggingFace", "3"), (1, "Ollama env_var", "endpoint", "Ollama", "3")]),
+    ("mcp_servers", "servers", [(0, "fs (MCP Server)", "mcp_server", "MCP Filesystem", ""), (1, "fetcher (MCP Server)", "mcp_server", "MCP Fetch", ""), (2, "loc (MCP Server)", "mcp_server", "MCP", ""), (3, "github-@LANG@ (MCP Server)", "mcp_server", "GitHub", "")]),
+    ("model_files", "weights", [(0, "w.onnx", "model", "ONNX", "")]),
+    ("notebook_imports", "notebook", [(0, "openai", "llm_provider", "OpenAI", "1"), (1, "transformers", "llm_provider", "HuggingFace", "1")]),
+    ("notebook_models", "notebook", [(0, "", "llm_provider", "OpenAI", ""), (1, "bert-base", "model", "HuggingFace", ""), (1, "mini", "model", "HuggingFace", "")]),
+    ("python_calls", "python", [(0, "OpenAI API call: Chat Completions API", "llm_provider", "OpenAI", "3"), (1, "Anthropic API call: Messages API", "llm_provider", "Anthropic", "3"), (3, "Ollama API call: Ollama chat", "llm_provider", "Ollama", "3")]),
+    ("python_flows", "python", [(2, "Trip", "agent_framework", "CrewAI", "3"), (2, "flow_start: begin", "agent_framework", "CrewAI", "4"), (2, "flow_listener: after", "agent_framework", "CrewAI", "7")]),
+    ("python_imports", "python", [(0, "openai", "llm_provider", "OpenAI", "1"), (1, "anthropic", "llm_provider", "Anthropic", "1"), (2, "crewai", "agent_framework", "CrewAI", "1"), (3, "langchain_openai", "agent_framework", "LangChain", "1"), (3, "ollama", "llm_provider", "Ollama", "2")]),
+    ("python_models", "python", [(0, "gpt-4o-mini", "model", "OpenAI", "3"), (1, "claude-3-opus", "model", "Anthropic", "3"), (3, "llama-3-8b", "model", "Meta", "3"), (3, "o1-mini", "model", "OpenAI", "4")]),
+    ("sdk_usage", "python", [(0, "OpenAI", "llm_provider", "OpenAI", "1"), (0, "OpenAI Model", "model", "OpenAI", "3"), (1, "Anthropic", "llm_provider", "Anthropic", "1"), (1, "Anthropic Model", "model", "Anthropic", "3"), (1, "Anthropic Model", "model", "Anthropic", "4"),
+        (2, "CrewAI", "agent_framework", "CrewAI", "1"), (3, "LangChain", "agent_framework", "LangChain", "1"), (3, "Ollama", "llm_provider", "Ollama", "2"), (3, "Ollama Model", "model", "Ollama", "3")]),
+    ("terraform", "terraform", [(0, "aws_bedrockagent_agent.a", "agent_framework", "AWS Bedrock", "1"), (2, "aws_sagemaker_endpoint_configuration.c", "endpoint", "AWS SageMaker", "2"), (3, "google_discovery_engine_search_engine.s", "endpoint", "Google Discovery Engine", "2"),
+        (4, "azurerm_cognitive_account.p", "llm_provider", "Azure AI", "1"), (4, "aws_kendra_index.q", "tool", "AWS Kendra", "2")]),
+    ("workflow_nodes", "workflow", [(0, "A-@ID@", "llm_provider", "OpenAI", "")]),
+]
+
+
+def whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all formats in one table."""
+    return reduce(DataFrame.unionByName, [sample(spark, sf_dir, name).select("path", "content") for name in dict.fromkeys(s for _, s, _ in _FOUND)])
+
+
+@query(" UNION ALL ".join(f"SELECT {quoted(d)} AS detector, * FROM ({expected(s, ['name', 'type', 'provider', 'line'], rows)})" for d, s, rows in _FOUND))
 def all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = sample(spark, sf_dir, "python").unionByName(sample(spark, sf_dir, "requirements")).select("path", "content")
-    return plugins.run_detectors(corpus, ["python", "dependencies"])
+    """All registered detectors over files of all formats, in one pass."""
+    return plugins.run_detectors(whole_corpus(spark, sf_dir))
 
 
 _NAMES = sorted({d for s in dims.SDK_SIGNATURES.values() for d in s[6]} | {n for names in dims.PACKAGES.values() for n in names})
@@ -289,5 +330,5 @@ _NAMES = sorted({d for s in dims.SDK_SIGNATURES.values() for d in s[6]} | {n for
 @query(f"SELECT package, count(doc_id) AS n FROM (VALUES {', '.join(f'({quoted(n)})' for n in _NAMES)}) AS p(package) LEFT JOIN documents ON doc_id % 2 = 0 AND package IN ('openai', 'langchain_openai') GROUP BY package")
 def package_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many projects declare each known package."""
-    declared = detect.manifest_dependencies(lines_of(spark, sf_dir, "requirements")).groupBy(F.col("dep").alias("package")).agg(F.count(F.lit(1)).alias("n"))
+    declared = detect.manifest_dependencies(sample(spark, sf_dir, "requirements")).groupBy(F.col("dep").alias("package")).agg(F.count(F.lit(1)).alias("n"))
     return detect.all_package_names(spark).join(declared, "package", "left").select("package", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+import bisect
+import functools
 import json
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aiscope.functions import dims
 
@@ -110,7 +114,7 @@ def workflow_edges(documents: DataFrame) -> DataFrame:
     return documents.sparkSession.sql(
         """select path, src, dst, min(edge_pos) as edge_pos from (
              select w.path, s.key as src, try_variant_get(t.value, '$.node', 'string') as dst,
-                    cast(k.pos * 1000000 + o.pos * 1000 + t.pos as int) as edge_pos
+                    struct(k.pos as kind, o.pos as output, t.pos as target) as edge_pos
              from {documents} w,
                   lateral variant_explode(try_variant_get(w.v, '$.connections', 'variant')) s,
                   lateral variant_explode(s.value) k,
@@ -129,80 +133,168 @@ def notebook_cells(documents: DataFrame, text: str = "content") -> DataFrame:
     return cells.where(F.try_variant_get("c", "$.cell_type", "string") == "code").select("path", "cell", source.alias("source"))
 
 
-def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@functools.cache
+def _yaml_loader() -> type:
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """Safe, and reads tags such as !Ref as plain values."""
 
-    def plain(loader: yaml.SafeLoader, _suffix: str, node: yaml.Node):  # noqa: ANN202
+    def plain(loader, _suffix: str, node: yaml.Node):  # noqa: ANN001, ANN202
         if isinstance(node, yaml.ScalarNode):
             return loader.construct_scalar(node)
         return loader.construct_sequence(node, deep=True) if isinstance(node, yaml.SequenceNode) else loader.construct_mapping(node, deep=True)
 
     Loader.add_multi_constructor("!", plain)
-    for batch in batches:
-        paths, texts = [], []
-        for path, text in zip(batch["path"], batch["content"]):
-            try:
-                value = json.dumps(yaml.load(text, Loader=Loader), default=str)  # noqa: S506
-            except (yaml.YAMLError, TypeError, ValueError, AttributeError, RecursionError):
-                continue
-            paths.append(path)
-            texts.append(value)
-        yield pd.DataFrame({"path": paths, "json": texts}, dtype=object)
+    return Loader
+
+
+def yaml_as_json(text: str | None) -> str | None:
+    """A YAML text as JSON; None if it is no YAML or holds what JSON does not."""
+    import yaml
+
+    try:
+        return None if text is None else json.dumps(yaml.load(text, Loader=_yaml_loader()), default=str, allow_nan=False)  # noqa: S506
+    except (yaml.YAMLError, TypeError, ValueError, AttributeError, RecursionError):
+        return None
+
+
+def toml_as_json(text: str | None) -> str | None:
+    """The same for TOML."""
+    import tomllib
+
+    try:
+        return None if text is None else json.dumps(tomllib.loads(text), default=str, allow_nan=False)
+    except (tomllib.TOMLDecodeError, TypeError, ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def yaml_json(texts: pd.Series) -> pd.Series:
+    return texts.map(yaml_as_json).astype(object)
+
+
+@F.pandas_udf(T.StringType())
+def toml_json(texts: pd.Series) -> pd.Series:
+    return texts.map(toml_as_json).astype(object)
 
 
 def yaml_documents(documents: DataFrame) -> DataFrame:
     """``path, v VARIANT`` from ``path, content``; files that are no YAML give no row."""
-    text = documents.select("path", F.col("content").cast("string").alias("content"))
-    return text.mapInPandas(_yaml_to_json, "path string, json string").select("path", F.parse_json("json").alias("v"))
-
-
-PY_FACTS = "path string, kind string, name string, args array<string>, line int"
-
-
-def _py_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import ast
-
-    def dotted(node: ast.AST) -> str:
-        if isinstance(node, ast.Name):
-            return node.id
-        if isinstance(node, ast.Attribute):
-            left = dotted(node.value)
-            return f"{left}.{node.attr}" if left else node.attr
-        return dotted(node.func) if isinstance(node, ast.Call) else ""
-
-    for batch in batches:
-        rows = []
-        for path, text in zip(batch["path"], batch["content"]):
-            try:
-                tree = ast.parse(text)
-            except (SyntaxError, ValueError, RecursionError, TypeError):
-                continue
-            for node in ast.walk(tree):
-                if isinstance(node, ast.Import):
-                    rows += [(path, "import", a.name, [a.asname or a.name], node.lineno) for a in node.names]
-                elif isinstance(node, ast.ImportFrom) and node.module:
-                    rows += [(path, "import_from", node.module, [a.name, a.asname or a.name], node.lineno) for a in node.names]
-                elif isinstance(node, ast.Call):
-                    rows.append((path, "call", dotted(node.func), [], node.lineno))
-                elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-                    rows.append((path, "string", node.value, [], node.lineno))
-                if isinstance(node, ast.ClassDef):
-                    rows.append((path, "class", node.name, [dotted(b) for b in node.bases], node.lineno))
-                if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-                    for d in node.decorator_list:
-                        of = d.args if isinstance(d, ast.Call) else []
-                        refs = [a.value if isinstance(a, ast.Constant) else dotted(a) for a in of]
-                        rows.append((path, "decorator", dotted(d), [node.name, *map(str, refs)], d.lineno))
-        yield pd.DataFrame(rows, columns=["path", "kind", "name", "args", "line"])
+    read = documents.select("path", yaml_json(F.col("content").cast("string")).alias("json"))
+    return read.select("path", F.try_parse_json("json").alias("v")).where("v is not null")
+
+
+FACT = T.StructType().add("kind", "string").add("name", "string").add("args", T.ArrayType(T.StringType())).add("line", "integer")
+
+
+def _dotted(node: ast.AST) -> str:
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        left = _dotted(node.value)
+        return f"{left}.{node.attr}" if left else node.attr
+    return _dotted(node.func) if isinstance(node, ast.Call) else ""
+
+
+def facts_of(text: str | None) -> list[tuple[str, str, list[str], int]]:
+    """(kind, name, args, line) of the syntax tree of a Python text; none if it has errors."""
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    rows: list[tuple[str, str, list[str], int]] = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            rows += [("import", a.name, [a.asname or a.name], node.lineno) for a in node.names]
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            rows += [("import_from", node.module, [a.name, a.asname or a.name], node.lineno) for a in node.names]
+        elif isinstance(node, ast.Call):
+            rows.append(("call", _dotted(node.func), [], node.lineno))
+        elif isinstance(node, ast.Constant) and isinstance(node.value, str):
+            rows.append(("string", node.value, [], node.lineno))
+        if isinstance(node, ast.ClassDef):
+            rows.append(("class", node.name, [_dotted(b) for b in node.bases], node.lineno))
+        if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+            for d in node.decorator_list:
+                of = d.args if isinstance(d, ast.Call) else []
+                refs = [a.value if isinstance(a, ast.Constant) else _dotted(a) for a in of]
+                rows.append(("decorator", _dotted(d), [node.name, *map(str, refs)], d.lineno))
+    # lone surrogates, which an escape in a literal may give, are no text
+    clean = lambda x: x.encode("utf-8", "replace").decode()
+    return [(kind, clean(name), [clean(a) for a in args], line) for kind, name, args, line in rows]
+
+
+@F.pandas_udf(T.ArrayType(FACT))
+def python_facts_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("kind", "name", "args", "line"), fact)) for fact in facts_of(text)] for text in texts], dtype=object)
 
 
 def python_facts(documents: DataFrame) -> DataFrame:
-    """Facts of Python syntax trees: imports, calls, strings, classes and decorators; bad files give none."""
-    text = documents.select("path", F.col("content").cast("string").alias("content"))
-    return text.mapInPandas(_py_facts, PY_FACTS)
+    """Facts of Python syntax trees, ``path, kind, name, args, line``: imports, calls, strings, classes and decorators; bad files give none."""
+    found = documents.select("path", F.explode(python_facts_of(F.col("content").cast("string"))).alias("f"))
+    return found.select("path", "f.*")
+
+
+# What begins, ends or hides a brace in Terraform files.
+_HCL_CODE = re.compile(r"""(?P<head>\bresource\s+"(?P<type>[^"\n]+)"\s+"(?P<name>[^"\n]+)")|(?P<string>")|(?P<open>\{)|(?P<close>\})|(?P<comment>\#[^\n]*|//[^\n]*|/\*(?s:.*?)(?:\*/|\Z))|<<[-~]?\s*"?(?P<heredoc>\w+)"?[^\n]*\n""", re.VERBOSE)
+_HCL_STRING = re.compile(r"""(?P<skip>\\.|\$\$\{|%%\{)|(?P<inner>[$%]\{)|(?P<end>"|\n)""")
+
+
+def hcl_resources(text: str | None) -> list[tuple[int, str, str, str]]:
+    """(line, type, name, block) of the resources of a Terraform file.
+
+    One pass over the text with a stack of what is open: braces in strings,
+    comments and heredocs count for nothing, expressions in strings may hold
+    strings of their own, and a block may begin on a later line.
+    """
+    text = text or ""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    found: list[list] = []  # [start, type, name, end of the block]
+    stack: list[tuple[str, int | None]] = []  # what is open, and the resource whose block a brace begins
+    at, waiting = 0, None
+    while at < len(text):
+        if stack and stack[-1][0] == "string":
+            m = _HCL_STRING.search(text, at)
+            if m is None:
+                break
+            at = m.end()
+            if m["inner"]:
+                stack.append(("inner", None))
+            elif m["end"]:
+                stack.pop()
+            continue
+        m = _HCL_CODE.search(text, at)
+        if m is None:
+            break
+        at = m.end()
+        if m["head"]:
+            found.append([m.start(), m["type"], m["name"], None])
+            waiting = len(found) - 1
+        elif m["string"]:
+            stack.append(("string", None))
+        elif m["open"]:
+            stack.append(("brace", waiting))
+            waiting = None
+        elif m["close"] and stack:
+            _, of = stack.pop()
+            if of is not None:
+                found[of][3] = at
+        elif m["heredoc"]:
+            end = re.compile(rf"^[ \t]*{re.escape(m['heredoc'])}[ \t]*\r?$", re.MULTILINE).search(text, at)
+            at = end.end() if end else len(text)
+    closed = {k for k, f in enumerate(found) if f[3] is not None}
+    begun = {of for _, of in stack if of is not None}
+    # resources do not hold each other, so a block that is not closed ends where the next one begins
+    last = [*(f[0] for f in found[1:]), len(text)]
+    block = lambda k, f: text[f[0] : min(f[3] if k in closed else last[k], last[k])] if k in closed or k in begun else ""
+    return [(bisect.bisect_left(ends, f[0]) + 1, f[1], f[2], block(k, f)) for k, f in enumerate(found)]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("line_no", "integer").add("resource_type", "string").add("resource_name", "string").add("block", "string")))
+def terraform_blocks(texts: pd.Series) -> pd.Series:
+    names = ("line_no", "resource_type", "resource_name", "block")
+    return pd.Series([[dict(zip(names, r)) for r in hcl_resources(text)] for text in texts], dtype=object)
 
 
 SCAN_SCHEMA = """scan_id string, target_path string, scan_timestamp string, components array<struct<

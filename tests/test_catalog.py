@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from aiscope.plans import catalog, detection, reports  # noqa: F401  the last two add their queries to the catalog
+from aiscope.plans import catalog, checks, detection, reports  # noqa: F401  the others add their queries to the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

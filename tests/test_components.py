@@ -71,9 +71,28 @@ def test_package_urls(spark):
 def test_gate(spark):
     rows = K.score(make(spark, [dict(flags=["hardcoded_api_key"]), dict(component_id=2, name="x")]))
     rules = spark.createDataFrame([(1, "forbid", "severity", ">=", "medium"), (2, "forbid", "risk_score", "<", "10"), (3, "forbid", "owner", "==", "Ann"), (4, "forbid", "missing", "!=", "a")], "rule_id int, effect string, field string, op string, value string")
-    entities = spark.createDataFrame([("x", {"owner": "ann", "severity": "critical"})], "name string, attributes map<string,string>")
-    found = {(r.component_id, r.rule_id) for r in policy.gate(rows, rules, entities).collect()}
-    assert found == {(1, 1), (2, 2), (2, 3)}
+    entities = spark.createDataFrame([("x", {"owner": "ann", "severity": "critical"}), ("x", {"owner": "bob"}), ("x", None)], "name string, attributes map<string,string>")
+    found = [(r.component_id, r.rule_id) for r in policy.gate(rows, rules, entities).collect()]
+    assert sorted(found) == [(1, 1), (2, 2), (2, 3)]
+    unnamed = rules.unionAll(spark.createDataFrame([(None, "forbid", "name", "==", "x")], rules.schema))
+    found = policy.gate(rows, unnamed, entities)
+    assert sorted((r.component_id, r.rule_id or 0) for r in found.collect()) == [(1, 1), (2, 0), (2, 2), (2, 3)]
+    report = {r.rule_id: (r.condition, r.n_violations, r.n_components) for r in policy.violation_report(found.unionAll(found), unnamed).collect()}
+    assert report[2] == ("resource.risk_score < 10", 2, 1) and report[None] == ("resource.name == x", 2, 1) and len(report) == 4
+
+
+def test_explained_decisions(spark):
+    rows = spark.createDataFrame([(1, "get", "https://api.bad.com/x", "deploy"), (2, "post", "https://ok.com/v1", "Deploy"), (3, "get", "https://none.org", None), (4, None, None, "x")], "request_id int, method string, url string, tool string")
+    rules = [(1, "forbid", "*", "url", "contains", "bad"), (1, "forbid", "*", "hostname", "endswith", ".com"), (2, "permit", "*", "url", "contains", "bad"), (3, "permit", "DEPLOY", "path", "startswith", "/v1"), (4, "permit", "other", "path", "startswith", "/v1")]
+    rules = spark.createDataFrame(rules, "rule_id int, effect string, action string, field string, op string, value string")
+    found = {r.request_id: (r.decision, r.reasons, r.triggered) for r in policy.explain(rows, rules, action="tool").collect()}
+    default = ["No matching policy rules (default allow)"]
+    assert found[1] == ("deny", ['Forbidden by policy: request.hostname endswith ".com"', 'Forbidden by policy: request.url contains "bad"'], [1])
+    assert found[2][0] == "deny" and found[2][2] == [1]
+    assert found[3] == ("allow", default, []) and found[4] == ("allow", default, [])
+    permits = policy.explain(rows, rules.where("rule_id > 1"), action="tool").orderBy("request_id").collect()
+    assert [r.triggered for r in permits] == [[2], [3], [], []]
+    assert {r.request_id: r.decision for r in policy.explain(rows, rules.where("rule_id = 1")).collect()} == {r.request_id: r.decision for r in policy.decide(rows, rules.where("rule_id = 1")).collect()}
 
 
 def test_requests_forbid_beats_permit(spark):

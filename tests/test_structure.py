@@ -1,0 +1,133 @@
+"""Ignore files, manifests, blocks, contexts, and the one pass over a corpus."""
+
+import random
+import subprocess
+
+import pytest
+from pyspark.sql import functions as F
+
+from aiscope.operators import detect, detectors, plugins  # noqa: F401
+from aiscope.sources import files, ignore
+
+TEXT = "path string, content string"
+
+
+def git_ignored(folder, rules, paths):
+    """The paths that git's own matcher finds ignored by the last matching rule."""
+    for name, text in rules.items():
+        file = folder / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text)
+    subprocess.run(["git", "init", "-q", str(folder)], check=True)
+    out = subprocess.run(["git", "-C", str(folder), "check-ignore", "--no-index", "--stdin", "-z"], input="\0".join(paths) + "\0", capture_output=True, text=True)
+    return {x for x in out.stdout.split("\0") if x}
+
+
+def ours(spark, rules, paths):
+    rows = [(p, "") for p in paths] + list(rules.items())
+    frame = spark.createDataFrame(rows, TEXT)
+    return {r.path for r in ignore.ignored(frame, ignore.ignore_rules(frame)).collect()} - set(rules)
+
+
+PATHS = [f"{d}{n}" for d in ("", "a/", "a/b/", "a/b/c/", "x/a/", "doc/", "doc/x/", "build/", "src/build/") for n in ("a", "b", "x.log", "y.txt", "keep.log", "a b", "[q]", "#h", "!e", "B9", "f1.py", "build")]
+
+
+def test_patterns_as_git_reads_them(spark, tmp_path):
+    """Every pattern alone, without negation."""
+    lines = ["*.log", "/a", "a/", "a/b", "a/**", "**/b", "a/**/c", "/*.txt", "doc/*", "doc/**/*.log", "?", "[a-b]", "[!a-b]", "[[:digit:]]*", "B[0-9]", "\\#h", "\\!e", "\\[q\\]", "a b", "a\\ b", "f?.py  ", "build/", "**", "/build/", "*/a", "x/*/b", "# none", "", "[]q]", "a**b", "**/build/**", "f[^0]*.py", "*.[lt]*"]
+    for n, line in enumerate(lines):
+        rules = {".gitignore": line + "\n"}
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        assert ours(spark, rules, PATHS) == git_ignored(folder, rules, PATHS), line
+
+
+def test_several_files_and_negation(spark, tmp_path):
+    """Negated rules and deeper files, where no folder as a whole is ignored before."""
+    rules = {".gitignore": "*.log\n!keep.log\n*.txt\n", "a/.gitignore": "!x.log\nkeep.log\n/b/*.log\n", "a/b/.gitignore": "!*.log\n", "doc/.gitignore": "*\n!y.txt\n"}
+    paths = [p for p in PATHS if not p.startswith("doc/x")]
+    assert ours(spark, rules, paths) == git_ignored(tmp_path, rules, paths)
+    shuffled = spark.createDataFrame([(p, "") for p in paths * 2] + list(rules.items()), TEXT).repartition(3)
+    assert {r.path for r in ignore.without_ignored(shuffled).collect()} == set(paths) - ours(spark, rules, paths) | (set(rules) - {"doc/.gitignore"})
+
+
+def test_many_ignore_files_are_dealt_out(spark, monkeypatch):
+    rules = {f"d{i}/.gitignore": f"f{i}\n" for i in range(20)} | {".gitignore": "*.log\n"}
+    paths = [f"d{i}/{n}" for i in range(20) for n in ("f3", f"f{i}", "x.log")]
+    one = ours(spark, rules, paths)
+    monkeypatch.setattr(ignore, "BROADCAST_SCOPES", 3)
+    assert ours(spark, rules, paths) == one != set()
+
+
+def test_no_ignore_files(spark):
+    frame = spark.createDataFrame([("a", "x"), ("b", None)], TEXT)
+    assert ignore.without_ignored(frame).count() == 2
+    assert ignore.ignore_rules(spark.createDataFrame([(".gitignore", None), ("x/.gitignore", "")], TEXT)).count() == 0
+
+
+def test_hcl_blocks():
+    got = files.hcl_resources('resource "a" "b"\n\n{ x = "}" }\n# resource "c" "d" {}\nresource "e" "f" { y = "${z("}")} }" /* } */\n q = <<-X\n }\n X\n}\nresource "g" "h"\nresource "i" "j" {')
+    assert [(n, t, x) for n, t, x, _ in got] == [(1, "a", "b"), (5, "e", "f"), (10, "g", "h"), (11, "i", "j")]
+    assert got[0][3].endswith('"}" }') and got[1][3].endswith("X\n}") and got[2][3] == "" and got[3][3] == 'resource "i" "j" {'
+    assert files.hcl_resources(None) == files.hcl_resources("") == []
+
+
+@pytest.mark.parametrize("text", ['resource "a" "b" {' * 20_000, "${" * 100_000, '"' * 100_001, "<<A\n" * 50_000, "/*" * 100_000, "{" * 200_000, '"${"' * 50_000])
+def test_hcl_blocks_of_odd_texts_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    files.hcl_resources(text)
+    assert time.perf_counter() - began < 5
+
+
+def test_manifests_that_are_broken_or_odd(spark):
+    rows = [
+        ("a/package.json", '{"dependencies": ["x"], "devDependencies": {"y": 1}}'), ("b/package.json", "{"), ("c/pyproject.toml", "[project\n"), ("d/pyproject.toml", '[project]\ndependencies = "x"\n[tool.poetry.dependencies]\npython = "3"\nz = "1"\n'),
+        ("e/Cargo.toml", "dependencies = 3"), ("f/pom.xml", "<dependency><groupId>g</groupId></dependency><dependency><artifactId> a </artifactId>"), ("g/requirements.txt", "-e .\r\n./local\r\nflask\\\r\n==1\r\nA-b.C[x]>2\r\n"), ("h/go.mod", ""), ("i/Gemfile", None),
+        ("j/package.json", '{"dependencies":{"one":"1","one":"2"}}'), ("k/build.gradle", "compile('a:b:1')\nunimplemented 'c:d:1'\n"), ("l/other.txt", "openai"),
+    ]
+    found = {(r.path[0], r.dep) for r in detect.manifest_dependencies(spark.createDataFrame(rows, TEXT)).collect()}
+    assert found == {("a", "y"), ("d", "z"), ("g", "flask"), ("g", "A-b.C"), ("k", "a:b")} | ({("j", "one")} if ("j", "one") in found else set())
+
+
+def test_contexts_meet_by_blocks(spark):
+    rng = random.Random(1)
+    text = {p: [f"{p}{i}" for i in range(n)] for p, n in (("p", 1), ("q", 30), ("r", 700), ("s", 64))}
+    lined = files.lines(spark.createDataFrame([(p, "\n".join(x)) for p, x in text.items()], TEXT))
+    at = [(p, rng.randrange(1, len(x) + 1)) for p, x in text.items() for _ in range(40)] + [("p", None), ("r", None), ("r", 0), ("s", 64), ("none", 3), ("r", 5000)]
+    found = {(r.path, r.line_no): r.context for r in detect.context_lines(spark.createDataFrame(at, "path string, line_no int"), lined).collect()}
+    expected = {(p, n): "\n".join(text[p][max(0, n - 11) : n + 10] if n else text[p][:20]) for p, n in at if p in text and (n or 0) < 4000}
+    assert found == expected
+    big = files.lines(spark.createDataFrame([("f", "\n".join("x" * 3 for _ in range(100_000)))], TEXT))
+    every = big.select("path", "line_no")
+    joined = detect.context_lines(every, big)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan and joined.count() == 100_000
+
+
+def test_one_scan_for_all_detectors(spark, tmp_path):
+    rows = [("a/x.py", "import openai\n"), ("a/ci.yml", "jobs: {}\n"), ("b/w.gguf", "x"), ("c/note.md", "import openai"), ("d/requirements.txt", "openai"), ("e/x.ipynb", None), ("f/Dockerfile", "FROM ollama/ollama\n"), ("g/b.yml", "a: [")]
+    spark.createDataFrame(rows, TEXT).write.parquet(str(tmp_path / "corpus"))
+    corpus = spark.read.parquet(str(tmp_path / "corpus"))
+    wanted = plugins.candidates(corpus, list(plugins.DETECTORS.values()))
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    assert len(plugins.DETECTORS) >= 19
+    found = {(r.detector, r.path, r.name) for r in plugins.run_detectors(corpus, folder=str(tmp_path / "kept")).collect()}
+    assert found == {("python_imports", "a/x.py", "openai"), ("sdk_usage", "a/x.py", "OpenAI"), ("model_files", "b/w.gguf", "w.gguf"), ("dependencies", "d/requirements.txt", "openai"), ("dockerfiles", "f/Dockerfile", "ollama/ollama")}
+    with pytest.raises(ValueError):
+        plugins.run_detectors(corpus, ["no such"])
+    assert plugins.run_detectors(corpus.where(F.lit(False))).count() == 0
+
+
+def test_a_detector_of_ones_own(spark, tmp_path):
+    @plugins.detector("marks", lambda path: path.endswith(".md"), form="lines", maybe=lambda line: line.contains("!"))
+    def marks(lines):
+        return lines.select("path", F.col("line").alias("name"), "line_no")
+
+    try:
+        corpus = spark.createDataFrame([("a.md", "x\ny!\r\nz!"), ("b.py", "q!")], TEXT)
+        assert {tuple(r) for r in plugins.run_detectors(corpus, ["marks"], str(tmp_path / "kept")).collect()} == {("marks", "a.md", "y!", "", "", ""), ("marks", "a.md", "z!", "", "", "")}
+    finally:
+        del plugins.DETECTORS["marks"]

@@ -117,14 +117,14 @@ def test_yaml_stages(spark):
 
 def test_terraform_blocks(spark):
     source = 'resource "aws_sagemaker_endpoint" "e" {\n  x {\n    instance_type = "ml.p3.2xlarge"\n  }\n}\nresource "aws_s3_bucket" "b" {\n}\n'
-    rows = files.lines(spark.createDataFrame([("m.tf", source)], "path string, content string"))
+    rows = spark.createDataFrame([("m.tf", source), ("n.tf", None)], "path string, content string")
     found = detect.terraform_attributes(detect.terraform_resources(rows)).collect()
     assert [(r.resource_name, r.instance_type, r.gpu) for r in found] == [("e", "ml.p3.2xlarge", True)]
 
 
 def test_manifests(spark):
     sources = {"requirements.txt": "openai>=1\n# no\nrequests", "pyproject.toml": '[tool.poetry.dependencies]\nlangchain-openai = "1"\n[other]\nx = "1"', "package.json": '{"dependencies": {\n"@anthropic-ai/sdk": "^1",\n"left": "1"}}', "go.mod": "require github.com/sashabaranov/go-openai v1.0.0", "Gemfile": "gem 'ruby-openai'"}
-    rows = files.lines(spark.createDataFrame(list(sources.items()), "path string, content string"))
+    rows = spark.createDataFrame(list(sources.items()), "path string, content string")
     declared = detect.manifest_dependencies(rows)
     assert {(r.path, r.dep) for r in declared.collect()} >= {("requirements.txt", "openai"), ("pyproject.toml", "langchain-openai"), ("package.json", "@anthropic-ai/sdk"), ("go.mod", "github.com/sashabaranov/go-openai")}
     assert ("pyproject.toml", "x") not in {(r.path, r.dep) for r in declared.collect()}
@@ -140,10 +140,16 @@ def test_python_facts(spark):
 
 
 def test_mcp_servers(spark):
-    config = {"mcpServers": {"a": {"command": "npx", "args": ["x", "https://far.example/sse"]}, "b": {"command": "odd", "args": []}}}
-    docs = spark.createDataFrame([("m", json.dumps(config))], "path string, j string").select("path", F.parse_json("j").alias("v"))
-    found = {r.server: (r.trusted, r.flags) for r in detect.mcp_servers(docs).collect()}
-    assert found == {"a": (True, ["mcp_unknown_server"]), "b": (False, [])}
+    """A command is needed, and one that is not trusted is unknown; the later shapes count where those before are empty."""
+    several = {"a": {"command": "npx", "args": ["x", "https://far.example/sse"]}, "b": {"command": "/usr/local/bin/odd", "args": []}, "c": {"command": "npx", "args": ["-y", "@modelcontextprotocol/server-git"], "env": {"K": "v"}}, "d": {"args": ["y"]}, "e": "text", "http-get": {"command": "uvx", "transport": "http"}}
+    configs = {"m": {"mcpServers": several}, "n": {"mcpServers": {}, "mcp": {"servers": {"claude": {"command": "node", "args": "one"}}}}, "o": {"servers": {"s": {"command": ""}, "t": {"command": "python3", "url": "http://localhost:1"}}}, "p": [1], "q": {"mcpServers": [1]}}
+    docs = spark.createDataFrame([(k, json.dumps(v)) for k, v in configs.items()], "path string, j string").select("path", F.parse_json("j").alias("v"))
+    found = {(r.path, r.server): (r.provider, r.transport, r.flags) for r in detect.mcp_servers(docs).collect()}
+    unknown = ["mcp_unknown_server"]
+    assert found == {
+        ("m", "a"): ("MCP", "stdio", unknown), ("m", "b"): ("MCP", "stdio", unknown), ("m", "c"): ("MCP", "stdio", []), ("m", "http-get"): ("MCP Fetch", "http", ["internet_facing"]),
+        ("n", "claude"): ("Anthropic", "stdio", []), ("o", "t"): ("MCP", "sse", []),
+    }
 
 
 def test_policy_text(spark):
