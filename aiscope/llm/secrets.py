@@ -31,7 +31,11 @@ KINDS = ("assign", "access", "hex", "endpoint", "key", "user", "weak")
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 
 # Parts of multipart credentials.
-ENDPOINT = re.compile(rb"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>\\]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|windows\.net|googleapis\.com)\b")
+ADDRESS = re.compile(rb"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>\\]{4,}")
+#: A whole run of the bytes of host names, taken once: what it ends in is looked for afterwards, so that no text is scanned again from each of its places.
+HOST_RUN = re.compile(rb"(?<![a-z0-9.-])[a-z0-9.-]++")
+HOST_END = re.compile(rb"(?<=[a-z0-9-])\.(?:amazonaws\.com|windows\.net|googleapis\.com)(?![A-Za-z0-9_])")
+CLOUD = (b".amazonaws.com", b".windows.net", b".googleapis.com")
 USER = re.compile(rb"\b(?:user(?:name)?|login|account|client_?id|access_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.+-]{3,})", re.IGNORECASE)
 KEY_LIKE = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
 
@@ -55,6 +59,28 @@ def near(starts: np.ndarray, ends: np.ndarray, start: int, end: int, scope: int)
     return after > 0 and start - ends[after - 1] <= scope
 
 
+def endpoint_spans(text: bytes) -> list[tuple[int, int]]:
+    """Addresses, and host names of cloud services outside them; in time that follows the length of the text."""
+    found = [(m.start(), m.end()) for m in ADDRESS.finditer(text)]
+    if not any(end in text for end in CLOUD):
+        return found
+    taken = [s for s, _ in found]
+    for run in HOST_RUN.finditer(text):
+        low, last = run.start(), None
+        for last in HOST_END.finditer(text, low, min(run.end() + 1, len(text))):  # noqa: B007  the last one counts
+            pass
+        if last is None:
+            continue
+        if low and (text[low - 1 : low].isalnum() or text[low - 1] == 95):  # the first part belongs to a longer word
+            low = min((p for p in (text.find(b".", low, last.start()), text.find(b"-", low, last.start())) if p >= 0), default=last.start())
+        low = max(low, text.rfind(b"..", low, last.start()) + 1)
+        low = last.start() - len(text[low : last.start()].lstrip(b".-"))
+        k = bisect_left(taken, last.end())  # of the addresses
+        if low < last.start() and not (k and found[k - 1][1] > low):
+            found.append((low, last.end()))
+    return sorted(found)
+
+
 def in_points(text: bytes, *groups: list[tuple]) -> list[list[tuple]]:
     """Spans (start, end, ...) of bytes as spans of code points."""
     if text.isascii() or not any(groups):
@@ -72,7 +98,7 @@ def linked_spans(text: bytes, base: list[tuple[int, int, str]], scope: int) -> l
     tokens = [(m.start(), m.end()) for m in KEY_LIKE.finditer(text) if free(m)]
     if not short and not tokens:
         return []
-    endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    endpoints = endpoint_spans(text)
     access = [(s, e) for s, e, kind in base if kind == "access"]
     users = [(m.start(), m.end()) for m in USER.finditer(text)]
     short, tokens, endpoints, access, users = in_points(text, short, tokens, endpoints, access, users)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -638,3 +639,19 @@ def test_secrets_in_a_long_document_of_keys():
     text = " ".join(f"AKIAABCDEFGHIJKLMN{i:04d} {key * 2}" for i in range(3000))
     _, spans = secrets.scan(text.encode())
     assert sum(k == "key" for _, _, k in spans) == 3000 and sum(k == "access" for _, _, k in spans) == 3000
+
+
+@pytest.mark.parametrize("unit", ["a-", "a.", "a:", "x=", "AKIA", "user ", "password", "a1B/", "http:", "token ", "0a", "jdbc:a", "a..b", "password=abcd ", "a.amazonaws.com.", ".windows.net-"])
+def test_secret_scan_takes_linear_time(unit):
+    """A megabyte of what patterns might try again from each place, after a weak value and after a key-like token."""
+    for head in ("password=abcd ", "AKIA" + "A" * 20 + " " + "aB3" * 14 + " "):
+        text = (head + unit * (1_000_000 // len(unit))).encode()
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 4
+
+
+def test_secret_endpoints():
+    found = lambda t: [t[s:e] for s, e in secrets.endpoint_spans(t)]
+    assert found(b"x db.eu.windows.net, s3.amazonaws.com.evil https://a.amazonaws.com/x _q.b.googleapis.com") == [b"db.eu.windows.net", b"s3.amazonaws.com", b"https://a.amazonaws.com/x", b"b.googleapis.com"]
+    assert found(b"amazonaws.com .amazonaws.com a..amazonaws.com a.amazonaws.comx a.amazonaws.com_") == []
