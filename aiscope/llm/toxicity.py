@@ -1,10 +1,12 @@
 """Toxicity scores by weak supervision.
 
-Voters are lexicons and patterns: a fixed word list, word and prefix lexicons
-induced from a bounded sample of labelled rows, and shape patterns.  A
-generative model with one hidden class explains the votes of all documents:
-expectation-maximisation on the counts of vote patterns (at most 2**voters
-rows) estimates each voter's accuracy, and voters that still agree within a
+Voters are lexicons and patterns: a fixed word list, lexicons of words, of
+prefixes and of prefixes that a text has twice, induced from a bounded sample of
+labelled rows, and shape patterns.  A generative model with one hidden class
+explains the votes of all documents: expectation-maximisation on the counts of
+vote patterns (at most 2**voters rows) estimates each voter's accuracy.  The
+class of the sampled labelled rows is known, and they weigh as much as all
+others together, whatever the size of the table.  Voters that still agree within a
 class are taken as correlated and share one weight.  A linear classifier is
 trained on the posterior labels and scores every document.
 """
@@ -20,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aiscope.llm.graph import cut
-from aiscope.llm.words import LOWER, Block, blocks, span_hashes, split_words
+from aiscope.llm.words import LOWER, Block, blocks, mix, span_hashes, split_words
 
 #: The most labelled rows that lexicons, and the most rows that the classifier, are fitted on.
 FIT_ROWS = 20_000
 #: An induced entry occurs in at least so many distinct toxic texts, and toxic texts are at least this share of its texts.
 MIN_TOXIC_TEXTS, MIN_TOXIC_SHARE = 6, 0.75
 PREFIXES = (4, 5, 6, 7)  # bytes
+#: Prefixes that count as entries of their own where a text has two or more words with them: one such word may stand in a clean text by chance.
+TWICE = (5, 6, 7)
 
 # Fixed seed lexicon; no word that is common in another language ("die").
 SEED_WORDS = "idiot idiots moron morons loser losers stupid pathetic worthless scum trash disgusting clown clowns dumb ugly garbage filthy vermin imbecile jerk bastard bitch asshole fuck fucking shit whore slut retard retarded".split()
@@ -36,8 +40,8 @@ ADDRESS_WORDS = "you your youre u ur yourself".split()
 STOPS = np.ones(256, dtype=bool)  # words here are runs of ASCII letters and bytes of other scripts
 STOPS[65:91] = STOPS[97:123] = STOPS[128:] = False
 
-KINDS = ("word", *[f"prefix{k}" for k in PREFIXES])
-VOTERS = ("seed", *KINDS, "address", "repeated", "dense")
+KINDS = ("word", *[f"prefix{k}" for k in PREFIXES], *[f"twice{k}" for k in TWICE])
+VOTERS = ("seed", "word", *[f"prefix{k}" for k in PREFIXES], "twice", "address", "repeated", "dense")
 
 
 def _hashes_of(words: list[str]) -> np.ndarray:
@@ -61,8 +65,14 @@ def _units(block: Block) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.nda
     for size in PREFIXES:
         long = words.end - words.start > size
         start = words.start[long]
-        out[f"prefix{size}"] = (words.row[long], span_hashes(data, start, start + size))
-    return words.row, out
+        row, value = words.row[long], span_hashes(data, start, start + size)
+        out[f"prefix{size}"] = (row, value)
+        if size in TWICE:
+            with np.errstate(over="ignore"):
+                _, place, n = np.unique(mix(value + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+            again = n[place] > 1
+            out[f"twice{size}"] = (row[again], value[again])
+    return words.row, {k: out[k] for k in KINDS}
 
 
 def _entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +134,10 @@ def _hits(blocks_of: Iterator[Block], lexicons: dict[str, np.ndarray]) -> Iterat
         beside = np.zeros(len(every), dtype=bool)  # a toxic word within three words after an address
         for lag in (1, 2, 3):
             beside[lag:] |= addressed[:-lag] & any_hit[lag:] & (every[lag:] == every[:-lag])
-        hits["address"] = np.bincount(every[beside], minlength=n)
         n_words = np.bincount(every, minlength=n)
-        strongest = np.max([hits[k] for k in ("seed", *KINDS)], axis=0)
+        hits["twice"] = np.max([hits.pop(f"twice{k}") for k in TWICE], axis=0)
+        strongest = np.max(list(hits.values()), axis=0)
+        hits["address"] = np.bincount(every[beside], minlength=n)
         hits["repeated"] = np.where(strongest >= 3, strongest, 0)
         hits["dense"] = np.where(strongest * 50 > n_words, strongest, 0)
         yield block, n_words, np.column_stack([hits[v] for v in VOTERS])
@@ -153,6 +164,8 @@ class LabelModel:
     toxic: np.ndarray
     clean: np.ndarray
     weight: np.ndarray
+    slope: float = 1.0  # of the calibration by labelled rows
+    offset: float = 0.0
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
         hit = np.log(self.toxic) - np.log(self.clean)
@@ -160,7 +173,22 @@ class LabelModel:
         return np.log(self.prior / (1 - self.prior)) + np.where(votes, hit, miss) @ self.weight
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(votes) + self.offset, -40, 40)))
+
+    def calibrate(self, votes: np.ndarray, known: np.ndarray) -> None:
+        """Fit slope and offset to the numbers of labelled clean and toxic rows of each pattern: correlated voters share a weight, which makes odds too small."""
+        x = np.column_stack([self.log_odds(votes), np.ones(len(votes))])
+        n, toxic = known.sum(axis=1), known[:, 1]
+        at = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+            gradient = x.T @ (toxic - n * p) - 0.1 * (at - [1.0, 0.0])
+            curve = (x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+            step = np.linalg.solve(curve, gradient)
+            at = at + step * min(1.0, 2 / max(np.abs(step).max(), 1e-9))
+            if np.abs(step).max() < 1e-8:
+                break
+        self.slope, self.offset = max(float(at[0]), 0.05), float(at[1])
 
 
 def correlated_groups(votes: np.ndarray, counts: np.ndarray, excess: float = 1.5) -> np.ndarray:
@@ -187,15 +215,22 @@ def correlated_groups(votes: np.ndarray, counts: np.ndarray, excess: float = 1.5
     return group
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60, correlated: float = 0.3) -> LabelModel:
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60, correlated: float = 0.3, known: np.ndarray | None = None) -> LabelModel:
     """Estimate the label model from distinct vote patterns (rows of booleans) and their counts.
 
+    ``known`` has the numbers of labelled clean and toxic rows of each pattern;
+    the counts are scaled to their sum.
+
     Each member of a correlated group weighs one part of it.  Starts from
     voters that are right more often than not.  After a first fit, voters whose
     votes still correlate by over ``correlated`` within the toxic class join
     groups too, and the fit runs again.
     """
     m = votes.shape[1]
+    if known is None or not known.sum():
+        known = np.zeros((len(votes), 2))
+    else:
+        counts = counts * (known.sum() / max(counts.sum(), 1))
     active = counts @ votes > 0 if len(counts) else np.zeros(m, dtype=bool)  # a voter that never votes says nothing
     group = correlated_groups(votes, counts)
     model = LabelModel(float(np.clip(prior, 0.01, 0.5)), np.full(m, 0.7), np.full(m, 0.02), np.ones(m))
@@ -204,12 +239,12 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds:
         model.weight = np.where(active, [1 / max(np.sum(active & (group == g)), 1) for g in group], 0.0)
         for _ in range(rounds):
             p = model.posterior(votes) * counts
-            q = counts - p
+            p, q = p + known[:, 1], counts - p + known[:, 0]
             model.toxic = np.clip((p @ votes + 1) / (p.sum() + 2), 1e-4, 1 - 1e-4)
             model.clean = np.clip((q @ votes + 0.01) / (q.sum() + 2), 1e-7, 0.5)
-            model.prior = float(np.clip(p.sum() / n, 1e-3, 0.5))
+            model.prior = float(np.clip(p.sum() / (n + known.sum()), 1e-3, 0.5))
         if fit == 0:
-            p = model.posterior(votes) * counts
+            p = model.posterior(votes) * counts + known[:, 1]
             centred = votes - model.toxic
             spread = np.sqrt(np.maximum(p @ centred**2, 1e-9))
             left = (centred * p[:, None]).T @ centred / np.outer(spread, spread)
@@ -217,6 +252,8 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds:
                 for j in range(i):
                     if active[i] and active[j] and abs(left[i, j]) > correlated:
                         group[group == group[i]] = group[j]
+    if known.sum():
+        model.calibrate(votes, known)
     return model
 
 
@@ -285,7 +322,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     codes = patterns.column("p").to_numpy().astype(np.int64)
     counts = patterns.column("n").to_numpy().astype(np.float64)
     bits = lambda c: ((c[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
-    model = fit_label_model(bits(codes), counts, 0.1 if prior is None else prior)
+    seen = hits.join(F.broadcast(known), F.col("id").cast("string") == F.col("_id")).groupBy(pattern.alias("p"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # twice as many at most
+    place = {int(c): i for i, c in enumerate(codes)}
+    labelled_counts = np.zeros((len(codes), 2))
+    for row in seen:
+        labelled_counts[place[int(row.p)], int(row.toxic > 0)] += row.n
+    model = fit_label_model(bits(codes), counts, 0.1 if prior is None else prior, known=labelled_counts)
 
     rows = bounded_sample(open_rows, F.col("id"), int(counts.sum()), FIT_ROWS).toPandas()
     hit = rows[list(VOTERS)].to_numpy(dtype=float)

@@ -19,7 +19,8 @@ def test_toxicity_on_held_out_rows(spark):
     seen = collections.Counter((r.toxic, r.predicted) for r in found.collect())
     # some labels of this table are wrong: a few toxic ones stand at clean texts
     assert seen[1, 1] / (seen[1, 1] + seen[0, 1]) > 0.97
-    assert seen[1, 1] / (seen[1, 1] + seen[1, 0]) > 0.75
+    assert seen[1, 1] / (seen[1, 1] + seen[1, 0]) > 0.9
+    assert seen[0, 1] <= 0.005 * (seen[0, 0] + seen[0, 1])
 
 
 def test_label_model_finds_accuracies_and_correlations():
