@@ -65,6 +65,23 @@ def keys(id_column: str, text_column: str) -> list[Column]:
     return [F.xxhash64(ident, text), F.xxhash64(F.lit(1), text, ident)]
 
 
+#: A key with at least so many rows, and one in so many of all rows, is met by broadcast: there are at most HOT_KEYS such keys.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
+
+
+def join_by_key(rows: DataFrame, labels: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the one row of ``labels`` for their key, where ``count`` is the number of ``rows`` of each key.
+
+    Rows of a key that very many share stay where they are and meet a broadcast;
+    all others are shuffled, so no task gets a hot key whole.
+    """
+    total = labels.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
+    few, many = labels.where(hot).drop(count), labels.where(~hot).drop(count)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key)
+    return rest.unionByName(rows.join(F.broadcast(few), key))
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round: each keeps components and lowers the links' ends."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir, fresh
+from aiscope.llm.graph import connected_components, cut, ensure_checkpoint_dir, fresh, join_by_key
 from aiscope.llm.words import LOWER, blocks, split_words
 
 GOLAY_GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -280,16 +280,16 @@ def simhash_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS))
     linked = owned.where("linked")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of_class = linked.withColumn("salt", salt.cast("int")).join(smallest, ["root", "salt"]).select("fp", "component_id")
-    labels = cut(owned.where("not linked").select("fp", F.col("least").alias("component_id")).unionAll(of_class))
-    return prints.join(labels, "fp").select(F.col("id").alias("doc_id"), _hex(F.col("fp")).alias("fingerprint"), "component_id")
+    of_class = linked.withColumn("salt", salt.cast("int")).join(smallest, ["root", "salt"]).select("fp", "component_id", "n")
+    labels = cut(owned.where("not linked").select("fp", F.col("least").alias("component_id"), "n").unionAll(of_class))
+    return join_by_key(prints, labels, "fp", "n").select(F.col("id").alias("doc_id"), _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _roots(prints: DataFrame, distance: int) -> DataFrame:
-    """``(fp, least, root, linked)`` for each distinct fingerprint: its smallest id, the name of its class, and whether that has others."""
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+def _roots(prints: DataFrame, distance: int, least: Column | None = None) -> DataFrame:
+    """``(fp, least, n, root, linked)`` for each distinct fingerprint: its smallest id (or other value), its rows, the name of its class, and whether that has others."""
+    distinct = prints.groupBy("fp").agg(F.min(F.col("id") if least is None else least).alias("least"), F.count(F.lit(1)).alias("n"))
     roots = connected_components(near_links(prints, distance))
-    return cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")))
+    return cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")))
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -308,7 +308,8 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     numbered = spark.read.parquet(folder)
     source = numbered.select(F.col(id_column).alias("id"), F.col(number).alias("row"), F.col(text_column).cast("binary").alias("text"))
     prints = cut(source.mapInArrow(lambda batches: _fingerprint_batches(batches, 4), f"id {source.schema['id'].dataType.simpleString()}, row long, fp long"))
-    classed = prints.join(_roots(prints, 4).select("fp", "root"), "fp")
-    first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    # the first row of each fingerprint, then of each class: rows themselves are not joined
+    owned = _roots(prints, 4, F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    first = owned.groupBy("root").agg(F.min("least").alias("first"))
     stay = first.select(F.col("first.row").alias(number))
     return numbered.join(stay, number, "left_semi").select(docs.columns)
