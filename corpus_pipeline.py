@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aiscope.llm import bytebpe, decontaminate, secrets, simhash, toxicity
 from aiscope.llm.graph import ensure_checkpoint_dir
+from aiscope.sources.shared import remove_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet in the shared folder and read again."""
+    """All stages over the documents, each written as Parquet in the shared folder and read again; a stage's table goes when the next one is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # the next stage has been written, so nothing reads this one any more
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
