@@ -5,8 +5,10 @@ families, ``unknown`` (licence wording of no known family) and ``none`` apart.
 It is trained here, on variations of the fixed notices below and on a bounded
 sample of the corpus as negatives.  Its probabilities are calibrated by a
 temperature on variations that were held out.  A family is reported only when
-the paragraph also contains enough of one of the family's templates; otherwise
-a confident licence paragraph is reported as unknown.
+the paragraph also contains enough of one of the family's templates, whose word
+pairs weigh the less the more families share them: what only frames a licence's
+name confirms none.  A paragraph may name several families; a confident licence
+paragraph that confirms none is reported as unknown.
 
 A text is read twice: by lines, and by blocks of lines up to a blank one, so
 that a wrapped notice is judged as a whole; both are cut at sentence ends.  Of
@@ -15,6 +17,7 @@ findings that overlap the one that covers more of its template counts.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,8 +62,20 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0": ["dedicated to the public domain under cc0 1.0", "to the extent possible under law the author has waived all copyright and related rights", "released into the public domain", "licensed under cc0 1.0 universal"],
     "proprietary": ["all rights reserved no part of this publication may be reproduced", "confidential and proprietary do not distribute", "unauthorized copying of this file is strictly prohibited", "this document contains proprietary information and may not be disclosed without written permission"],
 }
+# Fixed identifiers by family, as they follow "licence" or a tag; the frames around them are below.
+IDENTIFIERS: dict[str, list[str]] = {
+    "Apache-2.0": ["apache 2.0"], "MIT": ["mit"], "ISC": ["isc"], "BSD": ["bsd 3 clause", "bsd 2 clause", "0bsd"], "Zlib": ["zlib"], "BSL-1.0": ["bsl 1.0"],
+    "GPL": ["gpl 2.0", "gpl 2.0 only", "gpl 2.0 or later", "gpl 3.0", "gpl 3.0 only", "gpl 3.0 or later", "gplv2", "gplv3"], "LGPL": ["lgpl 2.1", "lgpl 2.1 only", "lgpl 2.1 or later", "lgpl 3.0", "lgpl 3.0 only", "lgpl 3.0 or later"],
+    "AGPL": ["agpl 3.0", "agpl 3.0 only", "agpl 3.0 or later"], "MPL-2.0": ["mpl 2.0"], "EPL-2.0": ["epl 2.0"], "CDDL": ["cddl 1.0", "cddl 1.1"], "Artistic-2.0": ["artistic 2.0"], "OFL-1.1": ["ofl 1.1"], "Unlicense": ["unlicense"],
+    "CC-BY": ["cc by 4.0"], "CC-BY-SA": ["cc by sa 4.0"], "CC-BY-NC": ["cc by nc 4.0"], "CC-BY-ND": ["cc by nd 4.0"], "CC-BY-NC-SA": ["cc by nc sa 4.0"], "CC-BY-NC-ND": ["cc by nc nd 4.0"], "CC0": ["cc0 1.0"],
+}
+FRAMES = ["spdx license identifier {}", "license {}", "licensed under {}", "licensed under {} and", "licensed under and {}", "licensed under {} or", "licensed under or {}", "{} license", "the {} license"]
+#: The notices above, which are trained on in more variations than the many that identifiers and frames make up.
+SPOKEN = frozenset(t for several in TEMPLATES.values() for t in several)
+for _family, _names in IDENTIFIERS.items():
+    TEMPLATES[_family] = list(dict.fromkeys([*TEMPLATES[_family], *(f.format(n) for n in _names for f in FRAMES)]))
 #: Wording of licences that name no known family.
-UNKNOWN_TEMPLATES = ["licensed under the terms of the custom license", "this software is licensed under its own license agreement", "use of this work is subject to the license terms", "released under a source available license version 1", "see the license file for the terms", "distributed under the community license agreement", "licensed to you under the following terms"]
+UNKNOWN_TEMPLATES = ["spdx license identifier custom", "spdx license identifier other", "license other", "licensed under the terms of the custom license", "this software is licensed under its own license agreement", "use of this work is subject to the license terms", "released under a source available license version 1", "see the license file for the terms", "distributed under the community license agreement", "licensed to you under the following terms"]
 
 CLASSES = (NONE, UNKNOWN, *TEMPLATES)
 STOPS = np.ones(256, dtype=bool)
@@ -144,7 +159,8 @@ class LicenceModel:
     temperature: float
     pairs: np.ndarray  # sorted word-pair hashes of templates
     pair_of: np.ndarray  # pairs x templates, which template holds the pair
-    sizes: np.ndarray  # pairs in each template
+    weight: np.ndarray  # of each pair: the less, the more families have it
+    sizes: np.ndarray  # weight of the pairs in each template
     family: np.ndarray  # class of each template
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
@@ -165,30 +181,36 @@ def train(negatives: list[str], seed: int = 11, rounds: int = 80) -> LicenceMode
     texts, labels = [], []
     for name, several in [*TEMPLATES.items(), (UNKNOWN, UNKNOWN_TEMPLATES)]:
         for text in several:
-            more = _variations(rng, text, filler, 10)
+            more = _variations(rng, text, filler, 10 if text in SPOKEN or name == UNKNOWN else 2)
             texts += more
             labels += [CLASSES.index(name)] * len(more)
     texts += [line.replace(".", " ") for line in negatives] + ["the version of the file", "public work under the terms", "all rights"]
     labels += [0] * (len(texts) - len(labels))
     found = grams(_block_of([t.replace("\n", " ") for t in texts]))
-    text_of = found.row[found.paragraph]
-    keys, column = np.unique(found.feature, return_inverse=True)
+    text_of, feature = found.row[found.paragraph], found.feature
+    # what stands in a single negative text tells nothing about others
+    pairs_of = np.unique(np.stack((feature, text_of)), axis=1)
+    several = np.bincount(pairs_of[0], minlength=1 << FEATURE_BITS) > 1
+    several[pairs_of[0][np.array(labels)[pairs_of[1]] > 0]] = True
+    text_of, feature = text_of[several[feature]], feature[several[feature]]
+    keys, column = np.unique(feature, return_inverse=True)
     n, m, k = len(texts), len(keys), len(CLASSES)
-    target = np.eye(k)[labels]
+    target = np.eye(k, dtype=np.float32)[labels]
     held = rng.random(n) < 0.2
     share = np.where(target.sum(0) > 0, n / (k * np.maximum(target.sum(0), 1)), 0)[labels] ** 0.5
     share[held] = 0
     length = np.sqrt(np.maximum(np.bincount(text_of, minlength=n), 1))
-    scale = 1 / length[text_of]
-    weights, bias = np.zeros((m, k)), np.zeros(k)
-    memory_w, memory_b = np.full((m, k), 1e-8), np.full(k, 1e-8)
+    scale = (1 / length[text_of]).astype(np.float32)
+    share = share.astype(np.float32)
+    weights, bias = np.zeros((m, k), dtype=np.float32), np.zeros(k, dtype=np.float32)
+    memory_w, memory_b = np.full((m, k), 1e-8, dtype=np.float32), np.full(k, 1e-8, dtype=np.float32)
     order = np.argsort(column, kind="stable")
     edges = np.searchsorted(column[order], np.arange(m))
     by_text = np.argsort(text_of, kind="stable")
     text_edges = np.searchsorted(text_of[by_text], np.arange(n))
     has = np.bincount(text_of, minlength=n) > 0
     for _ in range(rounds):
-        z = np.zeros((n, k))
+        z = np.zeros((n, k), dtype=np.float32)
         z[has] = np.add.reduceat(weights[column[by_text]] * scale[by_text, None], text_edges[has])
         error = (_softmax(z + bias) - target) * share[:, None] / n
         gradient = np.add.reduceat(error[text_of[order]] * scale[order, None], edges) + 1e-6 * weights
@@ -205,30 +227,33 @@ def train(negatives: list[str], seed: int = 11, rounds: int = 80) -> LicenceMode
     table = np.zeros((1 << FEATURE_BITS, k), dtype=np.float32)
     table[keys] = weights
 
-    names = [(CLASSES.index(name), text) for name, several in TEMPLATES.items() for text in several]
+    names = [(CLASSES.index(name), text) for name, several in [*TEMPLATES.items(), (UNKNOWN, UNKNOWN_TEMPLATES)] for text in several]
     got = grams(_block_of([text for _, text in names]))
     is_pair = got.pair != 0
     template_of, pair = got.row[got.paragraph[is_pair]], got.pair[is_pair]
     pairs = np.unique(pair)
     pair_of = np.zeros((len(pairs), len(names)), dtype=bool)
     pair_of[np.searchsorted(pairs, pair), template_of] = True
-    return LicenceModel(table, bias, temperature, pairs, pair_of, pair_of.sum(0), np.array([c for c, _ in names]))
+    family = np.array([c for c, _ in names])
+    shared = np.array([len(set(family[row].tolist())) for row in pair_of])
+    weight = 1 / shared.astype(float) ** 2
+    return LicenceModel(table, bias, temperature, pairs, pair_of, weight, weight @ pair_of, family)
 
 
-def _scan(block: Block, model: LicenceModel) -> list[tuple[int, int, int, str, float, float]]:
-    """(row, start, end, family, probability, share of the template) of what reads like a licence, in order of place; of overlapping ones the best."""
-    every = sorted(_scan_paragraphs(block, model, False) + _scan_paragraphs(block, model, True), key=lambda x: (x[3] == UNKNOWN, -x[5], x[2] - x[1]))
-    kept: list[tuple[int, int, int, str, float, float]] = []
-    taken: dict[int, list[tuple[int, int]]] = {}
+def _scan(block: Block, model: LicenceModel) -> list[tuple[int, int, int, tuple[str, ...], float, float]]:
+    """(row, start, end, families, probability, share of a template) of what reads like a licence, in order of place; of overlapping ones the best."""
+    every = sorted(_scan_paragraphs(block, model, False) + _scan_paragraphs(block, model, True), key=lambda x: (x[3] == (UNKNOWN,), -x[5], -len(x[3]), x[2] - x[1], x[0], x[1]))
+    kept: list[tuple[int, int, int, tuple[str, ...], float, float]] = []
+    taken: list[tuple[int, int, int]] = []  # sorted; they do not overlap
     for x in every:
-        spans = taken.setdefault(x[0], [])
-        if all(x[2] <= start or end <= x[1] for start, end in spans):
-            spans.append((x[1], x[2]))
+        k = bisect_left(taken, (x[0], x[2], 0))
+        if not (k and taken[k - 1][0] == x[0] and taken[k - 1][2] > x[1]):
+            taken.insert(bisect_left(taken, x[:3]), x[:3])
             kept.append(x)
     return sorted(kept)
 
 
-def _scan_paragraphs(block: Block, model: LicenceModel, wrapped: bool) -> list[tuple[int, int, int, str, float, float]]:
+def _scan_paragraphs(block: Block, model: LicenceModel, wrapped: bool) -> list[tuple[int, int, int, tuple[str, ...], float, float]]:
     found = grams(block, wrapped)
     n = len(found.row)
     if not n:
@@ -256,19 +281,21 @@ def _scan_paragraphs(block: Block, model: LicenceModel, wrapped: bool) -> list[t
     at = np.minimum(np.searchsorted(model.pairs, pair), len(model.pairs) - 1)
     in_table = model.pairs[at] == pair
     of, at = of[in_table], at[in_table]
-    for i in likely.tolist():
-        own = np.unique(at[of == picked[i]])
-        cover = model.pair_of[own].sum(0) / model.sizes if len(own) else np.zeros(len(model.sizes))
-        family = np.zeros(len(CLASSES))
-        np.maximum.at(family, model.family, cover)
-        # of families whose template is there as far as any, those with the most of it in pairs, then the likeliest
-        pairs = np.zeros(len(CLASSES))
-        np.maximum.at(pairs, model.family, np.where(cover >= max(CONFIRM, cover.max() - 1e-9), cover * model.sizes, 0))
-        best = max(range(2, len(CLASSES)), key=lambda c: (pairs[c], p[i, c]))
-        name = CLASSES[best] if pairs[best] > 0 else UNKNOWN
+    low, high = np.searchsorted(of, picked[likely]), np.searchsorted(of, picked[likely], side="right")  # pairs come in order of paragraphs
+    for i, first, last in zip(likely.tolist(), low.tolist(), high.tolist()):
+        own = np.unique(at[first:last])
+        held = model.pair_of[own]
+        cover = model.weight[own] @ held / model.sizes
+        strong = (cover >= CONFIRM) & (model.family != CLASSES.index(UNKNOWN))
+        parts = {c: held[:, strong & (model.family == c)].any(axis=1) for c in set(model.family[strong].tolist())}
+        # a family whose evidence is all part of another's is only mentioned by it
+        inside = lambda c, d: not (parts[c] & ~parts[d]).any() and (parts[d].sum(), -d) > (parts[c].sum(), -c)
+        named = sorted(c for c in parts if not any(inside(c, d) for d in parts if d != c))
+        if not named and len(own) < 2:  # a word or two of licence wording are no notice
+            continue
+        share = float(cover[strong].max()) if named else 0.0
         j = picked[i]
-        share = float(family[CLASSES.index(name)]) if name != UNKNOWN else 0.0
-        out.append((int(found.row[j]), int(found.start[j]), int(found.end[j]), name, float(1 - p[i, 0]), share))
+        out.append((int(found.row[j]), int(found.start[j]), int(found.end[j]), tuple(CLASSES[c] for c in named) or (UNKNOWN,), float(1 - p[i, 0]), share))
     return out
 
 
@@ -279,17 +306,17 @@ def _licence_batches(batches: Iterator[pa.RecordBatch], model: LicenceModel) ->
         if len(block.data) and int(block.data.max()) >= 128:
             points = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
         rows: list[list[dict]] = [[] for _ in range(n)]
-        for row, start, end, family, score, _ in _scan(block, model):
+        for row, start, end, families, score, _ in _scan(block, model):
             base = int(block.offsets[row])
             if points is not None:
                 start, end, base = int(points[start]), int(points[end]), int(points[base])
-            rows[row].append({"family": family, "start": start - base, "end": end - base, "score": score})
+            rows[row] += [{"family": family, "start": start - base, "end": end - base, "score": score} for family in families]
         kind = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "found"])
 
 
 def find_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, found`` for every row: an array of (family, start, end, score), offsets in code points.
+    """``doc_id, found`` for every row: an array of (family, start, end, score), offsets in code points; a paragraph that names several families has an entry for each.
 
     Null and empty texts have none; an id may be null, repeated or of any type.
     Only the id and the text are read, so other columns may have any name.  The

@@ -111,3 +111,24 @@ def test_pipeline(spark, sf):
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()} == want
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_licence_names_and_several_families():
+    negatives = [f"the {a} of {b} was {c} in the {b} by a {a}" for a in ("river", "house", "letter") for b in ("summer", "town") for c in ("lost", "found", "seen")]
+    model = licenses.train(negatives)
+    found = lambda t: [f for x in licenses._scan(licenses._block_of([t]), model) for f in x[3]]
+    assert found("SPDX-License-Identifier: WTFPL") == ["unknown"] and found("SPDX-License-Identifier: Unlicense") == ["Unlicense"]
+    assert found("Dual licensed under MIT and Apache-2.0") == found("SPDX-License-Identifier: MIT OR Apache-2.0") == ["Apache-2.0", "MIT"]
+    assert found("License: GPL-2.0-only") == ["GPL"] and found("BSD 3-Clause License") == ["BSD"]
+    assert found("licensed under CC BY-NC 4.0") == ["CC-BY-NC"] and found("SPDX-License-Identifier: LGPL-2.1-or-later AND ISC") == ["ISC", "LGPL"]
+    assert found("The letter was found in the town.") == [] and found("Of this") == []
+
+
+def test_a_document_of_many_notices_takes_linear_time():
+    import time
+
+    model = licenses.train(["the letter was lost in the town by the river"] * 30)
+    text = "Released under the MIT License.\n\nSPDX-License-Identifier: ISC\n\n" * 8000
+    began = time.perf_counter()
+    assert len(licenses._scan(licenses._block_of([text]), model)) == 16000
+    assert time.perf_counter() - began < 60
