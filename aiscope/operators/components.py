@@ -52,9 +52,15 @@ def at_least(components: DataFrame, level: str) -> DataFrame:
     return components if rank is None else components.where(C.severity_rank(F.col("severity")) >= rank)
 
 
-def search(components: DataFrame, text: str = "", severity: str = "", kind: str = "") -> DataFrame:
-    """Name or provider contains ``text`` in any case, and severity and type are equal where given."""
-    found = components
+def workflow_name(components: DataFrame) -> Column:
+    """The workflow that a component belongs to: ``workflow`` where there is one, else its file, else ``unknown``."""
+    names = [F.nullif(F.col(c), F.lit("")) for c in ("workflow", "file_path") if c in components.columns]
+    return F.coalesce(*names, F.lit("unknown"))
+
+
+def search(components: DataFrame, text: str = "", severity: str = "", kind: str = "", workflow: str = "") -> DataFrame:
+    """Name or provider contains ``text`` in any case, and severity, type and workflow are equal where given."""
+    found = components.where(workflow_name(components) == workflow) if workflow else components
     if text:
         low = text.lower()
         found = found.where(F.lower("name").contains(low) | F.lower("provider").contains(low))
@@ -88,9 +94,30 @@ def owasp_counts(components: DataFrame) -> DataFrame:
     return components.select(F.explode(codes).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def workflow_rollup(components: DataFrame) -> DataFrame:
-    """Per workflow: components, highest score and the severity of that component."""
-    return components.groupBy("workflow").agg(F.count(F.lit(1)).alias("n_components"), F.max("score").alias("max_score"), F.max_by("severity", "score").alias("severity"))
+def workflow_rollup(components: DataFrame, order: str | None = None) -> DataFrame:
+    """Per workflow: components, highest score and the severity of that component; with ``order``, of the first of equal score, and the trigger of the first component."""
+    grouped = components.groupBy("workflow") if "workflow" in components.columns else components.groupBy(workflow_name(components).alias("workflow"))
+    if order is None:
+        return grouped.agg(F.count(F.lit(1)).alias("n_components"), F.max("score").alias("max_score"), F.max_by("severity", "score").alias("severity"))
+    trigger = F.nullif(F.col("trigger"), F.lit("")) if "trigger" in components.columns else F.lit(None).cast("string")
+    worst = F.min_by("severity", F.struct((-F.col("score")).alias("by"), order))
+    return grouped.agg(F.count(F.lit(1)).alias("n_components"), F.max("score").alias("max_score"), worst.alias("severity"), F.coalesce(F.min_by(trigger, order), F.lit("-")).alias("trigger"))
+
+
+def severity_groups(components: DataFrame, least: str = "low", order: str = "component_id") -> DataFrame:
+    """Per scan the severities from critical down to ``least`` that occur: ``scan_id, place, severity, n, components``, these by score, highest first."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), F.col(order).alias("id"))))
+    grouped = at_least(components, least).groupBy("scan_id", "severity").agg(F.count(F.lit(1)).alias("n"), listed.alias("_l"))
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc(C.severity_rank(F.col("severity")))))
+    return grouped.select("scan_id", place.alias("place"), "severity", "n", F.transform("_l", lambda x: x["id"]).alias("components"))
+
+
+def report_places(components: DataFrame, by: str = "score", descending: bool = True, order: str = "component_id") -> DataFrame:
+    """Add ``place``: where a report of the scan lists each component, by a column (numbers as numbers, text in any case), ties by ``order``."""
+    kind = components.schema[by].dataType.simpleString()
+    key = F.lower(by) if kind == "string" else F.col(by)
+    within = Window.partitionBy("scan_id").orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), order)
+    return components.withColumn("place", F.row_number().over(within))
 
 
 def history(scans: DataFrame) -> DataFrame:

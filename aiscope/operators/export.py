@@ -77,6 +77,71 @@ def junit_cases(components: DataFrame, key: str = "component_id") -> DataFrame:
     return components.select("scan_id", key, F.concat_ws(".", "type", "provider").alias("classname"), "name", failed.alias("failed"))
 
 
+def xml_text(value: Column) -> Column:
+    """A text or attribute value for XML: markup is escaped, and characters that XML has not are left out."""
+    out = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def junit_documents(components: DataFrame, scans: DataFrame | None = None, key: str = "component_id") -> DataFrame:
+    """One JUnit suite of each scan as XML: ``scan_id, n_cases, n_failures, document``.
+
+    A case for each component, in the order of ``key``, with a failure where
+    :func:`junit_cases` has one.  ``scans(scan_id, target_path, scan_timestamp)``
+    names the suites.  A scan's components are one document by design.
+    """
+    from aiscope.operators.components import is_failure
+
+    failed = F.coalesce(is_failure(F.col("severity"), F.col("flags")), F.lit(False))
+    lit = F.lit
+    line = lambda label, value, when=None: F.when(lit(True) if when is None else when, F.concat(lit(label), value.cast("string")))
+    filled = lambda c: F.coalesce(F.col(c), lit("")) != ""
+    details = F.concat_ws("\n", line("Component: ", F.col("name")), line("Type: ", F.col("type")), line("Provider: ", F.col("provider")), F.concat(lit("Risk Score: "), F.col("score").cast("string"), lit("/100")), line("Severity: ", F.col("severity")), line("Location: ", F.col("file_path")),
+                          line("Line: ", F.col("line_number"), F.coalesce(F.col("line_number"), lit(0)) > 0), line("Model: ", F.col("model_name"), filled("model_name")), line("Flags: ", F.array_join("flags", ", "), F.size("flags") > 0), line("Risk Factors: ", F.array_join("factors", ", "), F.size("factors") > 0))
+    message = F.concat("name", lit(" has "), "severity", lit(" severity (risk score: "), F.col("score").cast("string"), lit(")"))
+    failure = F.when(failed, F.concat(lit('<failure type="'), xml_text(F.col("severity")), lit('" message="'), xml_text(message), lit('">'), xml_text(details), lit("</failure>"))).otherwise("")
+    shown = F.concat_ws("\n", line("Provider: ", F.col("provider")), line("Type: ", F.col("type")), line("Usage: ", F.col("usage_type")), line("Risk Score: ", F.col("score")))
+    case = F.concat(lit('<testcase name="'), xml_text(F.col("name")), lit('" classname="'), xml_text(F.concat_ws(".", "type", "provider")), lit('" time="0">'), failure, lit("<system-out>"), xml_text(shown), lit("</system-out></testcase>"))
+    rows = components.select("scan_id", F.struct(F.col(key).alias("k"), case.alias("x")).alias("c"), failed.cast("long").alias("f"), "score")
+    grouped = rows.groupBy("scan_id").agg(F.count(lit(1)).alias("n_cases"), F.sum("f").alias("n_failures"), F.max("score").alias("top"), F.array_sort(F.collect_list("c")).alias("cases"))
+    if scans is None:
+        named = grouped.withColumns({"target_path": F.col("scan_id").cast("string"), "scan_timestamp": lit("")})
+    else:
+        named = grouped.join(scans.select("scan_id", F.coalesce("target_path", lit("")).alias("target_path"), F.coalesce(F.col("scan_timestamp").cast("string"), lit("")).alias("scan_timestamp")), "scan_id", "left")
+    head = F.concat(lit('<?xml version="1.0" encoding="utf-8"?>\n<testsuite name="Scan: '), xml_text(F.col("target_path")), lit('" tests="'), F.col("n_cases").cast("string"), lit('" timestamp="'), xml_text(F.col("scan_timestamp")), lit('" failures="'), F.col("n_failures").cast("string"), lit('" errors="0" time="0"><properties><property name="highest_risk_score" value="'), F.col("top").cast("string"), lit('" /></properties>'))
+    return named.select("scan_id", "n_cases", "n_failures", F.concat(head, F.array_join(F.transform("cases", lambda x: x["x"]), ""), lit("</testsuite>")).alias("document"))
+
+
+def spdx_documents(components: DataFrame, scans: DataFrame | None = None, key: str = "component_id", prefix: str = PREFIX) -> DataFrame:
+    """One SPDX 3 document of each scan as JSON: ``scan_id, n_elements, document``; elements in the order of ``key``.
+
+    The namespace follows from the scan, so the same scan gives the same document.
+    """
+    namespace = F.concat(F.lit(f"https://spdx.org/spdxdocs/{prefix}-"), F.col("scan_id").cast("string"))
+    ai = F.col("type").isin("llm_provider", "model", "agent_framework")
+    risk = {"critical": "serious", "high": "high", "medium": "medium", "low": "low"}
+    filled = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    element = F.struct(
+        F.when(ai, "ai_AIPackage").otherwise("software_Package").alias("type"), F.concat(namespace, F.lit("#SPDXRef-"), F.col(key).cast("string")).alias("spdxId"), F.col("name"),
+        F.when(ai, C.lookup(F.col("severity"), risk)).alias("ai_safetyRiskAssessment"), F.when(F.coalesce(F.col("provider"), F.lit("")) != "", F.struct(F.lit("Organization").alias("type"), F.col("provider").alias("name"))).alias("suppliedBy"),
+        filled("model_name").alias(f"{prefix}:modelName"), F.col("usage_type").alias(f"{prefix}:usageType"), F.col("type").alias(f"{prefix}:componentType"),
+        F.struct(F.col("file_path").alias("file"), F.col("line_number").alias("line")).alias(f"{prefix}:sourceLocation"), some("factors").alias(f"{prefix}:riskFactors"), some("flags").alias(f"{prefix}:flags"),
+    )
+    rows = components.select("scan_id", F.struct(F.col(key).alias("k"), F.to_json(element).alias("x")).alias("e"))
+    grouped = rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_elements"), F.array_sort(F.collect_list("e")).alias("all"))
+    grouped = grouped.withColumn("created", F.lit("")) if scans is None else grouped.join(scans.select("scan_id", F.col("scan_timestamp").cast("string").alias("created")), "scan_id", "left")
+    tool = F.array(F.struct(F.lit("Tool").alias("type"), F.lit(prefix).alias("name")))
+    root = F.concat(namespace, F.lit("#SPDXRef-DOCUMENT"))
+    # The context and version of SPDX documents.
+    head = F.to_json(F.struct(F.array(F.lit("https://spdx.org/rdf/3.0.1/spdx-context.jsonld")).alias("@context"), F.lit("SpdxDocument").alias("type"), root.alias("spdxId"), F.concat(F.lit(f"{prefix}-scan-"), F.coalesce("created", F.lit(""))).alias("name"), F.struct(F.lit("3.0.1").alias("specVersion"), F.coalesce("created", F.lit("")).alias("created"), tool.alias("createdBy"), tool.alias("createdUsing")).alias("creationInfo"), F.array(root).alias("rootElement")))
+    # elements are JSON already; nulls in them are left out one by one
+    whole = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"elements":['), F.array_join(F.transform("all", lambda x: x["x"]), ","), F.lit("]}"))
+    return grouped.withColumn("h", head).select("scan_id", "n_elements", whole.alias("document"))
+
+
 def invalid_components(components: DataFrame) -> DataFrame:
     """Components that break the output schema, and why."""
     why = F.array_compact(F.array(

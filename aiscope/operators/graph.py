@@ -40,12 +40,13 @@ def chained_workflows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def workflow_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per workflow: internet-facing, error handling, trigger, chain and counts."""
+    """Per workflow: internet-facing, error handling, trigger, chain, counts and the distinct node types."""
     is_kind = lambda rx: F.col("type").rlike(rx)
     trigger = F.when(is_kind("(?i)webhook"), "webhook").when(is_kind("(?i)schedule|cron"), "schedule").when(is_kind("(?i)manualTrigger"), "manual")
     per = nodes.groupBy("workflow_id").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.count_if(is_kind(AGENT)).alias("n_agents"), F.bool_or(is_kind(WEBHOOK)).alias("internet_facing"),
         F.bool_or(is_kind("(?i)error")).alias("handles_errors"), F.min_by(trigger, F.when(trigger.isNotNull(), F.col("pos"))).alias("trigger"),
+        F.array_sort(F.collect_set("type")).alias("node_types"),
     )
     chained = chained_workflows(nodes, edges).withColumn("chained", F.lit(True))
     return per.join(chained, "workflow_id", "left").withColumn("chained", F.coalesce("chained", F.lit(False)))
@@ -106,7 +107,7 @@ def node_kind(kind: Column) -> Column:
     found = found.when(low.contains("embedding"), row("model", "embedding", C.first_part(kind, dims.EMBEDDING_PARTS, "unknown")))
     found = found.when(kind.contains("vectorStore"), row("tool", "embedding", C.first_part(kind, dims.STORE_PARTS, "unknown")))
     # the package's own name contains "chain", so all other nodes of it are orchestration
-    return found.when(low.contains("chain"), row("agent_framework", "orchestration", "n8n")).when(low.contains("memory"), row("tool", "tool_use", "n8n"))
+    return found.when(low.contains("chain"), row("agent_framework", "orchestration", "n8n"))
 
 
 def _string(parameters: Column, *path: str) -> Column:

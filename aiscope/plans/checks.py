@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aiscope.operators import detect, policy, schema
-from aiscope.plans.catalog import event_stream, query, quoted, scored
+from aiscope.operators import components as K
+from aiscope.operators import detect, export, graph, policy, schema
+from aiscope.plans.catalog import _SCORED, event_stream, query, quoted, scored
 from aiscope.plans.views import table, with_views
 from aiscope.sources import files, ignore
 from aiscope.sources.shared import shared_folder
@@ -208,3 +209,60 @@ def violated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "forbid", "component_type", "==", "model", "forbid model"), (1, "forbid", "component_type", "==", "no such", "forbid model"), (None, "forbid", "provider", "==", "no such", "forbid other")]
     rules = spark.createDataFrame(rows, "rule_id int, effect string, field string, op string, value string, raw string")
     return policy.violation_report(policy.gate(scored(spark, sf_dir), rules), rules)
+
+
+# --- reports ------------------------------------------------------------------------------
+
+
+@query(_SCORED + """, g AS (SELECT *, severity IN ('critical', 'high') OR regexp_matches(flags, 'hardcoded_api_key|shadow_ai|internet_facing') AS failed FROM scored)
+SELECT scan_id, count(*) AS n_cases, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS BIGINT) AS n_failures, md5(string_agg(name || '|' || type || '.' || provider || '|' || CASE WHEN failed THEN severity || '|' || score ELSE '' END, chr(10) ORDER BY component_id)) AS digest FROM g GROUP BY scan_id""")
+def junit_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JUnit documents of all scans, and what is read back from their XML."""
+    done = export.junit_documents(scored(spark, sf_dir))
+    cases = F.regexp_extract_all("document", F.lit(r"(?s)<testcase .*?</testcase>"), F.lit(0))
+    back = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
+    read = F.transform(cases, lambda x: F.concat(back(F.regexp_extract(x, 'name="([^"]*)"', 1)), F.lit("|"), back(F.regexp_extract(x, 'classname="([^"]*)"', 1)), F.lit("|"), F.when(x.contains("<failure "), F.concat(F.regexp_extract(x, '<failure type="([^"]*)"', 1), F.lit("|"), F.regexp_extract(x, r"risk score: (\d+)\)", 1))).otherwise("")))
+    return done.select("scan_id", "n_cases", "n_failures", F.md5(F.array_join(read, "\n")).alias("digest"))
+
+
+@query(_SCORED + """ SELECT scan_id, count(*) AS n_elements, count(*) FILTER (WHERE type IN ('llm_provider', 'model', 'agent_framework')) AS n_ai, CAST(sum(line_number) AS BIGINT) AS lines, min(component_id) AS first, count(*) FILTER (WHERE provider <> '') AS n_suppliers,
+  count(*) FILTER (WHERE flags <> '') AS n_flagged FROM scored GROUP BY scan_id""")
+def spdx_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPDX documents of all scans, and what is read back from their JSON."""
+    done = export.spdx_documents(scored(spark, sf_dir)).withColumn("v", F.parse_json("document"))
+    element = "array<struct<type:string,spdxId:string,`aiscope:sourceLocation`:struct<file:string,line:int>,suppliedBy:struct<name:string>,`aiscope:flags`:array<string>>>"
+    rows = done.select("scan_id", "n_elements", F.posexplode(F.variant_get("v", "$.elements", element)).alias("pos", "e"))
+    ident = F.regexp_extract("e.spdxId", r"SPDXRef-(\d+)$", 1).cast("long")
+    return rows.groupBy("scan_id", "n_elements").agg(F.count_if(F.col("e.type") == "ai_AIPackage").alias("n_ai"), F.sum(F.col("e")["aiscope:sourceLocation"]["line"]).alias("lines"), F.min_by(ident, "pos").alias("first"), F.count("e.suppliedBy.name").alias("n_suppliers"), F.count_if(F.size(F.col("e")["aiscope:flags"]) > 0).alias("n_flagged"))
+
+
+@query(_SCORED + """ SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY rank DESC) AS INTEGER) AS place, severity, n, components FROM (
+  SELECT scan_id, severity, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END AS rank, count(*) AS n, md5(string_agg(CAST(component_id AS VARCHAR), ',' ORDER BY score DESC, component_id)) AS components FROM scored WHERE severity <> 'low' GROUP BY scan_id, severity)""")
+def severity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The severities of each scan from critical down to medium, with their components in order."""
+    return K.severity_groups(scored(spark, sf_dir), "medium").withColumn("components", F.md5(F.array_join("components", ",")))
+
+
+@query(_SCORED + """ SELECT component_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, component_id) AS INTEGER) AS by_score, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY lower(name), component_id) AS INTEGER) AS by_name FROM scored""")
+def report_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each component stands in a report by score and in one by name."""
+    placed = K.report_places(scored(spark, sf_dir)).withColumnRenamed("place", "by_score")
+    return K.report_places(placed, "name", descending=False).select("component_id", "by_score", F.col("place").alias("by_name"))
+
+
+@query(_SCORED + """ SELECT file_path AS workflow, count(*) AS n_components, max(score) AS max_score, arg_min(severity, component_id - CAST(score AS BIGINT) * 1000000000000) AS severity, arg_min(CASE WHEN usage_type = 'agent' THEN 'webhook' ELSE 'manual' END, component_id) AS trigger FROM scored GROUP BY file_path""")
+def workflow_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components by workflow, here their file, with the trigger of the first and the severity of the worst."""
+    rows = scored(spark, sf_dir).withColumn("trigger", F.when(F.col("usage_type") == "agent", "webhook").otherwise("manual"))
+    return K.workflow_rollup(rows, order="component_id")
+
+
+@query(with_views("workflow_nodes") + " SELECT workflow_id, string_agg(DISTINCT type, ',' ORDER BY type) AS node_types FROM workflow_nodes GROUP BY workflow_id")
+def workflow_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = graph.workflow_flags(table(spark, sf_dir, "workflow_nodes"), table(spark, sf_dir, "workflow_edges"))
+    return flags.select("workflow_id", F.array_join("node_types", ",").alias("node_types"))
+
+
+@query(_SCORED + " SELECT component_id FROM scored WHERE file_path = 'src/f7.py' AND type = 'model'")
+def searched_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.search(scored(spark, sf_dir), kind="model", workflow="src/f7.py").select("component_id")

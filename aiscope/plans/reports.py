@@ -255,10 +255,13 @@ def valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id AS agent_id, max(ts) >= TIMESTAMP '2000-01-01' AS alive FROM events GROUP BY user_id")
+@query("SELECT user_id AS agent_id, max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR AS alive FROM events GROUP BY user_id")
 def agents_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents at the time of the last event: those silent for three hours are not alive."""
     beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return streams.liveness(streams.last_seen(beats), F.lit("2000-01-01 00:03:00").cast("timestamp")).select("agent_id", "alive")
+    seen = streams.last_seen(beats)
+    now = seen.agg(F.max("last_seen").alias("now"))
+    return streams.liveness(seen.join(F.broadcast(now)), F.col("now"), "interval 3 hours").select("agent_id", "alive")
 
 
 @query(with_views("chat") + " SELECT conv_id, turn, text || '|' || text AS texts FROM chat")

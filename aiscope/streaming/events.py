@@ -67,7 +67,7 @@ def last_seen(heartbeats: DataFrame, agent: str = "agent_id", time: str = "ts")
 
 def liveness(seen: DataFrame, now, missed_after: str = "interval 3 minutes") -> DataFrame:  # noqa: ANN001
     """``alive`` of each agent at a moment."""
-    return seen.withColumn("alive", F.col("last_seen") >= F.lit(now) - F.expr(missed_after))
+    return seen.withColumn("alive", F.col("last_seen") >= (now if isinstance(now, Column) else F.lit(now)) - F.expr(missed_after))
 
 
 def redacted(rows: DataFrame, column: str) -> DataFrame:

@@ -141,3 +141,30 @@ def test_delete_scan_tells_whether_there_was_one(spark, tmp_path):
     export.save_scan(rows, f"{tmp_path}/scans")
     assert export.delete_scan(spark, f"{tmp_path}/scans", 1) and not export.delete_scan(spark, f"{tmp_path}/scans", 1)
     assert [r.name for r in export.scan_history(spark, f"{tmp_path}/scans").collect()] == ["b"]
+
+
+def test_whole_documents_of_odd_components(spark):
+    import json
+    import xml.etree.ElementTree as ET
+
+    from aiscope.operators import export
+
+    rows = K.score(make(spark, [dict(name='a<b>&"c"\n\x01é', flags=["hardcoded_api_key", "shadow_ai"], provider=None), dict(component_id=2, name="plain", scan_id=7), dict(component_id=3, name="", flags=["no_auth"], model_name="gpt-4")]))
+    scans = spark.createDataFrame([(1, "x & y", "2024-01-01")], "scan_id int, target_path string, scan_timestamp string")
+    suites = {r.scan_id: (r.n_cases, r.n_failures, ET.fromstring(r.document.encode())) for r in export.junit_documents(rows, scans).collect()}
+    n, failed, suite = suites[1]
+    assert (n, failed, suite.get("tests"), suite.get("failures"), suite.get("name")) == (2, 1, "2", "1", "Scan: x & y")
+    assert [c.get("name") for c in suite.iter("testcase")] == ['a<b>&"c"\né', ""] and len(suite.findall("testcase/failure")) == 1
+    assert "Risk Factors: " in suite.find("testcase/failure").text and suites[7][0] == 1
+    document = json.loads({r.scan_id: r.document for r in export.spdx_documents(rows, scans).collect()}[1])
+    assert [e["name"] for e in document["elements"]] == ['a<b>&"c"\n\x01é', ""] and document["creationInfo"]["created"] == "2024-01-01" and "suppliedBy" not in document["elements"][0]
+    assert export.junit_documents(rows.where("false")).count() == export.spdx_documents(rows.where("false")).count() == 0
+
+
+def test_report_places_and_groups(spark):
+    rows = K.score(make(spark, [dict(component_id=i, name=n, flags=f) for i, n, f in ((1, "b", []), (2, None, ["shadow_ai", "hardcoded_api_key"]), (3, "A", ["no_auth"]), (4, "B", ["shadow_ai", "hardcoded_api_key"]))]))
+    assert {r.component_id: r.place for r in K.report_places(rows).collect()} == {2: 1, 4: 2, 3: 3, 1: 4}
+    assert {r.component_id: r.place for r in K.report_places(rows, "name", descending=False).collect()} == {3: 1, 1: 2, 4: 3, 2: 4}
+    groups = K.severity_groups(rows, "medium").collect()
+    assert [(r.place, r.severity, r.n, r.components) for r in groups] == [(1, "high", 2, [2, 4])] and K.severity_groups(rows, "no such").count() == 2
+    assert {r.component_id for r in K.search(rows, workflow="no such").collect()} == set()
