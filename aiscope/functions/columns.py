@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
 from aiscope.functions import dims
@@ -233,3 +234,25 @@ def tool_call_names(response: Column) -> Column:
 def shortened(text: Column, size: int) -> Column:
     """At most ``size`` code points, with dots where some are left out."""
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
+
+
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """A value of any type in what JSON has: text, numbers and truth values stay, lists, maps and structs are taken apart, all else becomes text.
+
+    ``kind`` is the column's type.  Keys of maps become text, a null key the
+    text ``null``; of keys that are then equal the last counts.
+    """
+    if isinstance(kind, (T.StringType, T.BooleanType, T.NumericType, T.NullType)):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(value), lambda e: F.struct(F.coalesce(e["key"].cast("string"), F.lit("null")).alias("key"), json_safe(e["value"], kind.valueType).alias("value")))
+        last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]))
+        return F.map_from_entries(last)
+    if isinstance(kind, T.StructType):
+        parts = [json_safe(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    return value.cast("string")

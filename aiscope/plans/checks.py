@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aiscope.functions import columns as C
 from aiscope.operators import components as K
 from aiscope.operators import detect, export, graph, policy, schema
 from aiscope.plans.catalog import _SCORED, event_stream, query, quoted, scored
@@ -266,3 +267,13 @@ def workflow_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SCORED + " SELECT component_id FROM scored WHERE file_path = 'src/f7.py' AND type = 'model'")
 def searched_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.search(scored(spark, sf_dir), kind="model", workflow="src/f7.py").select("component_id")
+
+
+@query("""SELECT event_id, '{"at":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","day":{"' || strftime(ts, '%Y-%m-%d') || '":["' || event_type || '"]},"n":' || event_id || ',"raw":"' || event_type || '"}' AS json FROM events""")
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of types that JSON has not, as JSON."""
+    rows = table(spark, sf_dir, "events")
+    second = F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")
+    value = F.struct(second.alias("at"), F.create_map(F.to_date("ts"), F.array(F.encode("event_type", "UTF-8"))).alias("day"), F.col("event_id").alias("n"), F.encode("event_type", "UTF-8").alias("raw"))
+    rows = rows.select("event_id", value.alias("v"))
+    return rows.select("event_id", F.to_json(C.json_safe(F.col("v"), rows.schema["v"].dataType)).alias("json"))

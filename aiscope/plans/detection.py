@@ -148,7 +148,7 @@ def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.config_keys(lines_of(spark, sf_dir, "settings"))
 
 
-@query(expected("findings", ["name", "component_type", "provider", "severity", "risk_score", "file", "line"], [(0, "a", "model", "P", "high", 60, "x.py", 3), (1, "b", "tool", None, "low", 5, "y.py", None), (1, "c", None, None, None, None, None, None), (2, "r1", "endpoint", "Q", "critical", 90, "z.py", 7)]))
+@query(expected("findings", ["name", "component_type", "provider", "severity", "risk_score", "file", "line"], [(0, "a", "model", "P", "high", 60, "x.py", 3), (1, "b", "tool", None, "low", 5, "y.py", None), (1, "c", None, None, None, None, None, None), (2, "r1", "endpoint", "Q", "critical", 90, "z.py", 7), (3, "z-@ID@", "library", "P-@LANG@", None, 77, "d/e.py", None), (3, "bare", None, None, None, None, None, None)]))
 def ingested_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.findings(sample(spark, sf_dir, "findings"))
 

@@ -66,11 +66,12 @@ SAMPLES: dict[str, tuple[str | list[str], list[str]]] = {
     "weights": (["/w.onnx", "/w.txt"], ["@TEXT@", "@TEXT@"]),
     "requirements": ("/requirements.txt", ["openai>=1.0\n# @TEXT@\nnumpy==1\nlangchain_openai\n", "flask\n# @TEXT@\n"]),
     "env": ("/.env", ['OPENAI_API_KEY=sk-abcdefghijklmnopqrstuv\n# @TEXT@\nexport HF_TOKEN="${HF}"\n', "NAME=x\n# @TEXT@\nOLLAMA_HOST=http://localhost:11434\n"]),
-    "settings": ("/settings.json", ['{"k": "gsk_abcdefghijklmnopqrstuv",\n"note": "x"}\n', '{"k": "none"}\n']),
+    "settings": (["/settings.json", "/settings.json", "/package.json"], ['{"k": "gsk_abcdefghijklmnopqrstuv",\n"note": @TEXT@}\n', '{"k": "none"}\n', '{"k": "gsk_abcdefghijklmnopqrstuv"}\n']),
     "findings": ("/found.json", [
         '{"components":[{"name":"a","type":"model","provider":"P","risk":{"severity":"high","score":60},"location":{"file_path":"x.py","line_number":3},"note":@TEXT@}]}',
         '[{"name":"b","component_type":"tool","severity":"low","risk_score":5,"file_path":"y.py"},{"name":"c","note":@TEXT@}]',
         '{"runs":[{"results":[{"ruleId":"r1","level":"error","message":@TEXT@,"locations":[{"physicalLocation":{"artifactLocation":{"uri":"z.py"},"region":{"startLine":7}}}],"properties":{"risk_score":90,"provider":"Q","component_type":"endpoint"}}]}]}',
+        '{"bomFormat":"CycloneDX","components":[{"name":"z-@ID@","type":"library","description":@TEXT@,"properties":[{"name":"x:provider","value":"P-@LANG@"},{"name":"x:risk_score","value":"77"},{"name":"x:source_location","value":"d/e.py:12"},{"name":"x:source-location-note","value":""}]},{"name":"bare"}]}',
     ]),
     "policies": ("/rules.txt", [
         'forbid (principal, action == Action::"http.get", resource) when { request.hostname contains "deepseek"; request.port >= "8000"; }; // @TEXT@\npermit (principal, action, resource) when { request.path startswith "/v1" };',

@@ -168,3 +168,12 @@ def test_report_places_and_groups(spark):
     groups = K.severity_groups(rows, "medium").collect()
     assert [(r.place, r.severity, r.n, r.components) for r in groups] == [(1, "high", 2, [2, 4])] and K.severity_groups(rows, "no such").count() == 2
     assert {r.component_id for r in K.search(rows, workflow="no such").collect()} == set()
+
+
+def test_json_safe_values(spark):
+    rows = spark.sql("""select cast(null as struct<a:int>) as n, array(date'2024-01-02', null) as d, map(1, x'4142', 2, null) as m, parse_json('{"k":[1]}') as v,
+      named_struct('t', interval 1 day, 'f', 1.5D, 's', 'x', 'e', cast(null as array<date>)) as s""")
+    out = {f.name: C.json_safe(F.col(f.name), f.dataType) for f in rows.schema.fields}
+    r = rows.select(*[c.alias(n) for n, c in out.items()]).first()
+    assert r.n is None and r.d == ["2024-01-02", None] and r.m == {"1": "AB", "2": None} and r.v == '{"k":[1]}'
+    assert (r.s.f, r.s.s, r.s.e) == (1.5, "x", None) and "1" in r.s.t
