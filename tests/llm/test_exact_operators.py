@@ -655,20 +655,3 @@ def test_secret_endpoints():
     found = lambda t: [t[s:e] for s, e in secrets.endpoint_spans(t)]
     assert found(b"x db.eu.windows.net, s3.amazonaws.com.evil https://a.amazonaws.com/x _q.b.googleapis.com") == [b"db.eu.windows.net", b"s3.amazonaws.com", b"https://a.amazonaws.com/x", b"b.googleapis.com"]
     assert found(b"amazonaws.com .amazonaws.com a..amazonaws.com a.amazonaws.comx a.amazonaws.com_") == []
-
-
-def test_language_model_broadcasts_a_fixed_number_of_words(spark, monkeypatch):
-    """The most frequent words have their own parent probabilities, at any size; with few of them, scores stay probabilities of the same tokens."""
-    rng = np.random.default_rng(6)
-    words, counts = rng.integers(1, 1 << 60, 5000).astype(np.uint64), rng.integers(1, 50, 5000)
-    kept, c, left = pitman_yor.most_frequent(words, counts, 1000)
-    assert len(kept) == 1000 and c.min() >= left and sorted(c)[0] == sorted(counts)[-1000]
-    assert len(pitman_yor.most_frequent(words, counts, 6000)[0]) == (counts > 1).sum()
-    rows = [(i, " ".join(f"w{rng.zipf(1.3) % 300}" for _ in range(40))) for i in range(400)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    total = lambda: {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in pitman_yor.score_documents(frame).collect()}
-    all_words = total()
-    monkeypatch.setattr(pitman_yor, "MOST_WORDS", 8)
-    few = total()
-    assert {k: v[:2] for k, v in few.items()} == {k: v[:2] for k, v in all_words.items()}
-    assert abs(sum(v[2] for v in few.values()) / sum(v[2] for v in all_words.values()) - 1) < 0.05
