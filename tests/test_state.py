@@ -147,3 +147,31 @@ def test_both_sinks_of_a_stream(spark, tmp_path):
     done = spark.read.parquet(out)
     assert done.where("quarantined = 'true'").select("failed_step", "batch_id").collect() == [("step", 1)]
     assert done.where("quarantined = 'false'").count() == 39
+
+
+def test_many_bad_rows_cost_one_call():
+    calls = []
+
+    def odd(row):
+        if row["n"] % 3 == 0:
+            raise ValueError(row["n"])
+        return {**row, "m": row["n"] * 10} if row["n"] % 3 == 1 else None
+
+    def counted(frame):
+        calls.append(len(frame))
+        return guarded.by_row(odd)(frame)
+
+    frame = pd.DataFrame({"n": range(3000)})
+    passed, failed = guarded.isolate(frame, [("odd", counted)], ["n", "m"])
+    assert calls == [3000]
+    assert [m for p in passed for m in p["m"]] == [10 * n for n in range(1, 3000, 3)] and failed == [(n, "odd", f"ValueError: {n}") for n in range(0, 3000, 3)]
+
+    def last(frame):
+        if frame["n"].isin([5, 9]).any():
+            raise KeyError("x")
+        return frame
+
+    before = []
+    passed, failed = guarded.isolate(frame.iloc[:64], [("seen", lambda f: before.append(len(f)) or f), ("last", last)], ["n"])
+    assert before == [64] and [f[0] for f in failed] == [5, 9] and sum(map(len, passed)) == 62
+    assert guarded.isolate(frame.iloc[:3:3], [("odd", guarded.by_row(odd))], ["n", "m"]) == ([], [(0, "odd", "ValueError: 0")])
