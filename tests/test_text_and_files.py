@@ -191,3 +191,18 @@ def test_literals_that_patterns_need(spark):
 def test_string_leaves_of_payloads(spark):
     found = spark.createDataFrame([('{"a":"x \\"y\\"","b":[{"c":"z"},3,null]}',), ("no json",), (None,), ('"one"',)], "t string").select(C.string_leaves("t").alias("s"))
     assert [r.s for r in found.collect()] == ['x "y" z', "", "", "one"]
+
+
+def test_texts_are_parsed_in_runs_of_bounded_size(spark):
+    """The objects of one run are held at a time, however many large texts come in one batch."""
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 600_000, None, "b" * 600_000, "", "é" * 2_000_000, "c"])
+    assert [len(r) for r in C.runs(texts)] == [2, 2, 1, 1] and [len(r) for r in C.runs(texts.slice(1, 3))] == [3]
+    assert [x for r in C.runs(texts) for x in r.to_pylist()] == texts.to_pylist() and list(C.runs(texts.slice(0, 0))) == []
+    rows = spark.range(40, numPartitions=1).select("id", F.concat(F.lit('{"a": "'), F.repeat(F.lit("x"), 200_000), F.lit('", "b": "'), "id", F.lit('"}')).alias("t"))
+    found = rows.select("id", C.string_leaves("t").alias("l"), files.yaml_json(F.col("t")).alias("y")).collect()
+    assert all(r.l == "x" * 200_000 + f" {r.id}" and r.y.endswith(f'"b": "{r.id}"}}') for r in found) and len(found) == 40
+    held = []
+    list(C.parsed_in_runs(lambda t: held.append(t) or t, pa.string(), "string").func(iter([texts])))
+    assert held == texts.to_pylist()
