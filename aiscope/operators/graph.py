@@ -22,12 +22,19 @@ def neighbours(edges: DataFrame, both_ways: bool = True) -> DataFrame:
 
 
 def agents_with_code_and_http(nodes: DataFrame, edges: DataFrame, both_ways: bool = True) -> DataFrame:
-    """Agents that have a code tool and an HTTP tool among their neighbours."""
-    kinds = nodes.select("workflow_id", F.col("node").alias("other"), F.col("type").alias("other_type"))
+    """Agents that have a code tool and an HTTP tool among their neighbours.
+
+    Edges are read once, in both directions, and only agents and tools are
+    joined; equal pairs need not be made distinct, as they do not change what an
+    agent has.
+    """
+    pair = lambda node, other: F.struct(F.col(node).alias("node"), F.col(other).alias("other"))
+    pairs = edges.select("workflow_id", F.inline(F.array(pair("src", "dst"), *([pair("dst", "src")] if both_ways else []))))
+    code, http = F.col("type").rlike(CODE), F.col("type").rlike(HTTP)
+    tools = nodes.where(code | http).select("workflow_id", F.col("node").alias("other"), code.alias("code"), http.alias("http"))
     agents = nodes.where(F.col("type").rlike(AGENT)).select("workflow_id", "node")
-    met = agents.join(neighbours(edges, both_ways), ["workflow_id", "node"]).join(kinds, ["workflow_id", "other"])
-    tools = met.groupBy("workflow_id", "node").agg(F.bool_or(F.col("other_type").rlike(CODE)).alias("code"), F.bool_or(F.col("other_type").rlike(HTTP)).alias("http"))
-    return tools.where("code and http").select("workflow_id", "node")
+    has = pairs.join(tools, ["workflow_id", "other"]).groupBy("workflow_id", "node").agg(F.bool_or("code").alias("code"), F.bool_or("http").alias("http")).where("code and http")
+    return has.join(agents, ["workflow_id", "node"], "left_semi").select("workflow_id", "node")
 
 
 def chained_workflows(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -117,6 +117,17 @@ def test_contexts_shuffle_a_line_about_once(spark):
     assert found == {n: "\n".join(f"l{i}" for i in range(max(0, n - 11), min(3000, n + 10))) for n in range(1, 3001)}
 
 
+def test_agents_meet_tools_without_distinct_pairs(spark):
+    """Edges are read once and pairs are not collected into a set; equal edges and nodes change nothing."""
+    from aiscope.operators import graph
+
+    nodes = spark.createDataFrame([(w, n, f"x.{t}") for w in (1, 1, 2) for n, t in (("a", "agent"), ("b", "agent"), ("c", "toolCode"), ("h", "toolHttpRequest"))], "workflow_id long, node string, type string")
+    edges = spark.createDataFrame([(1, "a", "c"), (1, "a", "c"), (1, "h", "a"), (1, "b", "c"), (2, "a", "c"), (2, "c", "h"), (2, "h", "b")], "workflow_id long, src string, dst string")
+    found = graph.agents_with_code_and_http(nodes, edges)
+    assert [tuple(r) for r in found.collect()] == [(1, "a")] and graph.agents_with_code_and_http(nodes, edges, both_ways=False).count() == 0
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_one_scan_for_all_detectors(spark, tmp_path):
     rows = [("a/x.py", "import openai\n"), ("a/ci.yml", "jobs: {}\n"), ("b/w.gguf", "x"), ("c/note.md", "import openai"), ("d/requirements.txt", "openai"), ("e/x.ipynb", None), ("f/Dockerfile", "FROM ollama/ollama\n"), ("g/b.yml", "a: [")]
     spark.createDataFrame(rows, TEXT).write.parquet(str(tmp_path / "corpus"))
