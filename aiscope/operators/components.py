@@ -137,8 +137,9 @@ def diff(before: DataFrame, after: DataFrame, order: str = "component_id") -> Da
 
     Modified: another score or severity.  ``score_delta`` is new less old.
     """
-    old = last_of_key(before, order).select(*KEY, F.col("score").alias("old_score"), F.col("severity").alias("old_severity"))
-    new = last_of_key(after, order).select(*KEY, F.col("score").alias("new_score"), F.col("severity").alias("new_severity"))
+    slim = lambda rows: rows.select(*dict.fromkeys([*KEY, order, "score", "severity"]))  # noqa: E731  what is not compared is neither sorted nor shuffled
+    old = last_of_key(slim(before), order).select(*KEY, F.col("score").alias("old_score"), F.col("severity").alias("old_severity"))
+    new = last_of_key(slim(after), order).select(*KEY, F.col("score").alias("new_score"), F.col("severity").alias("new_severity"))
     joined = old.join(new, KEY, "full")
     differs = (F.col("old_score") != F.col("new_score")) | (F.col("old_severity") != F.col("new_severity"))
     change = F.when(F.col("old_score").isNull(), "added").when(F.col("new_score").isNull(), "removed").when(differs, "modified").otherwise("unchanged")

@@ -203,3 +203,10 @@ def test_documents_of_large_scans_come_in_parts(spark):
     assert summary == {"total_components": len(ids), "by_type": {"model": len(ids)}, "by_severity": {"low": len(ids)}, "highest_risk_score": 25}
     suite = "".join(r[2] for r in sorted((r.place, r.part, r.text) for r in export.junit_parts(rows).where("scan_id = 0").collect()))
     assert [c.get("name") for c in ET.fromstring(suite.encode()).iter("testcase")] == [f"n{i}" for i in ids]
+
+
+def test_diff_takes_only_what_it_compares(spark):
+    old, new = K.score(make(spark, [dict(flags=["no_auth"])])), K.score(make(spark, [dict(name="x")]))
+    plan = K.diff(old, new)._jdf.queryExecution().optimizedPlan().toString()
+    assert "factors" not in plan and "owasp" not in plan
+    assert {(r.name, r.change) for r in K.diff(old, new).collect()} == {("n", "removed"), ("x", "added")}
