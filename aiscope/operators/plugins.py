@@ -76,9 +76,9 @@ def candidates(corpus: DataFrame, detectors: list[Detector]) -> DataFrame:
     of = lambda form: [d for d in detectors if d.form == form]
     wanted = lambda form: reduce(or_, [to[d.name] for d in of(form)], F.lit(False))
     if of("yaml"):
-        rows = rows.withColumn("_yaml", files.yaml_json(F.when(wanted("yaml"), F.col("_t"))))
+        rows = rows.withColumn("_yaml", files.yaml_json_shared(F.when(wanted("yaml"), F.col("_t"))))
     if of("python"):
-        rows = rows.withColumn("_facts", files.python_facts_of(F.when(wanted("python"), F.col("_t"))))
+        rows = rows.withColumn("_facts", files.python_facts_shared(F.when(wanted("python"), F.col("_t"))))
 
     def item(ds: list[Detector], line_no: Column | None, kind: Column, text: Column | None, args: Column | None = None, line: Column | None = None) -> Column:
         none = F.lit(None)

@@ -204,5 +204,10 @@ def test_texts_are_parsed_in_runs_of_bounded_size(spark):
     found = rows.select("id", C.string_leaves("t").alias("l"), files.yaml_json(F.col("t")).alias("y")).collect()
     assert all(r.l == "x" * 200_000 + f" {r.id}" and r.y.endswith(f'"b": "{r.id}"}}') for r in found) and len(found) == 40
     held = []
-    list(C.parsed_in_runs(lambda t: held.append(t) or t, pa.string(), "string").func(iter([texts])))
+    keep = lambda t: held.append(t) or t
+    shared = C.parsed_in_runs(keep, pa.string(), "string", shared=True).func
+    assert shared(texts).to_pylist() == held == texts.to_pylist() and len(shared(texts.slice(0, 0))) == 0
+    held.clear()
+    for out in C.parsed_in_runs(keep, pa.string(), "string").func(iter([texts])):
+        assert out.to_pylist() == held[-len(out) :]  # nothing is parsed ahead
     assert held == texts.to_pylist()
