@@ -48,3 +48,17 @@ def test_a_valid_bill_of_materials(spark):
     good = {"bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "serialNumber": "urn:uuid:" + "-".join("0" * n for n in (8, 4, 4, 4, 12)), "metadata": {"timestamp": "t", "tools": {}, "properties": []}, "components": [part]}
     bad = good | {"version": "1", "components": [part, part | {"type": "thing", "properties": [{"name": 1}]}]}
     assert found(spark, S.BILL_OF_MATERIALS, [good, bad]) == [[], [("$.components[1].properties[0].name", "type"), ("$.components[1].properties[0].value", "required"), ("$.components[1].type", "enum"), ("$.version", "type")]]
+
+
+@pytest.mark.parametrize("n", range(len(CASES)))
+def test_invalid_documents_are_those_with_breaches(spark, n):
+    schema, values = CASES[n]
+    rows = spark.createDataFrame([(i, v if isinstance(v, str) else json.dumps(v)) for i, (v, _) in enumerate(values)], "i int, document string")
+    out = S.invalid_documents(rows, schema).collect()
+    assert [sorted((r.path, r.rule) for r in out if r.i == i) for i in range(len(values))] == [sorted(b) for _, b in values]
+
+
+def test_no_value_of_a_document_is_read_twice(spark):
+    rows = spark.createDataFrame([(1, "{}")], "i int, document string")
+    plan = S.invalid_documents(rows, S.BILL_OF_MATERIALS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(") < 20
