@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from aiscope.functions import columns as C
@@ -23,26 +23,32 @@ def ordered_match(op: Column, have: Column, want: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def component_fields(components: DataFrame) -> Column:
+def component_fields(components: DataFrame) -> dict[str, Column]:
     """Fields of a component that rules can name."""
     names = {"severity": "severity", "provider": "provider", "component_type": "type", "risk_score": "score", "name": "name", "file": "file_path"}
-    pairs = [x for field, column in names.items() if column in components.columns for x in (F.lit(field), F.col(column).cast("string"))]
-    return F.create_map(*pairs)
+    return {field: F.col(column).cast("string") for field, column in names.items() if column in components.columns}
 
 
 #: A rule set larger than this is refused: it travels as one literal.
 MAX_RULES = 10_000
+#: Up to so many rules are compiled one by one.
+COMPILED_RULES = 64
 RULE_FIELDS = "rule_id", "effect", "action", "field", "op", "value"
 
 
-def rule_array(rules: DataFrame) -> Column:
-    """A small rule table as an array literal of structs, in the order of ``rule_id``, nulls last; its size is checked."""
+def rule_rows(rules: DataFrame) -> list[Row]:
+    """A small rule table in the order of ``rule_id``, nulls last; its size is checked."""
     have = [c if c in rules.columns else F.lit(None).cast("string").alias(c) for c in RULE_FIELDS]
     rows = rules.select(*have).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
+    return sorted(rows, key=lambda r: (r.rule_id is None, 0 if r.rule_id is None else r.rule_id))
+
+
+def rule_array(rules: DataFrame, rows: list[Row] | None = None) -> Column:
+    """A small rule table as an array literal of structs, in the order of :func:`rule_rows`."""
     kind = rules.schema["rule_id"].dataType.simpleString()
-    text = json.dumps([r.asDict() for r in sorted(rows, key=lambda r: (r.rule_id is None, 0 if r.rule_id is None else r.rule_id))], default=str)
+    text = json.dumps([r.asDict() for r in (rule_rows(rules) if rows is None else rows)], default=str)
     return F.from_json(F.lit(text), f"array<struct<rule_id:{kind},effect:string,action:string,field:string,op:string,value:string>>")
 
 
@@ -54,23 +60,35 @@ def gate(components: DataFrame, rules: DataFrame, entities: DataFrame | None = N
     ``entities(name, attributes)`` adds fields that are missing; several of one
     name count as one, of which each attribute has its least value.
     """
-    fields = components.select(key, F.col("name").alias("_name"), component_fields(components).alias("f"))
+    own = component_fields(components)
+    fields = components.select(key, F.col("name").alias("_name"), *[c.alias(f"_f_{field}") for field, c in own.items()])
     if entities is not None:
         each = entities.select(F.col("name").alias("_e"), F.explode("attributes").alias("_k", "_v")).groupBy("_e", "_k").agg(F.min("_v").alias("_v"))
-        more = each.groupBy("_e").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("attributes"))
+        more = each.groupBy("_e").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_attributes"))
         fields = fields.join(more, F.col("_name") == F.col("_e"), "left")
-        known = F.coalesce(F.map_filter("attributes", lambda k, _: ~F.map_contains_key("f", k)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-        fields = fields.select(key, F.map_concat("f", known).alias("f"))
 
-    def hit(rule: Column) -> Column:
-        have, op, want = F.try_element_at("f", rule["field"]), rule["op"], rule["value"]
+    def hit(rule: dict[str, Column] | Column, have: Column) -> Column:
+        op, want = rule["op"], rule["value"]
         number, number_wanted = have.try_cast("double"), want.try_cast("double")
         is_rank = (rule["field"] == "severity") & (C.severity_rank(want) > 0)
         found = F.when(is_rank, ordered_match(op, C.severity_rank(have), C.severity_rank(want))).when(number.isNotNull() & number_wanted.isNotNull(), ordered_match(op, number, number_wanted)).otherwise(string_match(op, have, want))
         return (rule["effect"] == "forbid") & have.isNotNull() & found
 
-    met = fields.select(key, F.explode(F.filter(rule_array(rules), hit)).alias("r"))
-    return met.select(key, "r.rule_id", "r.field", "r.op", "r.value")
+    rows = rule_rows(rules)
+    if len(rows) <= COMPILED_RULES:
+        kinds = {c: rules.schema[c].dataType if c == "rule_id" else "string" for c in RULE_FIELDS}
+        met = []
+        for row in rows:
+            rule = {c: F.lit(row[c]).cast(kinds[c]) for c in RULE_FIELDS}
+            have = F.col(f"_f_{row.field}") if row.field in own else F.lit(None).cast("string") if entities is None else F.try_element_at("_attributes", rule["field"])
+            met.append(F.when(hit(rule, have), F.struct(*[rule[c].alias(c) for c in RULE_FIELDS])))
+        found = F.array(*met) if met else F.lit(None).cast(f"array<struct<rule_id:{rules.schema['rule_id'].dataType.simpleString()},effect:string,action:string,field:string,op:string,value:string>>")
+    else:
+        known = F.create_map(*[x for field in own for x in (F.lit(field), F.col(f"_f_{field}"))])
+        fields = fields.withColumn("_f", known if entities is None else F.map_concat(known, F.coalesce(F.map_filter("_attributes", lambda k, _: ~k.isin(*own)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
+        found = F.filter(rule_array(rules, rows), lambda rule: hit(rule, F.try_element_at("_f", rule["field"])))
+    # an outer explode, so that the rules are not held against every component once more in a filter on the array's size
+    return fields.select(key, F.explode_outer(found).alias("r")).where("r is not null").select(key, "r.rule_id", "r.field", "r.op", "r.value")
 
 
 def request_fields(requests: DataFrame) -> Column:
@@ -221,19 +239,22 @@ def owasp_categories(components: DataFrame) -> DataFrame:
 def eu_act_findings(components: DataFrame, key: str = "component_id") -> DataFrame:
     """``key, category, requirement, status``: high-risk areas, transparency gaps and prohibited practices."""
     meta = F.lower("metadata") if "metadata" in components.columns else F.lit("")
-    all_text = F.lower(F.concat_ws(" ", "name", meta, F.array_join("flags", " "), "usage_type"))
-    areas = F.array_compact(F.array(*[F.when(all_text.rlike("|".join(words)), area) for area, words in dims.HIGH_RISK.items()]))
+    words = [F.col("name"), meta, F.array_join("flags", " ")]
+    components = components.withColumn("_all", F.lower(F.concat_ws(" ", *words, "usage_type")))
+    # null values are left out by concat_ws, so no area gives an empty text
+    components = components.withColumn("_areas", F.concat_ws(", ", *[F.when(F.col("_all").rlike("|".join(terms)), area) for area, terms in dims.HIGH_RISK.items()]))
     usage = F.col("usage_type")
     told = meta.rlike("disclosure|transparency|user_notification|ai_notice")
     marked = meta.rlike("watermark|synthetic_label|ai_generated")
     row = lambda category, requirement, status: F.struct(F.lit(category).alias("category"), requirement.alias("requirement"), F.lit(status).alias("status"))
-    rows = F.array_compact(F.array(
-        F.when(F.size(areas) > 0, row("high_risk", F.concat(F.lit("Annex III - "), F.array_join(areas, ", ")), "Flag")),
+    rows = F.array(
+        F.when(F.col("_areas") != "", row("high_risk", F.concat(F.lit("Annex III - "), "_areas"), "Flag")),
         F.when(usage.isin("completion", "agent", "image_gen", "speech") & ~told, row("transparency", F.lit("Missing AI system disclosure to users (Article 53)"), "Fail")),
         F.when(usage.isin("image_gen", "speech") & ~marked, row("transparency", F.lit("Missing synthetic content labeling (Article 52)"), "Fail")),
-        F.when(F.lower(F.concat_ws(" ", "name", meta, F.array_join("flags", " "))).rlike("|".join(dims.PROHIBITED)), row("prohibited", F.lit("Article 5 - Prohibited AI Practices"), "Critical")),
-    ))
-    return components.select(key, F.explode(rows).alias("f")).select(key, "f.*")
+        F.when(F.lower(F.concat_ws(" ", *words)).rlike("|".join(dims.PROHIBITED)), row("prohibited", F.lit("Article 5 - Prohibited AI Practices"), "Critical")),
+    )
+    # an outer explode, as in :func:`gate`
+    return components.select(key, F.explode_outer(rows).alias("f")).where("f is not null").select(key, "f.*")
 
 
 def licence_findings(components: DataFrame, key: str = "component_id", longest: bool = False) -> DataFrame:

@@ -210,3 +210,24 @@ def test_diff_takes_only_what_it_compares(spark):
     plan = K.diff(old, new)._jdf.queryExecution().optimizedPlan().toString()
     assert "factors" not in plan and "owasp" not in plan
     assert {(r.name, r.change) for r in K.diff(old, new).collect()} == {("n", "removed"), ("x", "added")}
+
+
+def test_gate_by_compiled_rules_is_that_by_their_array(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "x", "model", "high", 61), (2, "y", "mcp_server", "low", 7), (3, None, None, None, None)], "component_id long, name string, type string, severity string, score int")
+    rules = [(1, "forbid", "severity", ">=", "Medium"), (2, "forbid", "risk_score", "<", "9"), (3, "forbid", "component_type", "contains", "MCP"), (4, "forbid", "owner", "==", "ann"), (5, "permit", "name", "==", "x"), (None, "forbid", "name", "!=", "y"), (7, None, None, None, None), (8, "forbid", "name", "==", None)]
+    rules = spark.createDataFrame(rules, "rule_id int, effect string, field string, op string, value string")
+    entities = spark.createDataFrame([("x", {"owner": "Ann", "severity": "low"}), ("y", None)], "name string, attributes map<string,string>")
+    found = []
+    for most in (64, 0):
+        monkeypatch.setattr(policy, "COMPILED_RULES", most)
+        found.append([sorted(map(str, policy.gate(rows, rules, e).collect())) for e in (None, entities)])
+        assert policy.gate(rows, rules.limit(0)).collect() == []
+    assert found[0] == found[1]
+    assert [r.rule_id for r in policy.gate(rows, rules, entities).orderBy("component_id", "rule_id").collect()] == [None, 1, 4, 2, 3]
+
+
+def test_findings_are_made_once_for_each_component(spark):
+    rows = spark.createDataFrame([(1, "x", "model", "high", 61, ["a"], "agent")], "component_id long, name string, type string, severity string, score int, flags array<string>, usage_type string")
+    rules = spark.createDataFrame([(1, "forbid", "severity", ">=", "high")], "rule_id int, effect string, field string, op string, value string")
+    for found in (policy.gate(rows, rules), policy.eu_act_findings(rows)):
+        assert "size(" not in found._jdf.queryExecution().optimizedPlan().toString()
