@@ -78,7 +78,7 @@ def agent_liveness(beats: DataFrame, missed_after: str = "3 minutes", lateness:
     return found.select("agent_id", F.timestamp_micros("_at").alias("at"), "state")
 
 
-def file_changes(listings: DataFrame, every: str = "2 seconds", quiet: str = "2 seconds", lateness: str = LATENESS) -> DataFrame:
+def file_changes(listings: DataFrame, every: str = "2 seconds", quiet: str = "2 seconds", lateness: str = LATENESS, groups: int = 4096) -> DataFrame:
     """``path, at, change`` from a stream of whole listings ``path, version, seen_at``, taken ``every`` so often.
 
     ``created`` and ``modified`` come once a file's version (its time and
@@ -86,51 +86,60 @@ def file_changes(listings: DataFrame, every: str = "2 seconds", quiet: str = "2
     before; ``deleted`` comes ``every`` after the last listing that has the file,
     once one and a half such lengths have passed.  A file that goes before it
     was quiet has never been there.
+
+    Every listing names all files, so files are kept by a hash of their path in
+    ``groups`` states: a call of Python for each group, not for each file.
     """
     interval, calm = _micros(every), _micros(quiet)
     rows = listings.select("path", F.col("version").cast("string").alias("version"), F.col("seen_at").cast("timestamp").alias("_ts")).where("path is not null and _ts is not null")
-    rows = rows.withWatermark("_ts", lateness).withColumn("_us", F.unix_micros("_ts"))
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, version, changed, pending, told, times, versions = state.get if state.exists else (None, None, None, None, False, [], [])
-        waiting = sorted([*zip(times, versions), *((int(t), v) for f in frames for t, v in zip(f["_us"], f["version"]))], key=lambda x: (x[0], x[1] or ""))
+    rows = rows.withWatermark("_ts", lateness).withColumn("_us", F.unix_micros("_ts")).withColumn("_g", F.pmod(F.xxhash64("path"), F.lit(groups)))
+
+    def step(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # by path: seen, version, changed, pending, told, and the rows that wait
+        files = {path: (*one, list(zip(times, versions))) for path, *one, times, versions in zip(*state.get)} if state.exists else {}
+        for f in frames:
+            for path, at, version in zip(f["path"].tolist(), f["_us"].tolist(), f["version"].tolist()):
+                if path not in files:
+                    files[path] = (None, None, None, None, False, [])
+                files[path][-1].append((at, version))
         watermark = state.getCurrentWatermarkMs()
-        out: list[tuple[int, str]] = []
-
-        def gone() -> None:
-            nonlocal seen, pending, told
-            if told:
-                out.append((seen + interval, "deleted"))
-            seen, pending, told = None, None, False
-
-        done = 0
-        for at, now in waiting:
-            if not _passed(at, watermark):
-                break
-            done += 1
-            if seen is not None and 2 * (at - seen) > 3 * interval:
-                gone()
-            if seen is None:
-                version, changed, pending = now, at, "created"
-            elif now != version:
-                version, changed, pending = now, at, pending or "modified"
-            seen = at
-            if pending and at - changed >= calm:
-                out.append((at, pending))
-                pending, told = None, True
-        waiting = waiting[done:]
-        last = None if seen is None else seen + interval * 3 // 2
-        if last is not None and _passed(last, watermark) and not (waiting and waiting[0][0] <= last):
-            gone()
-            last = None
-        moments = [*(t for t, _ in waiting[:1]), *([last] if last is not None else [])]
-        if moments:
-            _wait(state, (seen, version, changed, pending, told, [t for t, _ in waiting], [v for _, v in waiting]), moments, watermark)
+        out: list[tuple[str, int, str]] = []
+        kept, moments = [], []
+        for path, (seen, version, changed, pending, told, waiting) in files.items():
+            waiting.sort(key=lambda x: (x[0], x[1] or ""))
+            done = 0
+            for at, now in waiting:
+                if not _passed(at, watermark):
+                    break
+                done += 1
+                if seen is not None and 2 * (at - seen) > 3 * interval:
+                    if told:
+                        out.append((path, seen + interval, "deleted"))
+                    seen, pending, told = None, None, False
+                if seen is None:
+                    version, changed, pending = now, at, "created"
+                elif now != version:
+                    version, changed, pending = now, at, pending or "modified"
+                seen = at
+                if pending and at - changed >= calm:
+                    out.append((path, at, pending))
+                    pending, told = None, True
+            waiting = waiting[done:]
+            last = None if seen is None else seen + interval * 3 // 2
+            if last is not None and _passed(last, watermark) and not (waiting and waiting[0][0] <= last):
+                if told:
+                    out.append((path, seen + interval, "deleted"))
+                seen, pending, told, last = None, None, False, None
+            if waiting or last is not None:
+                kept.append((path, seen, version, changed, pending, told, [t for t, _ in waiting], [v for _, v in waiting]))
+                moments += [t for t, _ in waiting[:1]] + ([last] if last is not None else [])
+        if kept:
+            _wait(state, tuple(map(list, zip(*kept))), [min(moments)], watermark)
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame({"path": [key[0]] * len(out), "_at": [a for a, _ in out], "change": [c for _, c in out]})
+            yield pd.DataFrame(out, columns=["path", "_at", "change"])
 
-    kept = "seen long, version string, changed long, pending string, told boolean, times array<long>, versions array<string>"
-    found = rows.groupBy("path").applyInPandasWithState(step, "path string, _at long, change string", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    state = "path array<string>, seen array<long>, version array<string>, changed array<long>, pending array<string>, told array<boolean>, times array<array<long>>, versions array<array<string>>"
+    found = rows.groupBy("_g").applyInPandasWithState(step, "path string, _at long, change string", state, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select("path", F.timestamp_micros("_at").alias("at"), "change")

@@ -93,6 +93,19 @@ def test_file_changes_in_any_cut(spark, tmp_path, parts):
     assert found - ended == expected and {c for _, _, c in found} == {"created", "modified", "deleted"}
 
 
+def test_file_changes_keep_a_state_for_each_group_of_files(spark, tmp_path):
+    rows = [{"path": f"f{i}", "version": None if i % 3 else "a", "seen_at": stamp(m)} for m in range(8) for i in range(30) if m < 2 + i % 4]
+    rows += [{"path": "last", "version": "a", "seen_at": stamp(12)}]
+    stream = spark.readStream.schema("path string, version string, seen_at timestamp").option("maxFilesPerTrigger", 1).json(cut(tmp_path, "groups", rows, 3))
+    changes = liveness.file_changes(stream, "1 minute", "1 minute", "1 minute", groups=2)
+    query = changes.writeStream.format("memory").queryName("groups").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert 0 < max(states) <= 2
+    found = {(r.path, r.change) for r in spark.table("groups").collect()}
+    assert found == {(f"f{i}", c) for i in range(30) for c in ("created", "deleted")}
+
+
 def test_bad_rows_alone_go(spark):
     def half(frame):
         return frame[frame["n"] % 2 == 0]
