@@ -10,7 +10,10 @@ packed arrays, one row for each bucket, whose number grows with the text.  The
 restaurant of a frequent context is dealt out in parts, by word, so that no
 bucket holds a hot context whole; its totals are broadcast.  Words with at
 least one in about ``1 << SHARE`` bytes of text are broadcast with their counts
-and parent probabilities; all others meet theirs by key.
+and parent probabilities; all others meet theirs by key: before each sweep
+their parent's tables are drawn where the word is kept, and what its
+probability follows from is sent to the buckets that hold the word with
+several customers.
 
 Seating is sampled by Gibbs, one dish of one restaurant at a time: given the
 parent's probability of a word, all its customers in a restaurant are seated
@@ -21,11 +24,11 @@ own rule, with the mean and variance of the binomial.  All restaurants are
 sampled side by side with the parent of the sweep before.  After each sweep the
 strengths and the contexts' discount are drawn from their conditionals on a
 grid, the discount by the pairs of at most ``EXACT`` customers; the parent's
-discount is estimated from the words with one and two tables.  Words that are
-not broadcast are seated with their mean parent probability, and keep the
-parent's tables of the first sweep.  Draws depend on context, word and sweep
-alone: tables are never stored, each task seats its restaurants again through
-all sweeps, and a task that runs again gives the same.
+discount is estimated from the words with one and two tables.  Draws depend on
+context, word and sweep alone, so a task that runs again gives the same, and
+which words are broadcast makes no difference.  The tables of dishes with
+several customers are written after each sweep, for the next one; scoring reads
+those of the samples.
 
 The predictive probability of a token is the average over ``SAMPLES`` sweeps
 after ``BURN_IN``.  Scoring: frequent pairs are broadcast and settle many tokens
@@ -179,9 +182,9 @@ def place_of(ids: np.ndarray) -> np.ndarray:
 def grouped(batches: Iterator[pa.RecordBatch], key: str, least: int = 0) -> Iterator[tuple[int, list[tuple]]]:
     """Rows in order of a key, as the key and its rows; with ``least``, those of several keys up to so many bytes, as the last key and their rows."""
     now, rows, size = None, [], 0
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        at = batch.schema.get_field_index(key)
+    for part in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # a batch may hold tens of MB
+        columns = [part.column(i).to_pylist() for i in range(part.num_columns)]
+        at = part.schema.get_field_index(key)
         for row in zip(*columns):
             if row[at] != now:
                 if rows and size >= least:
@@ -237,6 +240,13 @@ class Layout:
         before[begins] = BEGIN
         return word, before
 
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        """The hashes of ids."""
+        out = ids.copy()
+        known = ids < CODES
+        out[known] = self.words[ids[known]]
+        return out
+
     def bucket(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The bucket of each pair, by the context's part that the word belongs to."""
         key = before
@@ -360,6 +370,32 @@ def _dish_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         yield out()
 
 
+def _wanted_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Restaurants to the buckets that hold a word that is not broadcast with several customers, by word."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out() -> pa.RecordBatch:
+        word, at = (np.concatenate([x[i] for x in held]) for i in range(2))
+        held.clear()
+        bucket = word_bucket(word, buckets)
+        order = np.argsort(bucket, kind="stable")
+        keys, columns = packed(bucket[order], word[order], at[order])
+        return _batch("bucket ws xs", keys, *columns)
+
+    for _, rows in grouped(batches, "bucket", CHUNK):
+        word, c = decoded(rows, 5), joined(rows, 8, np.int64)
+        at = np.repeat(np.array([r[0] for r in rows], dtype=np.uint32), [len(r[8]) // 8 for r in rows])
+        some = (c >= 2) & (word >= CODES)
+        word, at = word[some], at[some]
+        order = np.lexsort((at, word))
+        first = edges(word[order], at[order])
+        held.append((word[order[first]], at[order[first]]))
+        if sum(len(x[0]) for x in held) > GATHER:
+            yield out()
+    if held:
+        yield out()
+
+
 def _merged_dish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, rows in grouped(batches, "bucket"):
         found = add_up(joined(rows, 1, np.uint64), joined(rows, 2, np.int64), joined(rows, 3, np.int64))
@@ -451,14 +487,17 @@ class Parent:
     tables: float
     uniform: float
     seen: np.ndarray = field(default_factory=lambda: np.zeros(0))  # P of each broadcast word
-    rest: float = 0.0  # mean P of the other words
 
     @property
     def new(self) -> float:
         return (self.strength + self.discount * self.tables) * self.uniform
 
     def probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return (customers - self.discount * tables + self.new) / (self.strength + self.customers)
+        return self.by_own(customers - self.discount * tables)
+
+    def by_own(self, own: np.ndarray) -> np.ndarray:
+        """The probability of words by their customers less the discount of their tables."""
+        return (own + self.new) / (self.strength + self.customers)
 
     @property
     def unseen(self) -> float:
@@ -500,18 +539,31 @@ def restaurants(rows: list[tuple], at: int = 1) -> Restaurants:
     return Restaurants(decoded(rows, at), joined(rows, at + 3, np.uint32).astype(np.int64), decoded(rows, at + 4), joined(rows, at + 7, np.int64))
 
 
-def seatings(found: Restaurants, layout: Layout, steps: list[Step]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tables of each pair, and of each context, after each step."""
+def seatings(found: Restaurants, layout: Layout, steps: list[Step], number: int = 0, tables: np.ndarray | None = None, own: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tables of each pair, and of each context, after each step.
+
+    ``number`` is that of the first step and ``tables`` the contexts' before it;
+    ``own`` are the words that are not broadcast, sorted, and what
+    :meth:`Parent.by_own` takes.
+    """
     _, place = found.totals(layout)
     split = place >= 0
     several = np.flatnonzero(found.cs >= 2)
     word = place_of(found.ws[several])
     of = found.of[several]
-    keys = pair_hash(found.us[of], found.ws[several])
-    tables, out = found.lens.astype(float), []
-    for k, step in enumerate(steps):
+    keys = pair_hash(layout.hashes(found.us)[of], layout.hashes(found.ws[several]))
+    rest = np.flatnonzero(word < 0)
+    if len(rest):
+        at = lookup(found.ws[several[rest]], own[0])
+        if (at < 0).any():
+            raise ValueError("a word without its parent's tables")
+    tables, out = found.lens.astype(float) if tables is None else tables, []
+    for k, step in enumerate(steps, number):
         tables = np.where(split, pick(step.tables, place), tables)
-        mass = (step.strength + step.discount * tables[of]) * pick(step.parent.seen, word, step.parent.rest)
+        probability = pick(step.parent.seen, word)
+        if len(rest):
+            probability[rest] = step.parent.by_own(own[1][at].astype(float)).astype(np.float32)
+        mass = (step.strength + step.discount * tables[of]) * probability
         t = np.ones(len(found.cs), dtype=np.int64)
         t[several] = seat(found.cs[several], mass, step.discount, keys, 2 * k)
         tables = np.bincount(found.of, t, minlength=len(found.us))
@@ -520,20 +572,83 @@ def seatings(found: Restaurants, layout: Layout, steps: list[Step]) -> list[tupl
     return out
 
 
-#: What a sweep sends: tables beyond the first of each pair by broadcast word (0) and by other word (1), tables of contexts in parts (2), statistics (3).
+def seated(found: Restaurants, stored: np.ndarray) -> np.ndarray:
+    """Tables of each pair from those that are stored, of pairs with several customers."""
+    t = np.ones(len(found.cs), dtype=np.int64)
+    t[found.cs >= 2] = stored
+    return t
+
+
+#: What a sweep sends: tables beyond the first of each pair by broadcast word (0) and by other word (1), tables of contexts in parts (2), statistics (3),
+#: tables of a bucket's pairs with several customers (4); and what it is given of words that are not broadcast: :meth:`Parent.by_own` (5), all their tables (6).
 SWEEP_ROWS = "kind int, bucket long, ws binary, es binary"
-MORE, MORE_REST, IN_PARTS, STATISTICS = range(4)
+MORE, MORE_REST, IN_PARTS, STATISTICS, TABLES, OWN, ROOTS = range(7)
+#: What a sweep reads of a bucket: its restaurants (``RESTAURANT``), tables of the sweep before (``SAMPLED``), and words' ``OWN``.
+SEAT_ROWS = f"{PAIR_ROWS}, kind int, base long, ws binary, es binary"
+RESTAURANT, TOKEN, SUMS, SAMPLED = range(4)
+
+
+def to_seat(restaurants: DataFrame, tables: list[DataFrame], own: DataFrame | None = None) -> DataFrame:
+    """Rows of ``SEAT_ROWS`` in order of bucket."""
+    nothing, number = F.lit(None).cast("binary"), lambda n: F.lit(n).cast("long").alias("base")
+    names = PAIR_NAMES.split()[1:]
+    rows = restaurants.select("bucket", *names, F.lit(RESTAURANT).alias("kind"), number(0), nothing.alias("ws"), nothing.alias("es"))
+    for i, swept in enumerate(tables):
+        rows = rows.unionByName(swept.where(F.col("kind") == TABLES).select("bucket", *[nothing.alias(c) for c in names], F.lit(SAMPLED).alias("kind"), number(i), nothing.alias("ws"), "es"))
+    if own is not None:
+        rows = rows.unionByName(own.where(F.col("kind") == OWN).select("bucket", *[nothing.alias(c) for c in names], "kind", number(0), "ws", "es"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _own_batches(batches: Iterator[pa.RecordBatch], buckets: int, mass: float, discount: float, draw: int) -> Iterator[pa.RecordBatch]:
+    """Words that are not broadcast: tables (kind 0) with those beyond the first of each pair (2), sent to the buckets that want them (1)."""
+    held: list[tuple[np.ndarray, ...]] = []
+    roots = 0.0
+
+    def out() -> pa.RecordBatch:
+        at, word, own = (np.concatenate([x[i] for x in held]) for i in range(3))
+        held.clear()
+        order = np.argsort(at, kind="stable")
+        keys, columns = packed(at[order].astype(np.int64), word[order], own[order])
+        return _batch("kind bucket ws es", pa.array(np.full(len(keys), OWN), pa.int32()), keys, *columns)
+
+    for _, rows in grouped(batches, "bucket", CHUNK):
+        of = lambda kind, rows=rows: [r for r in rows if r[1] == kind]
+        word, t = joined(of(0), 2, np.uint64), joined(of(0), 3, np.int64)
+        word, t = word[word >= CODES], t[word >= CODES]
+        order = np.argsort(word)
+        word, t = word[order], t[order]
+        np.add.at(t, lookup(joined(of(2), 2, np.uint64), word), joined(of(2), 3, np.int64))
+        s = root_tables(word, t, mass, discount, draw)
+        roots += float(s.sum())
+        wanted = joined(of(1), 2, np.uint64)
+        if len(wanted):
+            held.append((joined(of(1), 3, np.uint32), wanted, (t - discount * s).astype(np.float32)[lookup(wanted, word)]))
+        if sum(len(x[0]) for x in held) > GATHER:
+            yield out()
+    if held:
+        yield out()
+    yield _batch("kind bucket ws es", pa.array([ROOTS], pa.int32()), [0], [b""], [np.float64(roots).tobytes()])
 
 
-def _sweep_batches(batches: Iterator[pa.RecordBatch], layout: Layout, steps: list[Step]) -> Iterator[pa.RecordBatch]:
-    step = steps[-1]
+def _sweep_batches(batches: Iterator[pa.RecordBatch], layout: Layout, step: Step, number: int) -> Iterator[pa.RecordBatch]:
     stirling = np.stack([log_stirling(float(d)) for d in DISCOUNTS])
     statistics = np.zeros(len(STRENGTHS) + len(DISCOUNTS) + 1)
     words, parts, wholes, own, dealt = [], [], [], [], []
     for _, rows in grouped(batches, "bucket", CHUNK):
-        found = restaurants(rows)
+        mine = [r for r in rows if r[9] == RESTAURANT]
+        found = restaurants(mine)
         customers, place = found.totals(layout)
-        t, tables = seatings(found, layout, steps)[-1]
+        before = None
+        if number:
+            before = np.bincount(found.of, seated(found, joined([r for r in rows if r[9] == SAMPLED], 12, np.uint32)), minlength=len(found.us))
+        sent = [r for r in rows if r[9] == OWN]
+        word, first = np.unique(joined(sent, 11, np.uint64), return_index=True)
+        ((t, tables),) = seatings(found, layout, [step], number, before, (word, joined(sent, 12, np.float32)[first]))
+        several = np.flatnonzero(found.cs >= 2)
+        bounds = np.searchsorted(several, np.cumsum([0, *(len(r[8]) // 8 for r in mine)]))
+        m = len(mine)
+        yield _batch("kind bucket ws es", pa.array(np.full(m, TABLES), pa.int32()), [r[0] for r in mine], pa.array([b""] * m, pa.binary()), _binary(t[several].astype(np.uint32), bounds))
         more = np.flatnonzero(t > 1)
         words.append(add_up(found.ws[more], t[more] - 1))
         parts.append(add_up(place[place >= 0], tables[place >= 0].astype(np.int64)))
@@ -573,6 +688,8 @@ def _summed_sweep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         kind, bucket = rows[0][:2]
         if kind == STATISTICS:
             columns = [pa.array([b""], pa.binary()), pa.array([np.sum([np.frombuffer(r[3]) for r in rows], axis=0).tobytes()], pa.binary())]
+        elif kind == TABLES:
+            columns = [pa.array([b""], pa.binary()), pa.array([rows[0][3]], pa.binary())]
         else:
             found = add_up(joined(rows, 2, np.uint64), joined(rows, 3, np.int64))
             columns = packed(np.zeros(len(found[0]), dtype=np.int64), *found)[1]
@@ -580,15 +697,12 @@ def _summed_sweep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield _batch("kind bucket ws es", pa.array([kind], pa.int32()), [bucket], *columns)
 
 
-def _seen_dish_batches(batches: Iterator[pa.RecordBatch], layout: Layout, mass: float | None, discount: float) -> Iterator[pa.RecordBatch]:
-    """Of a task's words: those with one and two tables, all tables, tables in the parent's parent of words that are not broadcast, and the others' own tables."""
-    sums, places, tables = np.zeros(4), [], []
+def _seen_dish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's words: those with one and two tables, all tables, and the broadcast words' own tables."""
+    sums, places, tables = np.zeros(3), [], []
     for _, rows in grouped(batches, "bucket", CHUNK):
-        word, t = joined(rows, 1, np.uint64), joined(rows, 3, np.int64)
-        place = place_of(word)
-        sums[:3] += (t == 1).sum(), (t == 2).sum(), t.sum()
-        if mass is not None:
-            sums[3] += root_tables(word[place < 0], t[place < 0], mass, discount).sum()
+        place, t = place_of(joined(rows, 1, np.uint64)), joined(rows, 3, np.int64)
+        sums += (t == 1).sum(), (t == 2).sum(), t.sum()
         places.append(place[place >= 0])
         tables.append(t[place >= 0])
     if places:
@@ -609,6 +723,7 @@ class Model:
     restaurants: DataFrame  # PAIR_ROWS, a row for each bucket
     dishes: DataFrame  # DISH_ROWS, a row for each bucket
     more: list[DataFrame]  # SWEEP_ROWS of kind MORE_REST for each sample
+    tables: list[DataFrame]  # SWEEP_ROWS of kind TABLES for each sample
     root_mass: float  # of a new table of a word that is not broadcast
 
     @property
@@ -633,7 +748,7 @@ def fit(texts: DataFrame, seed: int = 7) -> Model:
 
     def kept(frame: DataFrame, name: str) -> DataFrame:
         with tidy_shuffles(spark):
-            frame.write.parquet(f"{folder}/{name}")
+            frame.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     def dealt(frame: DataFrame, *by: str) -> DataFrame:
@@ -662,58 +777,71 @@ def fit(texts: DataFrame, seed: int = 7) -> Model:
     dishes = dealt(tables.mapInArrow(lambda batches: _dish_batches(batches, buckets), DISH_ROWS), "bucket")
     dishes = kept(dishes.mapInArrow(_merged_dish_batches, DISH_ROWS), "dishes")
 
-    def seen_dishes(mass: float | None, discount: float) -> tuple[np.ndarray, np.ndarray]:
-        rows = dishes.mapInArrow(lambda batches: _seen_dish_batches(batches, shared.value, mass, discount), "sums binary, ps binary, ts binary").collect()  # a row a task
-        out = np.ones(len(words), dtype=np.int64)
-        out[joined(rows, 1, np.int64)] = joined(rows, 2, np.int64)
-        return np.sum([np.frombuffer(r[0]) for r in rows], axis=0) if rows else np.zeros(4), out
+    wanted = dealt(tables.mapInArrow(lambda batches: _wanted_batches(batches, buckets), "bucket long, ws binary, xs binary"), "bucket")
+    wanted = kept(wanted, "wanted")
 
-    sums, first = seen_dishes(None, 0.5)
+    rows = dishes.mapInArrow(_seen_dish_batches, "sums binary, ps binary, ts binary").collect()  # a row a task
+    first = np.ones(len(words), dtype=np.int64)
+    first[joined(rows, 1, np.int64)] = joined(rows, 2, np.int64)
+    sums = np.sum([np.frombuffer(r[0]) for r in rows], axis=0) if rows else np.zeros(3)
     root_discount = round(float(np.clip(sums[0] / max(sums[0] + 2 * sums[1], 1), 0.1, 0.95)), 3)
     root_mass = (1.0 + root_discount * layout.vocabulary) * layout.uniform
-    sums, _ = seen_dishes(root_mass, root_discount)
-    rest_words, rest_tables, rest_roots = layout.vocabulary - len(words), sums[2] - first.sum(), sums[3]
     rng = np.random.default_rng(seed)
 
-    def parent(more: np.ndarray, all_more: float, strength: float, draw: int) -> Parent:
+    def rest(k: int, swept: DataFrame | None) -> tuple[DataFrame, float]:
+        """What sweep ``k`` is given of words that are not broadcast, and all their tables in the parent's parent."""
+        rows = dishes.select("bucket", F.lit(0).alias("kind"), "ws", F.col("ts").alias("xs"))
+        if k < BURN_IN + SAMPLES:
+            rows = rows.unionByName(wanted.select("bucket", F.lit(1).alias("kind"), "ws", "xs"))
+        if swept is not None:
+            rows = rows.unionByName(swept.where(F.col("kind") == MORE_REST).select("bucket", F.lit(2).alias("kind"), "ws", F.col("es").alias("xs")))
+        made = dealt(rows, "bucket").mapInArrow(lambda batches: _own_batches(batches, buckets, root_mass, root_discount, 2 * k + 1), SWEEP_ROWS)
+        found = kept(made, f"rest-{k}")
+        return found, sum(float(np.frombuffer(r.es)[0]) for r in found.where(F.col("kind") == ROOTS).collect())  # a row a task
+
+    def parent(more: np.ndarray, all_more: float, rest_roots: float, strength: float, draw: int) -> Parent:
         t = first + more
-        s = root_tables(np.arange(len(words), dtype=np.uint64), t, root_mass, root_discount, draw)
+        s = root_tables(words, t, root_mass, root_discount, draw)
         bare = Parent(strength, root_discount, float(sums[2] + all_more), float(s.sum() + rest_roots), layout.uniform)
         log_weights = np.array([log_opened(x, root_discount, np.float64(bare.tables)) - log_entered(x, np.float64(bare.customers)) for x in STRENGTHS])
         bare = Parent(_drawn(STRENGTHS, log_weights, rng), root_discount, bare.customers, bare.tables, layout.uniform)
-        rest = (rest_tables + all_more - more.sum() - root_discount * rest_roots + rest_words * bare.new) / (bare.strength + bare.customers)
-        return Parent(bare.strength, root_discount, bare.customers, bare.tables, layout.uniform, bare.probability(t, s).astype(np.float32), float(rest / max(rest_words, 1)))
+        return Parent(bare.strength, root_discount, bare.customers, bare.tables, layout.uniform, bare.probability(t, s).astype(np.float32))
 
-    now, strength, discount = parent(np.zeros(len(words), dtype=np.int64), 0.0, 1.0, 1), 1.0, float(DISCOUNTS[15])
+    own, rest_roots = rest(0, None)
+    now, strength, discount = parent(np.zeros(len(words), dtype=np.int64), 0.0, rest_roots, 1.0, 1), 1.0, float(DISCOUNTS[15])
     split_tables = np.zeros(len(split))
     if len(split):
         rows = tables.mapInArrow(lambda batches: _split_batches(batches, shared.value), "ps binary, ts binary").collect()
         split_tables = np.bincount(joined(rows, 0, np.int64), joined(rows, 1, np.int64), minlength=len(split)).astype(float)
     steps: list[Step] = []
-    more_rest = []
+    sweeps: list[DataFrame] = []
     for k in range(BURN_IN + SAMPLES):
         steps.append(Step(strength, discount, now, split_tables))
-        sent = spark.sparkContext.broadcast((layout, list(steps)))
-        made = dealt(tables.mapInArrow(lambda batches, sent=sent: _sweep_batches(batches, *sent.value), SWEEP_ROWS), "kind", "bucket")
+        sent = spark.sparkContext.broadcast((layout, steps[-1], k))
+        made = dealt(to_seat(tables, sweeps[-1:], own).mapInArrow(lambda batches, sent=sent: _sweep_batches(batches, *sent.value), SWEEP_ROWS), "kind", "bucket")
         swept = kept(made.mapInArrow(_summed_sweep_batches, SWEEP_ROWS), f"sweep-{k}")
-        rows = swept.where(F.col("kind") != MORE_REST).collect()  # bounded by the broadcast words and contexts
+        sweeps.append(swept)
+        sent.unpersist()
+        rows = swept.where(F.col("kind").isin(MORE, IN_PARTS, STATISTICS)).collect()  # bounded by the broadcast words and contexts
         part = lambda kind, rows=rows: [r for r in rows if r[0] == kind]
         more = np.zeros(len(words), dtype=np.int64)
         more[joined(part(MORE), 2, np.uint64).astype(np.int64)] = joined(part(MORE), 3, np.int64)
         split_tables = np.zeros(len(split))
         split_tables[joined(part(IN_PARTS), 2, np.uint64).astype(np.int64)] = joined(part(IN_PARTS), 3, np.int64)
         statistics = np.sum([np.frombuffer(r[3]) for r in part(STATISTICS)] or [np.zeros(len(STRENGTHS) + len(DISCOUNTS) + 1)], axis=0)
-        now = parent(more, float(statistics[-1]), now.strength, 2 * k + 3)
+        _drop(spark, f"{folder}/rest-{k}")
+        if 0 < k <= BURN_IN:
+            _drop(spark, f"{folder}/sweep-{k - 1}")
+        own, rest_roots = rest(k + 1, swept)
+        now = parent(more, float(statistics[-1]), rest_roots, now.strength, 2 * k + 3)
         steps[-1] = Step(strength, discount, steps[-1].parent, steps[-1].tables, now, split_tables)
-        if k >= BURN_IN:
-            more_rest.append(swept.where(F.col("kind") == MORE_REST))
-        else:
-            _drop(spark, f"{folder}/sweep-{k}")
         of_split = lambda s, d: float((log_opened(s, d, split_tables)).sum())  # noqa: E731, B023
         by_strength = statistics[: len(STRENGTHS)] + [of_split(s, discount) - float(log_entered(s, customers).sum()) for s in STRENGTHS]
         by_discount = statistics[len(STRENGTHS) : -1] + [of_split(strength, d) for d in DISCOUNTS]
         strength, discount = _drawn(STRENGTHS, by_strength, rng), _drawn(DISCOUNTS, by_discount, rng)
-    return Model(layout, steps, tables, dishes, more_rest, root_mass)
+    for name in ("wanted", f"rest-{BURN_IN + SAMPLES}"):
+        _drop(spark, f"{folder}/{name}")
+    return Model(layout, steps, tables, dishes, *[[x.where(F.col("kind") == kind) for x in sweeps[-SAMPLES:]] for kind in (MORE_REST, TABLES)], root_mass)
 
 
 def _split_batches(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
@@ -729,21 +857,32 @@ def _split_batches(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterato
 # --- scoring ----------------------------------------------------------------
 
 
-def _frequent_pair_batches(batches: Iterator[pa.RecordBatch], layout: Layout, steps: list[Step], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with at least ``least`` customers and their average predictive probabilities, of a task."""
+def sampled(found: Restaurants, layout: Layout, samples: list[Step], stored: list[np.ndarray]) -> list[tuple[Step, np.ndarray, np.ndarray]]:
+    """Each sample with its tables of each pair and of each context."""
+    _, place = found.totals(layout)
+    out = []
+    for step, part in zip(samples, stored):
+        t = seated(found, part)
+        out.append((step, t, pick(step.tables_after, place, np.bincount(found.of, t, minlength=len(found.us)))))
+    return out
+
+
+def _frequent_pair_batches(batches: Iterator[pa.RecordBatch], layout: Layout, samples: list[Step], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of broadcast words with at least ``least`` customers and their average predictive probabilities, of a task."""
     pairs, values = [], []
     for _, rows in grouped(batches, "bucket", CHUNK):
-        found = restaurants(rows)
-        often = np.flatnonzero(found.cs >= least)
+        found = restaurants([r for r in rows if r[9] == RESTAURANT])
+        often = np.flatnonzero((found.cs >= least) & (found.ws < CODES))
         if not len(often):
             continue
         customers, _ = found.totals(layout)
         of = found.of[often]
         word = place_of(found.ws[often])
         p = np.zeros(len(often))
-        for step, (t, tables) in list(zip(steps, seatings(found, layout, steps)))[-SAMPLES:]:
+        stored = [joined([r for r in rows if r[9] == SAMPLED and r[10] == i], 12, np.uint32) for i in range(SAMPLES)]
+        for step, t, tables in sampled(found, layout, samples, stored):
             whole = step.strength + customers[of]
-            p += ((found.cs[often] - step.discount * t[often]) + (step.strength + step.discount * tables[of]) * pick(step.after.seen, word, step.after.rest)) / whole / SAMPLES
+            p += ((found.cs[often] - step.discount * t[often]) + (step.strength + step.discount * tables[of]) * step.after.seen[word]) / whole / SAMPLES
         pairs.append(pair_hash(found.us[of], found.ws[often]))
         values.append(np.log10(p))
     if pairs:
@@ -751,12 +890,11 @@ def _frequent_pair_batches(batches: Iterator[pa.RecordBatch], layout: Layout, st
 
 
 SETTLED_KIND = np.dtype([("doc", np.int64), ("id", np.int64), ("n", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64)])
-#: By bucket: restaurants (0), tokens (1) as runs of contexts with words, numbers and documents from ``base`` on in two parts, documents' settled sums (2) in ``cs``.
+#: By bucket: restaurants (0), tokens (1) as runs of contexts with words, numbers and documents from ``base`` on in two parts, documents' settled sums (2) and tables (3) of sample ``base`` in ``cs``.
 MEET_NAMES = "bucket kind base ul uh ur lens wl wh wr cs docs more"
 MEET_ROWS = "bucket long, kind int, base long, ul binary, uh binary, ur binary, lens binary, wl binary, wh binary, wr binary, cs binary, docs binary, more binary"
 #: By twice a document group, or twice a word bucket and one: words (0) with counts and tables, more tables (1) of sample ``base``, tokens (2) with shares, documents' scores (3) and settled sums (4).
 PART_ROWS = "k long, kind int, base long, ws binary, cs binary, docs binary, x binary"
-RESTAURANT, TOKEN, SUMS = range(3)
 WORD, MORE_TABLES, REST_TOKEN, SCORE, WHOLE = range(5)
 
 
@@ -825,9 +963,8 @@ class _Scores:
         yield _batch("k kind base ws cs docs x", keys * 2, pa.array(np.full(m, SCORE), pa.int32()), np.zeros(m, dtype=np.int64), _nothing(m), _nothing(m), low, values)
 
 
-def _meet_batches(batches: Iterator[pa.RecordBatch], layout: Layout, steps: list[Step]) -> Iterator[pa.RecordBatch]:
+def _meet_batches(batches: Iterator[pa.RecordBatch], layout: Layout, samples: list[Step]) -> Iterator[pa.RecordBatch]:
     """Rows in order of bucket: tokens of broadcast words get their score, others their pair's share and the parent's weights."""
-    samples = steps[-SAMPLES:]
     scores = _Scores()
     for _, rows in grouped(batches, "bucket", CHUNK):
         whole = joined([r for r in rows if r[1] == SUMS], 10, SETTLED_KIND)
@@ -856,7 +993,8 @@ def _meet_batches(batches: Iterator[pa.RecordBatch], layout: Layout, steps: list
         whole = pick(layout.customers, in_parts, pick(customers, context))
         c = pick(found.cs, place)
         share, weights = np.zeros(len(word)), []
-        for step, (t, tables) in list(zip(steps, seatings(found, layout, steps)))[-SAMPLES:]:
+        stored = [joined([r for r in rows if r[1] == SAMPLED and r[2] == i], 10, np.uint32) for i in range(SAMPLES)]
+        for step, t, tables in sampled(found, layout, samples, stored):
             own = pick(step.tables_after, in_parts, pick(tables, context))
             share += np.where(place >= 0, c - step.discount * pick(t, place), 0) / (step.strength + whole)[run] / SAMPLES
             weights.append(((step.strength + step.discount * own) / (step.strength + whole) / SAMPLES)[run])
@@ -886,9 +1024,8 @@ def _rest_word_batches(batches: Iterator[pa.RecordBatch], layout: Layout) -> Ite
             yield _batch("k kind base ws cs docs x", [bucket * 2 + 1], pa.array([WORD], pa.int32()), [0], columns[0], columns[1], _nothing(1), columns[2])
 
 
-def _sum_batches(batches: Iterator[pa.RecordBatch], layout: Layout, steps: list[Step], root_mass: float) -> Iterator[pa.RecordBatch]:
+def _sum_batches(batches: Iterator[pa.RecordBatch], layout: Layout, samples: list[Step], root_mass: float) -> Iterator[pa.RecordBatch]:
     """Rows in order of k to sums per document."""
-    samples = steps[-SAMPLES:]
     for _, rows in grouped(batches, "k", CHUNK):
         of = lambda kind, rows=rows: [r for r in rows if r[1] == kind]
         sums = joined(of(WHOLE), 6, SETTLED_KIND).copy()
@@ -907,13 +1044,13 @@ def _sum_batches(batches: Iterator[pa.RecordBatch], layout: Layout, steps: list[
         known, counts, t = joined(of(WORD), 3, np.uint64), joined(of(WORD), 4, np.int64), joined(of(WORD), 6, np.int64)
         order = np.argsort(known)
         known, counts, t = known[order], counts[order], t[order]
-        s = root_tables(known, t, root_mass, steps[0].parent.discount)
         place = lookup(word, known)
         p = shares[:, 0].copy()
         for i, step in enumerate(samples):
-            more = t.astype(float)
+            more = t.copy()
             extra = [r for r in of(MORE_TABLES) if r[2] == i]
             np.add.at(more, lookup(joined(extra, 3, np.uint64), known), joined(extra, 4, np.int64))
+            s = root_tables(known, more, root_mass, step.after.discount, 2 * (BURN_IN + i) + 3)
             p += shares[:, i + 1] * pick(step.after.probability(more, s), place, step.after.unseen)
         c = pick(counts, place)
         doc, seen, base, score = add_up(doc, n * (place >= 0), n * _base(c, layout), n * np.log10(p))
@@ -949,11 +1086,12 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
     model = fit(source.where(~held_out(F.col("id"))).select("text"))
-    layout, steps, root_mass = model.layout, model.steps, model.root_mass
-    state = spark.sparkContext.broadcast((layout, steps))
+    layout, root_mass = model.layout, model.root_mass
+    state = spark.sparkContext.broadcast((layout, model.samples))
     size = layout.n
     least = max(2, size >> 20)
-    rows = model.restaurants.mapInArrow(lambda batches: _frequent_pair_batches(batches, *state.value, least), "ps binary, vs binary").collect()  # at most one pair for each ``least`` tokens
+    with tidy_shuffles(spark):
+        rows = to_seat(model.restaurants, model.tables).mapInArrow(lambda batches: _frequent_pair_batches(batches, *state.value, least), "ps binary, vs binary").collect()  # at most one pair for each ``least`` tokens
     pairs, log_p = joined(rows, 0, np.uint64), joined(rows, 1, np.float32)
     order = np.argsort(pairs)
     often = spark.sparkContext.broadcast((pairs[order], log_p[order]))
@@ -962,6 +1100,8 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     read = numbered.mapInArrow(lambda batches: _token_batches(batches, state.value[0], often.value), MEET_ROWS)
     nothing = F.lit(None).cast("binary")
     served = model.restaurants.select("bucket", F.lit(RESTAURANT).alias("kind"), F.lit(0).cast("long").alias("base"), *PAIR_NAMES.split()[1:], nothing.alias("docs"), nothing.alias("more"))
+    for i, tables in enumerate(model.tables):
+        served = served.unionByName(tables.select("bucket", F.lit(SAMPLED).alias("kind"), F.lit(i).cast("long").alias("base"), *[nothing.alias(c) for c in PAIR_NAMES.split()[1:-1]], F.col("es").alias("cs"), nothing.alias("docs"), nothing.alias("more")))
     met = read.unionByName(served).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _meet_batches(batches, *state.value), PART_ROWS)
     met = met.unionByName(model.dishes.mapInArrow(lambda batches: _rest_word_batches(batches, state.value[0]), PART_ROWS))
     for i, more in enumerate(model.more):

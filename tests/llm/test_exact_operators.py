@@ -555,6 +555,17 @@ def test_language_model_is_deterministic(docs):
     assert all(math.isclose(one[i], two[i], rel_tol=1e-6) for i in one)
 
 
+def test_language_model_is_the_same_whatever_is_broadcast(docs, monkeypatch):
+    """Words that meet their parent's tables by key are seated as those that are broadcast."""
+    want = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "SHARE", 9)
+    monkeypatch.setattr(pitman_yor, "GATHER", 500)
+    model = pitman_yor.fit(docs.where(~pitman_yor.held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("text")))
+    assert len(model.layout.words) < model.layout.vocabulary / 20 and all(more.count() for more in model.more)
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
 def test_language_model_takes_a_very_long_text(spark):
     rows = [(i, "a b c " * 50) for i in range(20)] + [(30, "b c a d " * 600_000)]
     found = {r.doc_id: r for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
