@@ -27,6 +27,8 @@ _CODE = [x for x in dims.FILE_FAMILIES["code"] if x.startswith(".")]
 _is_yaml, _is_json = _ends(".yml", ".yaml"), _ends(".json")
 _MARKS = detect.required_literals([p for s in dims.SDK_SIGNATURES.values() for p in s[3] + s[4]])
 
+_HOSTS = sorted({*detect.telling_literals([p for p, _, _ in dims.ENDPOINTS]), "key", "token", "host", "bedrock", "vertex"})
+
 
 def _is_compose(path: Column) -> Column:
     return _name(path).rlike(r"^(docker-)?compose[^/]*\.ya?ml$")
@@ -72,7 +74,7 @@ def sdk_usage(lines: DataFrame) -> DataFrame:
     return detect.sdk_usage(lines).select("path", "name", "type", "provider", F.col("line_no").alias("line"))
 
 
-@detector("endpoints", lambda path: detect.is_env_file(path) | _ends(*_CODE, ".yml", ".yaml", ".json", ".toml", ".ini", ".cfg")(path), form="lines", maybe=lambda line: F.lower(line).rlike("|".join(p for p, _, _ in dims.ENDPOINTS) + "|key|token|host|bedrock|vertex"))
+@detector("endpoints", lambda path: detect.is_env_file(path) | _ends(*_CODE, ".yml", ".yaml", ".json", ".toml", ".ini", ".cfg")(path), form="lines", maybe=lambda line: F.exists(F.array(F.lower(line)), lambda low: detect.contains_any(low, _HOSTS)))
 def endpoints(lines: DataFrame) -> DataFrame:
     return detect.endpoint_findings(lines).select("path", F.concat_ws(" ", "provider", "kind").alias("name"), F.lit("endpoint").alias("type"), "provider", F.col("line_no").alias("line"))
 

@@ -1,6 +1,7 @@
 """Ignore files, manifests, blocks, contexts, and the one pass over a corpus."""
 
 import random
+import re
 import subprocess
 
 import pytest
@@ -143,6 +144,27 @@ def test_one_scan_for_all_detectors(spark, tmp_path):
     assert plugins.run_detectors(corpus.where(F.lit(False))).count() == 0
 
 
+def test_sdk_patterns_wait_for_their_literals(spark):
+    """Long text with words like import is not searched by a pattern of all SDKs; what is found is what the patterns alone find."""
+    import regex
+
+    from aiscope.functions import dims
+    from aiscope.operators import detect
+
+    patterns = [p for s in dims.SDK_SIGNATURES.values() for p in s[3] + s[4]]
+    made = [re.sub(r"\\b", "", re.sub(r"\[([^\]^])[^\]]*\]", r"\1", p.replace(r"\s+", "  ").replace(r"\s*", " "))) for p in patterns]
+    made = [x.replace("\\", "") for x in made]
+    lines = [*made, *(f"we import this from (a) {x} and use it" for x in made), "from here we (import) and require", "MCP openai", None, ""]
+    frame = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string").withColumn("path", F.lit("x.py"))
+    want = {(i, sdk) for i, line in enumerate(lines) for sdk, s in dims.SDK_SIGNATURES.items() if regex.search("|".join(s[3] + s[4]), line or "")}
+    found = detect.sdk_lines(frame)
+    assert {(r.line_no, r.sdk) for r in found.collect()} == want and len({i for i, _ in want}) > len(made)
+    assert detect.any_sdk_pattern() not in found._jdf.queryExecution().optimizedPlan().toString()
+    marks = detect.telling_literals(patterns + [p for p, _, _ in dims.ENDPOINTS])
+    assert all(any(m in x for m in marks) for x in [*made, *(p.replace("\\", "") for p, _, _ in dims.ENDPOINTS)])
+    assert not any(m in "we import this, require that and use it from (here)" for m in marks)
+
+
 def test_a_detector_of_ones_own(spark, tmp_path):
     @plugins.detector("marks", lambda path: path.endswith(".md"), form="lines", maybe=lambda line: line.contains("!"))
     def marks(lines):
