@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aiscope.functions import columns as C
 from aiscope.functions import dims
+from aiscope.sources import files
 
 AGENT, CODE, HTTP, HUB, WEBHOOK = "agent$", "toolCode$", "toolHttpRequest$", "executeWorkflow$", "webhook$"
 
@@ -121,6 +122,13 @@ def _string(parameters: Column, *path: str) -> Column:
     return F.try_variant_get(parameters, "$." + ".".join(path), "string")
 
 
+def ai_nodes_of(v: Column) -> Column:
+    """Structs ``node, type, provider`` of the AI nodes of a workflow export's variant, as :func:`node_components` names them."""
+    get = lambda n, key: F.try_variant_get(n, f"$.{key}", "string")
+    nodes = F.transform(F.when(files.is_workflow(v), F.try_variant_get(v, "$.nodes", "array<variant>")), lambda n: F.struct(F.coalesce(F.nullif(get(n, "name"), F.lit("")), get(n, "type")).alias("node"), node_kind(get(n, "type")).alias("k")))
+    return F.transform(F.filter(nodes, lambda n: n["k"].isNotNull()), lambda n: F.struct(n["node"].alias("node"), n["k"]["type"].alias("type"), n["k"]["provider"].alias("provider")))
+
+
 def node_components(nodes: DataFrame, keep: list[str]) -> DataFrame:
     """AI nodes of workflow exports as components, from ``node, type, parameters`` (JSON text) and the columns to keep.
 
