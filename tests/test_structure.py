@@ -157,6 +157,20 @@ def test_candidates_hold_what_is_found_and_no_texts(spark, sf):
     assert found.n < size / 20 and found.most < 200
 
 
+def test_lines_wait_for_marks_that_every_match_has(spark):
+    """A key or an endpoint in any case, and an SDK's line, pass the marks that rule out other lines."""
+    from aiscope.functions import dims
+    from aiscope.operators import detect
+
+    hosts = [re.sub(r"\\(.)", r"\1", p.replace(".*", "eu-1")) for p, _, _ in dims.ENDPOINTS]
+    hosts += [x.upper() for x in hosts] + [x.title() for x in hosts]
+    long = "0123456789abcdef" * 4
+    keys = [*(f"{p}{long}" for p in ("sk-proj-", "sk-", "sk-ant-", "hf_", "key-", "gsk_", "r8_", "xai-", "AIza", "fw_", "pplx-")), f"DeepSeek=SK-{long}", f"x Token:'{long}'", f"MISTRAL_KEY {long[:32]}", f"Together-API\t{long}"]
+    frame = spark.createDataFrame([(f"x{i}.py", i, line) for i, line in enumerate(hosts + keys)], "path string, line_no int, line string")
+    assert {r.line_no for r in detect.endpoint_findings(frame).collect()} == set(range(len(hosts)))
+    assert {r.line_no for r in detect.key_findings(frame).collect()} == set(range(len(hosts), len(hosts) + len(keys)))
+
+
 def test_odd_files_in_one_pass(spark, tmp_path):
     """Lists where objects are usual, escaped types, nulls and other line ends, found in the pass as by the detectors' own functions."""
     from aiscope.operators import detect
